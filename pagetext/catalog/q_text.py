@@ -138,7 +138,8 @@ def _(v):
 
 @query("o4_suggestions", r"""with w as (select distinct lower(unnest(regexp_extract_all(text,'\p{L}{2,}'))) as word from conversations where role='system' or turn=0),
 d as (select word as entry, count(*) as rank from (select lower(unnest(regexp_extract_all(text,'\p{L}{2,}'))) as word from benchmark) t group by word),
-q as (select word, entry, rank, levenshtein(word,entry) as distance from w, d where length(word)<=15 and abs(length(word)-length(entry))<=2 and levenshtein(word,entry)<=2 and word<>entry)
+x as (select word, translate(word,'ßäçèéêíñóöü','ABCDEFGHIJK') as a from w where length(word)<=15), y as (select entry, rank, translate(entry,'ßäçèéêíñóöü','ABCDEFGHIJK') as b from d),
+q as (select word, entry, rank, levenshtein(a,b) as distance from x join y on abs(length(a)-length(b))<=2 and levenshtein(a,b)<=2 and word<>entry)
 select word, entry, distance::int as distance, rn::int as rn from (select *, row_number() over (partition by word order by distance, rank, entry) as rn from q) t where rn<=5""")
 def _(v):
     words = lambda d: d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.WORD_SCRIPTS + "{2,}"), F.lit(0))).alias("word"))

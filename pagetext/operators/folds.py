@@ -39,3 +39,28 @@ def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
 
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return placed.mapInPandas(run, schema)
+
+
+def scan_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], init: Callable, step: Callable, schema: str) -> DataFrame:
+    """Ordered scan with a small state: ``step(state, row) -> (state, output)``, ``init(first row)`` per group.
+
+    Rows stream through in Arrow batches; only the state is held, never a group.
+    """
+    columns = df.columns
+    at = [columns.index(k) for k in keys]
+    out_cols = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row_type = namedtuple("Row", columns)
+        current, state = None, None
+        for pdf in batches:
+            out = []
+            for values in zip(*[pdf[c].tolist() for c in columns]):
+                row, key = row_type(*values), tuple(values[i] for i in at)
+                if key != current:
+                    current, state = key, init(row)
+                state, made = step(state, row)
+                out.append(made)
+            yield pd.DataFrame(out, columns=out_cols)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -9,8 +9,6 @@ from pagetext.functions import text as tx
 from pagetext.operators.prefix import per_key
 from pagetext.operators.tiles import box_pairs
 
-MAX_FONT = 512  # largest accepted font size, the bound of the peer search
-
 
 def resolution_scale(page_w: Column, page_h: Column, font: Column) -> Column:
     """Page scale against a 1050 pixel short side, else against a large font, never below 1."""
@@ -99,15 +97,15 @@ def inherit_direction(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     c = F.col
     sides = blocks.filter("known is not null and geometry_ok and grp is not null").groupBy("page", "grp").agg(
-        F.count_if("known").alias("v"), F.count_if(~c("known")).alias("h"))
+        F.count_if("known").alias("v"), F.count_if(~c("known")).alias("h"), F.max("font_size").alias("top_font"))
     d = blocks.join(sides, ["page", "grp"], "left").fillna(0, ["v", "h"])
     single = c("geometry_ok") & c("known").isNull() & (c("letters") == 1) & (c("n_lines") == 1)
     d = d.withColumns({"single": single, "vote": F.when(single & (c("v") > 0) & (c("h") == 0), True).when(single & (c("h") > 0) & (c("v") == 0), False)})
-    asks = d.filter("vote is not null").select("page", "grp", "block_id", "x1", "y1", "x2", "y2", "font_size", "vote")
+    asks = d.filter("vote is not null").select("page", "grp", "block_id", "x1", "y1", "x2", "y2", "font_size", "vote", "top_font")
     asks = asks.withColumn("own", F.greatest(c("x2") - c("x1"), c("y2") - c("y1"), c("font_size")))
     peers = blocks.filter("known is not null and geometry_ok and grp is not null").select("page", "grp", "block_id", "x1", "y1", "x2", "y2", "font_size")
-    reach = F.greatest(c("own"), F.lit(MAX_FONT))
-    near = box_pairs(asks, peers, ["page", "grp"], gap_x=reach * 3, gap_y=reach * 3, tile=(4096, 4096))
+    reach = F.greatest("own", "top_font")
+    near = box_pairs(asks, peers, ["page", "grp"], gap_x=reach * 3, gap_y=reach * 3, tile=(1024, 1024))
     size = F.greatest("own", "r_font_size")
     mid_x = F.abs((c("x1") + c("x2") - c("r_x1") - c("r_x2")) / 2) <= size * 3
     mid_y = F.abs((c("y1") + c("y2") - c("r_y1") - c("r_y2")) / 2) <= size * 3

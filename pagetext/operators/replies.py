@@ -12,6 +12,11 @@ from pagetext.operators.folds import fold_groups
 from pagetext.operators.prefix import per_key, prefix_scan
 
 
+def _pin(df: DataFrame, keep: Sequence[str], **made: Column) -> DataFrame:
+    """Compute columns once behind a generator; plain projections would be merged and parse the text again per use."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+
+
 def json_body(c: Column) -> Column:
     """The JSON object of a reply: inside a fence, else from the first to the last brace, else the text itself."""
     t = tx.strip(c)
@@ -28,27 +33,25 @@ def parse_replies(df: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFra
     """
     key = list(key)
     c = F.col
-    d = df.select(*key, "expected", json_body(c("content")).alias("body"))
-    d = d.withColumn("top", F.from_json("body", "map<string,string>")).withColumn("doc", F.try_parse_json("body"))
+    d = _pin(df, [*key, "expected"], body=json_body(c("content")))
+    d = _pin(d, [*key, "expected", "body"], top=F.from_json("body", "map<string,string>"), doc=F.try_parse_json("body"))
     summary = F.when(F.schema_of_variant(F.try_variant_get("doc", "$.page_summary", "variant")) == "STRING",
                      tx.collapse(F.try_variant_get("doc", "$.page_summary", "string")))
-    d = d.withColumn("summary", F.coalesce(summary, F.lit("")))
     digits = lambda m: F.forall(F.map_keys(m), lambda k: k.rlike("^[0-9]+$"))
     inner = F.try_element_at("top", F.lit("translations"))
     items = F.when(F.map_contains_key("top", "translations"), inner).when(digits("top"), c("body"))
-    d = d.withColumn("items", tx.strip(items))
-    as_map = F.when(c("items").startswith("{"), F.from_json("items", "map<string,string>"))
-    as_list = F.when(c("items").startswith("["), F.from_json("items", "array<struct<id:string,translation:string>>"))
-    d = d.withColumns({"m": as_map, "l": as_list})
+    d = _pin(d, [*key, "expected"], valid=c("doc").isNotNull(), summary=F.coalesce(summary, F.lit("")), items=tx.strip(items))
+    d = _pin(d, [*key, "expected", "valid", "summary"], m=F.when(c("items").startswith("{"), F.from_json("items", "map<string,string>")),
+             l=F.when(c("items").startswith("["), F.from_json("items", "array<struct<id:string,translation:string>>")))
     pairs = (F.when(c("m").isNotNull() & digits("m"), F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].try_cast("int").alias("id"), e["value"].alias("text"))))
              .when(c("l").isNotNull(), F.transform("l", lambda e: F.struct(e["id"].try_cast("int").alias("id"), e["translation"].alias("text")))))
-    d = d.withColumn("pairs", pairs).withColumn("ids", F.array_sort(F.transform("pairs", lambda p: p["id"])))
-    reason = (F.when(c("doc").isNull(), "invalid_json")
+    d = _pin(d, [*key, "expected", "valid", "summary"], pairs=pairs).withColumn("ids", F.array_sort(F.transform("pairs", lambda p: p["id"])))
+    reason = (F.when(~c("valid"), "invalid_json")
               .when(c("expected") == 0, F.when(c("summary") == "", "no_summary"))
               .when(c("pairs").isNull(), "unsupported_payload")
               .when(F.size(F.array_distinct("ids")) != F.size("ids"), "duplicate_id")
               .when(c("ids") != F.sequence(F.lit(1), F.greatest("expected", F.lit(1))), "wrong_ids"))
-    d = d.withColumn("reason", reason)
+    d = _pin(d, [*key, "expected", "summary", "pairs"], reason=reason)
     good = d.filter("reason is null")
     rows = good.filter("expected > 0").select(*key, F.inline("pairs"))
     return (rows, good.filter("summary <> ''").select(*key, "summary"), d.filter("reason is not null").select(*key, "reason"))
@@ -59,19 +62,20 @@ def parse_page_text(df: DataFrame, key: Sequence[str], with_order: bool = True)
     key = list(key)
     c = F.col
     want = F.transform(F.sequence(F.lit(1), F.greatest("expected", F.lit(1))), lambda i: i.cast("string"))
-    d = df.select(*key, "expected", F.try_parse_json(tx.strip(c("content"))).alias("doc"), tx.strip(c("content")).alias("body"))
-    d = d.withColumns({"top": F.from_json("body", "map<string,string>"), "p": F.from_json("body", "struct<texts:map<string,variant>,order:array<variant>>")})
+    d = _pin(df, [*key, "expected"], body=tx.strip(c("content")))
+    d = _pin(d, [*key, "expected"], valid=F.try_parse_json("body").isNotNull(), top=F.from_json("body", "map<string,string>"),
+             p=F.from_json("body", "struct<texts:map<string,variant>,order:array<variant>>"))
     fields = F.array_sort(F.map_keys("top"))
     need = F.array(*[F.lit(f) for f in (["order", "texts"] if with_order else ["texts"])])
     is_text = lambda v: F.schema_of_variant(v) == "STRING"
     same = lambda a: (F.size(a) == F.size(want)) & (F.size(F.array_except(a, want)) == 0) & (F.size(F.array_except(want, a)) == 0)
     order = F.transform("p.order", lambda v: F.try_variant_get(v, "$", "string"))
-    reason = (F.when(c("doc").isNull(), "invalid_json").when(F.coalesce(fields != need, F.lit(True)), "wrong_fields")
+    reason = (F.when(~c("valid"), "invalid_json").when(F.coalesce(fields != need, F.lit(True)), "wrong_fields")
               .when(F.coalesce(~same(F.map_keys("p.texts")), F.lit(True)), "wrong_ids")
               .when(~F.forall(F.map_values("p.texts"), is_text), "not_a_string"))
     if with_order:
         reason = reason.when(F.coalesce(~F.forall("p.order", is_text) | ~same(order), F.lit(True)), "wrong_order")
-    d = d.withColumns({"reason": reason, "order": order})
+    d = _pin(d, [*key, "p"], reason=reason, order=order)
     rows = d.filter("reason is null").select(*key, "order", F.explode(F.map_entries("p.texts")).alias("e"))
     pos = F.array_position("order", c("e.key")).cast("int") if with_order else F.lit(None).cast("int")
     return (rows.select(*key, c("e.key").cast("int").alias("id"), tx.collapse(F.try_variant_get("e.value", "$", "string")).alias("text"), pos.alias("position")),
