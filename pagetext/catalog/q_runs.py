@@ -196,3 +196,30 @@ def _(v):
     p = F.when(c("block_id") % 5 == 0, "").when(c("block_id") % 3 == 0, F.concat("label", F.lit("x"))).otherwise(c("label"))
     d = v.blocks.select("page", "block_id", c("label").alias("text"), p.alias("padded"), F.when(c("block_id") % 7 == 0, "z").otherwise(p).alias("unpadded"), (c("page") % 4 != 0).alias("has_candidate"), (c("font_size") % 3 == 0).alias("suspicious"))
     return P.crop_text_review(d).select("page", "block_id", "new_text", "status", "reason")
+
+
+@query("s3_read_project", """select page, block_id, x1::double as x1, y2::double as y2, label as text, case when block_id%3=0 then null else vertical end as vertical from blocks where page%9<>4""")
+def _(v):
+    text = F.when(c("block_id") % 2 == 0, F.concat(F.lit('"'), "label", F.lit('"'))).otherwise(F.concat(F.lit('["'), "label", F.lit('"]')))
+    block = F.concat(F.lit('{"xyxy":['), F.concat_ws(",", "x1", "y1", "x2", "y2"), F.lit('],"text":'), text, F.lit(',"src_is_vertical":'),
+                     F.when(c("block_id") % 3 == 0, "null").otherwise(c("vertical").cast("string")), F.lit("}"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", block.alias("t")))), lambda s: s["t"]), ",")
+    docs = v.blocks.groupBy("page").agg(listed.alias("b")).select(c("page").cast("string").alias("path"), F.concat(
+        F.lit('{"pages":{"'), "page", F.lit('.png":['), "b", F.when(c("page") % 9 == 4, "").otherwise("]}}")).alias("content"))
+    blocks, _, _ = D.parse_project(docs)
+    return blocks.select(F.regexp_extract("page", r"^(\d+)", 1).cast("long").alias("page"), c("block_id").cast("int").alias("block_id"), "x1", "y2", F.array_join("text", "").alias("text"), "vertical")
+
+
+GLOSS = """l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)),1)::int as i from documents),
+m as (select doc_id, i, regexp_replace(raw,'^\\s+|\\s+$','','g') as s from l), g as (select * from m where s<>'' and not regexp_matches(s,'^(#|//|\\\\\\\\)') and not contains(s, chr(9)) and not contains(s,'->'))"""
+
+
+def _gloss(v):
+    line = F.concat(c("raw"), F.when((c("i") % 3 != 2) & (F.trim("raw") != ""), F.concat(F.lit(" -> T"), c("i") + 1, F.lit(" # n"))).otherwise(""))
+    d = v.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw")).select("doc_id", "i", line.alias("t"))
+    docs = d.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda s: s["t"]), "\n").alias("content"))
+    return D.parse_glossary(docs.select(c("doc_id").cast("string").alias("path"), "content").filter("not startswith(content, '[')"))
+
+
+query("s4_read_glossary", f"with {GLOSS} select doc_id::varchar as path, i as entry_idx, s as source, 'T'||i as translation, 'n' as note from g where (i-1)%3<>2")(lambda v: _gloss(v)[0])
+query("s4b_glossary_rejects", f"with {GLOSS} select doc_id::varchar as path, 'line '||i as location, 'expected an arrow or tabs' as reason from g where (i-1)%3=2")(lambda v: _gloss(v)[1])

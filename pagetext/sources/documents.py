@@ -23,7 +23,7 @@ PROJECT = (f"struct<directory:string,current_img:string,pages:map<string,array<{
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of text files, one row per file."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_project(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ def write_ledger(df: DataFrame, path: str, fmt: str = "parquet", columns: Sequen
     """
     d = df.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
     if fmt == "csv":
-        d.withColumnRenamed(columns[0], "﻿" + columns[0]).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+        d.withColumnRenamed(columns[0], "﻿" + columns[0]).write.mode(mode).option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     else:
         getattr(d.write.mode(mode), fmt)(path)
 
