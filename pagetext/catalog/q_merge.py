@@ -122,7 +122,7 @@ def _(v):
     return d.select("page", "matched", "n_gt", "n_det", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "hmean")])
 
 
-@query("a3_vote_direction", """with d as (select page, block_id, vertical, greatest((x2-x1)::double/(y2-y1),(y2-y1)::double/(x2-x1)) as ext from blocks),
+@query("a3_vote_direction", """with d as (select page, block_id, vertical, greatest((x2-x1)::double/(y2-y1),1/((x2-x1)::double/(y2-y1))) as ext from blocks),
 g as (select page, count(*) as n, count(*) filter (vertical) as nv, arg_max(vertical, (ext, -block_id)) as tie from d group by page)
 select page, n, nv, case when nv*2=n then tie else nv*2>n end as majority, nv >= n//2 as simple from g""")
 def _(v):

@@ -228,9 +228,17 @@ def _repeats(text: str, threshold: int) -> tuple[bool, str | None, int, str, int
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     breaks = codes == 10
     for k in range(1, len(codes) // threshold + 1):
-        # A long enough run covers every k*(threshold-1)-th position, so most lengths are ruled out by a few probes.
-        probe = np.arange(0, len(codes) - k, k * (threshold - 1))
-        if not (codes[probe] == codes[probe + k]).any():
+        # A long enough run covers at least seven probes in a row, which rules out nearly every other length.
+        run = k * (threshold - 1)
+        need = min(7, run)
+        probe = np.arange(0, len(codes) - k, max(1, run // 8))
+        same = codes[probe] == codes[probe + k]
+        if len(same) < need:
+            continue
+        together = same[:len(same) - need + 1].copy()
+        for j in range(1, need):
+            together &= same[j:len(same) - need + 1 + j]
+        if not together.any():
             continue
         hit = _scan_period(codes, breaks, k, threshold)
         if hit:

@@ -34,25 +34,37 @@ def scale_metrics(df: DataFrame) -> DataFrame:
 def _options(vertical: bool, n: Column, w: Column, h: Column, cap: Column, scale: Column) -> Column:
     """Best option of one orientation: struct score, size, neg (-parts), per_part, ratio; null if none fits."""
 
-    def option(k: Column) -> Column:
+    def start(k: Column) -> Column:
         per = F.ceil(n / k)
         if vertical:
-            by_w = w / F.when(k == 1, 1.18).otherwise(k * 1.22 + 0.22)
-            probe = F.least(cap, by_w, h / (per * 1.13 + 0.25))
-            ratio = optical_tier(probe, scale)
-            raw = F.least(cap, by_w, h / (per * ratio + 0.25))
+            room = F.least(cap, w / F.when(k == 1, 1.18).otherwise(k * 1.22 + 0.22))
+            probe = F.least(room, h / (per * 1.13 + 0.25))
         else:
-            ratio = F.when(k == 1, 1.08).otherwise(1.20)
-            probe = raw = F.least(cap, w / (per * 1.08 + 0.25), h / (k * ratio + 0.25))
-        size = F.greatest(F.lit(1.0), F.floor(raw * 4) / 4)
-        single = F.when((k > 1) & (n % (k if vertical else per) == 1) & (per > 2), 0.95).otherwise(1.0)
+            room = F.least(cap, w / (per * 1.08 + 0.25))
+            probe = F.least(room, h / (k * F.when(k == 1, 1.08).otherwise(1.20) + 0.25))
+        return F.struct(k.alias("k"), per.alias("per"), room.alias("room"), probe.alias("probe"))
+
+    def tier(s: Column) -> Column:
+        ratio = optical_tier(s["probe"], scale) if vertical else F.when(s["k"] == 1, 1.08).otherwise(1.20)
+        return F.struct(s["k"].alias("k"), s["per"].alias("per"), s["room"].alias("room"), ratio.alias("ratio"))
+
+    def sized(s: Column) -> Column:
+        along = s["per"] if vertical else s["k"]
+        size = F.greatest(F.lit(1.0), F.floor(F.least(s["room"], h / (along * s["ratio"] + 0.25)) * 4) / 4)
+        return F.struct(s["k"].alias("k"), s["per"].alias("per"), s["ratio"].alias("ratio"), size.alias("size"))
+
+    def scored(s: Column) -> Column:
+        rest = n % (s["k"] if vertical else s["per"])
+        factor = F.when((s["k"] > 1) & (rest == 1) & (s["per"] > 2), 0.95).otherwise(1.0)
         if vertical:
-            fill = F.least(F.lit(1.0), per * size * ratio / h)
+            fill = s["per"] * s["size"] * s["ratio"] / h
             sparse = F.when(fill < 0.55, F.pow(fill / 0.55, F.lit(0.85))).otherwise(1.0)
-            single = F.when(h / F.greatest(F.lit(1.0), w) >= 1.4, sparse).otherwise(single)
-        return F.when(probe >= 1, F.struct((size * single).alias("score"), size.alias("size"), (-k).alias("neg"), per.alias("per"), ratio.alias("ratio")))
+            factor = F.when(h / F.greatest(F.lit(1.0), w) >= 1.4, sparse).otherwise(factor)
+        return F.struct((s["size"] * factor).alias("score"), s["size"].alias("size"), (-s["k"]).alias("neg"), s["per"].alias("per"), s["ratio"].alias("ratio"))
 
-    return F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), option))
+    # One transform per step: each intermediate value is computed once per option.
+    options = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start), lambda s: s["probe"] >= 1)
+    return F.array_max(F.transform(F.transform(F.transform(options, tier), sized), scored))
 
 
 def fit_layout(df: DataFrame) -> DataFrame:
@@ -70,8 +82,10 @@ def fit_layout(df: DataFrame) -> DataFrame:
     cap = F.when(c("font_size") > 0, F.least(F.greatest(c("font_size") * 1.05, c("__s") * 16.0), top)).otherwise(top)
     ok = (c("__n") > 0) & (side >= 6)
     d = d.withColumn("__cap", cap)
-    d = d.withColumns({"__v": F.when(ok, _options(True, c("__n"), c("__w"), c("__h"), c("__cap"), c("__s"))),
-                       "__r": F.when(ok, _options(False, c("__n"), c("__w"), c("__h"), c("__cap"), c("__s")))})
+    # Behind a generator each search runs once per row; plain projections would repeat it for every field used.
+    best = F.struct(F.when(ok, _options(True, c("__n"), c("__w"), c("__h"), c("__cap"), c("__s"))).alias("__v"),
+                    F.when(ok, _options(False, c("__n"), c("__w"), c("__h"), c("__cap"), c("__s"))).alias("__r"))
+    d = d.select("*", F.inline(F.array(best)))
     across = ((c("__w") / F.greatest(F.lit(1.0), c("__h")) >= 1.3)
               | ((c("__v.size") < c("__s") * 12.0) & (c("__r.size") >= c("__v.size") * 1.2)))
     d = d.withColumn("fit_vertical", F.when(c("__v").isNull() & c("__r").isNull(), F.lit(None)).when(c("__v").isNull(), False)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagetext.operators.boxes import nearest_panel
 from pagetext.operators.folds import fold_groups
 from pagetext.operators.prefix import per_key, prefix_scan, previous_row
+from pagetext.session import cut_lineage
 
 # Coordinates stay inside +-1e6, so x - y fits in +-2^21 and its 2048-wide band in +-1024.
 _BAND, _BANDS = 2048, 4096
@@ -20,7 +21,7 @@ def _rightmost_topmost(first: Column) -> Column:
 
 def reading_order(matched: DataFrame) -> DataFrame:
     """Model order where every block of the page matched, native order for the whole page otherwise."""
-    d = per_key(matched, ["page"], F.bool_and(F.col("match_id").isNotNull()).alias("full"))
+    d = per_key(cut_lineage(matched), ["page"], F.bool_and(F.col("match_id").isNotNull()).alias("full"))
     lead = F.when(F.col("full"), F.col("match_id"))
     order = [lead, F.when(F.col("full"), -F.col("x2")), F.when(F.col("full"), F.col("y1")), F.col("block_id")]
     chunk = F.floor(F.coalesce(lead, F.col("block_id")) / 1024)
@@ -71,7 +72,7 @@ def sort_regions(blocks: DataFrame, rtl: bool | None = None) -> DataFrame:
     d = prefix_scan(d, ["page"], order, chunk, maxes_before={"__bottom": F.col("y2")})
     new = F.when(F.col("__bottom").isNull() | (F.col("cy") > F.col("__bottom")), 1).otherwise(0)
     d = prefix_scan(d, ["page"], order, chunk, sums={"band": new})
-    d = per_key(d, ["page", "band"], F.count(F.lit(1)).alias("n"))
+    d = cut_lineage(per_key(d.select("page", "block_id", "band", "cx", "cy", "y2", "rtl"), ["page", "band"], F.count(F.lit(1)).alias("n")))
     many = d.filter("n > 1").select("page", "block_id", "band", "cx", "cy", "y2", "rtl")
     folded = fold_groups(many, ["page", "band"], ["cy", "block_id"], _insert_sorted,
                          "page long, block_id int, band long, in_band int")

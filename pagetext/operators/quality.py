@@ -95,7 +95,7 @@ SECRET_PATTERNS = {
     "api secret": r"sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{32,}",
     "private key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
 }
-BLOCKED_PARTS = (".venv", "venv", "ollama-models", "runtime", "__pycache__", ".env", "ballontrans_pylibs_win")
+BLOCKED_PARTS = (".venv", "venv", "ollama-models", "runtime", "__pycache__", ".env")
 BLOCKED_SUFFIXES = (".gguf", ".safetensors", ".pth", ".pt", ".onnx", ".pkl", ".npz", ".log", ".bak", ".exe", ".dll", ".pyd", ".pyc", ".part")
 MAX_BYTES = 20 * 1024 * 1024
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import namedtuple
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,48 +136,30 @@ def test_greedy_detections(spark, df, pages):
     assert got == want
 
 
-def stitch_twin(boxes, dist, contain, dup, over):
-    boxes = sorted(boxes, key=lambda b: b[1])
-    i = 0
-    while i < len(boxes):
-        j, again = i + 1, False
-        while j < len(boxes):
-            a, b = boxes[i], boxes[j]
-            if b[1] > a[3] + dist * 2:
-                break
-            n = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-            sa, sb = (a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1])
-            if sa > 0 and sb > 0 and n / min(sa, sb) >= contain:
-                boxes.pop(j)
-                if sa < sb:
-                    boxes[i], again = b, True
-                    break
-                continue
-            if n / (sa + sb - n) >= dup:
-                boxes[i] = b if sb > sa else a
-                boxes.pop(j)
-                again = True
-                break
-            gap = min(abs(a[1] - b[3]), abs(a[3] - b[1]))
-            x = max(0, min(a[2], b[2]) - max(a[0], b[0])) / min(a[2] - a[0], b[2] - b[0])
-            hull = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-            if gap < dist and x > over and min(sa, sb) / max(sa, sb) > 0.3 and (hull[2] - hull[0]) * (hull[3] - hull[1]) <= 3 * max(sa, sb):
-                boxes[i] = hull
-                boxes.pop(j)
-                again = True
-                break
-            j += 1
-        i += 0 if again else 1
-    return boxes
-
-
-def test_stitch_slices(df, pages):
+def test_stitch_slices_islands_equal_whole_pages(df, pages):
+    """Folding islands one by one gives what folding each page at once gives."""
+    Row = namedtuple("Row", "page island x1 y1 x2 y2")
     got = {}
     for r in M.stitch_slices(df.withColumn("start_y", F.col("block_id") % 3 * 40), 1500, 0.01, 0.85, 0.5, 0.1).collect():
         got.setdefault(r.page, []).append((r.x1, r.y1, r.x2, r.y2))
+    fold = M._stitcher(15, 0.85, 0.5, 0.1)
     for p, rows in pages.items():
-        boxes = [(float(r[2]), float(r[3] + r[1] % 3 * 40), float(r[4]), float(r[5] + r[1] % 3 * 40)) for r in rows]
-        assert sorted(got[p]) == sorted(stitch_twin(boxes, 15, 0.85, 0.5, 0.1))
+        moved = sorted(rows, key=lambda r: (r[3] + r[1] % 3 * 40, r[1]))
+        whole = fold([Row(p, 0, r[2], r[3] + r[1] % 3 * 40, r[4], r[5] + r[1] % 3 * 40) for r in moved])
+        assert sorted(got[p]) == sorted(t[3:] for t in whole)
+
+
+@pytest.mark.parametrize("second,want", [
+    ((10, 10, 90, 90), [(0, 0, 100, 100)]),  # inside the first
+    ((0, 0, 300, 300), [(0, 0, 300, 300)]),  # around the first
+    ((10, 20, 110, 120), [(0, 0, 100, 100)]),  # the same box twice, equal size
+    ((0, 105, 100, 180), [(0, 0, 100, 180)]),  # next below
+    ((0, 105, 20, 110), [(0, 0, 100, 100), (0, 105, 20, 110)]),  # too small to join
+    ((0, 140, 100, 240), [(0, 0, 100, 100), (0, 140, 100, 240)]),  # too far
+])
+def test_stitch_outcomes(spark, second, want):
+    d = spark.createDataFrame([(1, 1, 0, 0, 100, 100, True, "A", 9), (1, 2, *second, True, "A", 9)], SCHEMA).withColumn("start_y", F.lit(0))
+    assert sorted((r.x1, r.y1, r.x2, r.y2) for r in M.stitch_slices(d).collect()) == want
 
 
 def test_merge_textlines(spark):
@@ -205,10 +188,10 @@ def test_components_long_chain(spark):
     assert got == {n: find(n)[1] for n in parent}
 
 
-def test_merge_doctest_boxes(spark):
-    d = spark.createDataFrame([(1, 1, 10, 10, 50, 50, True, "A", 9), (1, 2, 12, 12, 48, 48, True, "A", 9), (1, 3, 100, 100, 150, 150, True, "A", 9)], SCHEMA)
+def test_duplicate_boxes(spark):
+    d = spark.createDataFrame([(1, 1, 20, 20, 80, 80, True, "A", 9), (1, 2, 22, 18, 81, 79, True, "A", 9), (1, 3, 200, 0, 260, 90, True, "A", 9)], SCHEMA)
     got = sorted((r.x1, r.y1, r.x2, r.y2) for r in M.merge_duplicate_boxes(d, 0.7).collect())
-    assert got == [(10, 10, 50, 50), (100, 100, 150, 150)]
+    assert got == [(20, 18, 81, 80), (200, 0, 260, 90)]
 
 
 @pytest.mark.parametrize("strategy,want", [("FIRST", "label"), ("COMBINE", "label+xx+b"), ("PREFER_NON_DEFAULT", "xx"), ("PREFER_SHORTER", "b")])

@@ -1,6 +1,7 @@
 """Token-budget windows, rolling history and streams against plain Python."""
 
 import random
+from itertools import accumulate, dropwhile
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,21 +26,14 @@ SCHEMA = "project int, page long, tokens long, complete int, requested boolean"
 
 
 def suffix(rows, page, budget, reserved):
-    low, high, out, left = max(0, budget // 2 - reserved), max(0, budget - reserved), [], max(0, budget // 2 - reserved)
-    for _, p, t, ok, _ in reversed([r for r in rows if r[1] < page]):
-        if not ok:
-            continue
-        if t > high:
-            if out:
-                break
-            continue
-        if not out and t > low:
-            return [(p, t)]
-        if t > left:
-            break
-        out.append((p, t))
-        left -= t
-    return out[::-1]
+    """Newest complete pages first: drop oversize ones, then one big page alone or all within the running sum."""
+    low, high = max(0, budget // 2 - reserved), max(0, budget - reserved)
+    newest = [(p, t) for _, p, t, ok, _ in sorted(rows, key=lambda r: -r[1]) if p < page and ok]
+    newest = list(dropwhile(lambda x: x[1] > high, newest))
+    if newest and newest[0][1] > low:
+        return newest[:1]
+    sums = accumulate(t for _, t in newest)
+    return [x for x, total in zip(newest, sums) if total <= low][::-1]
 
 
 @pytest.mark.parametrize("budget,reserved", [(200, 0), (120, 30), (60, 40), (10, 10)])

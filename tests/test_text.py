@@ -56,13 +56,16 @@ def test_segmentation(spark):
 
 
 def slow_repeats(s, threshold):
-    top = []
+    """Walk over the text once per unit length and count copies of the unit at each place."""
     for k in range(1, len(s) // 2 + 1):
-        for m in re.finditer(r"(.{%d})\1+" % k, s):
-            n = len(m.group(0)) // k
-            top.append(n)
+        at = 0
+        while at + 2 * k <= len(s):
+            unit, n = s[at:at + k], 1
+            while "\n" not in unit and s[at + n * k:at + n * k + k] == unit:
+                n += 1
             if n >= threshold:
-                return True, m.group(1), n, s[:m.start()] + s[m.end():], max(top)
+                return True, unit, n, s[:at] + s[at + n * k:], n
+            at += n * k if n > 1 else 1
     return False, None, 0, s, threshold
 
 
