@@ -340,10 +340,10 @@ def set_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def extend_coverage(covered: DataFrame, new: DataFrame) -> DataFrame:
     """Covered pages (page, pos) plus the new ones (page, pos) not yet covered, appended in their order."""
     fresh = new.join(covered.select("page").distinct(), "page", "left_anti").groupBy("page").agg(F.min("pos").alias("pos"))
-    end = covered.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("end"))
+    end = covered.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("end")).withColumn("all", F.lit(1))
     fresh = prefix_scan(fresh.withColumn("all", F.lit(1)), ["all"], [F.col("pos")], F.floor(F.col("pos") / 65536), number="k")
     # ``end`` is a single row.
-    shifted = fresh.join(F.broadcast(end)).select("page", (F.col("end") + F.col("k")).cast("int").alias("pos"))
+    shifted = fresh.join(F.broadcast(end), "all").select("page", (F.col("end") + F.col("k")).cast("int").alias("pos"))
     return covered.select("page", F.col("pos").cast("int").alias("pos")).unionByName(shifted)
 
 

@@ -18,6 +18,23 @@ from pyspark.sql import functions as F
 from pagetext.session import cut_lineage
 
 CHUNK = "__chunk"
+CHUNK_ROWS = 4_000_000  # more rows of one key in one chunk are re-cut by range
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows, totals per chunk), both cut. Chunks that came out too large are replaced by ranges of the real order.
+
+    The given chunk expression is free but may be uneven, for example when a third of all events share an hour. Then
+    the rows are range-partitioned by key and order, and the partition number serves as the chunk.
+    """
+    d = cut_lineage(df)
+    totals = cut_lineage(d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"), *aggs))
+    if totals.filter(F.col("__n") > CHUNK_ROWS).isEmpty():
+        return d, totals
+    d = cut_lineage(d.drop(CHUNK).repartitionByRange(*keys, *order)).withColumn(CHUNK, F.spark_partition_id().cast("long"))
+    # The partition number must not be evaluated again after a shuffle, so it is cut into the rows as well.
+    d = cut_lineage(d)
+    return d, cut_lineage(d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"), *aggs))
 
 
 def _offsets(totals: DataFrame, keys: Sequence[str], exprs: dict[str, tuple[str, object]]) -> DataFrame:
@@ -48,7 +65,6 @@ def prefix_scan(
     d = df.withColumn(CHUNK, chunk.cast("long"))
     aggs, exprs = [], {}
     if number:
-        aggs.append(F.count(F.lit(1)).alias("__n"))
         exprs["__n"] = ("sum", 0)
     for k, c in sums.items():
         d = d.withColumn(f"__s_{k}", c)
@@ -58,8 +74,8 @@ def prefix_scan(
         d = d.withColumn(f"__m_{k}", c)
         aggs.append(F.max(f"__m_{k}").alias(f"__x_{k}"))
         exprs[f"__x_{k}"] = ("max", None)
-    d = cut_lineage(d)
-    offsets = _offsets(d.groupBy(*keys, CHUNK).agg(*aggs), keys, exprs)
+    d, totals = _chunked(d, keys, order, aggs)
+    offsets = _offsets(totals, keys, exprs)
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
@@ -77,9 +93,8 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ch
                  value: Column, out: str) -> DataFrame:
     """``lag(value)`` per key in the same two-level way; the last row of each chunk is handed to the next one."""
     keys = list(keys)
-    d = cut_lineage(df.withColumn(CHUNK, chunk.cast("long")).withColumn("__v", value))
-    order_key = F.struct(*[c if isinstance(c, Column) else F.col(c) for c in order])
-    last = d.groupBy(*keys, CHUNK).agg(F.max_by(F.struct("__v"), order_key).alias("__last"))
+    d = df.withColumn(CHUNK, chunk.cast("long")).withColumn("__v", value)
+    d, last = _chunked(d, keys, order, [F.max_by(F.struct("__v"), F.struct(*order)).alias("__last")])
     w = Window.partitionBy(*keys).orderBy(CHUNK)
     carried = last.select(*keys, CHUNK, F.lag("__last").over(w).alias("__carry"))
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
