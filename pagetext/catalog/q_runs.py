@@ -103,8 +103,6 @@ def _(v):
 select page, content, 'cache' as origin from rr where reason is null union all select page, 'made '||payload_hash, 'processed' from rr where reason is not null
 union all select page, 'old '||source_id, 'kept' from dialogue where page%4=0""")
 def _(v):
-    from pagetext.catalog.q_ledger import _reuse  # noqa: F401  (same inputs as the cache query)
-
     rq = v.dialogue.select("page", "source_id", L.canonical_hash("page", "source_id").alias("payload_hash"), F.concat(F.lit("d"), c("page") % 3).alias("model_digest"), F.lit(1).alias("expected"))
     ca = (rq.drop("model_digest", "expected").join(v.replies.filter("page % 7 <> 0"), ["page", "source_id"])
           .select("payload_hash", F.concat(F.lit("d"), c("page") % 4).alias("model_digest"), "content", (c("page") % 5 != 0).alias("done"), F.when(c("page") % 6 == 0, "length").otherwise("stop").alias("done_reason"), F.lit(1).alias("attempt")))
