@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm import mixing, secrets
+from pagetext.llm import language, mixing, near_dups, secrets
+from pagetext.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,16 @@ def _(spark, sf_dir):
 @query("op10_scan_secrets")
 def _(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op1_simhash_near_dups")
+def _(spark, sf_dir):
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit_language(language.training_rows(docs))
+    found = language.identify_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
