@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm import language, mixing, near_dups, secrets
+from pagetext.llm import language, mixing, near_dups, quality, secrets
 from pagetext.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def _(spark, sf_dir):
     model = language.fit_language(language.training_rows(docs))
     found = language.identify_language(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op3_quality_trees")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.rate_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
