@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm import language, mixing, near_dups, quality, secrets
+from pagetext.llm import language, mixing, near_dups, quality, secrets, tokens
 from pagetext.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,15 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.rate_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def multi_ranks() -> tuple[dict[bytes, int], str]:
+    """Ranks and word pattern of the public multi-language vocabulary, read where it is installed."""
+    import public_tokenizers
+
+    return tokens.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@query("op8_byte_bpe")
+def _(spark, sf_dir):
+    return tokens.digest_documents(table(spark, sf_dir, "documents"), *multi_ranks())
