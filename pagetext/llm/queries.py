@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm import language, mixing, near_dups, quality, secrets, tokens
+from pagetext.llm import language, mixing, near_dups, neighbours, quality, secrets, tokens
 from pagetext.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def multi_ranks() -> tuple[dict[bytes, int], str]:
 @query("op8_byte_bpe")
 def _(spark, sf_dir):
     return tokens.digest_documents(table(spark, sf_dir, "documents"), *multi_ranks())
+
+
+@query("op7_nearest_neighbours")
+def _(spark, sf_dir):
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
