@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm import language, mixing, near_dups, neighbours, quality, secrets, tokens
+from pagetext.llm import language, lm, mixing, near_dups, neighbours, quality, secrets, tokens
 from pagetext.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def _(spark, sf_dir):
 @query("op7_nearest_neighbours")
 def _(spark, sf_dir):
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op5_deleted_interpolation")
+def _(spark, sf_dir):
+    return lm.score_texts(table(spark, sf_dir, "documents"))
