@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm import language, lm, mixing, near_dups, neighbours, quality, secrets, tokens
+from pagetext.llm import chat, language, licences, lm, mixing, near_dups, neighbours, quality, secrets, tokens
 from pagetext.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,13 @@ def _(spark, sf_dir):
 @query("op5_deleted_interpolation")
 def _(spark, sf_dir):
     return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op9_license_scan", licences.licence_sql())
+def _(spark, sf_dir):
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op6_chat_perspectives", chat.CHAT_SQL)
+def _(spark, sf_dir):
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
