@@ -225,13 +225,14 @@ def predict(texts: list[str | None], m: Model | None) -> tuple[list[str], list[f
     return langs, scores
 
 
-def identify_language(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with two more columns, ``lang_pred`` and ``lang_score`` (0 to 1), of every whole text; only the text is looked at.
+def identify_language(docs: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with two more columns, ``pred`` and ``score`` (0 to 1), of every whole text; only the text is looked at.
 
     A null text, or one without a letter, is ``und`` with score 0, as is everything if nothing could be learned.
-    Rows pass one by one, so repeated rows and further columns stay as they are.
+    Rows pass one by one, so repeated rows and further columns stay as they are; columns already named like the two are replaced.
     """
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    docs = docs.drop(pred, score)
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
     place = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most HASHED rows and the sampled words
 
@@ -240,8 +241,8 @@ def identify_language(docs: DataFrame, model: Model | None, text: str = "text")
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                found, score = predict(part.column(place).to_pylist(), m)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+                found, shares = predict(part.column(place).to_pylist(), m)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(shares, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -277,4 +278,5 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4, text: str = "text") -> DataFrame:
     """Rows of ``docs`` whose language is known with a share of ``least`` or more; ``und`` goes."""
-    return identify_language(docs, model, text).filter(F.col("lang_pred").isNotNull() & (F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*docs.columns)
+    found = identify_language(docs, model, text, "__pred", "__score")
+    return found.filter((F.col("__pred") != "und") & (F.col("__score") >= least)).select(*docs.columns)
