@@ -97,7 +97,7 @@ def _is_random(run: Column, ratio: np.ndarray, least: float) -> Column:
     return run.rlike("[A-Za-z]") & (run_score(run, ratio) >= least)
 
 
-def all_spans(text: Column, base: Column, ratio: np.ndarray, least: float = 10.0) -> Column:
+def all_spans(text: Column, base: Column, ratio: np.ndarray, least: float = 5.0) -> Column:
     """``base`` and the runs of 16 or more characters with a letter whose log ratio is ``least`` or more, outside base spans."""
     none = F.array().cast(_SPANS)
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
@@ -108,7 +108,7 @@ def all_spans(text: Column, base: Column, ratio: np.ndarray, least: float = 10.0
     return F.array_sort(F.concat(base, F.when(some, spans).otherwise(none).cast(_SPANS)))
 
 
-def scan_secrets(docs: DataFrame, ratio: np.ndarray | None = None, least: float = 10.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, ratio: np.ndarray | None = None, least: float = 5.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Secrets of every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Base spans follow fixed patterns and always stay; the method adds runs that the model of random strings explains better
@@ -118,7 +118,8 @@ def scan_secrets(docs: DataFrame, ratio: np.ndarray | None = None, least: float
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     d = d.withColumn("__base", base_spans(F.col("__text")))
     d = d.withColumn("__all", all_spans(F.col("__text"), F.col("__base"), ratio, least))
-    counts = [F.size(F.filter("__base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k[0]}") for i, k in enumerate(KINDS)]
+    of_kind = lambda i: F.size(F.filter("__base", lambda s: s["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{k[0]}") for i, k in enumerate(KINDS)]
     return d.select("doc_id", *counts, F.sha2(span_text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("__all")).alias("spans"))
 
 
@@ -131,7 +132,7 @@ def _replaced(text: Column, pattern: str, group: int, least: int, keep=None) ->
     return F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
 
 
-def redact_secrets(docs: DataFrame, ratio: np.ndarray | None = None, least: float = 10.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def redact_secrets(docs: DataFrame, ratio: np.ndarray | None = None, least: float = 5.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]``; texts without one stay as they are, null stays null.
 
     The kinds are replaced one after the other, so a run that an earlier kind has taken is not looked at again.
