@@ -9,12 +9,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -251,3 +253,53 @@ def digest_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=schema.names)
 
     return d.mapInArrow(run, schema)
+
+
+def _bucket(hexed: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(hexed.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def _rank_map(ranks: dict[bytes, int], buckets: int) -> Column:
+    """The ranks as one literal: an array of small maps from hexadecimal bytes to the rank, chosen by the crc32 of the key.
+
+    A map literal is searched entry by entry, so a single map of the vocabulary would cost its size on every look-up.
+    """
+    table: list[dict[str, int]] = [{} for _ in range(buckets)]
+    for b, r in ranks.items():
+        h = b.hex().upper()
+        table[zlib.crc32(h.encode()) % buckets][h] = r
+    return F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
+
+
+def encode_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word", buckets: int = 1 << 14) -> DataFrame:
+    """``words`` (distinct words, one a row) with ``ids``: ranked merges folded over the bytes with higher-order functions only.
+
+    Each step of the fold merges the neighbouring pieces whose joined bytes have the lowest rank, of equal ones the leftmost; a word of n bytes
+    takes at most n - 1 steps. Null gives null.
+    """
+    table = _rank_map(ranks, buckets)
+    rank = lambda h: F.element_at(F.element_at(table, _bucket(h, buckets) + 1), h)
+    hexed = F.hex(F.col(word).cast("binary"))
+    n = (F.length(hexed) / 2).cast("int")
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(hexed, i * 2 - 1, F.lit(2)))
+    start = F.struct(pieces.alias("p"), F.lit(0).alias("at"))
+
+    def step(s: Column, _: Column) -> Column:
+        p = s["p"]
+        joined = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.concat(a, b))
+        best = F.array_min(F.filter(F.transform(joined, lambda h, i: F.struct(rank(h).alias("r"), i.alias("i"))), lambda x: x["r"].isNotNull()))["i"]
+        merged = F.concat(F.slice(p, 1, best), F.array(F.concat(F.element_at(p, best + 1), F.element_at(p, best + 2))), F.slice(p, best + 3, F.size(p)))
+        # Once nothing merges, the state passes through unchanged.
+        return F.when((s["at"] < 0) | (F.size(p) < 2), s).otherwise(F.when(best.isNull(), F.struct(p.alias("p"), F.lit(-1).alias("at"))).otherwise(F.struct(merged.alias("p"), F.lit(0).alias("at"))))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["p"])
+    return words.withColumn("ids", F.when(n == 0, F.array().cast("array<int>")).when(n > 0, F.transform(done, rank)))
+
+
+def decode_words(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded`` (binary): the hexadecimal pieces of the ids, looked up in a literal array and concatenated."""
+    flat = [""] * (max(ranks.values(), default=-1) + 1)
+    for b, r in ranks.items():
+        flat[r] = b.hex()
+    table = F.from_json(F.lit(json.dumps(flat)), "array<string>")
+    return encoded.withColumn("decoded", F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")))
