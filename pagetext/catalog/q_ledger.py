@@ -83,35 +83,61 @@ def _(v):
 
 
 CACHE = """rq as (select page, source_id, sha256('{"page":'||page||',"source_id":'||source_id||'}') as payload_hash, 'd'||page%3 as model_digest from dialogue),
-ca as (select payload_hash, 'd'||r.page%4 as cached_digest, content, r.page%5<>0 as done, case when r.page%6=0 then 'length' else 'stop' end as done_reason
-  from rq join replies r using (page, source_id) where r.page%7<>0),
-rs as (select page, rq.payload_hash, content, case when cached_digest is null then 'not_cached' when cached_digest<>model_digest then 'model_changed'
+ca as (select payload_hash, 'd'||(r.page+a)%4 as cached_digest, content||a as content, r.page%5<>0 as done, case when r.page%6=0 then 'length' else 'stop' end as done_reason, a
+  from rq join replies r using (page, source_id), (values (0),(1),(4)) t(a) where r.page%7<>0),
+la as (select payload_hash, cached_digest, arg_max(content, a) as content, bool_or(done) as done, max(done_reason) as done_reason from ca group by 1,2),
+rs as (select page, rq.payload_hash, content, case when not exists (select 1 from ca where ca.payload_hash=rq.payload_hash) then 'not_cached' when cached_digest is null then 'model_changed'
   when not (done and done_reason='stop') then 'unfinished' when len(list_filter(string_split(content, chr(10)), lambda x: trim(x)<>''))<>1 then 'line_count' end as reason
-  from rq left join ca using (payload_hash))"""
+  from rq left join la on la.payload_hash=rq.payload_hash and la.cached_digest=rq.model_digest)"""
 
 
-def _reuse(v):
+def _requests(v):
     rq = v.dialogue.select("page", "source_id", L.canonical_hash("page", "source_id").alias("payload_hash"),
                            F.concat(F.lit("d"), c("page") % 3).alias("model_digest"), F.lit(1).alias("expected"))
     ca = (rq.drop("model_digest", "expected").join(v.replies.filter("page % 7 <> 0"), ["page", "source_id"])
-          .select("payload_hash", F.concat(F.lit("d"), c("page") % 4).alias("model_digest"), "content", (c("page") % 5 != 0).alias("done"),
-                  F.when(c("page") % 6 == 0, "length").otherwise("stop").alias("done_reason"), F.lit(1).alias("attempt")))
-    return L.reuse_responses(rq, ca)
+          .withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1), F.lit(4))))
+          .select("payload_hash", F.concat(F.lit("d"), (c("page") + c("attempt")) % 4).alias("model_digest"), F.concat("content", "attempt").alias("content"), (c("page") % 5 != 0).alias("done"),
+                  F.when(c("page") % 6 == 0, "length").otherwise("stop").alias("done_reason"), "attempt"))
+    return rq, ca
+
+
+def _reuse(v):
+    return L.reuse_responses(*_requests(v))
 
 
 query("j11_reuse_responses", f"with {CACHE} select page, payload_hash, case when reason is null then content end as content, reason from rs")(_reuse)
 
 
-@query("j12_config_contains", """with e as (select event_id, 'k' as path, json_extract_string(props,'$.k') as value from events union all select event_id, 'a.type', event_type from events),
-a as (select event_id, 'k' as path, case when event_id%7=0 then 'x' else json_extract_string(props,'$.k') end as value from events
-  union all select event_id, 'a.type', event_type from events where event_id%11<>0)
-select e.event_id, e.path, e.value, a.value as actual from e left join a using (event_id, path) where a.value is null or a.value<>e.value""")
+DEEP = 12  # levels of the nested settings of the query
+
+
+@query("j12_config_contains", f"""with x as (select event_id, json_extract_string(props,'$.k') as k, event_type from events), p as (select list_transform(range({DEEP}), lambda i: 'l'||i) as deep),
+e as (select event_id, ['k'] as path, to_json(k)::varchar as value from x union all select event_id, ['a','type'], to_json(event_type)::varchar from x union all select event_id, ['a','n'], '2' from x
+ union all select event_id, list_append(deep,'v.w'), to_json('{{'||k)::varchar from x, p union all select event_id, ['empty'], null from x),
+a as (select event_id, ['k'] as path, case when event_id%7=0 then '"x"' else to_json(k)::varchar end as value, true as there from x union all select event_id, ['a','type'], to_json(event_type)::varchar, true from x where event_id%11<>0
+ union all select event_id, ['a','n'], case when event_id%5=0 then '3' else '2' end, true from x union all select event_id, list_append(deep,'v.w'), case when event_id%13=0 then '"-"' else to_json('{{'||k)::varchar end, true from x, p
+ union all select event_id, ['empty'], null, event_id%3=0 from x where event_id%4<>0)
+select e.event_id, array_to_string(e.path,'/') as path, e.value, a.value as actual from e left join a using (event_id, path) where a.there is null or not a.there or a.value is distinct from e.value""")
 def _(v):
     k = F.get_json_object("props", "$.k")
-    exp = v.events.select("event_id", F.to_json(F.struct(k.alias("k"), F.struct(c("event_type").alias("type"), c("ts").alias("time")).alias("a"))).alias("j"))
-    act = v.events.select("event_id", F.to_json(F.struct(F.when(c("event_id") % 7 == 0, "x").otherwise(k).alias("k"),
-                          F.struct(F.when(c("event_id") % 11 != 0, c("event_type")).alias("type")).alias("a"))).alias("j"))
-    return L.config_contains(L.flatten_settings(exp, ["event_id"], "j", 2), L.flatten_settings(act, ["event_id"], "j", 2), ["event_id"], ignore=["time"])
+
+    def deep(value):
+        x = F.struct(value.alias("v.w"))
+        for i in range(DEEP - 1, 0, -1):
+            x = F.struct(x.alias(f"l{i}"))
+        return x
+
+    odd = F.concat(F.lit("{"), k)
+    exp = v.events.select("event_id", F.to_json(F.struct(
+        k.alias("k"), F.struct(c("event_type").alias("type"), F.lit(2).alias("n"), F.struct(c("ts").alias("x")).alias("time")).alias("a"), deep(odd).alias("l0"),
+        F.from_json(F.lit("{}"), "struct<x:int>").alias("empty"))).alias("j"))
+    a = F.struct(F.when(c("event_id") % 11 != 0, c("event_type")).alias("type"), F.when(c("event_id") % 5 == 0, 3.0).otherwise(2.0).alias("n"))
+    some = F.when(c("event_id") % 3 == 0, F.struct(F.lit(1).alias("x")))
+    act = v.events.select("event_id", F.to_json(F.struct(
+        F.when(c("event_id") % 7 == 0, "x").otherwise(k).alias("k"), a.alias("a"), deep(F.when(c("event_id") % 13 == 0, "-").otherwise(odd)).alias("l0"),
+        F.when(c("event_id") % 4 != 0, some).alias("empty"))).alias("j"))
+    return (L.config_contains(L.flatten_settings(exp, ["event_id"], "j"), L.flatten_settings(act, ["event_id"], "j"), ["event_id"], ignore=["time"])
+            .withColumn("path", F.array_join("path", "/")))
 
 
 @query("j13_verify_rendered", """with r as (select page, source_id, case when page%9=0 then translation||'!' else replace(translation,' ',' '||chr(10)) end as text from dialogue where page%14<>3)
@@ -148,15 +174,15 @@ def _(v):
 
 @query("j20_resolve_page", """with m as (select ordinal as page, source_name, lpad(ordinal::varchar,6,'0')||'.png' as normalized_name, source_name||'.png' as output_name from manifest),
 u as (select source_name as name, page from m union all select normalized_name, page from m union all select output_name, page from m),
-k as (select name, min(page) as page from u group by name), q as (select distinct source||'_'||doc_id||'.PNG' as name from documents union select lpad(doc_id::varchar,6,'0')||'.png' from documents),
+k as (select name, case when min(page)=max(page) then min(page) end as page, min(page)<>max(page) as several from u group by name), q as (select distinct source||'_'||doc_id||'.PNG' as name from documents union select lpad(doc_id::varchar,6,'0')||'.png' from documents),
 t as (select user_id::int as page, max(event_id) as attempt from events group by user_id)
-select q.name, k.page, t.attempt from q left join k using (name) left join t on t.page=k.page""")
+select q.name, k.page, case when several then 'ambiguous' when k.page is null then 'unknown' end as reason, t.attempt from q left join k using (name) left join t on t.page=k.page""")
 def _(v):
     pad = F.concat(F.lpad(c("ordinal").cast("string"), 6, "0"), F.lit(".png"))
     m = v.manifest.select(c("ordinal").alias("page"), "source_name", pad.alias("normalized_name"), F.concat("source_name", F.lit(".png")).alias("output_name"))
     q = v.documents.select(F.concat("source", F.lit("_"), "doc_id", F.lit(".PNG")).alias("name")).union(
         v.documents.select(F.concat(F.lpad(c("doc_id").cast("string"), 6, "0"), F.lit(".png")))).distinct()
-    return L.resolve_page(q, m, v.events.select(c("user_id").cast("int").alias("page"), c("event_id").alias("attempt"))).select("name", "page", "attempt")
+    return L.resolve_page(q, m, v.events.select(c("user_id").cast("int").alias("page"), c("event_id").alias("attempt"))).select("name", "page", "reason", "attempt")
 
 
 @query("j22_import_previous", """with p as (select page, 's'||page as sha from pages_v where page%19<>0), o as (select page, case when page%17=0 then 'z' else 's'||page end as old_sha from pages_v where page%2=0),
@@ -237,12 +263,31 @@ def _(v):
     return L.resource_extremes(v.job_events.select("batch", "worker", c("value").alias("available"), c("value").alias("rss")), ["batch", "worker"])
 
 
-@query("a14_token_totals", """select cast(conv_id%7 as int) as project, sum(length(text))::bigint as prompt, sum(turn)::bigint as completion from conversations group by 1""")
+@query("a14_token_totals", """with u as (select cast(conv_id%7 as int) as project, conv_id%4 as f, length(text) as n, turn as t from conversations)
+select project, sum(case when f<3 then n end)::bigint as prompt, sum(case when f<3 then t end)::bigint as completion, sum(case when f<2 then t+7 end)::bigint as reasoning,
+ sum(case when f=0 then n+t+1 when f<3 then n+t end)::bigint as total, sum(t*2)::bigint as cache_hit, sum(case when f in (1,2) then t+3 end)::bigint as cache_miss, sum(case when f>0 then t+1 end)::bigint as cache_write
+from u group by 1""")
 def _(v):
+    """Four spellings: nested details of two kinds, flat cache fields, and one with unusable counts."""
     n, t = F.length("text").cast("long"), c("turn").cast("long")
-    usage = F.when(c("conv_id") % 2 == 0, F.create_map(F.lit("prompt_tokens"), n, F.lit("completion_tokens"), t)).otherwise(
-        F.create_map(F.lit("input_tokens"), n, F.lit("output_tokens"), t))
-    return L.token_totals(v.conversations.select((c("conv_id") % 7).cast("int").alias("project"), usage.alias("usage")), ["project"]).select("project", "prompt", "completion")
+    hit, miss, write, think = t * 2, t + 3, t + 1, t + 7
+
+    def usage(**fields):
+        return F.to_json(F.struct(*[x.alias(k) for k, x in fields.items()]))
+
+    def details(**fields):
+        return F.struct(*[x.alias(k) for k, x in fields.items()])
+
+    forms = [
+        usage(prompt_tokens=n, completion_tokens=t, total_tokens=n + t + 1, prompt_tokens_details=details(cached_tokens=hit), completion_tokens_details=details(reasoning_tokens=think)),
+        usage(input_tokens=n, output_tokens=t, input_tokens_details=details(cache_read_tokens=hit, cache_miss_tokens=miss, cache_write_tokens=write), output_tokens_details=details(reasoning_tokens=think)),
+        usage(prompt_tokens=n, completion_tokens=t, prompt_cache_hit_tokens=hit, cached_tokens=hit + 9, prompt_cache_miss_tokens=miss, prompt_cache_write_tokens=write),
+        usage(prompt_tokens=F.lit(-5), input_tokens=n, completion_tokens=F.lit(True), cache_read_input_tokens=hit, cache_creation_input_tokens=write),
+    ]
+    form = c("conv_id") % 4
+    text = F.when(form == 0, forms[0]).when(form == 1, forms[1]).when(form == 2, forms[2]).otherwise(forms[3])
+    return L.token_totals(v.conversations.select((c("conv_id") % 7).cast("int").alias("project"), text.alias("usage")), ["project"])
+
 
 
 @query("a15_issue_summary", "select event as kind, stage, count(*) as issues from job_events where returncode=1 or event='page_failed' group by cube(event, stage)")
@@ -328,7 +373,7 @@ def _(v):
 
 
 @query("o1_natural_sort", """with k as (select ordinal, source_name, list_transform(regexp_extract_all(source_name,'\\d+|\\D+'),
-  lambda p: case when regexp_matches(p,'^\\d') then '0'||lpad(p,40,'0') else '1'||lower(p) end) as key from manifest)
+  lambda p: case when regexp_matches(p,'^\\d') then (0, length(regexp_replace(p,'^0+(.)','\\1')), regexp_replace(p,'^0+(.)','\\1')) else (1, 0, lower(p)) end) as key from manifest)
 select source_name, cast(row_number() over (order by key, ordinal) as int) as position from k""")
 def _(v):
     from pagetext.sources.pages import natural_positions

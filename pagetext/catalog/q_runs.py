@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagetext.catalog.q_ledger import CACHE, STATUS, _status
+from pagetext.catalog.q_ledger import CACHE, STATUS, _requests, _status
 from pagetext.catalog.q_replies import BUDGET, RESERVED
 from pagetext.catalog.registry import query
 from pagetext.operators import ledger as L
@@ -103,9 +103,7 @@ def _(v):
 select page, content, 'cache' as origin from rr where reason is null union all select page, 'made '||payload_hash, 'processed' from rr where reason is not null
 union all select page, 'old '||source_id, 'kept' from dialogue where page%4=0""")
 def _(v):
-    rq = v.dialogue.select("page", "source_id", L.canonical_hash("page", "source_id").alias("payload_hash"), F.concat(F.lit("d"), c("page") % 3).alias("model_digest"), F.lit(1).alias("expected"))
-    ca = (rq.drop("model_digest", "expected").join(v.replies.filter("page % 7 <> 0"), ["page", "source_id"])
-          .select("payload_hash", F.concat(F.lit("d"), c("page") % 4).alias("model_digest"), "content", (c("page") % 5 != 0).alias("done"), F.when(c("page") % 6 == 0, "length").otherwise("stop").alias("done_reason"), F.lit(1).alias("attempt")))
+    rq, ca = _requests(v)
     pages = v.dialogue.select("page").distinct()
     prev = v.dialogue.select("page", F.concat(F.lit("old "), "source_id").alias("content"))
     return P.incremental_run(pages, pages.filter("page % 4 = 0").withColumn("state", F.lit("completed")), prev, rq, ca,
@@ -216,7 +214,7 @@ def _gloss(v):
     line = F.concat(c("raw"), F.when((c("i") % 3 != 2) & (F.trim("raw") != ""), F.concat(F.lit(" -> T"), c("i") + 1, F.lit(" # n"))).otherwise(""))
     d = v.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw")).select("doc_id", "i", line.alias("t"))
     docs = d.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda s: s["t"]), "\n").alias("content"))
-    return D.parse_glossary(docs.select(c("doc_id").cast("string").alias("path"), "content").filter("not startswith(content, '[')"))
+    return D.parse_glossary(docs.select(c("doc_id").cast("string").alias("path"), "content"))
 
 
 query("s4_read_glossary", f"with {GLOSS} select doc_id::varchar as path, i as entry_idx, s as source, 'T'||i as translation, 'n' as note from g where (i-1)%3<>2")(lambda v: _gloss(v)[0])

@@ -63,11 +63,14 @@ def _(v):
 
 
 TRACK = """e as (select *, case when event in ('stage_started','stage_finished') then (ts, event_id, case when event='stage_started' then stage end) end as o,
- case when event in ('stage_started','stage_finished','chunk_ready') then (ts, event_id, case when event='stage_finished' and returncode<>0 then stage end) end as f from job_events)"""
+ case when event in ('stage_started','stage_finished') then (ts, event_id, case when event='stage_finished' and returncode<>0 then stage end) end as f,
+ case when event='chunk_ready' then (ts, event_id) end as r from job_events),
+m as (select *, max(o) over w as mo, max(f) over w as mf, max(r) over b as mr from e window w as (partition by batch, worker order by ts, event_id rows unbounded preceding),
+ b as (partition by batch order by ts, event_id rows unbounded preceding))"""
 
 
-@query("st2c_track_stages", f"""with {TRACK} select '0' as run_id, batch, worker, event_id, event, struct_extract_at(max(o) over w,3) as open_stage, struct_extract_at(max(f) over w,3) as failed_stage from e
-window w as (partition by batch, worker order by ts, event_id rows unbounded preceding)""")
+@query("st2c_track_stages", f"""with {TRACK} select '0' as run_id, batch, worker, event_id, event, struct_extract_at(mo,3) as open_stage,
+ case when mr is null or (struct_extract_at(mf,1), struct_extract_at(mf,2)) > (struct_extract_at(mr,1), struct_extract_at(mr,2)) then struct_extract_at(mf,3) end as failed_stage from m""")
 def _(v):
     return E.run_available(E.track_stages(_event_stream(v).withColumn("run_id", F.lit("0"))), "stages")
 

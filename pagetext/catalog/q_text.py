@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagetext.catalog.registry import query
 from pagetext.functions import text as T
 from pagetext.operators import quality as Q
+from pagetext.operators import terms as M
 
 c = F.col
 RULES = [{"keyword": "the", "sub": "THE", "use_reg": False, "case_sens": True}, {"keyword": "", "sub": "x", "use_reg": False, "case_sens": True},
@@ -104,8 +105,12 @@ def _(v):
     return Q.scan_secrets(d, "doc_id", path="path", extra={"hex token": r'token = "[0-9a-f]{40}"'})
 
 
-query("f18_word_spans", r"select doc_id, unnest(regexp_extract_all(text,'\p{L}{2,}')) as word from documents")(
-    lambda v: v.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.WORD_SCRIPTS + "{2,}"), F.lit(0))).alias("word")))
+query("f18_word_spans", r"""with t as (select doc_id, chr(131072)||replace(text, '.', chr(131073)||'字') || '漢helo' as x from documents),
+p as (select doc_id, unnest(regexp_extract_all(x,'[\p{Latin}]{2,}|[^\p{Latin}]+|[\p{Latin}]')) as piece, unnest(range(len(regexp_extract_all(x,'[\p{Latin}]{2,}|[^\p{Latin}]+|[\p{Latin}]')))) as i from t),
+l as (select *, length(piece) + length(regexp_replace(piece,'[^\x{10000}-\x{10FFFF}]','','g')) as u from p),
+s as (select *, sum(u) over (partition by doc_id order by i rows unbounded preceding) - u as start from l)
+select doc_id, start::int as start, u::int as length, piece as word from s where regexp_matches(piece, '^[\p{Latin}]{2,}$')""")(
+    lambda v: M.word_spans(v.documents.withColumn("text", F.concat(F.lit("\U00020000"), F.replace("text", F.lit("."), F.lit("\U00020001字")), F.lit("漢helo"))), "text", ["doc_id"]).drop("n"))
 query("f19_safe_name", r"""select page_id, url, n not in ('','.','..') and not regexp_matches(n,'[/\\:]') as leaf, starts_with(url,'http://') and not regexp_matches(url,'(^|/)\.\.(/|$)') as inside
 from (select page_id, url, case when page_id%2=0 then url else list_extract(string_split(url,'/'),-1) end as n from pages) t""")(
     lambda v: v.pages.select("page_id", "url", T.safe_name(F.when(c("page_id") % 2 == 0, c("url")).otherwise(F.element_at(F.split("url", "/"), -1))).alias("leaf"), T.inside_root(c("url"), "http:/").alias("inside")))
@@ -136,7 +141,7 @@ def _(v):
     return Q.misspelled(words(v.documents), words(v.benchmark)).select("word")
 
 
-@query("o4_suggestions", r"""with w as (select distinct lower(unnest(regexp_extract_all(text,'\p{L}{2,}'))) as word from conversations where role='system' or turn=0),
+@query("o4_suggestions", r"""with w as (select distinct lower(unnest(regexp_extract_all(text,'\p{L}{2,}'))) as word from conversations),
 d as (select word as entry, count(*) as rank from (select lower(unnest(regexp_extract_all(text,'\p{L}{2,}'))) as word from benchmark) t group by word),
 x as (select word, translate(word,'ßäçèéêíñóöü','ABCDEFGHIJK') as a from w where length(word)<=15), y as (select entry, rank, translate(entry,'ßäçèéêíñóöü','ABCDEFGHIJK') as b from d),
 q as (select word, entry, rank, levenshtein(a,b) as distance from x join y on abs(length(a)-length(b))<=2 and levenshtein(a,b)<=2 and word<>entry)
@@ -144,4 +149,4 @@ select word, entry, distance::int as distance, rn::int as rn from (select *, row
 def _(v):
     words = lambda d: d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.WORD_SCRIPTS + "{2,}"), F.lit(0))).alias("word"))
     d = words(v.benchmark).groupBy("word").agg(F.count(F.lit(1)).alias("rank"))
-    return Q.suggestions(words(v.conversations.filter("role = 'system' or turn = 0")), d).select("word", "entry", "distance", "rn")
+    return Q.suggestions(words(v.conversations), d).select("word", "entry", "distance", "rn")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import json
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,36 +108,70 @@ def reuse_responses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests with the reusable ``content`` or the ``reason`` of the miss.
 
     requests: page, payload_hash, model_digest, expected; cache: payload_hash, model_digest, content, done,
-    done_reason, attempt. The latest cached attempt counts. Blank lines of a reply do not count.
+    done_reason, attempt. The latest attempt of the same model counts; ``model_changed`` says there are only
+    attempts of others. Blank lines of a reply do not count.
     """
-    c = latest(cache.withColumnRenamed("model_digest", "cached_digest"), ["payload_hash"], [F.col("attempt"), F.col("cached_digest")])
-    d = requests.join(c, "payload_hash", "left")
+    c = latest(cache.withColumn("cached_digest", F.col("model_digest")), ["payload_hash", "model_digest"], [F.col("attempt")])
+    other = cache.select("payload_hash", F.lit(True).alias("cached")).distinct()
+    d = requests.join(c, ["payload_hash", "model_digest"], "left").join(other, "payload_hash", "left")
     lines = F.size(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""))
     finished = F.coalesce(F.col("done") & (F.col("done_reason") == "stop"), F.lit(False))
-    reason = (F.when(F.col("cached_digest").isNull(), "not_cached").when(F.col("cached_digest") != F.col("model_digest"), "model_changed")
+    reason = (F.when(F.col("cached").isNull(), "not_cached").when(F.col("cached_digest").isNull(), "model_changed")
               .when(~finished, "unfinished").when(lines != F.col("expected"), "line_count"))
     return d.select("page", "payload_hash", F.when(reason.isNull(), F.col("content")).alias("content"), reason.alias("reason"))
 
 
-def flatten_settings(df: DataFrame, key: Sequence[str], col: str, depth: int = 8) -> DataFrame:
-    """JSON settings as (path, value) rows; nested objects become dotted paths."""
-    rows = df.select(*key, F.explode(F.from_json(col, "map<string,string>")).alias("path", "value"))
-    done: DataFrame | None = None
-    for _ in range(depth):
-        leaf = rows.filter(~F.col("value").startswith("{") | F.col("value").isNull())
-        done = leaf if done is None else done.unionByName(leaf)
-        rows = (rows.filter(F.col("value").startswith("{"))
-                .select(*key, F.col("path").alias("up"), F.explode(F.from_json("value", "map<string,string>")).alias("p", "value"))
-                .select(*key, F.concat_ws(".", "up", "p").alias("path"), "value"))
-    return done.unionByName(rows)
+_SETTING = "array<struct<path:array<string>,value:string,is_object:boolean,is_empty:boolean>>"
+
+
+def _setting_value(x) -> str:
+    """Canonical text of a JSON value: equal exactly if the values are equal (numbers and truth values by value)."""
+    if isinstance(x, (bool, int, float)):
+        return str(int(x)) if x == x and abs(x) != float("inf") and x == int(x) else repr(float(x))
+    if isinstance(x, list):
+        return "[" + ",".join(map(_setting_value, x)) + "]"
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_setting_value(x[k])}" for k in sorted(x)) + "}"
+    return json.dumps(x, ensure_ascii=False)
+
+
+def _settings(text: str | None) -> list[dict]:
+    try:
+        todo = [((), json.loads(text))] if text is not None else []
+    except ValueError:
+        return []
+    out = []
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, dict):
+            todo += [((*path, k), v) for k, v in x.items()]
+        if path:
+            inner = isinstance(x, dict)
+            out.append({"path": list(path), "value": None if inner else _setting_value(x), "is_object": inner, "is_empty": inner and not x})
+    return out
+
+
+def flatten_settings(df: DataFrame, key: Sequence[str], col: str) -> DataFrame:
+    """JSON settings as rows: path (array of names), value (canonical text), is_object, is_empty; at any depth.
+
+    Objects have rows of their own, without a value. Text that is no JSON has no settings.
+    """
+    unfold = F.pandas_udf(lambda s: s.map(_settings), _SETTING)
+    return df.select(*key, F.inline(unfold(F.col(col))))
 
 
 def config_contains(expected: DataFrame, actual: DataFrame, key: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:
-    """Expected settings that the actual ones lack or contradict; compatible where empty."""
-    e = expected.filter(~F.element_at(F.split("path", r"\."), -1).isin(list(ignore))) if ignore else expected
-    a = actual.withColumnRenamed("value", "actual").withColumn("has", F.lit(True))
-    return (e.join(a, [*key, "path"], "left").filter(F.col("has").isNull() | ~F.col("value").eqNullSafe(F.col("actual")))
-            .select(*key, "path", "value", "actual"))
+    """Expected settings that the actual ones lack or contradict; compatible where empty.
+
+    Every expected value must be there and equal, every empty object must be an object. ``ignore`` names settings left out, with
+    all that is below them.
+    """
+    e = expected.filter(~F.col("is_object") | F.col("is_empty"))
+    if ignore:
+        e = e.filter(~F.arrays_overlap("path", F.array(*map(F.lit, ignore))))
+    a = actual.select(*key, "path", F.col("value").alias("actual"), F.col("is_object").alias("actual_object"))
+    same = F.when(F.col("is_object"), F.col("actual_object")).otherwise(~F.col("actual_object") & F.col("value").eqNullSafe(F.col("actual")))
+    return e.join(a, [*key, "path"], "left").filter(~F.coalesce(same, F.lit(False))).select(*key, "path", "value", "actual")
 
 
 def verify_rendered(ledger: DataFrame, rendered: DataFrame) -> DataFrame:
@@ -161,11 +198,12 @@ def apply_overrides(blocks: DataFrame, overrides: DataFrame, fields: Sequence[st
 
 
 def resolve_page(names: DataFrame, manifest: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Any of the three names of a page to the page and the latest attempt holding it."""
+    """Any of the three names of a page to the page and the latest attempt holding it, or the ``reason`` why not: unknown, ambiguous."""
     m = (manifest.select("page", F.explode(F.array("source_name", "normalized_name", "output_name")).alias("name"))
-         .groupBy("name").agg(F.min("page").alias("page")))
+         .groupBy("name").agg(F.min("page").alias("page"), (F.min("page") != F.max("page")).alias("several")))
     last = latest(attempts, ["page"], [F.col("attempt")])
-    return names.join(m, "name", "left").join(last, "page", "left")
+    d = names.join(m, "name", "left").withColumn("reason", F.when(F.col("several"), "ambiguous").when(F.col("page").isNull(), "unknown"))
+    return d.withColumn("page", F.when(~F.col("several"), F.col("page"))).drop("several").join(last, "page", "left")
 
 
 def import_previous(pages: DataFrame, old_pages: DataFrame, order: DataFrame, old_order: DataFrame) -> DataFrame:
@@ -229,23 +267,44 @@ def progress(jobs: DataFrame, failures: DataFrame) -> DataFrame:
                     F.when(known, F.col("elapsed") * remaining / added).alias("eta_seconds"))
 
 
-def digest_rows(df: DataFrame, key: Sequence[str], order: str, cols: Sequence[str], block: int = 4096) -> DataFrame:
-    """SHA-256 per key over the canonical JSON of its rows in ``order`` (a 1-based dense integer).
+def digest_rows(df: DataFrame, key: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:
+    """SHA-256 per key over the canonical JSON list of its rows in ``order``, whatever their number.
 
-    Keys with more rows than ``block`` are hashed block by block and then over the block digests, so no key has
-    to be held whole.
+    The rows of a key stream through one hash state in order; only this state is held.
     """
     js = F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"})
+    rows = df.select(*key, F.col(order).alias("__o"), js.alias("__t"))
+    n = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for b in batches:
+            done = []
+            keys = list(zip(*(c.to_pylist() for c in b.columns[:n])))
+            for k, t in zip(keys, b.column(n + 1)):
+                if k != current:
+                    if state is not None:
+                        done.append((*current, _closed(state)))
+                    current, state = k, hashlib.sha256(b"[")
+                else:
+                    state.update(b",")
+                state.update(t.as_py().encode())
+            yield _key_rows(done, b.schema, n)
+        if state is not None:
+            yield _key_rows([(*current, _closed(state))], b.schema, n)
 
-    def fold(d: DataFrame, by: Sequence[str]) -> DataFrame:
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda s: s["t"])
-        return d.groupBy(*by).agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("t"), F.count(F.lit(1)).alias("n"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
+    return rows.repartition(*key).sortWithinPartitions(*key, "__o").mapInArrow(run, f"{kinds}, digest string")
 
-    rows = df.select(*key, ((F.col(order) - 1) / block).cast("long").alias("b"), F.col(order).alias("o"), js.alias("t"))
-    blocks = fold(rows, [*key, "b"]).select(*key, F.col("b").alias("o"), F.sha2("t", 256).alias("t"))
-    one = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n_blocks"), F.min("t").alias("only"))
-    many = fold(blocks.join(one.filter("n_blocks > 1"), list(key), "left_semi"), key).select(*key, F.sha2("t", 256).alias("folded"))
-    return one.join(many, list(key), "left").select(*key, F.coalesce("folded", "only").alias("digest"))
+
+def _closed(state) -> str:
+    state.update(b"]")
+    return state.hexdigest()
+
+
+def _key_rows(rows: list[tuple], schema: pa.Schema, n: int) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * (n + 1)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, schema.field(i).type) for i, c in enumerate(cols[:n])), pa.array(cols[n], pa.string())], names=[*schema.names[:n], "digest"])
 
 
 def search_counts(hits: DataFrame) -> DataFrame:
@@ -261,21 +320,49 @@ def resource_extremes(samples: DataFrame, key: Sequence[str]) -> DataFrame:
     return samples.groupBy(*key).agg(F.min("available").alias("min_available"), F.max("rss").alias("peak_rss"))
 
 
-# Spellings of usage fields by provider.
+# Spellings of usage fields in the order they are tried; the second list is looked up inside the details object.
 USAGE_FIELDS = {
-    "prompt": ("prompt_tokens", "input_tokens", "promptTokenCount"),
-    "completion": ("completion_tokens", "output_tokens", "candidatesTokenCount"),
-    "reasoning": ("reasoning_tokens", "thoughtsTokenCount"),
-    "total": ("total_tokens", "totalTokenCount"),
-    "cached": ("cached_tokens", "prompt_cache_hit_tokens", "cache_read_input_tokens", "cachedContentTokenCount"),
-    "cache_miss": ("prompt_cache_miss_tokens",),
-    "cache_write": ("cache_creation_input_tokens",),
+    "prompt": (("prompt_tokens", "input_tokens"), None, ()),
+    "completion": (("completion_tokens", "output_tokens"), None, ()),
+    "reasoning": ((), "completion", ("reasoning_tokens",)),
+    "total": (("total_tokens",), None, ()),
+    "cache_hit": (("prompt_cache_hit_tokens", "cached_tokens", "cache_read_tokens", "cache_read_input_tokens"), "prompt",
+                  ("cached_tokens", "cache_read_tokens", "cache_read_input_tokens")),
+    "cache_miss": (("prompt_cache_miss_tokens", "cache_miss_tokens"), "prompt", ("cache_miss_tokens",)),
+    "cache_write": (("prompt_cache_write_tokens", "cache_write_tokens", "cache_creation_input_tokens"), "prompt",
+                    ("cache_write_tokens", "cache_creation_input_tokens")),
 }
+USAGE_DETAILS = {"completion": ("completion_tokens_details", "output_tokens_details"), "prompt": ("prompt_tokens_details", "input_tokens_details")}
+
+
+def usage_counts(usage: Column) -> dict[str, Column]:
+    """The seven token counts of a provider's usage object (JSON text); a field of any other provider is null.
+
+    The first spelling that is there decides; what is no count (a truth value, a negative number, other text) is null. A missing total is prompt plus
+    completion when both are known.
+    """
+    members = F.from_json(usage, "map<string,string>")
+
+    def member(source: Column, names: Sequence[str]) -> Column:
+        return F.coalesce(*[F.try_element_at(source, F.lit(n)) for n in names])
+
+    def count(source: Column, names: Sequence[str]) -> Column:
+        n = member(source, names).try_cast("double").cast("bigint")
+        return F.when(n >= 0, n)
+
+    out = {}
+    for field, (names, details, inner) in USAGE_FIELDS.items():
+        found = [count(members, names)] if names else []
+        if details:
+            found.append(count(F.from_json(member(members, USAGE_DETAILS[details]), "map<string,string>"), inner))
+        out[field] = F.coalesce(*found)
+    out["total"] = F.coalesce(out["total"], out["prompt"] + out["completion"])
+    return out
 
 
 def token_totals(df: DataFrame, key: Sequence[str], usage: str = "usage") -> DataFrame:
-    """Usage sums per key from a ``map<string,bigint>`` in any provider's spelling."""
-    picked = {k: F.coalesce(*[F.try_element_at(usage, F.lit(n)) for n in names]) for k, names in USAGE_FIELDS.items()}
+    """Usage sums per key from usage objects (JSON text) in any provider's spelling."""
+    picked = usage_counts(F.col(usage))
     return df.select(*key, *[c.alias(k) for k, c in picked.items()]).groupBy(*key).agg(*[F.sum(k).alias(k) for k in picked])
 
 
@@ -393,7 +480,8 @@ def natural_key(c: Column) -> Column:
     parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.transform(parts, lambda p: F.struct(
         F.when(p.rlike(r"^\d"), 0).otherwise(1).alias("kind"),
-        F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 40, "0")).otherwise(folded(p)).alias("value")))
+        F.when(p.rlike(r"^\d"), F.length(F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(0).alias("digits"),
+        F.when(p.rlike(r"^\d"), F.regexp_replace(p, "^0+(?=.)", "")).otherwise(folded(p)).alias("value")))
 
 
 def bounded_tail(df: DataFrame, by: str, n: int = 512) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagetext.functions import text as tx
 from pagetext.operators.folds import fold_groups
 from pagetext.operators.prefix import per_key, prefix_scan
+from pagetext.session import cut_lineage
 
 
 def _pin(df: DataFrame, keep: Sequence[str], **made: Column) -> DataFrame:
@@ -152,16 +153,19 @@ def register_batch_fn(name: str, fn: Callable[[list[str]], list[str]]) -> None:
     BATCH_FNS[name] = fn
 
 
-def apply_batch_fn(df: DataFrame, fn: str | Callable[[list[str]], list[str]], order: str = "source_id", batch_rows: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``result``, rejects with ``reason``) of a registered function over batches of a page.
+def apply_batch_fn(df: DataFrame, fn: str | Callable[[list[str]], list[str]], order: str = "source_id", batch_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``result``, rejects with ``reason``) of a registered function over the texts of a page.
 
-    df: page, <order> (integer), text. Pages with more than ``batch_rows`` rows are handed over in several calls, so
-    no page has to fit one call. Wrong lengths and errors reject the batch, not the job.
+    df: page, <order> (integer), text. The function gets all texts of a page at once, or lists of ``batch_rows`` if the caller
+    asks for them. Wrong lengths and errors reject the list, not the job. The answers are cut into the checkpoint folder, so
+    the function runs once however often rows and rejects are read.
     """
     call = BATCH_FNS[fn] if isinstance(fn, str) else fn
     c = F.col
-    d = prefix_scan(df.select("page", order, "text"), ["page"], [c(order)], F.floor(c(order) / 4096), number="rn")
-    d = d.withColumn("part", F.floor((c("rn") - 1) / batch_rows)).select("page", "part", order, "text")
+    d = df.select("page", F.lit(0).cast("long").alias("part"), order, "text")
+    if batch_rows:
+        d = prefix_scan(df.select("page", order, "text"), ["page"], [c(order)], F.floor(c(order) / 4096), number="rn")
+        d = d.withColumn("part", F.floor((c("rn") - 1) / batch_rows)).select("page", "part", order, "text")
 
     def fold(rows: list) -> list[tuple]:
         texts = [r.text for r in rows]
@@ -175,6 +179,7 @@ def apply_batch_fn(df: DataFrame, fn: str | Callable[[list[str]], list[str]], or
 
     kind = dict(df.dtypes)
     out = fold_groups(d, ["page", "part"], [order], fold, f"page {kind['page']}, {order} {kind[order]}, text string, result string, reason string")
+    out = cut_lineage(out)
     return out.filter("reason is null").drop("reason"), out.filter("reason is not null").drop("result")
 
 
@@ -189,7 +194,7 @@ def route_non_empty(df: DataFrame, fn: str | Callable, rules: Sequence[dict] = (
     return ok.unionByName(skipped), bad
 
 
-def apply_joined_fn(df: DataFrame, fn: Callable[[str], str], separator: str, order: str = "source_id", batch_rows: int = 256) -> tuple[DataFrame, DataFrame]:
+def apply_joined_fn(df: DataFrame, fn: Callable[[str], str], separator: str, order: str = "source_id", batch_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Functions taking one string: texts of a batch are joined, the answer is split; another count is a reject."""
     return apply_batch_fn(df, lambda texts: fn(separator.join(texts)).split(separator), order, batch_rows)
 

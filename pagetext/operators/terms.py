@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,13 +160,24 @@ def search(df: DataFrame, pattern: str | None, columns: Sequence[str], key: Sequ
     return df.select(*key, F.inline(fields)).filter("hits > 0")
 
 
-def search_spans(df: DataFrame, pattern: str, column: str, key: Sequence[str]) -> DataFrame:
-    """0-based start and length of every hit, from the running length of the pieces between hits."""
+def _spans(df: DataFrame, pattern: str, column: str, key: Sequence[str], measure: Callable[[Column], Column]) -> DataFrame:
+    """Hits with their place, from the running length (by ``measure``) of the pieces between hits: key, n, hit, start, length."""
     key = list(key)
     pieces = F.arrays_zip(F.split(column, pattern, -1).alias("gap"), F.regexp_extract_all(column, F.lit(pattern), F.lit(0)).alias("hit"))
-    d = df.select(*key, F.posexplode(pieces).alias("i", "p")).select(*key, "i", F.length("p.gap").alias("g"), F.col("p.hit").alias("hit"))
-    d = prefix_scan(d, key, [F.col("i")], F.floor(F.col("i") / 4096), sums={"upto": F.col("g") + F.coalesce(F.length("hit"), F.lit(0))})
-    return d.filter("hit is not null and hit <> ''").select(*key, F.col("i").alias("n"), (F.col("upto") - F.length("hit")).cast("int").alias("start"), F.length("hit").alias("length"))
+    d = df.select(*key, F.posexplode(pieces).alias("i", "p")).select(*key, "i", measure(F.col("p.gap")).alias("g"), F.col("p.hit").alias("hit"))
+    d = d.withColumn("size", measure(F.col("hit")))
+    d = prefix_scan(d, key, [F.col("i")], F.floor(F.col("i") / 4096), sums={"upto": F.col("g") + F.coalesce("size", F.lit(0))})
+    return d.filter("hit is not null and hit <> ''").select(*key, F.col("i").alias("n"), "hit", (F.col("upto") - F.col("size")).cast("int").alias("start"), F.col("size").alias("length"))
+
+
+def search_spans(df: DataFrame, pattern: str, column: str, key: Sequence[str]) -> DataFrame:
+    """0-based start and length of every hit."""
+    return _spans(df, pattern, column, key, F.length).drop("hit")
+
+
+def word_spans(df: DataFrame, column: str, key: Sequence[str]) -> DataFrame:
+    """Words for the spelling check: key, n, start, length, word; places in UTF-16 units, as text editors count."""
+    return _spans(df, tx.CHECKED_WORD, column, key, tx.utf16_length).withColumnRenamed("hit", "word")
 
 
 def replace_all(df: DataFrame, pattern: str, replacement: str, column: str, key: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ The surveyed event log has no event time. Event time, watermarks and windows are
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,25 +68,30 @@ STAGE_OUT = "run_id string, batch int, worker string, event_id long, event strin
 def track_stages(events: DataFrame) -> DataFrame:
     """Open and failed stage of every (run, batch, worker) after each event. A restart is a new ``run_id``.
 
-    events: run_id, batch, worker, ts, event_id, event, stage, returncode. ``chunk_ready`` clears a failure.
+    events: run_id, batch, worker, ts, event_id, event, stage, returncode. ``chunk_ready`` clears the failures of all
+    workers of its batch.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, failed = state.get if state.exists else (None, None)
+        opened, failed = json.loads(state.get[0]) if state.exists else ({}, {})
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
         for r in rows.itertuples(index=False):
             if r.event == "stage_started":
-                opened, failed = r.stage, None
+                opened[r.worker] = r.stage
+                failed.pop(r.worker, None)
             elif r.event == "stage_finished":
-                opened, failed = None, r.stage if r.returncode else None
+                opened.pop(r.worker, None)
+                failed.pop(r.worker, None)
+                if r.returncode:
+                    failed[r.worker] = r.stage
             elif r.event == "chunk_ready":
-                failed = None
-            out.append((*key, r.event_id, r.event, opened, failed))
-        state.update((opened, failed))
+                failed.clear()
+            out.append((*key, r.worker, r.event_id, r.event, opened.get(r.worker), failed.get(r.worker)))
+        state.update((json.dumps([opened, failed]),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STAGE_OUT.split(", ")])
 
-    return events.groupBy("run_id", "batch", "worker").applyInPandasWithState(step, STAGE_OUT, "opened string, failed string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("run_id", "batch").applyInPandasWithState(step, STAGE_OUT, "workers string", "append", GroupStateTimeout.NoTimeout)
 
 
 GUARD_OUT = "reply long, seq long, run int, looping boolean"

@@ -40,15 +40,15 @@ def advance(held: list[int], tokens: int, low: int, high: int) -> tuple[list[int
 class Tracker:
     """State of one project while its pages arrive in order."""
 
-    def __init__(self, low: int, high: int, saved: str | None = None):
-        self.low, self.high = low, high
+    def __init__(self, low: int, high: int, reserved: int, saved: str | None = None):
+        self.low, self.high, self.reserved = low, high, reserved
         self.held, self.asked, self.recent, self.barrier, self.previous = json.loads(saved) if saved else (None, None, [], False, None)
 
     def dump(self) -> str:
         return json.dumps([self.held, self.asked, self.recent, self.barrier, self.previous])
 
     def request(self, page: int) -> tuple:
-        """Outcome for one requested page: action, reason, page_count, token_count, appended, evicted."""
+        """Outcome for one requested page: action, reason, page_count, token_count (with the reserved part), appended, evicted."""
         previous = self.previous
         why = ("window-empty" if self.held is None else "non-adjacent" if previous is None or previous[0] != self.asked
                else "previous-ineligible" if not previous[2] else None)
@@ -59,7 +59,7 @@ class Tracker:
             self.held, action, added, evicted = advance(self.held, previous[1], self.low, self.high)
             got = (action, None if previous[1] <= self.high else "oversized-page", added, evicted)
         self.asked = page
-        return (*got[:2], len(self.held), sum(self.held), *got[2:])
+        return (*got[:2], len(self.held), sum(self.held) + self.reserved, *got[2:])
 
     def seen(self, page: int, tokens: int, complete: bool) -> None:
         """Remember a page; ``recent`` is what a rebuild right after it would take."""
@@ -83,7 +83,7 @@ def stream_history(pages: DataFrame, budget: int, reserved: int = 0) -> DataFram
     low, high = limits(budget, reserved)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t = Tracker(low, high, state.get[0] if state.exists else None)
+        t = Tracker(low, high, reserved, state.get[0] if state.exists else None)
         rows = pd.concat(list(batches)).sort_values("page")
         out = []
         for r in rows.itertuples(index=False):
@@ -120,9 +120,9 @@ def rolling_history(pages: DataFrame, budget: int, reserved: int = 0) -> DataFra
     def step(held, row):
         if row.reason is not None:
             held = [int(x) for x in row.start] if row.start is not None else []
-            return held, (row.project, row.page, "rebuild" if held else "empty", row.reason, len(held), sum(held), 0, 0)
+            return held, (row.project, row.page, "rebuild" if held else "empty", row.reason, len(held), sum(held) + reserved, 0, 0)
         tokens = int(row.prev_tokens)
         held, action, added, evicted = advance(held, tokens, low, high)
-        return held, (row.project, row.page, action, None if tokens <= high else "oversized-page", len(held), sum(held), added, evicted)
+        return held, (row.project, row.page, action, None if tokens <= high else "oversized-page", len(held), sum(held) + reserved, added, evicted)
 
     return scan_groups(r, ["project", "segment"], ["page"], init, step, OUT)
