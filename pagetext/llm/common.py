@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetext.session import cut_lineage, ensure_checkpoint_dir
@@ -46,6 +47,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are no longer referred to, instead of whenever the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Mapping[str, Column],
                    facts: DataFrame | None = None) -> DataFrame:
     """Add inclusive running sums per ``group`` along ``order``, without a whole group in one task.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from pagetext.llm.common import id_fold, stored
+from pagetext.llm.common import id_fold, release, stored
 
 END, START = 0, 1  # codes of the end token and of what stands before the first word
 STEPS = 4  # of a factor two, to which ratios are rounded while the weights are learned
@@ -101,7 +101,7 @@ def _sums(buckets: int):
         blocks, k, t = group["block"].to_pylist(), split(kept), split(total)
         out_kept, out_total = list(k), list(t)
         if bucket < buckets:  # single words: a row of block -1 carries vocabulary and tokens of this bucket
-            blocks, out_kept, out_total = [*blocks, -1], [*out_kept, np.array([(kept > 0).sum()])], [*out_total, np.array([(total > 0).sum()])]
+            blocks, out_kept, out_total = [*blocks, -1], [*out_kept, np.array([(kept > 0).sum(), kept.sum()])], [*out_total, np.array([(total > 0).sum(), total.sum()])]
         return pa.table([pa.array(blocks, pa.int64()), pa.array([bucket] * len(blocks), pa.int64()), pa.array(out_kept, pa.list_(pa.int64())), pa.array(out_total, pa.list_(pa.int64()))], names=["block", "bucket", "kept", "total"])
     return run
 
@@ -192,7 +192,7 @@ def _scores(order: int, buckets: int, n: int, v: int, weights: dict[int, np.ndar
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 2, block_chars: int = 16 << 20, fold: int = 2, held_fold: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 2, block_chars: int = 10 << 20, fold: int = 2, held_fold: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Log10 probability of every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Lower-case A-Z; tokens are the words and one end. Counts come from all documents whose crc32 of the id modulo 7 is not ``fold``. The
@@ -214,18 +214,16 @@ def score_texts(docs: DataFrame, order: int = 2, block_chars: int = 16 << 20, fo
     asked = d.groupBy("block").applyInArrow(_requests(order, buckets), "block bigint, bucket bigint, keys array<bigint>, kept array<int>, held array<int>")
     counts = stored(asked.groupBy("bucket").applyInArrow(_sums(buckets), _COUNTS), "counts")
     del asked
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the requests now
-    size = counts.filter("block = -1").agg(F.sum(F.col("kept")[0]), F.sum(F.col("total")[0])).first()
-    v_kept, v_total = (size[0] or 0), (size[1] or 0)
+    release(spark)
+    sizes = counts.filter("block = -1").agg(*[F.sum(F.col(c)[i]) for c in ("kept", "total") for i in (0, 1)]).first()
+    v_kept, n_kept, v_total, n_total = (x or 0 for x in sizes)
     counts = counts.filter("block >= 0")
-    n = d.groupBy("role").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1)).collect()
-    tokens = {r[0]: r[1] for r in n}
-    n_kept, n_total = tokens.get(KEPT, 0), tokens.get(KEPT, 0) + tokens.get(HELD, 0)
 
     names = ["bucket", *[f"r{k}" for k in range(1, order + 1)]]
     found = d.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_cells(order, buckets, n_kept, v_kept), ", ".join(f"{c} bigint" for c in [*names, "n"]))
     cells = found.groupBy(*names).agg(F.sum("n").alias("n")).toPandas()  # few: buckets of contexts times rounded ratios
     weights = learn_weights(cells.sort_values(names).to_numpy(np.float64), order)
-    spark.sparkContext._jvm.System.gc()
+    del found
+    release(spark)
     schema = StructType([d.schema["doc_id"], StructField("held_out", BooleanType()), *[StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")], StructField("base_score", DoubleType()), StructField("score", DoubleType())])
     return d.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scores(order, buckets, n_total, v_total, weights), schema)
