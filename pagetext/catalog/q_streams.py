@@ -30,18 +30,17 @@ def _(v):
     return _naive(E.run_available(_event_stream(v).drop("value"), "events"), "ts")
 
 
-@query("st3_live_progress", """select * from (select date_trunc('hour', ts) as window_start, batch, event, count(*) as n from job_events group by 1,2,3) t
-where window_start + interval 1 hour <= (select max(ts) from events) - interval 10 minutes""")
+@query("st3_live_progress", "select date_trunc('hour', ts) as window_start, batch, event, count(*) as n from job_events group by 1,2,3")
 def _(v):
-    return _naive(E.run_available(E.live_progress(_event_stream(v)), "progress"), "window_start")
+    return _naive(E.run_upsert(E.live_progress(_event_stream(v)), "progress", ["window_start", "batch", "event"]), "window_start")
 
 
 @query("st4_resource_monitor", """with s as (select batch as job_id, value, time_bucket(interval 30 minutes, ts, timestamp '2000-01-01') as b from job_events), w as (select job_id, value, b as window_start from s union all select job_id, value, b - interval 30 minutes from s),
 m as (select window_start, job_id, min(value) as min_available from w group by 1,2)
-select *, case when min_available<4 then 'stop' when min_available<6.5 then 'wait' else 'run' end as decision from m where window_start + interval 1 hour <= (select max(ts) from events) - interval 10 minutes""")
+select *, case when min_available<4 then 'stop' when min_available<6.5 then 'wait' else 'run' end as decision from m""")
 def _(v):
     s = _event_stream(v).select("ts", c("batch").alias("job_id"), "value")
-    return _naive(E.run_available(E.resource_monitor(s, stop=4, wait=6.5), "resources"), "window_start")
+    return _naive(E.run_upsert(E.resource_monitor(s, stop=4, wait=6.5), "resources", ["window_start", "job_id"]), "window_start")
 
 
 @query("st5_attempt_sessions", """with a as (select page as label, ts, case when value<=40 then null when event_id%2=0 then 'repetition_loop' else 'line_alignment' end as kind from job_events),
@@ -55,10 +54,21 @@ def _(v):
     return _naive(E.run_available(E.attempt_sessions(a, gap="3 hours"), "attempts"), "session_start")
 
 
+@query("st5b_attempt_chains", """with a as (select page::varchar as label, ts, event_id, case when value<=40 then null when event_id%2=0 then 'repetition_loop' else 'line_alignment' end as kind from job_events),
+s as (select *, coalesce(sum((kind is null)::int) over (partition by label order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as seg from a),
+j as (select *, row_number() over (partition by label, seg order by ts, event_id) - 1 as j from s), k as (select *, j//3 as part, j%3 + 1 as attempt from j)
+select label, event_id, dense_rank() over (partition by label order by seg, part)::int as chain, attempt::int as attempt,
+ coalesce(sum((kind='repetition_loop')::int) over (partition by label, seg, part order by ts, event_id rows between unbounded preceding and 1 preceding), 0)::int as level,
+ case when kind is null then 'done' when attempt=3 then 'failed' else 'retry' end as outcome from k""")
+def _(v):
+    kind = F.when(c("value") > 40, F.when(c("event_id") % 2 == 0, "repetition_loop").otherwise("line_alignment"))
+    return E.run_available(E.attempt_chains(_event_stream(v).select(c("page").cast("string").alias("label"), "ts", "event_id", kind.alias("failure_kind"))), "chains")
+
+
 @query("st6_dedupe_issues", "select distinct page from job_events where event='page_failed' and (event_id%50=0 or page%5<>0)")
 def _(v):
     done = v.events.filter("user_id % 5 = 0").select(c("user_id").alias("page"))
-    d = E.dedupe_issues(_event_stream(v).withColumn("live", c("event_id") % 50 == 0), done, delay="400 days")
+    d = E.dedupe_issues(_event_stream(v).withColumn("live", c("event_id") % 50 == 0), done)
     return E.run_available(d.select("page"), "issues")
 
 
@@ -110,7 +120,7 @@ def _(v):
 
     base = scratch_dir(v.spark, "publish")
     pages = v.events.select(c("user_id").alias("page")).distinct().select("page", F.concat(F.lit("f"), "page", F.lit(".png")).alias("output_name"), F.lit(None).cast("string").alias("output_sha256"))
-    done = (_event_stream(v).filter("event = 'stage_finished'").withWatermark("ts", "400 days").dropDuplicatesWithinWatermark(["page"])
+    done = (_event_stream(v).filter("event = 'stage_finished'").dropDuplicates(["page"])
             .select("page", "batch", F.concat(F.lit("h"), "page").alias("sha256")))
     E.publish_stream(done, base + "/manifest", base, base + "/state", pages)
     return v.spark.read.parquet(base + "/pages").select("batch", "page", "output_name", "sha256")

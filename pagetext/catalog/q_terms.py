@@ -8,6 +8,7 @@ from pagetext.catalog.registry import query
 from pagetext.functions import text as T
 from pagetext.operators import ledger as L
 from pagetext.operators import terms as M
+from pagetext.operators.prefix import prefix_scan
 
 c = F.col
 FOLD = "replace(lower({0}),'ß','ss')"
@@ -19,8 +20,17 @@ def _texts(v):
     return v.dialogue.select("page", "source_id", c("source").alias("text"))
 
 
+def _large(v):
+    """Thousands of terms taken from the benchmark passages."""
+    words = v.benchmark.select(F.explode(F.split("text", " ")).alias("w")).select(F.regexp_replace("w", "[.]", "").alias("source")).distinct().filter(F.length("source").between(1, 12))
+    return prefix_scan(words.withColumn("k", F.lit(0)), ["k"], [c("source")], number="entry_idx").drop("k")
+
+
 query("j5_match_glossary", J5)(lambda v: M.match_glossary(_texts(v), v.glossary))
-query("j5b_match_glossary_ngram", J5)(lambda v: M.match_glossary(_texts(v), v.glossary, strategy="ngram"))
+query("j5b_match_glossary_large", r"""with t as (select distinct regexp_replace(w, '[.]', '') as source from (select unnest(string_split(text, ' ')) as w from benchmark) x), g as (select source, hash_id::int as entry_idx from
+ (select source, row_number() over (order by source) as hash_id from t where length(source) between 1 and 12) y)
+select distinct doc_id, entry_idx from documents d join g on contains(replace(lower(d.text),'ß','ss'), replace(lower(g.source),'ß','ss'))""")(
+    lambda v: M.match_glossary(v.documents.select("doc_id", "text"), _large(v), ["doc_id"]))
 query("j5c_match_glossary_joined", f"""with t as (select page, string_agg(source, '' order by source_id) as text from dialogue group by page)
 select distinct page, entry_idx from t join glossary g on contains(t.text, g.source)""")(lambda v: M.match_glossary(_texts(v), v.glossary, fold=False, joiner="", order="source_id"))
 

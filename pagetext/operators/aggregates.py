@@ -97,5 +97,5 @@ def line_stats(lines: DataFrame, key: Sequence[str], page_w: float = 1050) -> tu
     my = (c("py0") + c("py2")) / 2
     ranked = lines.drop("vertical").join(blocks, key).withColumn(
         "distance", F.round(F.abs(mx * c("uy") - my * c("ux")) / F.sqrt(c("ux") * c("ux") + c("uy") * c("uy")), 6))
-    ranked = prefix_scan(ranked, key, [c("distance"), c("line_id")], F.floor(c("distance") / 4096), number="rank")
+    ranked = prefix_scan(ranked, key, [c("distance"), c("line_id")], number="rank")
     return blocks.drop("ux", "uy"), ranked.select(*key, "line_id", "distance", "rank")

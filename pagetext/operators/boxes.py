@@ -134,25 +134,29 @@ def bind_bubbles(texts: DataFrame, bubbles: DataFrame, key: Sequence[str] = ("pa
         F.when(F.col("b").isNotNull(), "text_bubble").otherwise("text_free").alias("text_class"))
 
 
-REACH = (0, 512, 4096, 32768, 1 << 22)
+REACH = (0, 512, 4096)
 
 
 def nearest_panel(blocks: DataFrame, panels: DataFrame, reach: Sequence[int] = REACH) -> DataFrame:
     """Nearest panel of every block (distance 0 inside, smallest id on ties); null on pages without panels.
 
     Searched in growing reach: a hit within the reach is final, since nothing nearer can lie outside it. Blocks
-    without such a hit go to the next reach, so usually only a few need more than the first step.
+    without such a hit go to the next reach (eight times the last one beyond the given ones) until none is left, so
+    usually only a few need more than the first step and no distance is too far.
     """
     key = ["page", "block_id"]
     left = blocks.select(*key, *g.BOX).join(panels.select("page").distinct(), "page", "left_semi")
     left = cut_lineage(left)
     found: list[DataFrame] = []
-    for i, r in enumerate(reach):
+    steps = list(reach)
+    while True:
+        r = steps[len(found)] if len(found) < len(steps) else max(found_reach * 8, 1)
+        found_reach = r
         pairs = box_pairs(left, panels.select("page", "panel_id", *g.BOX), gap_x=r, gap_y=r, tile=(max(r, 1024), max(r, 256)))
         best = (pairs.withColumn("d", g.rect_distance()).groupBy(*key)
                 .agg(F.min(F.struct("d", "r_panel_id")).alias("b"))
                 .select(*key, F.col("b.r_panel_id").alias("panel_id"), F.col("b.d").alias("distance")))
-        best = cut_lineage(best if i == len(reach) - 1 else best.filter(F.col("distance") <= r))
+        best = cut_lineage(best.filter(F.col("distance") <= r))
         found.append(best)
         left = cut_lineage(left.join(best, key, "left_anti"))
         if left.isEmpty():

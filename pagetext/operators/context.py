@@ -34,10 +34,10 @@ def history_suffix(pages: DataFrame, budget: int, reserved: int = 0, key: Sequen
     low, high = max(0, budget // 2 - reserved), max(0, budget - reserved)
     width = max(low, 1)
     d = pages.select(*key, c("page").cast("long").alias("page"), c("tokens").cast("long").alias("tokens"), (c("complete") == 1).alias("ok"))
-    order, chunk = [c("page")], F.floor(c("page") / 4096)
-    d = prefix_scan(d, key, order, chunk, sums={"upto": F.when(c("ok"), c("tokens")).otherwise(0)}).withColumn("before", c("upto") - F.when(c("ok"), c("tokens")).otherwise(0))
+    order = [c("page")]
+    d = prefix_scan(d, key, order, sums={"upto": F.when(c("ok"), c("tokens")).otherwise(0)}).withColumn("before", c("upto") - F.when(c("ok"), c("tokens")).otherwise(0))
     fits = c("ok") & (c("tokens") <= high)
-    asks = prefix_scan(d, key, order, chunk, maxes_before={"last": F.when(fits, c("page")), "last_upto": F.when(fits, c("upto")), "last_before": F.when(fits, c("before"))})
+    asks = prefix_scan(d, key, order, maxes_before={"last": F.when(fits, c("page")), "last_upto": F.when(fits, c("upto")), "last_before": F.when(fits, c("before"))})
     asks = asks.filter("last is not null").select(*key, c("page").alias("request_page"), "last", "last_upto", "last_before")
     alone = c("last_upto") - c("last_before") > low
     asks = asks.withColumn("lo", F.when(alone, c("last_before")).otherwise(c("last_upto") - low)).withColumn("alone", alone)
@@ -51,7 +51,7 @@ def fit_summaries(summaries: DataFrame, budget: int, key: Sequence[str] = ("proj
     key, c = list(key), F.col
     width = max(budget, 1)
     d = summaries.select(*key, c("page").cast("long").alias("page"), c("tokens").cast("long").alias("tokens"))
-    d = prefix_scan(d, key, [c("page")], F.floor(c("page") / 4096), sums={"upto": c("tokens")}).withColumn("before", c("upto") - c("tokens"))
+    d = prefix_scan(d, key, [c("page")], sums={"upto": c("tokens")}).withColumn("before", c("upto") - c("tokens"))
     asks = d.select(*key, c("page").alias("request_page"), (c("upto") - budget).alias("lo"))
     older = _members(asks, d.select(*key, "page", "tokens", "before"), key, width).filter("page < request_page").select(*key, "request_page", "page", "tokens")
     return older.unionByName(d.select(*key, c("page").alias("request_page"), "page", "tokens"))
@@ -63,7 +63,7 @@ def rebuild_reason(pages: DataFrame, windows: DataFrame, key: Sequence[str] = ("
     pages: key, page, load_id, settings; windows: key, page, window_page, window_load_id, window_settings.
     """
     key, c = list(key), F.col
-    d = previous_row(pages, key, [c("page")], F.floor(c("page") / 4096), c("page"), "previous_page").join(windows, [*key, "page"], "left")
+    d = previous_row(pages, key, [c("page")], c("page"), "previous_page").join(windows, [*key, "page"], "left")
     reason = (F.when(c("window_page").isNull(), "window-empty").when(c("load_id").isNull(), "missing-load-identity")
               .when(~c("load_id").eqNullSafe(c("window_load_id")), "project-changed").when(~c("settings").eqNullSafe(c("window_settings")), "settings-changed")
               .when(~c("previous_page").eqNullSafe(c("window_page")), "non-adjacent"))

@@ -408,7 +408,7 @@ def missing_ordinals(df: DataFrame, key: Sequence[str], ordinal: str) -> DataFra
     from pagetext.operators.prefix import previous_row
 
     d = df.select(*key, F.col(ordinal).cast("long").alias("o")).filter("o >= 1").distinct()
-    d = previous_row(d, key, [F.col("o")], F.floor(F.col("o") / 4096), F.col("o"), "prev")
+    d = previous_row(d, key, [F.col("o")], F.col("o"), "prev")
     gap = d.withColumn("prev", F.coalesce("prev", F.lit(0).cast("long"))).filter("o - prev > 1")
     return gap.select(*key, F.explode(F.sequence(F.col("prev") + 1, F.col("o") - 1)).alias("missing"))
 
@@ -428,7 +428,7 @@ def extend_coverage(covered: DataFrame, new: DataFrame) -> DataFrame:
     """Covered pages (page, pos) plus the new ones (page, pos) not yet covered, appended in their order."""
     fresh = new.join(covered.select("page").distinct(), "page", "left_anti").groupBy("page").agg(F.min("pos").alias("pos"))
     end = covered.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("end")).withColumn("all", F.lit(1))
-    fresh = prefix_scan(fresh.withColumn("all", F.lit(1)), ["all"], [F.col("pos")], F.floor(F.col("pos") / 65536), number="k")
+    fresh = prefix_scan(fresh.withColumn("all", F.lit(1)), ["all"], [F.col("pos")], number="k")
     # ``end`` is a single row.
     shifted = fresh.join(F.broadcast(end), "all").select("page", (F.col("end") + F.col("k")).cast("int").alias("pos"))
     return covered.select("page", F.col("pos").cast("int").alias("pos")).unionByName(shifted)
@@ -438,7 +438,7 @@ def assign_batches(pages: DataFrame, key: Sequence[str] = ("job_id",), order: st
                    chunk: Column | None = None) -> DataFrame:
     """1-based batch of each page: a small first batch, then fixed-size ones."""
     chunk = F.floor(F.col(order) / 4096) if chunk is None else chunk
-    d = prefix_scan(pages, list(key), [F.col(order)], chunk, number="ordinal")
+    d = prefix_scan(pages, list(key), [F.col(order)], number="ordinal")
     head = min(first, size)
     return d.withColumn("batch", F.when(F.col("ordinal") <= head, 1).otherwise(2 + F.floor((F.col("ordinal") - head - 1) / size)).cast("int"))
 
@@ -463,7 +463,7 @@ def unique_names(files: DataFrame) -> DataFrame:
     d = files.withColumn("stem", F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""))
     d = per_key(d.withColumn("fold", folded(F.col("stem"))), ["fold"], F.count(F.lit(1)).alias("same"))
     d = d.withColumn("base", F.when(F.col("same") == 1, F.col("stem")).otherwise(F.col("name"))).withColumn("fold", folded(F.col("base")))
-    d = prefix_scan(d.select("name", "ordinal", "base", "fold"), ["fold"], [F.col("ordinal")], F.floor(F.col("ordinal") / 4096), number="k")
+    d = prefix_scan(d.select("name", "ordinal", "base", "fold"), ["fold"], [F.col("ordinal")], number="k")
     d = cut_lineage(d)
     while True:
         d = d.withColumn("claim", F.when(F.col("k") == 1, F.col("fold")).otherwise(F.concat("fold", F.lit("("), F.col("k"), F.lit(")"))))

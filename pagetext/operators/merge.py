@@ -64,9 +64,12 @@ def _merge_pass(df: DataFrame, vertical: bool, p: Mapping) -> DataFrame:
         raise ValueError("the minimum overlap ratio must be positive")
     eps = float(p.get("overlap_epsilon", 0.0))
     # A positive epsilon lets thin boxes merge however far apart they are on the overlap axis.
-    far = float(1 << 22) if eps > 0 else 0.0
+    lo, hi = ("x1", "x2") if vertical else ("y1", "y2")
+    ends = df.agg(F.min(F.least(lo, hi)), F.max(F.greatest(lo, hi))).first() if eps > 0 else (0, 0)
+    far = float(ends[1] - ends[0] + 1) if eps > 0 and ends[0] is not None else 0.0
     gx, gy = (far, reach) if vertical else (reach, far)
-    tile = (TILE_W, TILE_H) if eps <= 0 else ((1 << 23, TILE_H) if vertical else (TILE_W, 1 << 23))
+    wide = int(2 * far) + 2
+    tile = (TILE_W, TILE_H) if eps <= 0 else ((wide, TILE_H) if vertical else (TILE_W, wide))
     rule = _direction_rule(vertical, min_overlap, max_gap, eps, p.get("allow_negative_gap", True))
     rule = rule & _label_rule(p.get("exclude", ()), p.get("require_same_label", False), p.get("groups"))
     pairs = self_pairs(df, "block_id", gap_x=gx, gap_y=gy, tile=tile).filter(rule).select("page", "block_id", "r_block_id")
@@ -178,10 +181,10 @@ def stitch_slices(df: DataFrame, page_h: float = 1500, y_ratio: float = 0.01, co
     """
     dist = y_ratio * page_h
     d = df.withColumns({"y1": F.col("y1") + F.col("start_y"), "y2": F.col("y2") + F.col("start_y")})
-    order, chunk = [F.col("y1"), F.col("block_id")], F.floor(F.col("y1") / 2048)
-    d = prefix_scan(d, ["page"], order, chunk, maxes_before={"__b": F.col("y2")})
+    order = [F.col("y1"), F.col("block_id")]
+    d = prefix_scan(d, ["page"], order, maxes_before={"__b": F.col("y2")})
     new = F.when(F.col("__b").isNull() | (F.col("y1") > F.col("__b") + 2 * dist), 1).otherwise(0)
-    d = prefix_scan(d, ["page"], order, chunk, sums={"island": new})
+    d = prefix_scan(d, ["page"], order, sums={"island": new})
     d = per_key(d.select("page", "block_id", "island", *g.BOX), ["page", "island"], F.count(F.lit(1)).alias("n"))
     schema = "page long, island long, part int, x1 double, y1 double, x2 double, y2 double"
     many = fold_groups(d.filter("n > 1"), ["page", "island"], ["y1", "block_id"], _stitcher(dist, contain, duplicate, overlap), schema)

@@ -10,41 +10,28 @@ from pagetext.operators.folds import fold_groups
 from pagetext.operators.prefix import per_key, prefix_scan, previous_row
 from pagetext.session import cut_lineage
 
-# Coordinates stay inside +-1e6, so x - y fits in +-2^21 and its 2048-wide band in +-1024.
-_BAND, _BANDS = 2048, 4096
-
-
-def _rightmost_topmost(first: Column) -> Column:
-    """Chunk for "``first`` ascending, then x - y descending"."""
-    return first.cast("long") * _BANDS + (_BANDS // 2 - F.floor((F.col("x1") - F.col("y1")) / _BAND))
-
-
 def reading_order(matched: DataFrame) -> DataFrame:
     """Model order where every block of the page matched, native order for the whole page otherwise."""
     d = per_key(cut_lineage(matched), ["page"], F.bool_and(F.col("match_id").isNotNull()).alias("full"))
     lead = F.when(F.col("full"), F.col("match_id"))
     order = [lead, F.when(F.col("full"), -F.col("x2")), F.when(F.col("full"), F.col("y1")), F.col("block_id")]
-    chunk = F.floor(F.coalesce(lead, F.col("block_id")) / 1024)
-    out = prefix_scan(d, ["page"], order, chunk, number="position")
+    out = prefix_scan(d, ["page"], order, number="position")
     return out.withColumn("method", F.when(F.col("full"), "model_order").otherwise("native_order")).drop("full")
 
 
 def panel_order(panels: DataFrame) -> DataFrame:
     """Rows of vertically overlapping panels from the top, inside a row by x - y descending."""
     by_y = [F.col("y1"), F.col("panel_id")]
-    band = F.floor(F.col("y1") / 2048)
-    d = prefix_scan(panels, ["page"], by_y, band, maxes_before={"__top": F.col("y2")})
+    d = prefix_scan(panels, ["page"], by_y, maxes_before={"__top": F.col("y2")})
     starts = F.when(F.col("__top").isNull() | (F.col("y1") > F.col("__top")), 1).otherwise(0)
-    d = prefix_scan(d, ["page"], by_y, band, sums={"row_no": starts}).withColumn("row_no", F.col("row_no").cast("int"))
-    return prefix_scan(d, ["page"], [F.col("row_no"), (F.col("x1") - F.col("y1")).desc(), F.col("panel_id")],
-                       _rightmost_topmost(F.col("row_no")), number="position").drop("__top")
+    d = prefix_scan(d, ["page"], by_y, sums={"row_no": starts}).withColumn("row_no", F.col("row_no").cast("int"))
+    return prefix_scan(d, ["page"], [F.col("row_no"), (F.col("x1") - F.col("y1")).desc(), F.col("panel_id")], number="position").drop("__top")
 
 
 def panel_text_order(blocks: DataFrame, panels: DataFrame) -> DataFrame:
     """Text order by nearest panel, then x - y descending; text on pages without panels counts as panel 0."""
     d = nearest_panel(blocks, panels).withColumn("panel_id", F.coalesce("panel_id", F.lit(0)))
-    return prefix_scan(d, ["page"], [F.col("panel_id"), (F.col("x1") - F.col("y1")).desc(), F.col("block_id")],
-                       _rightmost_topmost(F.col("panel_id")), number="position")
+    return prefix_scan(d, ["page"], [F.col("panel_id"), (F.col("x1") - F.col("y1")).desc(), F.col("block_id")], number="position")
 
 
 def _insert_sorted(rows: list) -> list[tuple]:
@@ -68,17 +55,16 @@ def sort_regions(blocks: DataFrame, rtl: bool | None = None) -> DataFrame:
         d = per_key(d, ["page"], F.bool_or(F.coalesce(F.col("vertical"), F.lit(False))).alias("rtl"))
     else:
         d = d.withColumn("rtl", F.lit(rtl))
-    order, chunk = [F.col("cy"), F.col("block_id")], F.floor(F.col("cy") / 2048)
-    d = prefix_scan(d, ["page"], order, chunk, maxes_before={"__bottom": F.col("y2")})
+    order = [F.col("cy"), F.col("block_id")]
+    d = prefix_scan(d, ["page"], order, maxes_before={"__bottom": F.col("y2")})
     new = F.when(F.col("__bottom").isNull() | (F.col("cy") > F.col("__bottom")), 1).otherwise(0)
-    d = prefix_scan(d, ["page"], order, chunk, sums={"band": new})
+    d = prefix_scan(d, ["page"], order, sums={"band": new})
     d = cut_lineage(per_key(d.select("page", "block_id", "band", "cx", "cy", "y2", "rtl"), ["page", "band"], F.count(F.lit(1)).alias("n")))
     many = d.filter("n > 1").select("page", "block_id", "band", "cx", "cy", "y2", "rtl")
     folded = fold_groups(many, ["page", "band"], ["cy", "block_id"], _insert_sorted,
                          "page long, block_id int, band long, in_band int")
     folded = folded.unionByName(d.filter("n = 1").select("page", "block_id", "band", F.lit(1).alias("in_band")))
-    before = prefix_scan(d.groupBy("page", "band").agg(F.count(F.lit(1)).alias("n")), ["page"], [F.col("band")],
-                         F.floor(F.col("band") / 1024), sums={"upto": F.col("n")})
+    before = prefix_scan(d.groupBy("page", "band").agg(F.count(F.lit(1)).alias("n")), ["page"], [F.col("band")], sums={"upto": F.col("n")})
     return (folded.join(before, ["page", "band"])
             .select("page", "block_id", (F.col("upto") - F.col("n") + F.col("in_band")).cast("int").alias("position")))
 
@@ -91,8 +77,8 @@ def split_blocks(lines: DataFrame) -> DataFrame:
     only if the jump exceeds the font size. That last rule looks at the previous outcome, so each row is either
     a fixed outcome or the opposite of the one before; the outcome is the last fixed one, flipped as often.
     """
-    key, order, chunk = ["page", "block_id"], [F.col("distance"), F.col("line_id")], F.floor(F.col("distance") / 4096)
-    d = previous_row(lines, key, order, chunk, F.struct("x1", "y1", "x2", "y2", "distance"), "p")
+    key, order = ["page", "block_id"], [F.col("distance"), F.col("line_id")]
+    d = previous_row(lines, key, order, F.struct("x1", "y1", "x2", "y2", "distance"), "p")
     apart = ((F.col("x1") > F.col("p.x2")) | (F.col("p.x1") > F.col("x2"))
              | (F.col("y1") > F.col("p.y2")) | (F.col("p.y1") > F.col("y2")))
     jump = F.abs(F.col("distance") - F.col("p.distance"))
@@ -100,9 +86,9 @@ def split_blocks(lines: DataFrame) -> DataFrame:
     fixed = (F.when(F.col("p").isNull(), 1).when(~apart, 0).when(jump > 2 * F.col("font_size"), 1)
              .when(shifted & (jump > F.col("font_size")), 1).when(~shifted, 0))
     d = d.withColumn("__fixed", fixed).drop("p")
-    d = prefix_scan(d, key, order, chunk, sums={"__g": F.col("__fixed").isNotNull().cast("int"),
+    d = prefix_scan(d, key, order, sums={"__g": F.col("__fixed").isNotNull().cast("int"),
                                                 "__f": F.col("__fixed").isNull().cast("int")})
     d = per_key(d, [*key, "__g"], F.min("__f").alias("__f0"), F.max("__fixed").alias("__base"))
     cut = (F.col("__base") + F.col("__f") - F.col("__f0")) % 2
-    d = prefix_scan(d.withColumn("__cut", cut), key, order, chunk, sums={"part": F.col("__cut")})
+    d = prefix_scan(d.withColumn("__cut", cut), key, order, sums={"part": F.col("__cut")})
     return d.select(*lines.columns, F.col("part").cast("int").alias("part"))

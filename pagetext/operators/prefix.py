@@ -1,11 +1,8 @@
 """Two-level prefix scans: running numbers, sums and maxima that do not need a whole key in one task.
 
-A plain window puts all rows of a key into one task. Here every key is cut into chunks by an expression that
-never decreases along the wanted order; each chunk is scanned on its own, and only one total per chunk is
-carried across. A key with a third of all rows is thus spread over as many tasks as it has chunks.
-
-The rows are read twice, once for the totals and once for the scan, so they are cut into the checkpoint folder first:
-stacked scans then cost one pass each instead of doubling the work below them.
+A plain window puts all rows of a key into one task. Here the rows are range-partitioned by key and order and cut into the checkpoint
+folder; each range is scanned on its own, and only one total per key and range is carried across. A key with a third of
+all rows is thus spread over a third of the ranges, whatever its values look like.
 """
 
 from __future__ import annotations
@@ -18,23 +15,12 @@ from pyspark.sql import functions as F
 from pagetext.session import cut_lineage
 
 CHUNK = "__chunk"
-CHUNK_ROWS = 4_000_000  # more rows of one key in one chunk are re-cut by range
-
 
-def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
-    """(rows, totals per chunk), both cut. Chunks that came out too large are replaced by ranges of the real order.
 
-    The given chunk expression is free but may be uneven, for example when a third of all events share an hour. Then
-    the rows are range-partitioned by key and order, and the partition number serves as the chunk.
-    """
-    d = cut_lineage(df)
-    totals = cut_lineage(d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"), *aggs))
-    if totals.filter(F.col("__n") > CHUNK_ROWS).isEmpty():
-        return d, totals
-    d = cut_lineage(d.drop(CHUNK).repartitionByRange(*keys, *order)).withColumn(CHUNK, F.spark_partition_id().cast("long"))
-    # The partition number must not be evaluated again after a shuffle, so it is cut into the rows as well.
-    d = cut_lineage(d)
-    return d, cut_lineage(d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"), *aggs))
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows with their range as ``CHUNK``, totals per key and range). The rows are range-partitioned by key and order and cut once."""
+    d = cut_lineage(df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id().cast("long")))
+    return d, d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"), *aggs)
 
 
 def _offsets(totals: DataFrame, keys: Sequence[str], exprs: dict[str, tuple[str, object]]) -> DataFrame:
@@ -50,7 +36,6 @@ def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    chunk: Column,
     number: str | None = None,
     sums: dict[str, Column] | None = None,
     maxes_before: dict[str, Column] | None = None,
@@ -58,11 +43,10 @@ def prefix_scan(
     """Add running columns per key.
 
     ``number``: 1-based position; ``sums``: inclusive running sums; ``maxes_before``: maximum over all earlier
-    rows (null on the first). ``keys`` and ``chunk`` must not be null and ``chunk`` must not decrease along
-    ``order``.
+    rows (null on the first). ``keys`` must not be null.
     """
     sums, maxes_before, keys = sums or {}, maxes_before or {}, list(keys)
-    d = df.withColumn(CHUNK, chunk.cast("long"))
+    d = df
     aggs, exprs = [], {}
     if number:
         exprs["__n"] = ("sum", 0)
@@ -74,7 +58,7 @@ def prefix_scan(
         d = d.withColumn(f"__m_{k}", c)
         aggs.append(F.max(f"__m_{k}").alias(f"__x_{k}"))
         exprs[f"__x_{k}"] = ("max", None)
-    d, totals = _chunked(d, keys, order, aggs)
+    d, totals = _placed(d, keys, order, aggs)
     offsets = _offsets(totals, keys, exprs)
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -89,12 +73,10 @@ def prefix_scan(
     return out.select(*df.columns, *([number] if number else []), *sums, *maxes_before)
 
 
-def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column,
-                 value: Column, out: str) -> DataFrame:
-    """``lag(value)`` per key in the same two-level way; the last row of each chunk is handed to the next one."""
+def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
+    """``lag(value)`` per key in the same two-level way; the last row of each range is handed to the next one."""
     keys = list(keys)
-    d = df.withColumn(CHUNK, chunk.cast("long")).withColumn("__v", value)
-    d, last = _chunked(d, keys, order, [F.max_by(F.struct("__v"), F.struct(*order)).alias("__last")])
+    d, last = _placed(df.withColumn("__v", value), keys, order, [F.max_by(F.struct("__v"), F.struct(*order)).alias("__last")])
     w = Window.partitionBy(*keys).orderBy(CHUNK)
     carried = last.select(*keys, CHUNK, F.lag("__last").over(w).alias("__carry"))
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)

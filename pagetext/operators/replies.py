@@ -140,7 +140,7 @@ def build_requests(blocks: DataFrame, source_lang: str, target_lang: str, system
     if history is not None:
         h = history.join(d.select("page"), "page", "left_semi")
         out = out.unionByName(message(h, 3, "user", c("user"), c("pos") * 2)).unionByName(message(h, 3, "assistant", c("assistant"), c("pos") * 2 + 1))
-    return prefix_scan(out, ["page"], [c("part"), c("sub")], c("part") * 65536 + F.floor(c("sub") / 1024), number="seq").drop("part", "sub")
+    return prefix_scan(out, ["page"], [c("part"), c("sub")], number="seq").drop("part", "sub")
 
 
 BATCH_FNS: dict[str, Callable[[list[str]], list[str]]] = {}
@@ -164,7 +164,7 @@ def apply_batch_fn(df: DataFrame, fn: str | Callable[[list[str]], list[str]], or
     c = F.col
     d = df.select("page", F.lit(0).cast("long").alias("part"), order, "text")
     if batch_rows:
-        d = prefix_scan(df.select("page", order, "text"), ["page"], [c(order)], F.floor(c(order) / 4096), number="rn")
+        d = prefix_scan(df.select("page", order, "text"), ["page"], [c(order)], number="rn")
         d = d.withColumn("part", F.floor((c("rn") - 1) / batch_rows)).select("page", "part", order, "text")
 
     def fold(rows: list) -> list[tuple]:

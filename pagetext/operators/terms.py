@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pagetext.functions import text as tx
 from pagetext.operators.ledger import folded
 from pagetext.operators.prefix import prefix_scan
+from pagetext.session import cut_lineage
 
-SCAN_LIMIT = 1000  # glossary entries tested inside one expression; beyond it the n-gram join is used
-GRAM = 4
+GRAM = 4  # letters at the start of a term that a text must hold; shorter terms are looked up whole
+PIECE = 512  # letters of a text taken at a time
+SPREAD = 16  # parts of a glossary that goes to every key
 
 # Sound words that are no names.
 SOUND_WORDS = ("ドキドキ", "ワクワク", "ニコニコ", "イライラ", "ハラハラ")
@@ -24,52 +26,42 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
-def _small_glossary(glossary: DataFrame, limit: int) -> list | None:
-    """The entries if there are at most ``limit`` of them, counted before anything is fetched."""
-    probe = glossary.select("entry_idx", "source").limit(limit + 1).collect()
-    return probe if len(probe) <= limit else None
-
-
 def match_glossary(texts: DataFrame, glossary: DataFrame, key: Sequence[str] = ("page",), mode: str = "matching",
-                   fold: bool = True, strategy: str = "auto", joiner: str = "\n", order: str | None = None) -> DataFrame:
+                   fold: bool = True, joiner: str = "\n", order: str | None = None) -> DataFrame:
     """Glossary entries occurring in the texts of each key, once per key: key columns and ``entry_idx``.
 
     Terms hold no line break, so with the default joiner a match lies inside one text row. ``joiner=''`` lets terms
-    cross row borders; the rows of a key (one page's prompt) are then joined in ``order`` first. Up to
-    ``SCAN_LIMIT`` entries are tested by one expression; larger glossaries use a hash join on the first letters of
-    every term, then verify. Both give the same rows.
+    cross row borders; the rows of a key (one page's prompt) are then joined in ``order`` first. Every text looks up its
+    distinct runs of up to ``GRAM`` letters among the starts of the terms; the hits are verified on the text. ``mode='all'`` gives
+    every key the whole glossary.
     """
     key = list(key)
     norm = folded if fold else (lambda c: c)
     if mode == "all":
-        small = _small_glossary(glossary, SCAN_LIMIT)
-        if small is None:
-            raise ValueError("mode 'all' repeats the whole glossary per key and needs a small glossary")
-        return texts.select(*key).distinct().select(*key, F.explode(F.array(*[F.lit(r.entry_idx) for r in small])).alias("entry_idx"))
+        part = F.pmod(F.xxhash64("entry_idx"), F.lit(SPREAD))
+        spread = texts.select(*key).distinct().withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+        return spread.join(glossary.select("entry_idx", part.alias("__part")), "__part").select(*key, "entry_idx")
     if joiner == "":
         ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))), lambda s: s["t"])
         texts = texts.groupBy(*key).agg(F.array_join(ordered, "").alias("text"))
-    d = texts.select(*key, norm(F.col("text")).alias("t"))
-    small = _small_glossary(glossary, SCAN_LIMIT) if strategy in ("auto", "scan") else None
-    if strategy == "scan" and small is None:
-        raise ValueError(f"more than {SCAN_LIMIT} entries: use strategy='ngram'")
-    if small is not None:
-        if not small:
-            return d.select(*key, F.lit(None).cast("int").alias("entry_idx")).limit(0)
-        terms = F.array(*[F.struct(F.lit(r.entry_idx).alias("i"), norm(F.lit(r.source)).alias("s")) for r in small])
-        hits = F.transform(F.filter(terms, lambda e: F.contains(F.col("t"), e["s"])), lambda e: e["i"])
-        return d.select(*key, F.explode(hits).alias("entry_idx")).distinct()
     g = glossary.select("entry_idx", norm(F.col("source")).alias("s")).withColumn("gram", F.left("s", F.lit(GRAM)))
-    sizes = [r[0] for r in g.select(F.length("gram")).distinct().limit(GRAM).collect()]
-    chars = F.split("t", "")
+    sizes = [r[0] for r in g.select(F.length("gram")).distinct().collect()]  # at most GRAM + 1 lengths
+    d = texts.select(*key, norm(F.col("text")).alias("t")).filter("t is not null")
+    if not sizes:
+        return d.select(*key, F.lit(None).cast("int").alias("entry_idx")).limit(0)
+    # The row number must not change between its two uses, so it is cut into the rows. The exploded rows carry it instead of the text.
+    d = cut_lineage(d.withColumn("__row", F.monotonically_increasing_id()))
+    # Letters are reached from the start of a string, so long texts are taken in short overlapping pieces.
+    starts = F.sequence(F.lit(0), F.greatest(F.length("t") - 1, F.lit(0)), F.lit(PIECE))
+    pieces = d.select("__row", F.explode(F.transform(starts, lambda i: F.substring("t", i + 1, F.lit(PIECE + GRAM - 1)))).alias("p"))
 
     def grams_of(k: int) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.length("t") - k, F.lit(0)))
-        return F.transform(starts, lambda i: F.concat_ws("", *[F.get(chars, i + j) for j in range(k)]))
+        places = F.sequence(F.lit(1), F.greatest(F.length("p") - k + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.substring("p", i, F.lit(k)))
 
-    grams = [grams_of(k) for k in sizes]
-    listed = d.select(*key, "t", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("gram"))
-    return listed.join(g, "gram").filter(F.contains(F.col("t"), F.col("s"))).select(*key, "entry_idx").distinct()
+    listed = pieces.select("__row", F.explode(F.array_distinct(F.flatten(F.array(*[grams_of(k) for k in sizes])))).alias("gram")).distinct()
+    hits = listed.join(g, "gram").select("__row", "entry_idx", "s")
+    return hits.join(d, "__row").filter(F.contains("t", "s")).select(*key, "entry_idx").distinct()
 
 
 def render_glossary(matches: DataFrame, glossary: DataFrame, key: Sequence[str] = ("page",), form: str = "json") -> DataFrame:
@@ -139,13 +131,27 @@ def vote_terms(candidates: DataFrame) -> DataFrame:
                                    F.count(F.lit(1)).alias("candidates")).withColumn("conflict", F.col("candidates") > 1)
 
 
-def apply_terms(ledger: DataFrame, replacements: Sequence[tuple[str, str]], column: str = "translation") -> DataFrame:
-    """Literal replacements in order (chained); adds ``changed``."""
-    new = F.col(column)
-    for old, to in replacements:
-        if old:
-            new = F.replace(new, F.lit(old), F.lit(to))
-    return ledger.withColumn("__new", new).withColumn("changed", ~F.col("__new").eqNullSafe(F.col(column))).withColumn(column, F.col("__new")).drop("__new")
+def apply_terms(ledger: DataFrame, replacements: Sequence[tuple[str, str]] | DataFrame, column: str = "translation", part_chars: int = 1 << 22) -> DataFrame:
+    """Literal replacements in order (chained); adds ``changed``.
+
+    ``replacements``: pairs, or a table with ``old``, ``new`` and ``at`` (distinct numbers in order). A table is folded over each text in
+    parts of about ``part_chars`` characters, one broadcast row each, so its size doesn't matter to the plan or the driver.
+    """
+    out = ledger.withColumn("__new", F.col(column))
+    if isinstance(replacements, DataFrame):
+        pairs = replacements.select("at", "old", "new").filter("old is not null and new is not null and old <> ''")
+        size = (F.length("old") + F.length("new") + 16).cast("long")
+        pairs = cut_lineage(prefix_scan(pairs.withColumn("k", F.lit(0)), ["k"], [F.col("at")], sums={"upto": size}).withColumn("part", F.floor(F.col("upto") / part_chars)))
+        for part in range((pairs.agg(F.max("part")).first()[0] or 0) + 1):
+            row = pairs.filter(F.col("part") == part).groupBy(F.lit(0).alias("__k")).agg(F.array_sort(F.collect_list(F.struct("at", "old", "new"))).alias("__pairs"))
+            out = out.withColumn("__k", F.lit(0)).join(F.broadcast(row), "__k", "left").drop("__k")
+            folded_text = F.aggregate("__pairs", F.col("__new"), lambda t, p: F.replace(t, p["old"], p["new"]))
+            out = out.withColumn("__new", F.when(F.col("__pairs").isNull(), F.col("__new")).otherwise(folded_text)).drop("__pairs")
+    else:
+        for old, to in replacements:
+            if old:
+                out = out.withColumn("__new", F.replace("__new", F.lit(old), F.lit(to)))
+    return out.withColumn("changed", ~F.col("__new").eqNullSafe(F.col(column))).withColumn(column, F.col("__new")).drop("__new")
 
 
 def change_summary(changed: DataFrame) -> DataFrame:
@@ -166,7 +172,7 @@ def _spans(df: DataFrame, pattern: str, column: str, key: Sequence[str], measure
     pieces = F.arrays_zip(F.split(column, pattern, -1).alias("gap"), F.regexp_extract_all(column, F.lit(pattern), F.lit(0)).alias("hit"))
     d = df.select(*key, F.posexplode(pieces).alias("i", "p")).select(*key, "i", measure(F.col("p.gap")).alias("g"), F.col("p.hit").alias("hit"))
     d = d.withColumn("size", measure(F.col("hit")))
-    d = prefix_scan(d, key, [F.col("i")], F.floor(F.col("i") / 4096), sums={"upto": F.col("g") + F.coalesce("size", F.lit(0))})
+    d = prefix_scan(d, key, [F.col("i")], sums={"upto": F.col("g") + F.coalesce("size", F.lit(0))})
     return d.filter("hit is not null and hit <> ''").select(*key, F.col("i").alias("n"), "hit", (F.col("upto") - F.col("size")).cast("int").alias("start"), F.col("size").alias("length"))
 
 

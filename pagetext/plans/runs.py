@@ -76,14 +76,14 @@ def crop_text_review(readings: DataFrame) -> DataFrame:
 def stage_at_events(events: DataFrame) -> DataFrame:
     """Events with ``open_stage``: the stage open for their (batch, worker) just before them, null if none.
 
-    A start opens, a finish closes, ``folder_started`` resets everything (``epoch`` counts these). Batch twin of the
-    stream tracker; long keys are scanned hour by hour.
+    A start opens, a finish closes, ``folder_started`` resets its job (``epoch`` counts these per ``job_id``, if there is one). Batch twin of the
+    stream tracker.
     """
     c = F.col
-    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-    d = prefix_scan(events.withColumn("__job", F.lit(0)), ["__job"], [c("ts"), c("event_id")], hour, sums={"epoch": (c("event") == "folder_started").cast("int")})
+    job = c("job_id") if "job_id" in events.columns else F.lit(0)
+    d = prefix_scan(events.withColumn("__job", job), ["__job"], [c("ts"), c("event_id")], sums={"epoch": (c("event") == "folder_started").cast("int")})
     mark = F.when(c("event").isin("stage_started", "stage_finished"), F.struct("ts", "event_id", F.when(c("event") == "stage_started", c("stage")).alias("s")))
-    d = prefix_scan(d, ["epoch", "batch", "worker"], [c("ts"), c("event_id")], hour, maxes_before={"__last": mark})
+    d = prefix_scan(d, ["__job", "epoch", "batch", "worker"], [c("ts"), c("event_id")], maxes_before={"__last": mark})
     return d.withColumn("open_stage", c("__last.s")).drop("__last", "__job")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetext.functions import text as tx
 from pagetext.operators import terms as M
+from pagetext.operators.prefix import prefix_scan
 
 
 def audit_volume(ledger: DataFrame, glossary: DataFrame, candidates: DataFrame, pattern: str = tx.KATAKANA_RUN,
@@ -19,14 +20,9 @@ def audit_volume(ledger: DataFrame, glossary: DataFrame, candidates: DataFrame,
     return audit.join(vote, "entity", "left").select("entity", "occurrences", "pages", "target", "winner", "conflict", F.coalesce("target", "winner").alias("standard"))
 
 
-def harmonise(ledger: DataFrame, audit: DataFrame, candidates: DataFrame, limit: int = 1000) -> DataFrame:
-    """Replace losing translations of conflicting entities by the standard one, longest first.
-
-    Only the replacement list is fetched, after its size is checked.
-    """
+def harmonise(ledger: DataFrame, audit: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Replace losing translations of conflicting entities by the standard one, longest first (then by text)."""
     pairs = (candidates.select("entity", "candidate").distinct().join(audit.filter("conflict").select("entity", "standard"), "entity")
-             .filter(F.col("candidate") != F.col("standard")).select("candidate", "standard").distinct()
-             .orderBy(F.length("candidate").desc(), "candidate").limit(limit + 1).collect())
-    if len(pairs) > limit:
-        raise ValueError(f"more than {limit} replacements: harmonise in batches of entities")
-    return M.apply_terms(ledger, [(r.candidate, r.standard) for r in pairs])
+             .filter(F.col("candidate") != F.col("standard")).groupBy("candidate", "standard").agg(F.lit(0).alias("k")))
+    order = [F.length("candidate").desc(), F.col("candidate"), F.col("standard")]
+    return M.apply_terms(ledger, prefix_scan(pairs, ["k"], order, number="at").withColumnsRenamed({"candidate": "old", "standard": "new"}))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +29,27 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out + "/data")
 
 
+def run_upsert(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a stream in update mode over what is available and read its table back: the last row of every key, open windows included.
+
+    Every micro-batch writes a full version of the table from the one before it, so a replayed batch writes the same again.
+    """
+    spark, last = df.sparkSession, [-1]
+    out = scratch_dir(spark, name)
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/version=-1")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        old = s.read.schema(df.schema).parquet(f"{out}/version={batch_id - 1}")
+        on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+        kept = old.alias("o").join(batch.select(*keys).alias("n"), reduce(lambda a, b: a & b, on), "left_anti")
+        kept.unionByName(batch).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        last[0] = max(last[0], batch_id)
+
+    (df.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", out + "/state").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(df.schema).parquet(f"{out}/version={last[0]}")
+
+
 def live_progress(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Event counts per batch and tumbling window."""
     d = events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "batch", "event").agg(F.count(F.lit(1)).alias("n"))
@@ -41,6 +63,35 @@ def resource_monitor(samples: DataFrame, window: str = "1 hour", slide: str = "3
     return d.select(F.col("w.start").alias("window_start"), "job_id", "min_available", choice.alias("decision"))
 
 
+CHAIN_OUT = "label string, event_id long, chain int, attempt int, level int, outcome string"
+
+
+def attempt_chains(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """Every attempt with its place in a chain of retries: (label, event_id, chain, attempt, level, outcome).
+
+    attempts: label, ts, event_id, failure_kind (null = success). A success ends its chain (``done``), so does the third failure
+    (``failed``); other failures are followed by a ``retry``. ``level`` is the recovery level of the attempt: a repetition loop
+    raises that of the next attempt, to at most 2; a new chain starts at 0.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        chain, attempt, level = state.get if state.exists else (1, 0, 0)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples(index=False):
+            attempt += 1
+            good = r.failure_kind is None or r.failure_kind != r.failure_kind
+            outcome = "done" if good else "failed" if attempt == most else "retry"
+            out.append((key[0], r.event_id, chain, attempt, level, outcome))
+            if outcome == "retry":
+                level = min(level + (r.failure_kind == "repetition_loop"), 2)
+            else:
+                chain, attempt, level = chain + 1, 0, 0
+        state.update((chain, attempt, level))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHAIN_OUT.split(", ")])
+
+    return attempts.groupBy("label").applyInPandasWithState(step, CHAIN_OUT, "chain int, attempt int, level int", "append", GroupStateTimeout.NoTimeout)
+
+
 def attempt_sessions(attempts: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Attempts of one label grouped by pauses: counts, outcome and recovery level.
 
@@ -54,12 +105,16 @@ def attempt_sessions(attempts: DataFrame, gap: str = "30 minutes", delay: str =
     return d.select(c("w.start").alias("session_start"), "label", "attempts", "failures", outcome.alias("outcome"), F.least("loops", F.lit(2).cast("long")).alias("level"))
 
 
-def dedupe_issues(events: DataFrame, completed: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """One page failure per page; non-live failures of pages verified complete are dropped. completed: page."""
-    d = events.filter("event in ('page_failed', 'page_review_required')").withWatermark("ts", delay)
+def dedupe_issues(events: DataFrame, completed: DataFrame, delay: str | None = None) -> DataFrame:
+    """One page failure per page; non-live failures of pages verified complete are dropped. completed: page.
+
+    Without ``delay`` a page is remembered for good (one id of state per failed page); with it only as long as the watermark.
+    """
+    d = events.filter("event in ('page_failed', 'page_review_required')")
+    d = d.withWatermark("ts", delay) if delay else d
     known = completed.select("page", F.lit(True).alias("complete")).distinct()
     d = d.join(known, "page", "left").filter(F.col("live") | F.col("complete").isNull()).drop("complete")
-    return d.dropDuplicatesWithinWatermark(["page"])
+    return d.dropDuplicatesWithinWatermark(["page"]) if delay else d.dropDuplicates(["page"])
 
 
 STAGE_OUT = "run_id string, batch int, worker string, event_id long, event string, open_stage string, failed_stage string"
@@ -118,7 +173,7 @@ def trailing_repeats(chunks: DataFrame, repeats: int = 31) -> DataFrame:
     """Batch twin: length of the run of identical chunks that ends each reply, from the last change of chunk."""
     c = F.col
     d = chunks.filter(F.coalesce("piece", F.lit("")) != "").withColumn("token", F.trim("piece"))
-    d = previous_row(d, ["reply"], [c("seq")], F.floor(c("seq") / 4096), c("token"), "before").withColumn("changed", ~c("token").eqNullSafe(c("before")))
+    d = previous_row(d, ["reply"], [c("seq")], c("token"), "before").withColumn("changed", ~c("token").eqNullSafe(c("before")))
     last = d.filter("changed").groupBy("reply").agg(F.max("seq").alias("from_seq"))
     n = d.join(last, "reply").filter("seq >= from_seq").groupBy("reply").agg(F.count(F.lit(1)).alias("run"))
     return n.withColumn("looping", c("run") >= repeats)

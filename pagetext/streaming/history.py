@@ -104,12 +104,12 @@ def rolling_history(pages: DataFrame, budget: int, reserved: int = 0) -> DataFra
     """
     low, high = limits(budget, reserved)
     c = F.col
-    order, chunk = [c("page")], F.floor(c("page") / 4096)
+    order = [c("page")]
     d = previous_row(pages.select("project", c("page").cast("long").alias("page"), c("tokens").cast("long").alias("tokens"), (c("complete") == 1).alias("ok"), c("requested")),
-                     ["project"], order, chunk, F.struct("page", "tokens", "ok", "requested"), "p")
-    asked_before = prefix_scan(d, ["project"], order, chunk, maxes_before={"last_asked": F.when(c("requested"), c("page"))})
+                     ["project"], order, F.struct("page", "tokens", "ok", "requested"), "p")
+    asked_before = prefix_scan(d, ["project"], order, maxes_before={"last_asked": F.when(c("requested"), c("page"))})
     r = asked_before.filter("requested").withColumn("reason", F.when(c("last_asked").isNull(), "window-empty").when(~c("p.requested"), "non-adjacent").when(~c("p.ok"), "previous-ineligible"))
-    r = prefix_scan(r, ["project"], order, chunk, sums={"segment": c("reason").isNotNull().cast("int")})
+    r = prefix_scan(r, ["project"], order, sums={"segment": c("reason").isNotNull().cast("int")})
     suffix = history_suffix(pages, budget, reserved).join(r.filter("reason is not null").select("project", c("page").alias("request_page")), ["project", "request_page"], "left_semi")
     start = suffix.groupBy("project", c("request_page").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "tokens"))), lambda s: s["tokens"]).alias("start"))
     r = r.join(start, ["project", "page"], "left").select("project", "segment", "page", "reason", c("p.tokens").alias("prev_tokens"), "start")

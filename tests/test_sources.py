@@ -111,4 +111,23 @@ def test_digest_blocks(spark):
     whole = L.digest_rows(d, ["k"], "o", ["o", "t"]).first().digest
     text = "[" + ",".join('{"o":%d,"t":"é"}' % i for i in range(1, 11)) + "]"
     assert whole == hashlib.sha256(text.encode()).hexdigest()
-    assert L.digest_rows(d, ["k"], "o", ["o", "t"], block=4).first().digest != whole
+    many = spark.range(1, 9001).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
+    want = {k: hashlib.sha256(("[" + ",".join('{"o":%d}' % i for i in range(1, 9001) if i % 3 == k) + "]").encode()).hexdigest() for k in range(3)}
+    assert {r.k: r.digest for r in L.digest_rows(many, ["k"], "o", ["o"]).collect()} == want
+
+
+def test_settings_at_any_depth(spark):
+    deep = lambda n, x: {"a": deep(n - 1, x)} if n else x
+    cases = [({"a": deep(12, 1)}, {"a": deep(12, 1)}, True), ({"a": deep(12, 1)}, {"a": deep(12, 2)}, False), ({"a": {}}, {}, False), ({"a": {}}, {"a": {"b": 1}}, True), ({"a": {}}, {"a": 1}, False),
+             ({"a": "{x"}, {"a": "{x"}, True), ({"a": "{x"}, {}, False), ({"n": 1}, {"n": 1.0}, True), ({"n": 1}, {"n": "1"}, False), ({"a.b": 1}, {"a": {"b": 1}}, False), ({"l": [1, {"x": 2.0}]}, {"l": [1.0, {"x": 2}]}, True),
+             ({"skip": {"x": {"y": 1}}, "n": None}, {"n": None}, True), ({"n": None}, {}, False)]
+    frame = lambda k: L.flatten_settings(spark.createDataFrame([(i, json.dumps(x[k])) for i, x in enumerate(cases)], "i int, j string"), ["i"], "j")
+    bad = {r.i for r in L.config_contains(frame(0), frame(1), ["i"], ignore=["skip"]).collect()}
+    assert bad == {i for i, x in enumerate(cases) if not x[2]}
+
+
+def test_natural_key_of_long_numbers(spark):
+    names = ["p" + "9" * 60, "p1" + "0" * 60, "p2", "p010", "p" + "1" * 41, "P3"]
+    d = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in d.orderBy(L.natural_key(F.col("n"))).collect()]
+    assert got == ["p2", "P3", "p010", "p" + "1" * 41, "p" + "9" * 60, "p1" + "0" * 60]

@@ -114,8 +114,30 @@ def test_glossary_strategies_agree(spark):
     t = spark.createDataFrame(texts, "page int, text string")
     low = lambda s: s.lower().replace("ß", "ss")
     want = {(p, i) for p, x in texts for i, w in enumerate(words) if low(w) in low(x)}
-    for s in ("scan", "ngram"):
-        assert {tuple(r) for r in M.match_glossary(t, g, strategy=s).collect()} == want
+    assert {tuple(r) for r in M.match_glossary(t, g).collect()} == want
+    assert M.match_glossary(t, g, mode="all").count() == 50 * 60
+    assert M.match_glossary(t, g.limit(0)).count() == 0
+
+
+def test_words_for_the_spelling_check(spark):
+    texts = ["漢字 helo世界 wrld", "𠀀helo", "한helo世界wrld", "ㇰ々한글漢字", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = sorted((r.k, r.start, r.length, r.word) for r in M.word_spans(d, "t", ["k"]).collect())
+    assert got == [(0, 3, 4, "helo"), (0, 10, 4, "wrld"), (1, 2, 4, "helo"), (2, 1, 4, "helo"), (2, 7, 4, "wrld")]
+
+
+def test_many_replacements_fold_in_order(spark):
+    pairs = [("a", "b"), ("b", "cc"), ("cc", "a"), ("", "x"), ("z", "")] + [(f"q{i}", f"r{i}") for i in range(3000, 1000, -1)]
+    rows = [(i, t) for i, t in enumerate(["abc", "q1500 q2999z", None, "", "zzz"])]
+    want = {}
+    for i, t in rows:
+        for old, new in pairs:
+            t = t.replace(old, new) if t is not None and old else t
+        want[i] = t
+    table = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "at int, old string, new string")
+    for part in (1 << 22, 20000):
+        got = M.apply_terms(spark.createDataFrame(rows, "k int, translation string"), table, part_chars=part).collect()
+        assert {r.k: r.translation for r in got} == want and {r.k: r.changed for r in got} == {i: want[i] != t for i, t in rows}
 
 
 def test_spans(spark):
