@@ -81,7 +81,7 @@ query("w9b_glossary_conflicts", f"with {DUP} select entry_idx, source, translati
 
 TERMS = [("die", "DIE"), ("DIE ", "das "), ("qu", "k")]
 F21 = "replace(replace(replace(translation,'die','DIE'),'DIE ','das '),'qu','k')"
-query("f21_apply_terms", f"select page, source_id, {F21} as translation, {F21}<>translation as changed from dialogue")(
+query("f21_apply_terms", f"select page, source_id, {F21} as translation, {F21} is distinct from translation as changed from dialogue")(
     lambda v: M.apply_terms(v.dialogue, TERMS).select("page", "source_id", "translation", "changed"))
 query("f21b_change_summary", f"select page, count(*) as changed_rows from dialogue where {F21}<>translation group by page")(lambda v: M.change_summary(M.apply_terms(v.dialogue, TERMS)))
 

@@ -28,11 +28,12 @@ from blocks where (page + block_id) % 11 <> 0""",
     "pages_v": """
 select o_orderkey as page, cast(o_custkey % 20 as int) as job_id, 1050 as page_w, 1500 as page_h from orders""",
     "dialogue": """
-select conv_id as page, cast(turn as int) as source_id, text as source, nxt as translation from (
+select conv_id as page, cast(turn as int) as source_id, text as source,
+       case when role = 'user' and nrole = 'assistant' then nxt end as translation from (
   select conv_id, turn, role, text,
          lead(role) over (partition by conv_id order by turn) as nrole,
          lead(text) over (partition by conv_id order by turn) as nxt from conversations) t
-where role = 'user' and nrole = 'assistant'""",
+where role <> 'assistant'""",
     "glossary": """
 select * from (values (1,'Eriner','TermA','name'),(2,'nicht','TermB',''),(3,'token','TermC',''),
   (4,'ther','TermD','part'),(5,'straße','TermE',''),(6,'eriner','TermA','dup')) t(entry_idx,source,translation,note)""",
