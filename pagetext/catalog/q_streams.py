@@ -103,15 +103,38 @@ def _history_pages(df, order):
     return df.select((c("user_id") % 7).cast("int").alias("project"), c(order).alias("page"), (c("value") * 20).cast("long").alias("tokens"), (c("event_id") % 9 != 0).cast("int").alias("complete"), (c("event_id") % 5 != 0).alias("requested"))
 
 
-@query("st8_rolling_history")
+BUDGET, RESERVED = 4000, 200
+LOW, HIGH = BUDGET // 2 - RESERVED, BUDGET - RESERVED
+# One row a step: the held window, the page asked for last, what a rebuild would take, and whether an oversized page cuts it.
+ROLLING = f"""with recursive p as (select *, row_number() over (partition by project order by page) as rn, lag(page) over w as ppage, lag(tokens) over w as ptok, lag(complete) over w as pdone
+  from (select (user_id%7)::int as project, event_id as page, cast(trunc(value*20) as bigint) as tokens, event_id%9<>0 as complete, event_id%5<>0 as requested from events)
+  window w as (partition by project order by page)),
+r as (select project, 0::bigint as rn, null::bigint[] as held, null::bigint as asked, []::bigint[] as recent, false as barrier, null::bigint as page, null::varchar as action, null::varchar as reason, 0::bigint as appended, 0::bigint as evicted, false as shown
+  from (select distinct project from p)
+ union all select project, rn, held, asked, recent, barrier, page, action, reason, appended, evicted, shown from (
+  select n.project, n.rn, case when not n.requested then s.held when n.why is not null then s.recent when n.grow then list_append(s.held, n.ptok)
+    when n.fits then list_append(s.held[n.cut + 1:], n.ptok) else s.held[n.cut + 1:] end as held,
+   case when n.requested then n.page else s.asked end as asked,
+   case when not n.complete or n.tokens > {HIGH} then s.recent else n.fresh[coalesce(list_min(list_filter(range(0, len(n.fresh)), lambda i: list_sum(n.fresh[i + 1:]) <= {LOW})), len(n.fresh) - 1) + 1:] end as recent,
+   case when not n.complete then s.barrier else n.tokens > {HIGH} end as barrier, n.page,
+   case when n.why is not null then case when len(s.recent) > 0 then 'rebuild' else 'empty' end when n.grow then 'grow' when n.fits or n.cut > 0 then 'evict' else 'reuse' end as action,
+   case when n.why is not null then n.why when not n.fits then 'oversized-page' end as reason, (n.why is null and n.fits)::bigint as appended, case when n.why is null and not n.grow then n.cut else 0 end as evicted, n.requested as shown
+  from r s join (select q.*, t.rn as at, case when t.held is null then 'window-empty' when q.ppage is null or q.ppage <> t.asked then 'non-adjacent' when not q.pdone then 'previous-ineligible' end as why,
+     q.ptok <= {HIGH} as fits, q.ptok <= {HIGH} and coalesce(list_sum(t.held), 0) + q.ptok <= {HIGH} as grow,
+     case when q.ptok <= {HIGH} or coalesce(list_sum(t.held), 0) > {HIGH} then coalesce(list_min(list_filter(range(0, len(t.held) + 1), lambda i: coalesce(list_sum(t.held[i + 1:]), 0) <= {LOW} - case when q.ptok <= {HIGH} then q.ptok else 0 end)), len(t.held)) else 0 end as cut,
+     case when t.barrier then [q.tokens] else list_append(t.recent, q.tokens) end as fresh from r t join p q on q.project = t.project and q.rn = t.rn + 1) n on n.project = s.project and n.at = s.rn))
+select project, page, action, reason, coalesce(len(held), 0)::int as page_count, (coalesce(list_sum(held), 0) + {RESERVED})::bigint as token_count, appended::int as appended, evicted::int as evicted from r where shown"""
+
+
+@query("st8_rolling_history", ROLLING)
 def _(v):
-    return H.rolling_history(_history_pages(v.events, "event_id"), 4000, 200)
+    return H.rolling_history(_history_pages(v.events, "event_id"), BUDGET, RESERVED)
 
 
-@query("st8b_stream_history")
+@query("st8b_stream_history", ROLLING)
 def _(v):
     raw = v.spark.readStream.schema(v.events.schema).parquet(f"{v.sf_dir}/events.parquet*")
-    return E.run_available(H.stream_history(_history_pages(raw, "event_id"), 4000, 200), "history")
+    return E.run_available(H.stream_history(_history_pages(raw, "event_id"), BUDGET, RESERVED), "history")
 
 
 @query("st7_incremental_publish", """select batch, page, 'f'||page||'.png' as output_name, sha256 from (select user_id as page, (max(user_id)%12)::int as batch, 'h'||user_id as sha256 from events where event_type='purchase' group by user_id) t""")
