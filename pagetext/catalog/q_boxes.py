@@ -169,7 +169,19 @@ def _(v):
     return O.panel_order(d).select("page", "panel_id", "row_no", "position")
 
 
-@query("w2_sort_regions")
+# Page by page, one region a step: the placed list and the index before which (or after whose entry) the next region goes.
+SORTED = """with recursive s as (select page, block_id, (x1+x2)/2.0::double as cx, (y1+y2)/2.0::double as cy, y1, y2, bool_or(vertical) over (partition by page) as rtl from blocks),
+o as (select *, row_number() over (partition by page order by cy, block_id) as rn, count(*) over (partition by page) as n from s),
+r as (select page, 1::bigint as rn, n, [{'id': block_id, 'cx': cx, 'y1': y1, 'y2': y2}] as placed from o where rn = 1
+ union all select page, rn, n, case when slot is null then list_append(placed, x) else list_concat(list_append(placed[:slot - 1], x), placed[slot:]) end
+  from (select z.*, z.hit + (z.hit is not null and z.cy < placed[z.hit].y1)::int as slot from (
+   select o.page, o.rn, o.n, r.placed, o.cy, {'id': o.block_id, 'cx': o.cx, 'y1': o.y1, 'y2': o.y2} as x,
+    list_min(list_filter(range(1, len(r.placed) + 1), lambda i: o.cy <= r.placed[i].y2 and (o.cy < r.placed[i].y1 or case when o.rtl then o.cx > r.placed[i].cx else o.cx < r.placed[i].cx end))) as hit
+   from r join o on o.page = r.page and o.rn = r.rn + 1) z))
+select page, unnest(placed).id as block_id, unnest(range(1, len(placed) + 1))::int as position from r where rn = n"""
+
+
+@query("w2_sort_regions", SORTED)
 def _(v):
     return O.sort_regions(v.blocks)
 

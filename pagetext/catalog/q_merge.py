@@ -66,12 +66,23 @@ def _(v):
     return label_components(v.blocks, pairs, ["page"], "block_id").select("page", "block_id", "component")
 
 
-@query("w15_remove_contained")
+def _kept_sql(rows: str, covered: str) -> str:
+    """Page by page, one box a step in the order of ``rn``: a box joins the kept list unless a kept one covers it."""
+    both = "greatest(0, least(o.x2, k.x2) - greatest(o.x1, k.x1)) * greatest(0, least(o.y2, k.y2) - greatest(o.y1, k.y1))"
+    return f"""with recursive o as ({rows}), r as (select page, 0::bigint as rn, [{{'id': 0, 'x1': 0, 'y1': 0, 'x2': 0, 'y2': 0}}][:0] as kept from (select distinct page from o)
+ union all select o.page, o.rn, case when len(list_filter(r.kept, lambda k: {covered.format(both=both)})) > 0 then r.kept
+  else list_append(r.kept, {{'id': o.block_id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) end from r join o on o.page = r.page and o.rn = r.rn + 1),
+l as (select page, arg_max(kept, rn) as kept from r group by page), u as (select page, unnest(kept) as k from l)
+select page, k.id as block_id, k.x1 as x1, k.y1 as y1, k.x2 as x2, k.y2 as y2 from u"""
+
+
+@query("w15_remove_contained", _kept_sql("""select *, (x2-x1)*(y2-y1) as area, row_number() over (partition by page order by (x2-x1)*(y2-y1) desc, block_id) as rn
+ from blocks where (x2-x1)*(y2-y1) > 0""", "{both} / o.area::double >= 0.5"))
 def _(v):
     return M.remove_contained(v.blocks, 0.5).select("page", "block_id", "x1", "y1", "x2", "y2")
 
 
-@query("w15b_remove_contained_arrival")
+@query("w15b_remove_contained_arrival", _kept_sql("select *, (x2-x1)*(y2-y1) as area, row_number() over (partition by page order by block_id) as rn from blocks", "{both} / (o.area + 1e-6::double) > 0.4"))
 def _(v):
     return M.remove_contained(v.blocks, 0.4, by="arrival").select("page", "block_id", "x1", "y1", "x2", "y2")
 

@@ -35,12 +35,15 @@ def panel_text_order(blocks: DataFrame, panels: DataFrame) -> DataFrame:
 
 
 def _insert_sorted(rows: list) -> list[tuple]:
-    """Insert regions of one band by centre y; inside a line the x centre decides."""
+    """Insert regions of one band by centre y; inside a line the x centre decides.
+
+    A region above the top edge of a placed one (only boxes with swapped edges have it below their centre) goes behind that one.
+    """
     placed: list = []
     for r in rows:
         at = next((k for k, e in enumerate(placed)
-                   if r.cy <= e.y2 and (r.cx > e.cx if r.rtl else r.cx < e.cx)), len(placed))
-        placed.insert(at, r)
+                   if r.cy <= e.y2 and (r.cy < e.y1 or (r.cx > e.cx if r.rtl else r.cx < e.cx))), None)
+        placed.insert(len(placed) if at is None else at + (r.cy < placed[at].y1), r)
     return [(r.page, r.block_id, r.band, i) for i, r in enumerate(placed, 1)]
 
 
@@ -59,8 +62,8 @@ def sort_regions(blocks: DataFrame, rtl: bool | None = None) -> DataFrame:
     d = prefix_scan(d, ["page"], order, maxes_before={"__bottom": F.col("y2")})
     new = F.when(F.col("__bottom").isNull() | (F.col("cy") > F.col("__bottom")), 1).otherwise(0)
     d = prefix_scan(d, ["page"], order, sums={"band": new})
-    d = cut_lineage(per_key(d.select("page", "block_id", "band", "cx", "cy", "y2", "rtl"), ["page", "band"], F.count(F.lit(1)).alias("n")))
-    many = d.filter("n > 1").select("page", "block_id", "band", "cx", "cy", "y2", "rtl")
+    d = cut_lineage(per_key(d.select("page", "block_id", "band", "cx", "cy", "y1", "y2", "rtl"), ["page", "band"], F.count(F.lit(1)).alias("n")))
+    many = d.filter("n > 1").select("page", "block_id", "band", "cx", "cy", "y1", "y2", "rtl")
     folded = fold_groups(many, ["page", "band"], ["cy", "block_id"], _insert_sorted,
                          "page long, block_id int, band long, in_band int")
     folded = folded.unionByName(d.filter("n = 1").select("page", "block_id", "band", F.lit(1).alias("in_band")))

@@ -84,23 +84,39 @@ def test_far_panel_is_found(spark):
     assert B.nearest_panel(b, p).first().panel_id == 6
 
 
+def _sorted_regions(rows, rtl):
+    placed = []
+    for r in sorted(rows, key=lambda r: ((r[3] + r[5]) / 2, r[1])):
+        cx, cy = (r[2] + r[4]) / 2, (r[3] + r[5]) / 2
+        for i, s in enumerate(placed):
+            if cy > s[5]:
+                continue
+            if cy < s[3]:
+                placed.insert(i + 1, r)
+                break
+            if cx > (s[2] + s[4]) / 2 if rtl else cx < (s[2] + s[4]) / 2:
+                placed.insert(i, r)
+                break
+        else:
+            placed.append(r)
+    return placed
+
+
 def test_sort_regions(df, pages):
     got = {(r.page, r.block_id): r.position for r in O.sort_regions(df).collect()}
     for p, rows in pages.items():
-        rtl = any(r[6] for r in rows)
-        placed = []
-        for r in sorted(rows, key=lambda r: ((r[3] + r[5]) / 2, r[1])):
-            cx, cy = (r[2] + r[4]) / 2, (r[3] + r[5]) / 2
-            for i, s in enumerate(placed):
-                sx = (s[2] + s[4]) / 2
-                if cy <= s[5] and (cx > sx if rtl else cx < sx):
-                    placed.insert(i, r)
-                    break
-            else:
-                placed.append(r)
+        placed = _sorted_regions(rows, any(r[6] for r in rows))
         assert [got[p, r[1]] for r in placed] == list(range(1, len(rows) + 1))
 
 
+def test_sort_regions_with_swapped_edges(df, pages):
+    swapped = df.withColumns({"y1": F.when(F.col("block_id") % 2 == 0, F.col("y2")).otherwise(F.col("y1")), "y2": F.when(F.col("block_id") % 2 == 0, F.col("y1")).otherwise(F.col("y2"))})
+    got = {(r.page, r.block_id): r.position for r in O.sort_regions(swapped, rtl=False).collect()}
+    for p, rows in pages.items():
+        turned = [r if r[1] % 2 else (*r[:3], r[5], r[4], r[3], *r[6:]) for r in rows]
+        assert [got[p, r[1]] for r in _sorted_regions(turned, False)] == list(range(1, len(rows) + 1))
+
+
 @pytest.mark.parametrize("by", ["area", "arrival"])
 def test_remove_contained(df, pages, by):
     got = {(r.page, r.block_id) for r in M.remove_contained(df, 0.4, by=by).collect()}
