@@ -137,13 +137,21 @@ def _(v):
     return E.run_available(H.stream_history(_history_pages(raw, "event_id"), BUDGET, RESERVED), "history")
 
 
-@query("st7_incremental_publish", """select batch, page, 'f'||page||'.png' as output_name, sha256 from (select user_id as page, (max(user_id)%12)::int as batch, 'h'||user_id as sha256 from events where event_type='purchase' group by user_id) t""")
+@query("st7_incremental_publish", """with p as (select distinct user_id as page from events), f as (select distinct user_id as page from events where event_type='purchase'),
+t as (select page, case when page%5=0 then 'x'||page when page%3=0 then 'h'||page when page%7=0 then 'old'||page end as there, case when page%7=0 then 'old'||page end as recorded, page in (select page from f) as done from p)
+select 'f'||page||'.png' as output_name, case when done and (there is null or there='h'||page or there is not distinct from recorded) then 'h'||page else there end as sha256, done and there is not null and there<>'h'||page and there is distinct from recorded as conflict
+from t where done or there is not null""")
 def _(v):
-    from pagetext.sources.sinks import scratch_dir
-
-    base = scratch_dir(v.spark, "publish")
-    pages = v.events.select(c("user_id").alias("page")).distinct().select("page", F.concat(F.lit("f"), "page", F.lit(".png")).alias("output_name"), F.lit(None).cast("string").alias("output_sha256"))
-    done = (_event_stream(v).filter("event = 'stage_finished'").dropDuplicates(["page"])
-            .select("page", "batch", F.concat(F.lit("h"), "page").alias("sha256")))
+    """Some outputs lie at the destination already: foreign ones, equal ones and ones the manifest knows."""
+    from pagetext.sources.sinks import scratch_dir, write_published
+
+    base, page = scratch_dir(v.spark, "publish"), c("page")
+    names = v.events.select(c("user_id").alias("page")).distinct().select("page", F.concat(F.lit("f"), "page", F.lit(".png")).alias("output_name"))
+    text = lambda word: F.concat(F.lit(word), page.cast("string"))
+    there = names.withColumn("sha256", F.when(page % 5 == 0, text("x")).when(page % 3 == 0, text("h")).when(page % 7 == 0, text("old"))).filter("sha256 is not null")
+    write_published(there.withColumn("batch", F.lit(-1)).withColumn("publish_id", F.lit(-1)), base + "/pages", "publish_id")
+    pages = names.withColumn("output_sha256", F.when(page % 7 == 0, text("old")))
+    done = _event_stream(v).filter("event = 'stage_finished'").dropDuplicates(["page"]).select("page", "batch", text("h").alias("sha256"))
     E.publish_stream(done, base + "/manifest", base, base + "/state", pages)
-    return v.spark.read.parquet(base + "/pages").select("batch", "page", "output_name", "sha256")
+    clash = v.spark.read.parquet(base + "/_conflicts").select("output_name", F.lit(True).alias("conflict")).distinct()
+    return E.published(v.spark, base).join(clash, "output_name", "left").select("output_name", "sha256", F.coalesce("conflict", F.lit(False)).alias("conflict"))

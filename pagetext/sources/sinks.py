@@ -87,5 +87,5 @@ def plan_publish(verified: DataFrame, manifest: DataFrame, existing: DataFrame)
 
 
 def write_published(rows: DataFrame, path: str, partition: str) -> None:
-    """Replace only the partitions present in ``rows``; a replay writes the same partitions again."""
-    rows.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Replace only the partitions present in ``rows``; a replay writes the same partitions again. Large partitions are written by several tasks."""
+    rows.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -179,18 +180,29 @@ def trailing_repeats(chunks: DataFrame, repeats: int = 31) -> DataFrame:
     return n.withColumn("looping", c("run") >= repeats)
 
 
+def published(spark: SparkSession, target: str, but: int | None = None) -> DataFrame:
+    """Latest content per output below ``target``: output_name, sha256; ``but`` leaves one publication out."""
+    try:
+        rows = spark.read.parquet(f"{target}/pages")
+    except AnalysisException:  # nothing has been published yet
+        return spark.createDataFrame([], "output_name string, sha256 string")
+    rows = rows if but is None else rows.filter(F.col("publish_id") != but)
+    return rows.groupBy("output_name").agg(F.max_by("sha256", "publish_id").alias("sha256"))
+
+
 def publish_stream(finished: DataFrame, manifest_path: str, target: str, checkpoint: str, initial: DataFrame) -> None:
     """Publish every micro-batch of verified pages (page, sha256, batch, ...), idempotent on replay.
 
-    The manifest is written once per batch id as a full version; a replayed batch starts from the version before it
-    and writes the same files again. Conflicts go to ``<target>/_conflicts`` under the batch id.
+    What lies at the destination is read there: an output holding neither the new nor the recorded content is a conflict, stays as it is
+    and goes to ``<target>/_conflicts`` under the batch id. The manifest is written once per batch id as a full version; a
+    replayed batch starts from the version before it, does not look at its own files and writes the same again.
     """
     initial.write.mode("overwrite").parquet(f"{manifest_path}/version=-1")
 
     def publish(df: DataFrame, batch_id: int) -> None:
         s = df.sparkSession
         manifest = s.read.parquet(f"{manifest_path}/version={batch_id - 1}")
-        existing = manifest.select("output_name", F.col("output_sha256").alias("existing_sha256")).filter("existing_sha256 is not null")
+        existing = published(s, target, but=batch_id).select("output_name", F.col("sha256").alias("existing_sha256"))
         writes, conflicts, after = plan_publish(df.select("page", "sha256"), manifest, existing)
         rows = df.join(writes.select("page", "output_name"), "page").withColumn("publish_id", F.lit(batch_id))
         write_published(rows, f"{target}/pages", "publish_id")
