@@ -98,7 +98,15 @@ def _(v):
     return M.stitch_slices(v.blocks.withColumn("start_y", F.col("block_id") % 3 * 40))
 
 
-@query("j6_match_detections")
+@query("j6_match_detections", """with recursive x as (select t.page, t.block_id as gt, f.cand_id as det, t.label='N' as dont_care, (f.x2-f.x1)*(f.y2-f.y1) as area, (t.x2-t.x1)*(t.y2-t.y1) as own,
+  greatest(0, least(t.x2,f.x2)-greatest(t.x1,f.x1))*greatest(0, least(t.y2,f.y2)-greatest(t.y1,f.y1)) as common from blocks t join candidates f on f.page=t.page),
+i as (select distinct page, det from x where common>0 and dont_care and area>0 and common/area::double>0.5),
+c as (select x.page, gt, x.det, row_number() over (partition by x.page order by gt, x.det) as rn from x left join i on i.page=x.page and i.det=x.det where i.det is null and common>0 and not dont_care and own+area-common>0 and common/(own+area-common)::double>0.5),
+r as (select page, 0::bigint as rn, []::int[] as gts, []::int[] as dets from (select distinct page from c)
+ union all select c.page, c.rn, case when list_contains(gts, gt) or list_contains(dets, det) then gts else list_append(gts, gt) end, case when list_contains(gts, gt) or list_contains(dets, det) then dets else list_append(dets, det) end
+  from r join c on c.page=r.page and c.rn=r.rn+1),
+l as (select page, arg_max(gts, rn) as gts, arg_max(dets, rn) as dets from r group by page)
+select page, unnest(gts) as gt, unnest(dets) as det from l""")
 def _(v):
     truth = v.blocks.withColumn("ignore", F.col("label") == "N")
     return M.match_detections(truth, v.candidates.withColumnRenamed("cand_id", "block_id"))[0]
