@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 NONE = np.iinfo(np.int32).max
 LONG = 48  # bytes; a longer word is folded on its own with a heap, so its cost stays near linear
-STRETCH = 4 << 20  # characters of text whose distinct words are folded together
-KEPT = 200_000  # distinct words remembered by a task
+STRETCH = 1 << 20  # characters of text whose distinct words are folded together
+KEPT = 100_000  # distinct words remembered by a task
 PIECES = 1 << 16  # words of one text taken at a time
 
 
@@ -214,14 +214,15 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "id
     return encoded.mapInArrow(run, schema)
 
 
-def digest_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digest_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes of every whole text.
 
     The same encoding as ``encode_documents``, but ids and decoded bytes are fed to the digests as they come, so a very long text is never
-    held twice. Null counts as empty.
+    held twice. Null counts as empty. ``with_ids`` adds the ids themselves, as encoding and decoding in one pass over the texts.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = StructType([d.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    schema = StructType([d.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()),
+                         *([StructField("ids", ArrayType(IntegerType()))] if with_ids else [])])
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,17 +241,20 @@ def digest_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc
                 part = b.slice(at, 256)
                 rows = []
                 for blocks in enc.tokens(part.column(1).to_pylist()):
-                    n, ids, back, first = 0, hashlib.sha256(), hashlib.sha256(), True
+                    n, ids, back, first, flat = 0, hashlib.sha256(), hashlib.sha256(), True, []
                     for block in blocks:
                         found = list(words(block))
                         n += sum(map(len, block))
                         ids.update((b"" if first or not found else b",") + b",".join([x[1] for x in found]))
                         back.update(b"".join([x[2] for x in found]))
                         first = first and not found
-                    rows.append((n, ids.hexdigest(), back.hexdigest()))
+                        if with_ids:
+                            flat.append(np.fromiter((i for w in block for i in w), np.int32))
+                    rows.append((n, ids.hexdigest(), back.hexdigest(), np.concatenate(flat) if flat else np.zeros(0, np.int32)))
                     if len(said) > KEPT:
                         said.clear()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]),
+                                                  *([pa.array([r[3] for r in rows], pa.list_(pa.int32()))] if with_ids else [])], names=schema.names)
 
     return d.mapInArrow(run, schema)
 
