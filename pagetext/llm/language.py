@@ -19,8 +19,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pagetext.llm.common import WORD, id_fold, id_key
 
 HASHED = 1 << 16  # rows of the weight table; one more row of zeros stands for "no feature"
-CHAIN = 1 << 14  # words of one chain; a longer text is several chains, so that memory stays bounded
-CHUNK = 4 << 20  # characters of text labelled together
+CHAIN = 1 << 11  # words of one chain; a longer text is several chains, so that memory stays bounded
+CHUNK = 2 << 20  # characters of text labelled together
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -239,8 +239,8 @@ def identify_language(docs: DataFrame, model: Model | None, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 found, shares = predict(part.column(place).to_pylist(), m)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(shares, pa.float64())], names=schema.names)
 
