@@ -18,6 +18,7 @@ from pyspark.sql import Window
 from pagetext.llm.common import id_key, stored
 
 LEAF = 64
+PAIRS = 1 << 21  # distances of rows from cells or boxes computed at a time
 
 
 def chi2_cdf(x: np.ndarray, m: int) -> np.ndarray:
@@ -117,12 +118,13 @@ def search_block(ids: np.ndarray, x: np.ndarray, px: np.ndarray, qids: np.ndarra
     return best, best_id
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 8, sure: float = 0.95, block_rows: int = 8192, sample_rows: int = 20000,
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 8, sure: float = 0.95, block_rows: int = 8192, sample_rows: int = 20000, max_blocks: int = 1 << 16,
                        vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` rows of largest inner product found for each query row: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on the columns of ``vectors``. All usable rows are indexed; a kd-tree fitted on a bounded sample of projected rows
-    deals them into cells, and a cell above ``block_rows`` rows (many copies of a vector, say) is dealt on by id. Queries first search the
+    deals them into cells, and a cell above ``block_rows`` rows (many copies of a vector, say) is dealt on by id. From ``max_blocks`` blocks
+    on the blocks grow instead, since the driver holds a box of each. Queries first search the
     block nearest in the projection; with the k-th distance found there the stopping test (probability ``sure``) rules out most other blocks, the rest are
     searched too. Scores are exact inner products of the given components as doubles; ties go to the smaller id.
 
@@ -137,6 +139,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, m: int
     if not dims:
         return spark.createDataFrame([], schema)
     dim, rows, top = dims[0]
+    block_rows = max(block_rows, -(-rows // max_blocks))
     g = projection(dim, m)
 
     def project(v: np.ndarray, query: bool) -> np.ndarray:
@@ -155,12 +158,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, m: int
         for b in batches:
             v = mat(b.column(1))
             p = project(v, False)
-            cell = np.concatenate([((p[i:i + 1024, None, :] - centre) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(p), 1024)]) if len(p) else np.zeros(0, np.int64)
+            step = max(1, PAIRS // centre.size)
+            cell = np.concatenate([((p[i:i + step, None, :] - centre) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(p), step)]) if len(p) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], names=["id", "v", "asks", "cell", "p"])
 
     dealt = stored(d.mapInArrow(deal, "id bigint, v array<double>, asks boolean, cell bigint, p array<double>"), "vectors")
     parts = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("parts"))  # one row a cell
-    dealt = dealt.join(F.broadcast(parts), "cell").withColumn("block", F.struct("cell", F.pmod(F.xxhash64("id"), "parts").alias("part"))).drop("cell", "parts")
+    dealt = dealt.join(parts, "cell").withColumn("block", F.struct("cell", F.pmod(F.xxhash64("id"), "parts").alias("part"))).drop("cell", "parts")
     box = dealt.groupBy("block").agg(*[f(F.col("p")[j]).alias(f"{n}{j}") for j in range(m) for n, f in (("a", F.min), ("b", F.max))]).orderBy("block").collect()
     keys = [(r["block"]["cell"], r["block"]["part"]) for r in box]  # rows / block_rows of them
     low, high = (np.array([[r[f"{n}{j}"] for j in range(m)] for r in box]) for n in "ab")
@@ -169,7 +173,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, m: int
 
     def visits(first: bool):
         def run(batches):
-            for b in batches:
+            step = max(1, PAIRS // max(len(low), 1))
+            for b in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
                 q = mat(b.column(1))
                 near = _box_distance(project(q, True), low, high)
                 order = np.zeros(near.shape, bool)
