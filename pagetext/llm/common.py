@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import string
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -48,9 +49,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer referred to, instead of whenever the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of frames that are no longer referred to, instead of whenever the driver collects garbage.
+
+    The JVM hears of a frame that Python has let go of a moment later, so a second round is what frees its files.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Mapping[str, Column],

@@ -192,7 +192,7 @@ def _scores(order: int, buckets: int, n: int, v: int, weights: dict[int, np.ndar
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 2, block_chars: int = 10 << 20, fold: int = 2, held_fold: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 2, block_chars: int = 6 << 20, fold: int = 2, held_fold: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Log10 probability of every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Lower-case A-Z; tokens are the words and one end. Counts come from all documents whose crc32 of the id modulo 7 is not ``fold``. The
