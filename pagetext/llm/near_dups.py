@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing."""
+"""Near-duplicates: SimHash by meet-in-the-middle ball hashing, and groups by Jaccard similarity from seeded sketches with an exact check."""
 
 from __future__ import annotations
 
@@ -10,27 +10,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetext.llm.common import stored
+from pagetext.llm.common import running_totals, stored
 from pagetext.session import cut_lineage
 
 BLOCK = 1 << 16  # shingles hashed at a time, so that a very long text needs no more memory than this
+BANDS, ROWS = 21, 6  # two texts of similarity s share a band with 1 - (1 - s^6)^21: 0.998 at 0.8, 0.9999 at 0.85
+SKETCH = 128  # seeded minima: those of the bands and two more, so that their bits fill two longs
+FAR = 32  # differing bits of 128; at similarity 0.8 12.8 are expected, with a deviation of 3.4
+_SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _fingerprint(text: str | None, width: int) -> int:
-    """Bit majority of the XXH64 (seed 42) of all word shingles of the whole text; no words: zero. Signed 64 bits."""
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII white space splits
+
+
+def _hashed(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of all word shingles, in blocks; fewer words than ``width`` are one shingle."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not words:
-        return 0
-    n = max(len(words) - width + 1, 1)
-    ones = np.zeros(64, np.int64)
+    n = max(len(words) - width + 1, 1) if words else 0
     for at in range(0, n, BLOCK):
         part = words[at:min(at + BLOCK, n) + width - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(width)))) if len(words) >= width else iter([b" ".join(words)])
-        hashes = np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+        yield np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+
+
+def _fingerprint(text: str | None, width: int) -> int:
+    """Bit majority of the hashes of all word shingles of the whole text; no words: zero. Signed 64 bits."""
+    words = _words(text)
+    if not words:
+        return 0
+    ones = np.zeros(64, np.int64)
+    for hashes in _hashed(words, width):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > max(len(words) - width + 1, 1), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,3 +138,108 @@ def one_per_group(docs: DataFrame, width: int = 3, distance: int = 2, doc_id: st
     stay = docs.filter(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
     stay = stay.withColumn("__same", F.xxhash64(text)).dropDuplicates([doc_id, "__same"]).drop("__same")
     return stay.unionByName(docs.filter(F.col(doc_id).isNull()))
+
+
+def _sketch(text: str | None, width: int) -> tuple[bytes, int, int, list[int]]:
+    """(digest of the words, two longs of bits, band keys) of a whole text."""
+    from xxhash import xxh64_intdigest, xxh128_digest
+
+    words = _words(text)
+    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for hashes in _hashed(words, width):
+        for at in range(0, len(hashes), 2048):
+            low = np.minimum(low, ((hashes[at:at + 2048, None] ^ _SEEDS[0]) * _SEEDS[1]).min(axis=0))
+    bits = np.packbits((low >> np.uint64(17)).astype(np.uint8) & 1).view("<i8")
+    keys = [xxh64_intdigest(low[b * ROWS:(b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    return xxh128_digest(b" ".join(words)), int(bits[0]), int(bits[1]), [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def _sketches(rows: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(__row, __id, __text, digest, a, b, bands) of every row of ``rows`` (with ``__row``); ``__text`` is a hash of the text as it stands."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(zip(*(_sketch(t.as_py(), width) for t in b.column(3)))) or [()] * 4
+            more = [pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *more], names=["__row", "__id", "__text", "digest", "a", "b", "bands"])
+
+    d = rows.select("__row", F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__text"), F.col(text).alias("t"))
+    kind = d.schema["__id"].dataType.simpleString()
+    return d.mapInArrow(run, f"__row bigint, __id {kind}, __text bigint, digest binary, a bigint, b bigint, bands array<bigint>")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets of shingles have a Jaccard similarity of ``least`` or more. texts: node, t."""
+    def shingles(text: str | None) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashed(_words(text), width)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for b in batches:
+            same = []
+            for u, tu, tv in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+                if u != last:  # the join leaves pairs of one u beside each other
+                    last, x = u, shingles(tu.as_py())
+                y = shingles(tv.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(same, pa.bool_()))
+
+    d = pairs.join(texts.select(F.col("node").alias("v"), F.col("t").alias("tv")), "v").join(texts.select(F.col("node").alias("u"), F.col("t").alias("tu")), "u")
+    return d.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
+
+
+def similar_links(buckets: DataFrame, texts: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """Verified links (u < v) between nodes that share a bucket (``bucket``, ``node``, sketch bits ``a`` and ``b``).
+
+    First each member of a bucket is compared with the smallest one and with its neighbour in an order of the bucket's own. A node
+    with a smaller similar one is settled. While a bucket has several open nodes, its smallest open ones (twice as many in each round) are compared with
+    the other open ones. So in the end no two open nodes that share a bucket are similar, while a large group of similar nodes costs
+    a few comparisons each, not one per pair. Pairs whose sketches alone rule the similarity out are not compared word by word.
+    """
+    def pairs_of(x: DataFrame) -> DataFrame:
+        return (x.filter("node <> m.node and bit_count(a ^ m.a) + bit_count(b ^ m.b) <= " + str(FAR))
+                .select(F.least("node", "m.node").alias("u"), F.greatest("node", "m.node").alias("v")).distinct())
+
+    one = F.struct("node", "a", "b")
+    by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node"), "node")
+    beside = buckets.withColumns({"m0": F.min(one).over(Window.partitionBy("bucket")), "m1": F.lag(one).over(by_hash)})
+    beside = beside.select("node", "a", "b", F.explode(F.array("m0", "m1")).alias("m"))
+    pairs, taken = stored(pairs_of(beside.filter("m is not null")), "pairs"), 1
+    found, tested = pairs.limit(0), pairs.limit(0)
+    while True:
+        found = found.unionByName(stored(_similar(pairs, texts, least, width), "links"))
+        tested = tested.unionByName(pairs)
+        ranked = buckets.join(found.select(F.col("v").alias("node")).distinct(), "node", "left_anti")
+        ranked = stored(ranked.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))), "open")
+        while True:
+            taken *= 2
+            lead = ranked.filter(F.col("r") <= taken).select("bucket", F.struct("node", "a", "b").alias("m"))
+            met = pairs_of(ranked.join(lead, "bucket").filter("node > m.node"))
+            pairs = stored(met.join(tested, ["u", "v"], "left_anti"), "pairs")
+            if not pairs.isEmpty():
+                break
+            if ranked.filter(F.col("r") > taken).isEmpty():
+                return found
+
+
+def one_per_similar_group(docs: DataFrame, least: float = 0.8, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of texts whose sets of ``width``-word shingles are linked by a Jaccard similarity of ``least`` or more.
+
+    Every row counts on its own, whether its id is null, repeated or unique; that of the smallest id stays, of rows without one only if the group has no other,
+    of equal ids that of the smallest text hash. Candidates share one of ``BANDS`` keys of ``ROWS`` seeded minima of the shingle hashes and are verified on all their shingles. Texts with
+    the same words are one node of the search; texts without words are one group. Words are those of ``near_duplicates``.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    marked = stored(_sketches(rows, width, doc_id, text), "sketches")
+    order = ["__none", "__id", "__text", "__row"]
+    first = marked.groupBy("digest").agg(F.min(F.struct(F.col("__id").isNull().alias("__none"), "__id", "__text", "__row")).alias("x")).select("x.*")
+    first = running_totals(first, [], order, {"node": F.lit(1).cast("long")}).select("__row", "node")
+    nodes = stored(marked.join(first, "__row").select("__row", "node", "a", "b", "bands"), "nodes")
+    spread = nodes.select("node", "a", "b", F.explode("bands").alias("bucket"))
+    buckets = stored(spread.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("n > 1").drop("n"), "buckets")
+    close = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("__row", "node")
+    texts = stored(rows.select("__row", F.col(text).alias("t")).join(close, "__row").select("node", "t"), "texts")
+    links_found = similar_links(buckets, texts, least, width)
+    gone = components(links_found).filter("node <> component").select("node")
+    stay = nodes.select("__row", "node").join(gone, "node", "left_anti").select("__row")
+    return rows.join(stay, "__row", "left_semi").drop("__row")

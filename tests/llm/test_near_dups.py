@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+import corpus_pipeline as C
 from pagetext.llm import near_dups as N
 
 
@@ -94,3 +95,52 @@ def test_one_per_group(docs, doc_rows):
 
 def test_empty(no_docs):
     assert N.near_duplicates(no_docs).count() == 0 and N.one_per_group(no_docs).count() == 0
+
+
+def test_similar_groups_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 200, 400]))]
+        rows.append(base)
+        for changes in range(1, 7):  # similarity from 0.98 down to about 0.3
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changes if len(base) < 100 else 2 * changes):
+                copy[at] = rng.choice(words)
+            rows.append(copy)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rng.sample(rows, len(rows)))] + [(900, "short text"), (901, "Short  TEXT"), (902, ""), (903, None), (904, "\n")]
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} for i, t in rows for w in [(t or "").lower().split()]}
+    pairs = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        x, y = find(i), find(j)
+        parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = {r.doc_id for r in N.one_per_similar_group(df).collect()}
+    assert len(pairs) > 100 and kept == {i for i in sets if find(i) == i}
+    assert kept < {r.doc_id for r in N.one_per_group(df).collect()}  # three words and two bits leave near copies
+
+
+def test_pipeline_stage_takes_five_words_at_four_fifths(spark):
+    rng = random.Random(6)
+    base = [str(rng.random()) for _ in range(200)]
+    near, far = [*base[:100], "x", *base[101:]], [*base[:20], *"abcdefgh", *base[28:60], "x", *base[61:100], "y", *base[101:140], "z", *base[141:170], "v", *base[171:]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((base, near, far))], "doc_id bigint, text string")
+    assert {r.doc_id for r in C.drop_near_duplicates(spark, df, "").collect()} == {0, 2}
+
+
+def test_open_nodes_are_compared_in_turn(spark):
+    """Two groups and single texts share all buckets; the second leader and later ones still meet their members."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(50)) for _ in range(9)]
+    texts = texts + [texts[3] + " end", texts[7] + " end", texts[7] + " of"]
+    one = spark.createDataFrame([(k, i, 0, 0) for i in range(len(texts)) for k in range(3)], "bucket bigint, node bigint, a bigint, b bigint")
+    links = N.similar_links(one, spark.createDataFrame(list(enumerate(texts)), "node bigint, t string"))
+    assert {r.v for r in links.collect()} == {9, 10, 11}
