@@ -19,6 +19,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pagetext.llm.common import WORD, id_fold, id_key
 
 HASHED = 1 << 16  # rows of the weight table; one more row of zeros stands for "no feature"
+CELLS = 1 << 23  # words times languages of a sample: with more than 12 languages it takes fewer documents of each
+LEAST = 12  # stretches of each language that are sampled, however many there are
 CHAIN = 1 << 11  # words of one chain; a longer text is several chains, so that memory stays bounded
 CHUNK = 2 << 20  # characters of text labelled together
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -42,19 +44,32 @@ class Words:
     key: np.ndarray
 
 
-def featurise(words: list[str]) -> Words:
+def table_size(langs: int) -> int:
+    """Rows of the weight table: halved whenever the languages double beyond 64."""
+    return max(1 << 10, HASHED >> max(0, (langs - 1).bit_length() - 6))
+
+
+def sample_size(langs: int, docs: int, segments: int, segment: int) -> tuple[int, int]:
+    """Documents of each language and stretches of each document: all that was asked for as long as the sample fits ``CELLS``, and ``LEAST`` stretches at least."""
+    room = max(LEAST, CELLS // (max(1, segment) * max(1, langs) ** 2))
+    docs = min(docs, max(LEAST, room // max(1, segments)))
+    return docs, min(segments, max(1, room // docs))
+
+
+def featurise(words: list[str], size: int | None = None) -> Words:
+    hashed = size or HASHED
     codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lens = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     at = np.cumsum(lens) - lens
     end = at + lens
-    place = lambda h: (h % np.uint64(HASHED)).astype(np.int32)
+    place = lambda h: (h % np.uint64(hashed)).astype(np.int32)
     nxt, third = np.append(codes[1:], np.zeros(1, np.uint64)), np.append(codes[2:], np.zeros(2, np.uint64))
     two = _mixed(codes * np.uint64(1 << 21) + nxt)
     bi, tri = place(two), place(_mixed(two ^ (third + np.uint64(7))))
-    bi[end - 1] = HASHED
-    tri[end - 1] = HASHED
-    tri[np.maximum(end - 2, at)] = HASHED
-    four = lambda i: np.where(lens >= 5, place(_mixed(two[i] * np.uint64(3) ^ two[np.minimum(i + 2, len(codes) - 1)])), HASHED)
+    bi[end - 1] = hashed
+    tri[end - 1] = hashed
+    tri[np.maximum(end - 2, at)] = hashed
+    four = lambda i: np.where(lens >= 5, place(_mixed(two[i] * np.uint64(3) ^ two[np.minimum(i + 2, len(codes) - 1)])), hashed)
     inside = np.arange(len(codes)) - np.repeat(at, lens)
     powers = np.cumprod(np.full(int(lens.max(initial=1)), 0x100000001B3, np.uint64))
     key = _mixed(np.add.reduceat((codes + np.uint64(1)) * powers[inside], at)) if len(words) else np.zeros(0, np.uint64)
@@ -64,7 +79,7 @@ def featurise(words: list[str]) -> Words:
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # (HASHED + 1, languages)
+    weights: np.ndarray  # (table size + 1, languages)
     lex_key: np.ndarray  # sorted keys of the lexicon
     lex: np.ndarray  # log share of each language
     lex_weight: float
@@ -106,8 +121,8 @@ def forward_backward(em: np.ndarray, lens: np.ndarray, start: np.ndarray, step:
         x = right @ t_mat.T
         b[i] = x / x.sum(axis=1, keepdims=True)
         if moves:
-            pair = a[i][:, :, None] * t_mat * right[:, None, :]
-            total += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            share = a[i] / (x * a[i]).sum(axis=1, keepdims=True)  # without a table of pairs for each chain
+            total += t_mat * (share.T @ right)
     post = a * b
     post /= post.sum(axis=1, keepdims=True)
     return (post, post[first[n > 0]].sum(axis=0), total) if moves else post
@@ -129,11 +144,12 @@ def train(segments: list[tuple[str, list[str]]], rounds: int = 30, rate: float =
             labels += [number[segments[s][0]]] * len(segments[s][1])
         lens.append(sum(len(segments[s][1]) for s in group))
     tok, lab, n = np.array(tokens, np.int64), np.array(labels, np.int64), np.array(lens, np.int64)
-    size, words = len(langs), featurise(list(ids))
+    size, rows = len(langs), table_size(len(langs))
+    words = featurise(list(ids), rows)
     seen = np.bincount(tok * size + lab, minlength=len(ids) * size).reshape(-1, size).astype(float)
     share = np.log((seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 0.5 * size))
     by_key = np.argsort(words.key)
-    m = Model(langs, np.zeros((HASHED + 1, size)), words.key[by_key], share[by_key], 0.0, np.zeros(size), np.zeros((size, size)))
+    m = Model(langs, np.zeros((rows + 1, size)), words.key[by_key], share[by_key], 0.0, np.zeros(size), np.zeros((size, size)))
     # While training, a word's own occurrence is left out of its lexicon entry; else the lexicon would explain everything.
     held = np.log((seen[tok] - np.eye(size)[lab] + 0.5) / (seen[tok].sum(axis=1, keepdims=True) - 1 + 0.5 * size))
     first = np.cumsum(n) - n
@@ -151,9 +167,9 @@ def train(segments: list[tuple[str, list[str]]], rounds: int = 30, rate: float =
         grad = np.zeros_like(m.weights)
         spread = np.repeat(per_word, words.lens, axis=0)
         for c in range(size):
-            grad[:, c] = (np.bincount(words.bi, spread[:, c], HASHED + 1) + np.bincount(words.tri, spread[:, c], HASHED + 1)
-                          + np.bincount(words.head, per_word[:, c], HASHED + 1) + np.bincount(words.tail, per_word[:, c], HASHED + 1))
-        grad[HASHED] = 0
+            grad[:, c] = (np.bincount(words.bi, spread[:, c], rows + 1) + np.bincount(words.tri, spread[:, c], rows + 1)
+                          + np.bincount(words.head, per_word[:, c], rows + 1) + np.bincount(words.tail, per_word[:, c], rows + 1))
+        grad[rows] = 0
         grad -= decay * m.weights / len(tok)
         g_lex = float((miss * held).sum())
         for key, old, g in (("w", m.weights, grad), ("t", m.step, (true_steps - steps) / len(tok)), ("s", m.start, (true_start - starts) / len(n))):
@@ -164,17 +180,18 @@ def train(segments: list[tuple[str, list[str]]], rounds: int = 30, rate: float =
     return m
 
 
-def fit_language(docs: DataFrame, docs_per_lang: int = 400, segments_per_doc: int = 6, segment: int = 24, max_langs: int = 64,
+def fit_language(docs: DataFrame, docs_per_lang: int = 400, segments_per_doc: int = 6, segment: int = 24,
                  doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Train on a bounded sample of labelled rows (the caller leaves out what must not be learned from).
 
-    Of each of the ``max_langs`` most frequent languages the ``docs_per_lang`` documents with the smallest hash-random keys are
-    taken, of each the ``segments_per_doc`` stretches of ``segment`` words with the smallest keys, anywhere in the text. None without labels.
+    Every labelled language is learned. Of each the ``docs_per_lang`` documents with the smallest hash-random keys are
+    taken, of each the ``segments_per_doc`` stretches of ``segment`` words with the smallest keys, anywhere in the text; with more than 12 languages fewer
+    (``sample_size``), so that memory stays bounded. None without labels.
     """
     d = docs.select(id_key(F.col(doc_id), "language").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
-    known = d.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).select("l")
+    docs_per_lang, segments_per_doc = sample_size(d.select("l").distinct().count(), docs_per_lang, segments_per_doc, segment)
     chosen = (d.select("k", "l").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k"))).filter(F.col("r") <= docs_per_lang)
-              .join(F.broadcast(known), "l").select("k", "l").distinct())
+              .select("k", "l").distinct())
     words = F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0))
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / segment).cast("int") - 1),
                       lambda i: F.struct(F.md5(F.concat_ws(":", "k", i.cast("string")).cast("binary")).alias("h"), F.slice("w", i * segment + 1, segment).alias("s")))
@@ -201,7 +218,7 @@ def _label(texts: list[str | None], m: Model):
     letter = np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
     at = np.array(tok)
     n = np.array(lens)
-    post = forward_backward(m.emissions(featurise(words))[at], n, m.start, m.step)
+    post = forward_backward(m.emissions(featurise(words, len(m.weights) - 1))[at], n, m.start, m.step)
     return np.repeat(np.array(owner), n), n, post, letter[at]
 
 
@@ -210,7 +227,7 @@ def predict(texts: list[str | None], m: Model | None) -> tuple[list[str], list[f
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     at = 0
     while at < len(texts) and m is not None:
-        to, room = at, CHUNK
+        to, room = at, min(CHUNK, 8 * CHUNK // len(m.langs))
         while to < len(texts) and (to == at or len(texts[to] or "") <= room):
             room -= len(texts[to] or "")
             to += 1

@@ -77,3 +77,21 @@ def test_held_out_rows_are_not_learned_from(docs):
     changed = docs.withColumn("text", F.when(G.id_fold(F.col("doc_id"), 4) == 2, F.lit("zzz")).otherwise(F.col("text")))
     a, b = (G.fit_language(G.training_rows(d)) for d in (docs, changed))
     assert a.langs == b.langs and np.array_equal(a.weights, b.weights) and np.array_equal(a.step, b.step)
+
+
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(12)
+    lexicon = {f"l{k:02}": ["".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(3)) for _ in range(12)] for k in range(70)}
+    rows = [(100 * int(lang[1:]) + i, " ".join(rng.choice(words) for _ in range(30)), lang) for lang, words in lexicon.items() for i in range(2 if lang > "l64" else 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    m = G.fit_language(docs)
+    assert m.langs == sorted(lexicon) and len(m.weights) == G.table_size(70) + 1 < G.HASHED
+    got = G.predict([r[1] for r in rows], m)[0]
+    assert np.mean([a == r[2] for a, r in zip(got, rows) if r[2] > "l64"]) == 1
+
+
+def test_samples_shrink_with_the_number_of_languages():
+    assert all(G.sample_size(n, 400, 6, 24) == (400, 6) for n in range(13)) and G.table_size(64) == G.HASHED
+    for n in (20, 64, 100, 235, 1000):
+        docs, segments = G.sample_size(n, 400, 6, 24)
+        assert docs >= G.LEAST and docs * segments * 24 * n * n <= max(1.5 * G.CELLS, G.LEAST * 24 * n * n)
