@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetext.llm.common import id_key, running_totals, word_count
+from pagetext.llm.common import id_key, running_totals, stored, word_count
 from pagetext.session import cut_lineage
 
 GROUP = ["__none", "__src"]  # a source without nulls: (is null, text); false sorts first, so null is last
@@ -78,14 +78,17 @@ def repeat_to_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epoch
                   doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed corpus itself: whole rows of ``docs``, repeated as often as the mix takes them.
 
-    The document on the border of a budget is taken if at least half of it fits. Rows that share source and id are
-    taken together, as one document of their summed size. A document without words is never taken.
+    Every row is a unit of its own, with or without an id and whether or not others share it. Rows are ordered by the hash-random key of
+    their id, those without one by that of their text, so they lie anywhere in the order. The row on the border of a budget is
+    taken if at least half of it fits. A document without words is never taken. Among rows equal in id and text it is left open which one is cut.
     """
-    keyed = _keyed(docs.select("*"), source).withColumn("__id", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    units = (keyed.select(*GROUP, "__id", word_count(F.col(text)).alias("size")).groupBy(*GROUP, "__id")
-             .agg(F.sum("size").alias("size")).withColumn("__key", id_key(F.col("__id"), seed)))
-    planned = _budgeted(units, ["__key", "__id"], weights, max_epochs)
+    # The numbers of the rows are cut into stored rows, so that a second look at them finds the same ones.
+    keyed = stored(_keyed(docs.withColumn("__row", F.monotonically_increasing_id()), source), "rows")
+    words_of = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    key = F.when(F.col(doc_id).isNull(), id_key(words_of, seed)).otherwise(id_key(F.col(doc_id), seed))
+    units = keyed.select(*GROUP, "__row", word_count(F.col(text)).alias("size"), key.alias("__key"), F.xxhash64(text).alias("__text"))
+    planned = _budgeted(units, ["__key", "__text", "__row"], weights, max_epochs)
     times = F.col("__epochs") + F.when(F.col("__fit") * 2 >= F.col("size"), 1).otherwise(0)
-    planned = planned.filter("size > 0").select(*GROUP, "__id", times.cast("int").alias("__times")).filter("__times > 0")
-    return (keyed.join(planned, [*GROUP, "__id"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    planned = planned.filter("size > 0").select("__row", times.cast("int").alias("__times")).filter("__times > 0")
+    return (keyed.join(planned, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
             .select(*docs.columns))

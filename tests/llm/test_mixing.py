@@ -55,6 +55,19 @@ def test_repeated_rows_of_the_mix(docs, doc_rows):
     assert max(n for (i, _), n in times.items() if i != 3) <= 3 and not [1 for i, t in times if not t or not t.split()]
 
 
+def test_rows_without_or_with_one_id_are_cut_one_by_one(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"w{i} " * 20, s) for s in "ab" for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    target = fill({"a": 1800, "b": 1800}, (1, 2))
+    got = M.repeat_to_mix(docs, weights=(1, 2)).collect()
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(20 * len(mine) - target[s]) <= 20
+        # Each kind of row is taken in part: no kind stands or falls as a whole.
+        kinds = [len({r.text for r in mine if kind(r.doc_id)}) for kind in (lambda i: i is None, lambda i: i is not None and i != 7)]
+        assert s == "b" or all(0 < n < 30 for n in kinds)
+
+
 def test_empty(no_docs):
     assert M.mix_sources(no_docs).count() == 0 and M.repeat_to_mix(no_docs).count() == 0
 

@@ -144,3 +144,11 @@ def test_open_nodes_are_compared_in_turn(spark):
     one = spark.createDataFrame([(k, i, 0, 0) for i in range(len(texts)) for k in range(3)], "bucket bigint, node bigint, a bigint, b bigint")
     links = N.similar_links(one, spark.createDataFrame(list(enumerate(texts)), "node bigint, t string"))
     assert {r.v for r in links.collect()} == {9, 10, 11}
+
+
+def test_rows_without_an_id_are_deduplicated(spark):
+    texts = ["a b c d e f g", "A b  c d e f g", "other words altogether", "only once"]
+    rows = [(None, texts[0], 1), (None, texts[0], 2), (5, texts[1], 3), (None, texts[2], 4), (None, texts[2], 5), (None, texts[3], 6), (8, texts[3] + " more", 7), (8, texts[2] + " x", 8)]
+    kept = N.one_per_similar_group(spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(3))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == ["doc_id", "text", "n"] and sorted(got, key=str) == sorted([(5, texts[1]), (None, texts[2]), (None, texts[3]), (8, texts[3] + " more"), (8, texts[2] + " x")], key=str)
