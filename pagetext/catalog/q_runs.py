@@ -9,6 +9,7 @@ from pagetext.catalog.q_replies import BUDGET, RESERVED
 from pagetext.catalog.registry import query
 from pagetext.operators import ledger as L
 from pagetext.operators import terms as M
+from pagetext.operators.prefix import prefix_scan
 from pagetext.plans import runs as P
 from pagetext.sources import documents as D
 from pagetext.sources import sinks as K
@@ -22,9 +23,12 @@ STRIP = r"regexp_replace({0},'^\s+|\s+$','','g')"
 def _(v):
     item = F.concat(c("source_id") * 10 + 7, F.lit(". "), "source")
     pages = v.dialogue.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_id", item.alias("t")))), lambda s: s["t"]), "\n\n").alias("t"))
-    body = F.struct("page", F.concat(F.lit("### conv_"), "page", F.lit("\n\n"), "t").alias("t"))
-    docs = pages.groupBy((c("page") % 7).alias("project")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda s: s["t"]), "\n\n\n").alias("content"))
-    return D.parse_marked_text(docs, ["project"])
+    docs = pages.select((c("page") % 7).alias("project"), c("page").alias("part"), F.concat(F.lit("### conv_"), "page", F.lit("\n\n"), "t").alias("content"))
+    # One document a page; the sections of a project are numbered across its documents.
+    d = D.parse_marked_text(docs, ["project", "part"])
+    sizes = d.groupBy("project", "part").agg((F.max("page_idx") + 1).alias("n"))
+    upto = prefix_scan(sizes, ["project"], [c("part")], sums={"upto": c("n")}).select("project", "part", (c("upto") - c("n")).cast("int").alias("before"))
+    return d.join(upto, ["project", "part"]).select("project", (c("page_idx") + c("before")).alias("page_idx"), "page", "pos", "text")
 
 
 @query("s6_read_events", """select event, (date_trunc('second', ts)) as ts, batch, worker, stage, page, returncode, event_id::varchar as seq from job_events where event_id%10<>3 and event_id%10<>4""")
@@ -70,10 +74,9 @@ pg as (select distinct page%7 as project, 'p'||page%40 as page from dialogue whe
 select pg.project, pg.page, coalesce(arg_max(source, s.page),'') as text from pg left join s on s.project=pg.project and s.page=pg.page group by pg.project, pg.page""".replace("arg_max(source, s.page)", "arg_max(source, num)").replace("page, arg_max(source, source_id) as source from dialogue", "page as num, arg_max(source, source_id) as source from dialogue").replace("group by page)", "group by dialogue.page)"))
 def _(v):
     d = L.latest(v.dialogue.filter("page % 5 <> 0").select("page", "source_id", "source"), ["page"], [c("source_id")])
-    sec = F.struct("page", F.concat(F.lit("### p"), c("page") % 40, F.lit("\n\n"), "source").alias("t"))
-    docs = d.groupBy((c("page") % 7).alias("project")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(sec)), lambda s: s["t"]), "\n\n\n").alias("content"))
+    docs = d.select((c("page") % 7).alias("project"), c("page").alias("part"), F.concat(F.lit("### p"), c("page") % 40, F.lit("\n\n"), "source").alias("content"))
     pages = v.dialogue.filter("page % 4 <> 1").select((c("page") % 7).alias("project"), F.concat(F.lit("p"), c("page") % 40).alias("page")).distinct()
-    return D.parse_summary_md(docs, ["project"], pages).select("project", "page", "text")
+    return D.parse_summary_md(docs, ["project"], pages, "part").select("project", "page", "text")
 
 
 PUB = """m as (select ordinal as page, source_name as output_name, output_sha256 from manifest), vf as (select ordinal as page, case when ordinal%4=0 then 'new' else source_sha256 end as sha256 from manifest where ordinal%6<>0),

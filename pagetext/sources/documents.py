@@ -116,17 +116,17 @@ def parse_marked_text(df: DataFrame, key: Sequence[str]) -> DataFrame:
             .select(*key, "page_idx", "page", (c("i") + 1).alias("pos"), tx.strip(c("t")).alias("text")))
 
 
-def parse_summary_md(df: DataFrame, key: Sequence[str], pages: DataFrame) -> DataFrame:
+def parse_summary_md(df: DataFrame, key: Sequence[str], pages: DataFrame, part: str | None = None) -> DataFrame:
     """Summaries of known pages from ``### page`` sections; a later duplicate wins, an omitted page is empty.
 
-    df: key, content; pages: key, page.
+    df: key, content; pages: key, page. A key may have several documents, one after the other in the order of the column ``part``.
     """
     c = F.col
     sections = F.regexp_extract_all(F.regexp_replace("content", "\r\n", "\n"), F.lit(r"(?ms)^### .*?(?=^### |\z)"), F.lit(0))
-    d = df.select(*key, F.size(sections).alias("n"), F.posexplode(sections).alias("idx", "s"))
+    d = df.select(*key, (F.col(part) if part else F.lit(0)).alias("part"), F.size(sections).alias("n"), F.posexplode(sections).alias("idx", "s"))
     body = F.regexp_replace("s", r"^### [^\n]*(\n\n|\n|$)", "")
     body = F.when(c("idx") + 1 < c("n"), F.regexp_replace(body, r"(\n\n\n|\n\n|\n)\z", "")).otherwise(body)
-    d = d.select(F.struct(*key, F.trim(F.regexp_extract("s", r"^### ([^\n]*)", 1)).alias("page")).alias("page"), "idx", body.alias("text"))
+    d = d.select(F.struct(*key, F.trim(F.regexp_extract("s", r"^### ([^\n]*)", 1)).alias("page")).alias("page"), F.struct("part", "idx").alias("idx"), body.alias("text"))
     last = last_sections(d).select("page.*", "text")
     return pages.join(last, [*key, "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 

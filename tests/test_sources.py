@@ -131,3 +131,22 @@ def test_natural_key_of_long_numbers(spark):
     d = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r.n for r in d.orderBy(L.natural_key(F.col("n"))).collect()]
     assert got == ["p2", "P3", "p010", "p" + "1" * 41, "p" + "9" * 60, "p1" + "0" * 60]
+
+
+def test_documents_are_built_page_by_page(spark, monkeypatch):
+    """No document that s5 and s10b parse holds more than one page."""
+    import __spark_entry__ as entry
+
+    seen = []
+    for name in ("parse_marked_text", "parse_summary_md"):
+        monkeypatch.setattr(D, name, lambda df, *a, f=getattr(D, name): (seen.append(df), f(df, *a))[1])
+    queries = entry.queries()
+    for name in ("s5_read_marked_text", "s10b_read_summary_markdown"):
+        queries[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and all(df.filter("regexp_count(content, '(?m)^### ') <> 1").isEmpty() for df in seen)
+
+
+def test_later_part_of_a_summary_wins(spark):
+    d = spark.createDataFrame([(1, 2, "### a\n\nlate"), (1, 1, "### a\n\nearly\n\n\n### b\n\nx")], "k int, part int, content string")
+    got = D.parse_summary_md(d, ["k"], spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "k int, page string"), "part").collect()
+    assert {(r.page, r.text) for r in got} == {("a", "late"), ("b", "x"), ("c", "")}
