@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm import chat, language, licences, lm, mixing, near_dups, neighbours, quality, secrets, tokens
+from pagetext.llm import chat, language, licences, lm, mixing, near_dups, negatives, neighbours, quality, secrets, tokens
 from pagetext.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,25 @@ def _(spark, sf_dir):
 @query("op6_chat_perspectives", chat.CHAT_SQL)
 def _(spark, sf_dir):
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+NEGATIVES_SQL = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+ list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+ where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike,
+ coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0)::bigint as score from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where alike
+ qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)::int as rank,
+ s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.alike and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def _(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").filter(negatives.usable(F.col("embedding")))
+    rows = rows.select("vec_id", label.alias("label"), negatives.whole_vector(F.col("embedding")).alias("embedding"))
+    return negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0)
