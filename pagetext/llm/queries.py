@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm import chat, language, licences, lm, mixing, near_dups, negatives, neighbours, quality, secrets, tokens
+from pagetext.llm import chat, language, licences, lm, mixing, near_dups, negatives, neighbours, quality, runs, secrets, tokens
 from pagetext.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,10 @@ def _(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").filter(negatives.usable(F.col("embedding")))
     rows = rows.select("vec_id", label.alias("label"), negatives.whole_vector(F.col("embedding")).alias("embedding"))
     return negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_periodic_runs")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", runs.with_planted_periods(F.col("text"), F.col("doc_id")).alias("text"))
+    return runs.digest_runs(runs.periodic_runs(texts))
