@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm import chat, language, licences, lm, mixing, near_dups, negatives, neighbours, quality, runs, secrets, tokens
+from pagetext.llm import chat, classifier, language, licences, lm, mixing, near_dups, negatives, neighbours, quality, runs, secrets, tokens
 from pagetext.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,11 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = docs.select("doc_id", runs.with_planted_periods(F.col("text"), F.col("doc_id")).alias("text"))
     return runs.digest_runs(runs.periodic_runs(texts))
+
+
+@query("op13_quality_classifier")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit_classifier(docs, table(spark, sf_dir, "labels"))
+    found = classifier.classify_quality(docs, model)
+    return found.select("doc_id", (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
