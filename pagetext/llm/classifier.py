@@ -22,14 +22,17 @@ from pagetext.llm.common import id_fold, id_key
 
 ROWS, DIM = 1 << 15, 32
 WINDOW, NONZERO = 2, 4
-TOKENS = 250_000  # words pooled or counted at a time
+TOKENS, STRETCH = 250_000, 1 << 15  # words counted, and vectors summed, at a time
 SUMS = [f"d{j}" for j in range(DIM)]
 
 
-def index_vectors(seed: int = 29) -> tuple[np.ndarray, np.ndarray]:
-    """(dimensions, signs) of every row's sparse random index vector, ``NONZERO`` each."""
+def index_vectors(seed: int = 29) -> np.ndarray:
+    """Every row's sparse random index vector: ``NONZERO`` signs, the rest zero."""
     rng = np.random.default_rng(seed)
-    return np.argsort(rng.random((ROWS, DIM)), axis=1)[:, :NONZERO], rng.choice([-1, 1], (ROWS, NONZERO))
+    out = np.zeros((ROWS, DIM), np.int8)
+    at = np.argsort(rng.random((ROWS, DIM)), axis=1)[:, :NONZERO]
+    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.int8), (ROWS, NONZERO)), 1)
+    return out
 
 
 def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,16 +57,23 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(rows[0], len(rows))
 
 
-def count_contexts(codes: np.ndarray, sizes: np.ndarray, index: tuple[np.ndarray, np.ndarray], sums: np.ndarray, counts: np.ndarray) -> None:
+def count_contexts(codes: np.ndarray, sizes: np.ndarray, index: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
     """Add to ``sums`` the index vectors of each word's neighbours within ``WINDOW`` words of its text, and to ``counts`` the words."""
-    at, sign = index
+    if not len(codes):
+        return
     text = np.repeat(np.arange(len(sizes)), sizes)
-    counts += np.bincount(codes, minlength=ROWS)
+    own = index[codes]
+    near = np.zeros_like(own)  # at most 2 * WINDOW a component
     for step in range(1, WINDOW + 1):
-        near = np.flatnonzero(text[:-step] == text[step:])
-        for word, other in ((codes[near], codes[near + step]), (codes[near + step], codes[near])):
-            for j in range(NONZERO):
-                sums += np.bincount(word * DIM + at[other, j], sign[other, j], ROWS * DIM).astype(np.int64).reshape(ROWS, DIM)
+        apart = np.flatnonzero(text[:-step] != text[step:])
+        for to, other in ((near[:-step], own[step:]), (near[step:], own[:-step])):
+            to += other
+            to[apart] -= other[apart]
+    order = np.argsort(codes.astype(np.uint16), kind="stable")  # ROWS fit 16 bits, which are sorted in linear time
+    word = codes[order]
+    heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    sums[word[heads]] += np.add.reduceat(near[order], heads, axis=0, dtype=np.int64)
+    counts[word[heads]] += np.diff(np.append(heads, len(word)))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,16 +105,23 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.divide(vector, length, out=np.zeros_like(vector), where=length > 0).astype(np.float32)
 
 
-def pool(codes: np.ndarray, sizes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def with_squares(vectors: np.ndarray) -> np.ndarray:
+    """The table ``pool`` sums over: vectors beside their squares, as doubles."""
+    return np.concatenate([vectors, vectors.astype(np.float64) ** 2], axis=1)
+
+
+def pool(codes: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Mean and spread of the word vectors of each text, and how many words it has; a text without words is all zero."""
-    out = np.zeros((len(sizes), 2 * DIM + 1))
-    some = np.flatnonzero(sizes)
-    if len(some):
-        v = vectors[codes].astype(np.float64)
-        begin = (np.cumsum(sizes) - sizes)[some]
-        mean = np.add.reduceat(v, begin, axis=0) / sizes[some, None]
-        square = np.add.reduceat(v * v, begin, axis=0) / sizes[some, None]
-        out[some] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.log1p(sizes[some, None]) / 10], axis=1)
+    out, one = np.zeros((len(sizes), 2 * DIM + 1)), np.ones(STRETCH)
+    at = 0
+    for k in np.flatnonzero(sizes):
+        n, total = int(sizes[k]), np.zeros(2 * DIM)
+        for i in range(0, n, STRETCH):
+            part = codes[at + i:at + min(i + STRETCH, n)]
+            total += one[:len(part)] @ table[part]
+        at += n
+        mean, square = total[:DIM] / n, total[DIM:] / n
+        out[k] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), [np.log1p(n) / 10]])
     return out
 
 
@@ -158,9 +175,10 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, s
 
 def _worker(vectors, model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = with_squares(vectors.value if model is None else model.value.vectors)
         for b in batches:
             for part in _pieces(b, 1):
-                x = pool(*_codes(part.column(1)), vectors.value if model is None else model.value.vectors)
+                x = pool(*_codes(part.column(1)), table)
                 if model is None:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "pooled"])
                 else:
@@ -185,12 +203,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000,
     shared = spark.sparkContext.broadcast(vectors)
     schema = StructType([StructField("doc_id", BinaryType()), StructField("pooled", ArrayType(DoubleType()))])
     tagged = one.select(F.concat_ws(":", "y", id_key(F.col("doc_id"), "classifier")).cast("binary").alias("doc_id"), "text")
-    rows = tagged.mapInArrow(_worker(shared, None, 0.0), schema).orderBy(F.substring("doc_id", 3, 32), "doc_id").toArrow()
-    y = np.array([k[:1] == b"1" for k in rows["doc_id"].to_pylist()], float)
+    rows = tagged.mapInArrow(_worker(shared, None, 0.0), schema).toArrow()
+    keys = [(k[2:], k[:1]) for k in rows["doc_id"].to_pylist()]
+    order = sorted(range(len(keys)), key=keys.__getitem__)  # the result must not depend on the order in which rows arrive
+    y = np.array([keys[i][1] == b"1" for i in order], float)
     if not len(y) or y.min() == y.max():
         return None
     x = rows["pooled"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
-    return train(x, y, vectors)
+    return train(x[order], y, vectors)
 
 
 def classify_quality(docs: DataFrame, model: Network | None, least: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
