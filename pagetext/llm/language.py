@@ -293,7 +293,7 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return docs.filter(id_fold(F.col(doc_id), 4) != 2)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose language is known with a share of ``least`` or more; ``und`` goes."""
+def keep_identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` with a language; those of none (``und``: null texts and texts without a letter) go, whatever the shares of the others."""
     found = identify_language(docs, model, text, "__pred", "__score")
-    return found.filter((F.col("__pred") != "und") & (F.col("__score") >= least)).select(*docs.columns)
+    return found.filter(F.col("__pred") != "und").select(*docs.columns)
