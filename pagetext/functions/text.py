@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,26 +25,31 @@ SPACED_PUNCTUATION = ".?!:;)}\""
 CJK_LETTER = "[\uac00-\ud7a3\u3040-\u30ff\u4e00-\u9fff]"
 WORD_SCRIPTS = r"[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsBopomofo}]]"
 # Ranges whose letters separate words for the spelling check.
-WORD_SEPARATORS = (
-    r"\u1100-\u11ff"
-    r"\u2e80-\u4dbf"
-    r"\u4e00-\u9fff"
-    r"\ua960-\ua97f"
-    r"\uac00-\ud7ff"
-    r"\uf900-\ufaff"
-    r"\uff66-\uffdc"
-    r"\x{1b000}-\x{1b16f}"
-    r"\x{1f200}-\x{1f2ff}"
-    r"\x{20000}-\x{2ee5f}"
-    r"\x{2f800}-\x{2fa1f}"
-    r"\x{30000}-\x{323af}"
+SEPARATOR_RANGES = (
+    (0x1100, 0x11FF),
+    (0x2E80, 0x4DBF),
+    (0x4E00, 0x9FFF),
+    (0xA960, 0xA97F),
+    (0xAC00, 0xD7FF),
+    (0xF900, 0xFAFF),
+    (0xFF66, 0xFFDC),
+    (0x1B000, 0x1B16F),
+    (0x1F200, 0x1F2FF),
+    (0x20000, 0x2EE5F),
+    (0x2F800, 0x2FA1F),
+    (0x30000, 0x323AF),
 )
-CHECKED_WORD = r"[[\p{L}\p{Nl}\p{No}]&&[^" + WORD_SEPARATORS + "]]{2,}"
+WORD_LETTERS = ("L", "Nl", "No")  # Unicode categories
+
+
+def checked_letters() -> np.ndarray:
+    """Whether a code point belongs to a word for the spelling check."""
+    out = np.fromiter((unicodedata.category(chr(c)).startswith(WORD_LETTERS) for c in range(0x110000)), bool, 0x110000)
+    for a, b in SEPARATOR_RANGES:
+        out[a:b + 1] = False
+    return out
 
 
-def utf16_length(c: Column) -> Column:
-    """Length in UTF-16 units: characters beyond the basic plane count twice."""
-    return (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("int")
 KATAKANA_RUN = r"[\u30A1-\u30FA\u30FC]{2,}"
 HONORIFIC = r"([\u4E00-\u9FFF\u3040-\u309F\u30A0-\u30FF]{1,6})(さん|ちゃん|くん|君|先輩|先生|様|さま|殿)"
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from pagetext.functions import text as tx
+from pagetext.functions.arrays import bound, prefix_sums
+from pagetext.operators.automaton import build_automaton, entries_in
 from pagetext.operators.ledger import folded
 from pagetext.operators.prefix import prefix_scan
 from pagetext.session import cut_lineage
 
-GRAM = 4  # letters at the start of a term that a text must hold; shorter terms are looked up whole
-PIECE = 512  # letters of a text taken at a time
+SPAN_BYTES = 1 << 23  # bytes of text whose letters are taken at a time
 SPREAD = 16  # parts of a glossary that goes to every key
 
 # Sound words that are no names.
@@ -27,13 +33,16 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
 
 
 def match_glossary(texts: DataFrame, glossary: DataFrame, key: Sequence[str] = ("page",), mode: str = "matching",
-                   fold: bool = True, joiner: str = "\n", order: str | None = None) -> DataFrame:
+                   fold: bool = True, joiner: str = "\n", order: str | None = None, part_bytes: int = 1 << 18) -> DataFrame:
     """Glossary entries occurring in the texts of each key, once per key: key columns and ``entry_idx``.
 
     Terms hold no line break, so with the default joiner a match lies inside one text row. ``joiner=''`` lets terms
-    cross row borders; the rows of a key (one page's prompt) are then joined in ``order`` first. Every text looks up its
-    distinct runs of up to ``GRAM`` letters among the starts of the terms; the hits are verified on the text. ``mode='all'`` gives
+    cross row borders; the rows of a key (one page's prompt) are then joined in ``order`` first. ``mode='all'`` gives
     every key the whole glossary.
+
+    The glossary is dealt by hash into parts of about ``part_bytes`` bytes. While the plan is built, each part is fetched and made an automaton,
+    which is sent to the executors and run once over every text; texts are not shuffled, only their matches are. An empty term is
+    in every text; null terms and null texts match nothing.
     """
     key = list(key)
     norm = folded if fold else (lambda c: c)
@@ -44,24 +53,36 @@ def match_glossary(texts: DataFrame, glossary: DataFrame, key: Sequence[str] = (
     if joiner == "":
         ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))), lambda s: s["t"])
         texts = texts.groupBy(*key).agg(F.array_join(ordered, "").alias("text"))
-    g = glossary.select("entry_idx", norm(F.col("source")).alias("s")).withColumn("gram", F.left("s", F.lit(GRAM)))
-    sizes = [r[0] for r in g.select(F.length("gram")).distinct().collect()]  # at most GRAM + 1 lengths
+    g = glossary.select("entry_idx", norm(F.col("source")).alias("s")).filter("s is not null")
     d = texts.select(*key, norm(F.col("text")).alias("t")).filter("t is not null")
-    if not sizes:
-        return d.select(*key, F.lit(None).cast("int").alias("entry_idx")).limit(0)
-    # The row number must not change between its two uses, so it is cut into the rows. The exploded rows carry it instead of the text.
-    d = cut_lineage(d.withColumn("__row", F.monotonically_increasing_id()))
-    # Letters are reached from the start of a string, so long texts are taken in short overlapping pieces.
-    starts = F.sequence(F.lit(0), F.greatest(F.length("t") - 1, F.lit(0)), F.lit(PIECE))
-    pieces = d.select("__row", F.explode(F.transform(starts, lambda i: F.substring("t", i + 1, F.lit(PIECE + GRAM - 1)))).alias("p"))
-
-    def grams_of(k: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length("p") - k + 1, F.lit(1)))
-        return F.transform(places, lambda i: F.substring("p", i, F.lit(k)))
-
-    listed = pieces.select("__row", F.explode(F.array_distinct(F.flatten(F.array(*[grams_of(k) for k in sizes])))).alias("gram")).distinct()
-    hits = listed.join(g, "gram").select("__row", "entry_idx", "s")
-    return hits.join(d, "__row").filter(F.contains("t", "s")).select(*key, "entry_idx").distinct()
+    kind = glossary.schema["entry_idx"].dataType
+    schema = StructType([*[d.schema[k] for k in key], StructField("entry_idx", kind)])
+    parts = -(-(g.agg(F.sum(F.octet_length("s"))).first()[0] or 0) // part_bytes) or 1
+    found = None
+    for part in range(parts):
+        own = g.filter(F.pmod(F.xxhash64("s", "entry_idx"), F.lit(parts)) == part).toArrow().sort_by([("s", "ascending"), ("entry_idx", "ascending")])
+        one = d.mapInArrow(_entries_of(d.sparkSession.sparkContext.broadcast(_compiled(own)), schema.names, to_arrow_type(kind)), schema)
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
+
+
+def _compiled(part: pa.Table) -> tuple:
+    """(automaton, (entries by term, where each term's begin), entries of empty terms) of rows sorted by term."""
+    terms, numbers = [t.encode() for t in part["s"].to_pylist()], np.array(part["entry_idx"].to_pylist(), np.int64)
+    empty = sum(1 for t in terms if not t)
+    heads = [i for i in range(empty, len(terms)) if i == empty or terms[i] != terms[i - 1]]
+    return build_automaton([terms[i] for i in heads]), (numbers, np.array([*heads, len(terms)], np.int64)), numbers[:empty]
+
+
+def _entries_of(shared, names: Sequence[str], kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto, entries, always = shared.value
+        for b in batches:
+            keys = b.columns[:-1]
+            for row, entry in entries_in(b.column(b.num_columns - 1), auto, entries, always):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*[k.take(at) for k in keys], pa.array(entry).cast(kind)], names=list(names))
+    return run
 
 
 def render_glossary(matches: DataFrame, glossary: DataFrame, key: Sequence[str] = ("page",), form: str = "json") -> DataFrame:
@@ -90,9 +111,8 @@ def term_occurrences(ledger: DataFrame, glossary: DataFrame, pattern: str = tx.K
     Glossary terms count once per row; pattern matches of 2 to 8 letters count each time.
     """
     src = ledger.select("page", "source_id", F.col("source").alias("text"), "translation")
-    terms = (match_glossary(src, glossary, ["page", "source_id"], fold=False)
-             .join(glossary.select("entry_idx", F.col("source").alias("entity")), "entry_idx").select("page", "source_id", "entity").distinct()
-             .join(src.select("page", "source_id", "translation"), ["page", "source_id"])
+    terms = (match_glossary(src, glossary, ["page", "source_id", "translation"], fold=False)
+             .join(glossary.select("entry_idx", F.col("source").alias("entity")), "entry_idx").select("page", "source_id", "translation", "entity").distinct()
              .select("entity", "page", "source_id", "translation", F.lit(True).alias("from_glossary")))
     named = (src.select(F.explode(tx.entities(F.col("text"), pattern)).alias("entity"), "page", "source_id", "translation", F.lit(False).alias("from_glossary"))
              .filter(F.length("entity").between(2, 8) & ~F.col("entity").isin(list(stop))))
@@ -166,24 +186,68 @@ def search(df: DataFrame, pattern: str | None, columns: Sequence[str], key: Sequ
     return df.select(*key, F.inline(fields)).filter("hits > 0")
 
 
-def _spans(df: DataFrame, pattern: str, column: str, key: Sequence[str], measure: Callable[[Column], Column]) -> DataFrame:
-    """Hits with their place, from the running length (by ``measure``) of the pieces between hits: key, n, hit, start, length."""
-    key = list(key)
+def search_spans(df: DataFrame, pattern: str, column: str, key: Sequence[str]) -> DataFrame:
+    """0-based start and length of every hit: key, n, start, length; from running lengths of the gaps and hits inside each row.
+
+    Nothing leaves its row, so there is no shuffle; a row's work grows with its text.
+    """
     pieces = F.arrays_zip(F.split(column, pattern, -1).alias("gap"), F.regexp_extract_all(column, F.lit(pattern), F.lit(0)).alias("hit"))
-    d = df.select(*key, F.posexplode(pieces).alias("i", "p")).select(*key, "i", measure(F.col("p.gap")).alias("g"), F.col("p.hit").alias("hit"))
-    d = d.withColumn("size", measure(F.col("hit")))
-    d = prefix_scan(d, key, [F.col("i")], sums={"upto": F.col("g") + F.coalesce("size", F.lit(0))})
-    return d.filter("hit is not null and hit <> ''").select(*key, F.col("i").alias("n"), "hit", (F.col("upto") - F.col("size")).cast("int").alias("start"), F.col("size").alias("length"))
+    sized = lambda p: F.struct(p["hit"].alias("hit"), F.length(p["gap"]).alias("before"), F.coalesce(F.length(p["hit"]), F.lit(0)).alias("length"))
 
+    def placed(ps: Column) -> Column:
+        before = prefix_sums(F.transform(ps, lambda p: p["before"] + p["length"]))
+        made = lambda p, b: F.struct(p["hit"].alias("hit"), (b + p["before"]).cast("int").alias("start"), p["length"].alias("length"))
+        return F.zip_with(ps, before, made)
 
-def search_spans(df: DataFrame, pattern: str, column: str, key: Sequence[str]) -> DataFrame:
-    """0-based start and length of every hit."""
-    return _spans(df, pattern, column, key, F.length).drop("hit")
+    d = df.select(*key, F.posexplode(bound(F.transform(pieces, sized), placed)).alias("n", "p"))
+    return d.filter("p.hit is not null and p.hit <> ''").select(*key, "n", "p.start", "p.length")
 
 
 def word_spans(df: DataFrame, column: str, key: Sequence[str]) -> DataFrame:
-    """Words for the spelling check: key, n, start, length, word; places in UTF-16 units, as text editors count."""
-    return _spans(df, tx.CHECKED_WORD, column, key, tx.utf16_length).withColumnRenamed("hit", "word")
+    """Words of two letters or more for the spelling check: key, n, start, length, word; places in UTF-16 units, as text editors count.
+
+    Works on the letters of whole batches at once; nothing leaves its row, so there is no shuffle. Null texts have no words.
+    """
+    d = df.select(*key, F.col(column).alias("__text")).filter("__text is not null")
+    more = [StructField(c, IntegerType()) for c in ("n", "start", "length")]
+    schema = StructType([*[d.schema[k] for k in key], *more, StructField("word", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = tx.checked_letters()
+        for whole in batches:
+            size = pc.binary_length(whole.column(whole.num_columns - 1)).to_numpy(zero_copy_only=False)
+            part = np.cumsum(size, dtype=np.int64) // SPAN_BYTES
+            for p in np.unique(part):
+                rows = np.flatnonzero(part == p)
+                b = whole.slice(rows[0], len(rows))
+                row, *spans, word = letter_spans(b.column(b.num_columns - 1).to_pylist(), letters, 2)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*[k.take(at) for k in b.columns[:-1]], *[pa.array(x.astype(np.int32)) for x in spans], word], names=schema.names)
+
+    return d.mapInArrow(run, schema)
+
+
+def letter_spans(texts: Sequence[str], letters: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(text, number in the text, start, length, letters) of every stretch of at least ``least`` of the given letters, in UTF-16 units."""
+    laid = "\n".join(texts) + "\n"  # a line end is no letter
+    codes = np.frombuffer(laid.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = letters[codes].view(np.int8)
+    edge = np.diff(inside, prepend=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    begin, end = begin[end - begin >= least], end[end - begin >= least]
+    first = np.cumsum([0] + [len(t) + 1 for t in texts])  # where a text begins
+    text = np.searchsorted(first, begin, side="right") - 1
+    number = np.arange(len(begin)) - np.searchsorted(text, text)
+    units = np.concatenate([[0], np.cumsum(1 + (codes > 0xFFFF), dtype=np.int64)])
+    octets = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)])
+    raw = np.frombuffer(laid.encode(), np.uint8)
+    edges = np.zeros(len(raw) + 1, np.int8)
+    edges[octets[begin]] = 1
+    edges[octets[end]] = -1
+    values = raw[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+    cuts = np.concatenate([[0], np.cumsum(octets[end] - octets[begin])]).astype(np.int32)
+    word = pa.StringArray.from_buffers(len(begin), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(values)))
+    return text, number, units[begin] - units[first[text]], units[end] - units[begin], word
 
 
 def replace_all(df: DataFrame, pattern: str, replacement: str, column: str, key: Sequence[str]) -> DataFrame:
