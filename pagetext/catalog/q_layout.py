@@ -31,14 +31,18 @@ vb as (select * from (select *, row_number() over (partition by page, block_id o
 r as (select *, ceil(n/k::double) as per, case when k=1 then 1.08 else 1.2 end::double as ratio from o), r2 as (select *, least(cap,w/(per*1.08::double+0.25::double),h/(k*ratio+0.25::double)) as probe from r),
 r3 as (select *, greatest(1.0::double,floor(probe*4)/4) as size from r2 where probe>=1), r4 as (select *, size*case when k>1 and n%per=1 and per>2 then 0.95::double else 1.0::double end as score from r3),
 rb as (select * from (select *, row_number() over (partition by page, block_id order by score desc, size desc, k, per desc, ratio desc) rn from r4) t where rn=1),
-j as (select b.page, b.block_id, b.w, b.h, b.n, vb.k as vk, vb.per as vper, vb.size as vsize, rb.k as rk, rb.per as rper, rb.size as rsize,
+j as (select b.page, b.block_id, b.w, b.h, b.n, vb.k as vk, vb.per as vper, vb.size as vsize, vb.ratio as vratio, rb.k as rk, rb.per as rper, rb.size as rsize, rb.ratio as rratio,
   case when vb.k is null and rb.k is null then null when vb.k is null then false when rb.k is null then true else not (b.w/greatest(1.0::double,b.h)>=1.3 or (vb.size<12 and rb.size>=vb.size*1.2)) end as fit_vertical
-  from b left join vb using (page, block_id) left join rb using (page, block_id))
-select b.page, b.block_id, fit_vertical, case when fit_vertical then vsize else rsize end as fit_size, cast(case when fit_vertical then vk else rk end as int) as parts,
- cast(case when fit_vertical then vper else rper end as int) as per_part from blocks b left join j using (page, block_id)""")
+  from b left join vb using (page, block_id) left join rb using (page, block_id)),
+z as (select *, case when fit_vertical then vsize else rsize end as fit_size, case when fit_vertical then vk else rk end::int as parts, case when fit_vertical then vper else rper end::int as per_part,
+  case when fit_vertical then vper*vsize*vratio else rk*rsize*rratio end as text_h from j)
+select b.page, b.block_id, fit_vertical, fit_size, parts, per_part, round(case when text_h is not null then y1 + greatest(0, (h-text_h)/2) end, 6) as fit_y1, round(case when text_h is not null then h - greatest(0, (h-text_h)/2) end, 6) as fit_height, fit_size < 11 as small_text,
+ array_to_string(list_transform(range(0, n, per_part), lambda i: substr(repeat('abcdefg', 7), i + 1, least(per_part, n - i))), chr(10)) as laid_out from blocks b left join z using (page, block_id)""")
 def _(v):
-    d = v.blocks.withColumns({"text": F.repeat(F.lit("x"), c("font_size") - 7), "page_w": F.lit(1050), "page_h": F.lit(1500)})
-    return Y.fit_layout(d).select("page", "block_id", "fit_vertical", "fit_size", "parts", "per_part")
+    text = F.left(F.lit("abcdefg" * 7), c("font_size") - 7)
+    d = v.blocks.withColumns({"text": text, "page_w": F.lit(1050), "page_h": F.lit(1500)})
+    fit = Y.fit_layout(d)
+    return fit.select("page", "block_id", "fit_vertical", "fit_size", "parts", "per_part", F.round("fit_y1", 6).alias("fit_y1"), F.round("fit_height", 6).alias("fit_height"), "small_text", "laid_out")
 
 
 DIRECTION = """b as (select page, block_id, block_id%3 as grp, x1,y1,x2,y2, font_size, vertical, case when font_size%4=0 then 1 else 5 end as letters, font_size%13<>0 as geometry_ok,

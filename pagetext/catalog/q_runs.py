@@ -132,21 +132,24 @@ def _(v):
 
 
 EV = """ev as (select *, case when event='progress' and event_id%500=0 then 'folder_started' else event end as ev2 from job_events),
-ep as (select event_id, ts, batch, worker, ev2 as event, stage, page, returncode, sum(case when ev2='folder_started' then 1 else 0 end) over (order by ts, event_id rows unbounded preceding) as epoch from ev),
-sa as (select *, max(case when event in ('stage_started','stage_finished') then (ts, event_id, case when event='stage_started' then stage end) end) over (partition by epoch, batch, worker order by ts, event_id rows between unbounded preceding and 1 preceding) as l from ep),
+ep as (select event_id, ts, (page // 12) % 3 as job_id, batch, worker, ev2 as event, stage, page, returncode, sum(case when ev2='folder_started' then 1 else 0 end) over (partition by (page // 12) % 3 order by ts, event_id rows unbounded preceding) as epoch from ev),
+sa as (select *, max(case when event in ('stage_started','stage_finished') then (ts, event_id, case when event='stage_started' then stage end) end) over (partition by job_id, epoch, batch, worker order by ts, event_id rows between unbounded preceding and 1 preceding) as l from ep),
 so as (select *, l[3] as open_stage from sa)"""
 
 
 def _events(v):
-    return v.job_events.withColumn("event", F.when((c("event") == "progress") & (c("event_id") % 500 == 0), "folder_started").otherwise(c("event")))
+    """Events of three jobs that share batches and workers."""
+    return v.job_events.withColumn("job_id", F.floor(c("page") / 12) % 3).withColumn("event", F.when((c("event") == "progress") & (c("event_id") % 500 == 0), "folder_started").otherwise(c("event")))
 
 
 query("st2_stage_at_events", f"with {EV} select event_id, epoch::bigint as epoch, batch, worker, event, open_stage from so".replace("l[3]", "struct_extract_at(l,3)"))(
     lambda v: P.stage_at_events(_events(v)).select("event_id", c("epoch").cast("long").alias("epoch"), "batch", "worker", "event", "open_stage"))
-query("st2b_failed_stages", f"""with {EV}, cl as (select epoch, batch, max((ts, event_id)) as cleared from ep where event='chunk_ready' group by epoch, batch),
-la as (select * from (select *, row_number() over (partition by epoch, batch, worker order by ts desc, event_id desc) rn from ep where event in ('stage_started','stage_finished')) t where rn=1)
-select la.epoch::bigint as epoch, la.batch, worker, stage from la left join cl using (epoch, batch) where event='stage_finished' and returncode<>0 and (cleared is null or (ts, event_id)>cleared)""".replace("l[3]", "struct_extract_at(l,3)"))(
-    lambda v: P.failed_stages(_events(v)).select(c("epoch").cast("long").alias("epoch"), "batch", "worker", "stage"))
+query("st2b_failed_stages", f"""with {EV},
+ok as (select *, (ts, event_id) as at from ep),
+f as (select * from ok where event='stage_finished' and returncode<>0)
+select f.job_id, f.epoch::bigint as epoch, f.batch, f.worker, f.stage from f where not exists (select 1 from ok o where o.job_id=f.job_id and o.epoch=f.epoch and o.batch=f.batch and o.at>f.at
+ and (o.event='chunk_ready' or (o.worker=f.worker and o.event in ('stage_started','stage_finished'))))""".replace("l[3]", "struct_extract_at(l,3)"))(
+    lambda v: P.failed_stages(_events(v)).select("job_id", c("epoch").cast("long").alias("epoch"), "batch", "worker", "stage"))
 
 
 @query("c6_diagnose", f"""with {EV}, us as (select distinct user_id as page from events),

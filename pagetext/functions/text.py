@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+REPEAT_CHARS, GRID_POINTS = 1 << 20, 1 << 20  # characters and grid points searched for repeats at a time
+
 # Character tables and language names.
 HALF = " " + "".join(chr(c) for c in range(0x21, 0x7F))
 FULL = "\u3000" + "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
@@ -236,9 +238,12 @@ def reply_lines(c: Column) -> Column:
     return F.filter(F.split(c, "\n"), lambda x: strip(x) != "")
 
 
-def _scan_period(codes: np.ndarray, breaks: np.ndarray, k: int, threshold: int) -> tuple[int, int] | None:
-    """Leftmost (start, count) of a unit of ``k`` characters repeated at least ``threshold`` times."""
-    same = (codes[:-k] == codes[k:]) & ~breaks[:-k]
+def _scan_period(codes: np.ndarray, k: int, threshold: int) -> tuple[int, int] | None:
+    """Leftmost (start, count) of a unit of ``k`` characters, none a line end, repeated at least ``threshold`` times.
+
+    Shorter repetitions before it are passed over whole, as a pattern would.
+    """
+    same = (codes[:-k] == codes[k:]) & (codes[:-k] != 10)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
     taken = 0
     for start, end in zip(edges[::2], edges[1::2]):
@@ -251,36 +256,76 @@ def _scan_period(codes: np.ndarray, breaks: np.ndarray, k: int, threshold: int)
     return None
 
 
-def _repeats(text: str, threshold: int) -> tuple[bool, str | None, int, str, int]:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    breaks = codes == 10
-    for k in range(1, len(codes) // threshold + 1):
-        # A long enough run covers at least seven probes in a row, which rules out nearly every other length.
-        run = k * (threshold - 1)
-        need = min(7, run)
-        probe = np.arange(0, len(codes) - k, max(1, run // 8))
-        same = codes[probe] == codes[probe + k]
-        if len(same) < need:
-            continue
-        together = same[:len(same) - need + 1].copy()
-        for j in range(1, need):
-            together &= same[j:len(same) - need + 1 + j]
-        if not together.any():
+def _repeated_units(codes: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, unit length) wherever a text of the batch may repeat a unit of that length ``threshold`` times; sorted, none is missed.
+
+    ``threshold`` repeats of k characters make (threshold - 1) * k positions in a row equal to those k further on, so they cover a point of a
+    grid of that width. From such a point, at least half of them go on to one side, which prefix hashes of the whole batch compare at once. There
+    are size / threshold unit lengths and in all about size / threshold * ln(size) points for a text.
+    """
+    base = np.cumsum(sizes) - sizes
+    most = sizes // threshold
+    text = np.repeat(np.arange(len(sizes)), most)
+    unit = np.arange(len(text)) - np.repeat(np.cumsum(most) - most, most) + 1
+    width = (threshold - 1) * unit
+    points = -(-(sizes[text] - unit) // width)
+    with np.errstate(over="ignore"):
+        # hash of a prefix: sum of letter * base**place, modulo 2**64; equal stretches k apart differ by base**k only
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), np.uint64(0x9E3779B97F4A7C15))]), dtype=np.uint64)
+        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum((mixed ^ (mixed >> np.uint64(31))) * power[:-1], dtype=np.uint64)])
+    found = []
+    ends = np.cumsum(points)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, GRID_POINTS):
+        number = np.arange(at, min(at + GRID_POINTS, int(ends[-1])))
+        pair = np.searchsorted(ends, number, side="right")
+        k, t = unit[pair], text[pair]
+        i = base[t] + (number - (ends[pair] - points[pair])) * width[pair]
+        hit = np.flatnonzero(codes[i] == codes[i + k])
+        i, k, t, pair = i[hit], k[hit], t[hit], pair[hit]
+        half = ((threshold - 1) * k + 1) // 2
+        ok = np.zeros(len(i), bool)
+        for low, high in ((i, i + half), (i - half + 1, i + 1)):
+            fits = np.flatnonzero((low >= base[t]) & (high + k <= base[t] + sizes[t]))
+            a, b, kk = low[fits], high[fits], k[fits]
+            with np.errstate(over="ignore"):
+                ok[fits] |= (prefix[b] - prefix[a]) * power[kk] == prefix[b + kk] - prefix[a + kk]
+        found.append(np.unique(pair[ok]))
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return text[pairs], unit[pairs]
+
+
+def repeats_of(texts: list[str], threshold: int) -> list[tuple[bool, str | None, int, str, int]]:
+    """(repeated, pattern, count, cleaned, threshold) of each text, for the shortest unit that repeats often enough."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(sizes) - sizes
+    out: list = [(False, None, 0, t, threshold) for t in texts]
+    done = -1
+    for n, k in zip(*(x.tolist() for x in _repeated_units(codes, sizes, threshold))):
+        if n == done:
             continue
-        hit = _scan_period(codes, breaks, k, threshold)
+        hit = _scan_period(codes[base[n]:base[n] + sizes[n]], k, threshold)
         if hit:
-            start, count = hit
-            return True, text[start:start + k], count, text[:start] + text[start + count * k:], count
-    return False, None, 0, text, threshold
+            (start, count), t, done = hit, texts[n], n
+            out[n] = (True, t[start:start + k], count, t[:start] + t[start + count * k:], count)
+    return out
 
 
 def find_repeats(c: Column, threshold: int = 20) -> Column:
-    """Shortest unit repeated at least ``threshold`` times in a row: repeated, pattern, count, cleaned, threshold."""
+    """Shortest unit repeated at least ``threshold`` (2 or more) times in a row: repeated, pattern, count, cleaned, threshold.
+
+    A batch of texts is searched at once; null texts count as empty.
+    """
 
     @F.pandas_udf("repeated boolean, pattern string, count int, cleaned string, effective_threshold int")
     def repeats_udf(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_repeats(t or "", threshold) for t in texts],
-                            columns=["repeated", "pattern", "count", "cleaned", "effective_threshold"])
+        listed, out = [t or "" for t in texts], []
+        part = np.cumsum([len(t) for t in listed], dtype=np.int64) // REPEAT_CHARS
+        for p in np.unique(part):
+            rows = np.flatnonzero(part == p)
+            out += repeats_of(listed[rows[0]:rows[-1] + 1], threshold)
+        return pd.DataFrame(out, columns=["repeated", "pattern", "count", "cleaned", "effective_threshold"])
 
     return repeats_udf(c)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,44 +33,69 @@ def scale_metrics(df: DataFrame) -> DataFrame:
                           "line_spacing": F.when(several & F.col("vertical"), 1.22).when(several, 1.20).otherwise(1.0)})
 
 
-def _options(vertical: bool, n: Column, w: Column, h: Column, cap: Column, scale: Column) -> Column:
-    """Best option of one orientation: struct score, size, neg (-parts), per_part, ratio; null if none fits."""
+def _best_options(vertical: bool, n: np.ndarray, w: np.ndarray, h: np.ndarray, cap: np.ndarray, scale: np.ndarray) -> dict[str, np.ndarray]:
+    """Best option of one orientation for each box: size, parts, per, ratio; parts is 0 where none fits.
 
-    def start(k: Column) -> Column:
-        per = F.ceil(n / k)
-        if vertical:
-            room = F.least(cap, w / F.when(k == 1, 1.18).otherwise(k * 1.22 + 0.22))
-            probe = F.least(room, h / (per * 1.13 + 0.25))
-        else:
-            room = F.least(cap, w / (per * 1.08 + 0.25))
-            probe = F.least(room, h / (k * F.when(k == 1, 1.08).otherwise(1.20) + 0.25))
-        return F.struct(k.alias("k"), per.alias("per"), room.alias("room"), probe.alias("probe"))
-
-    def tier(s: Column) -> Column:
-        ratio = optical_tier(s["probe"], scale) if vertical else F.when(s["k"] == 1, 1.08).otherwise(1.20)
-        return F.struct(s["k"].alias("k"), s["per"].alias("per"), s["room"].alias("room"), ratio.alias("ratio"))
-
-    def sized(s: Column) -> Column:
-        along = s["per"] if vertical else s["k"]
-        size = F.greatest(F.lit(1.0), F.floor(F.least(s["room"], h / (along * s["ratio"] + 0.25)) * 4) / 4)
-        return F.struct(s["k"].alias("k"), s["per"].alias("per"), s["ratio"].alias("ratio"), size.alias("size"))
-
-    def scored(s: Column) -> Column:
-        rest = n % (s["k"] if vertical else s["per"])
-        factor = F.when((s["k"] > 1) & (rest == 1) & (s["per"] > 2), 0.95).otherwise(1.0)
-        if vertical:
-            fill = s["per"] * s["size"] * s["ratio"] / h
-            sparse = F.when(fill < 0.55, F.pow(fill / 0.55, F.lit(0.85))).otherwise(1.0)
-            factor = F.when(h / F.greatest(F.lit(1.0), w) >= 1.4, sparse).otherwise(factor)
-        return F.struct((s["size"] * factor).alias("score"), s["size"].alias("size"), (-s["k"]).alias("neg"), s["per"].alias("per"), s["ratio"].alias("ratio"))
-
-    # One transform per step: each intermediate value is computed once per option.
-    options = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start), lambda s: s["probe"] >= 1)
-    return F.array_max(F.transform(F.transform(F.transform(options, tier), sized), scored))
+    Every number of parts from 1 to n is an option. The highest score wins, then the larger size, then fewer parts.
+    """
+    box = np.repeat(np.arange(len(n)), n)
+    k = (np.arange(len(box)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(float)
+    n_, w_, h_, cap_, scale_ = (x[box] for x in (n.astype(float), w, h, cap, scale))
+    per = np.ceil(n_ / k)
+    spread = np.where(k == 1, 1.08, 1.20)
+    if vertical:
+        room = np.minimum(cap_, w_ / np.where(k == 1, 1.18, k * 1.22 + 0.22))
+        probe = np.minimum(room, h_ / (per * 1.13 + 0.25))
+        norm = probe / np.maximum(0.1, scale_)
+        ratio = np.where(norm < 18, 1.08, np.where(norm < 30, 1.12, 1.16))
+    else:
+        room = np.minimum(cap_, w_ / (per * 1.08 + 0.25))
+        probe = np.minimum(room, h_ / (k * spread + 0.25))
+        ratio = spread
+    size = np.maximum(1.0, np.floor(np.minimum(room, h_ / ((per if vertical else k) * ratio + 0.25)) * 4) / 4)
+    factor = np.where((k > 1) & (n_ % (k if vertical else per) == 1) & (per > 2), 0.95, 1.0)
+    if vertical:
+        fill = per * size * ratio / h_
+        tall = h_ / np.maximum(1.0, w_) >= 1.4
+        factor = np.where(tall, np.where(fill < 0.55, np.power(np.minimum(fill / 0.55, 1.0), 0.85), 1.0), factor)
+    score = size * factor
+    best = np.flatnonzero(probe >= 1)
+    for value in (score, size, -k):  # numbers of parts differ, so this leaves one option a box
+        top = np.full(len(n), -np.inf)
+        np.maximum.at(top, box[best], value[best])
+        best = best[value[best] == top[box[best]]]
+    out = {x: np.zeros(len(n)) for x in ("size", "parts", "per", "ratio")}
+    for name, value in zip(out, (size, k, per, ratio)):
+        out[name][box[best]] = value[best]
+    return out
+
+
+OPTIONS = 1 << 20  # options tried at a time
+FIT = "vertical boolean, size double, parts int, per int, ratio double"
+
+
+def _solve(batch: pa.RecordBatch) -> pa.Array:
+    """The layout of every distinct (units, width, height, cap, scale) of a batch, dealt back to its rows; null where none fits."""
+    asked = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch], axis=1)
+    known = np.isfinite(asked).all(axis=1) & (asked[:, 0] > 0)
+    tuples, of_row = np.unique(asked[known], axis=0, return_inverse=True)
+    parts = []
+    for rows in np.split(tuples, np.flatnonzero(np.diff(np.cumsum(tuples[:, 0]) // OPTIONS)) + 1) if len(tuples) else []:
+        n, w, h, cap, scale = rows[:, 0].astype(np.int64), *rows[:, 1:].T
+        v, r = _best_options(True, n, w, h, cap, scale), _best_options(False, n, w, h, cap, scale)
+        across = (w / np.maximum(1.0, h) >= 1.3) | ((v["size"] < scale * 12.0) & (r["size"] >= v["size"] * 1.2))
+        down = (v["parts"] > 0) & ((r["parts"] == 0) | ~across)
+        parts.append(np.stack([down, *(np.where(down, v[x], r[x]) for x in v)], axis=1))
+    found = np.zeros((len(asked), 5))
+    if parts:
+        found[known] = np.concatenate(parts)[of_row.reshape(-1)]
+    none = found[:, 2] == 0
+    kinds = (bool, float, np.int32, np.int32, float)
+    return pa.StructArray.from_arrays([pa.array(found[:, i].astype(t)) for i, t in enumerate(kinds)], names=[f.split()[0] for f in FIT.split(", ")], mask=pa.array(none))
 
 
 def fit_layout(df: DataFrame) -> DataFrame:
-    """Best layout of ``text`` in its box: every number of columns and of lines is tried inside the row.
+    """Best layout of ``text`` in its box: every number of columns and of lines is tried, once per distinct question of a batch.
 
     Adds ``fit_vertical, fit_size, parts, per_part, laid_out, fit_y1, fit_height, small_text``; null for empty text
     or boxes under six pixels. Without its breaks ``laid_out`` always equals the text.
@@ -76,29 +103,27 @@ def fit_layout(df: DataFrame) -> DataFrame:
     c = F.col
     units = tx.clusters(F.regexp_replace("text", "[\r\n]", ""))
     d = df.withColumns({"__u": units, "__w": (c("x2") - c("x1")).cast("double"), "__h": (c("y2") - c("y1")).cast("double"),
-                        "__s": resolution_scale(c("page_w"), c("page_h"), c("font_size"))}).withColumn("__n", F.size("__u"))
+                        "__s": resolution_scale(c("page_w"), c("page_h"), c("font_size"))})
     side = F.least("__w", "__h")
     top = F.when(side >= c("__s") * 150.0, 34.0).when(side >= c("__s") * 100.0, 30.0).otherwise(26.0) * c("__s")
     cap = F.when(c("font_size") > 0, F.least(F.greatest(c("font_size") * 1.05, c("__s") * 16.0), top)).otherwise(top)
-    ok = (c("__n") > 0) & (side >= 6)
-    d = d.withColumn("__cap", cap)
-    # Behind a generator each search runs once per row; plain projections would repeat it for every field used.
-    best = F.struct(F.when(ok, _options(True, c("__n"), c("__w"), c("__h"), c("__cap"), c("__s"))).alias("__v"),
-                    F.when(ok, _options(False, c("__n"), c("__w"), c("__h"), c("__cap"), c("__s"))).alias("__r"))
-    d = d.select("*", F.inline(F.array(best)))
-    across = ((c("__w") / F.greatest(F.lit(1.0), c("__h")) >= 1.3)
-              | ((c("__v.size") < c("__s") * 12.0) & (c("__r.size") >= c("__v.size") * 1.2)))
-    d = d.withColumn("fit_vertical", F.when(c("__v").isNull() & c("__r").isNull(), F.lit(None)).when(c("__v").isNull(), False)
-                     .when(c("__r").isNull(), True).otherwise(~across))
-    d = d.withColumn("__f", F.when(c("fit_vertical"), c("__v")).otherwise(c("__r")))
-    per = c("__f.per").cast("int")
-    text_h = F.when(c("fit_vertical"), per * c("__f.size") * c("__f.ratio")).otherwise(-c("__f.neg") * c("__f.size") * c("__f.ratio"))
+
+    @F.arrow_udf(FIT)
+    def fit_udf(n: pa.Array, w: pa.Array, h: pa.Array, cap: pa.Array, scale: pa.Array) -> pa.Array:
+        return _solve(pa.RecordBatch.from_arrays([n, w, h, cap, scale], names=list("nwhcs")))
+
+    n = F.when(side >= 6, F.size("__u")).otherwise(0).cast("double")
+    d = d.withColumn("__f", fit_udf(n, c("__w"), c("__h"), cap.cast("double"), c("__s").cast("double")))
+    size, per, ratio = c("__f.size"), c("__f.per"), c("__f.ratio")
+    text_h = F.when(c("__f.vertical"), per * size * ratio).otherwise(c("__f.parts") * size * ratio)
     off = F.greatest(F.lit(0.0), (c("__h") - text_h) / 2)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((c("__n") - 1) / per).cast("int")), lambda i: F.array_join(F.slice("__u", i * per + 1, per), ""))
-    out = {"fit_size": c("__f.size"), "parts": (-c("__f.neg")).cast("int"), "per_part": per,
-           "laid_out": F.when(c("__f").isNotNull(), F.array_join(cut, "\n")), "fit_y1": F.when(c("__f").isNotNull(), c("y1") + off),
-           "fit_height": F.when(c("__f").isNotNull(), c("__h") - off), "small_text": c("__f.size") < c("__s") * 11.0}
-    return d.withColumns(out).select(*df.columns, "fit_vertical", *out)
+    starts = F.sequence(F.lit(0), F.floor((F.size("__u") - 1) / per).cast("int"))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice("__u", i * per + 1, per), ""))
+    some = c("__f").isNotNull()
+    out = {"fit_vertical": c("__f.vertical"), "fit_size": size, "parts": c("__f.parts"), "per_part": per,
+           "laid_out": F.when(some, F.array_join(cut, "\n")), "fit_y1": F.when(some, c("y1") + off),
+           "fit_height": F.when(some, c("__h") - off), "small_text": size < c("__s") * 11.0}
+    return d.withColumns(out).select(*df.columns, *out)
 
 
 def inherit_direction(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

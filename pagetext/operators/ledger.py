@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetext.operators.prefix import per_key, prefix_scan
+from pagetext.operators.prefix import expand_ranges, per_key, prefix_scan, previous_row
 from pagetext.session import cut_lineage
 
 # Progress bits of a page.
@@ -71,8 +71,7 @@ def verify_outputs(manifest: DataFrame, files: DataFrame) -> tuple[DataFrame, Da
     by_page = manifest.groupBy("page").agg(F.count(F.lit(1)).alias("page_count"))
     by_name = manifest.groupBy("output_name").agg(F.count(F.lit(1)).alias("name_count"))
     none = F.lit(None).cast("string")
-    # One row holds the page count, so its side of this join is a single row by construction.
-    expected = n.select(F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n", F.lit(1).cast("long")))).alias("page"), "n").filter("n > 0")
+    expected = expand_ranges(n, F.lit(1), F.col("n"), "page")
     missing_map = expected.join(by_page, "page", "left_anti").select(F.col("page"), none.alias("output_name"), F.lit("missing_mapping").alias("type"))
     in_range = expected.select("page", F.lit(True).alias("known"))
     invalid = (by_page.join(in_range, "page", "left").filter(F.col("known").isNull() | (F.col("page_count") != 1))
@@ -405,12 +404,10 @@ def check_ledger(pages: DataFrame, status: DataFrame, images: DataFrame) -> Data
 
 def missing_ordinals(df: DataFrame, key: Sequence[str], ordinal: str) -> DataFrame:
     """Ordinals absent between 1 and the largest one of each key, from gaps between neighbours."""
-    from pagetext.operators.prefix import previous_row
-
     d = df.select(*key, F.col(ordinal).cast("long").alias("o")).filter("o >= 1").distinct()
     d = previous_row(d, key, [F.col("o")], F.col("o"), "prev")
     gap = d.withColumn("prev", F.coalesce("prev", F.lit(0).cast("long"))).filter("o - prev > 1")
-    return gap.select(*key, F.explode(F.sequence(F.col("prev") + 1, F.col("o") - 1)).alias("missing"))
+    return expand_ranges(gap.select(*key, "prev", "o"), F.col("prev") + 1, F.col("o") - 1, "missing").select(*key, "missing")
 
 
 def page_key_union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -34,17 +34,56 @@ def panel_text_order(blocks: DataFrame, panels: DataFrame) -> DataFrame:
     return prefix_scan(d, ["page"], [F.col("panel_id"), (F.col("x1") - F.col("y1")).desc(), F.col("block_id")], number="position")
 
 
+class _Placed:
+    """Regions in order, in short blocks that know the lowest bottom, lowest top edge and nearest side of their members.
+
+    The first region that a new one goes before is sought block by block; a block whose bounds rule all its members out is passed over. Regions come
+    by centre y.
+    """
+
+    WIDTH = 128
+
+    def __init__(self) -> None:
+        self.blocks: list[list[tuple]] = [[]]  # (bottom, top, side, row); a new region goes before a larger side
+        self.bounds: list[tuple] = [(float("-inf"),) * 3]
+
+    def insert(self, row, side: float) -> None:
+        at = None
+        for b, (bottom, top, far) in enumerate(self.bounds):
+            if row.cy <= bottom and (row.cy < top or side < far):
+                at = next((k for k, m in enumerate(self.blocks[b]) if row.cy <= m[0] and (row.cy < m[1] or side < m[2])), None)
+                if at is not None:
+                    break
+                # the members that raised the bounds end above this region, and so above all later ones
+                self.bounds[b] = self._bounds([m for m in self.blocks[b] if row.cy <= m[0]])
+        else:
+            b = len(self.blocks) - 1
+        block = self.blocks[b]
+        if at is None:
+            at = len(block)
+        elif row.cy < block[at][1]:  # above the top edge of a box with swapped edges: behind it
+            at += 1
+        block.insert(at, (row.y2, row.y1, side, row))
+        if len(block) < 2 * self.WIDTH:
+            self.bounds[b] = tuple(map(max, self.bounds[b], block[at]))
+        else:
+            self.blocks[b:b + 1] = block[:self.WIDTH], block[self.WIDTH:]
+            self.bounds[b:b + 1] = map(self._bounds, self.blocks[b:b + 2])
+
+    @staticmethod
+    def _bounds(members: list[tuple]) -> tuple:
+        return tuple(max((m[i] for m in members), default=float("-inf")) for i in range(3))
+
+
 def _insert_sorted(rows: list) -> list[tuple]:
     """Insert regions of one band by centre y; inside a line the x centre decides.
 
     A region above the top edge of a placed one (only boxes with swapped edges have it below their centre) goes behind that one.
     """
-    placed: list = []
+    placed = _Placed()
     for r in rows:
-        at = next((k for k, e in enumerate(placed)
-                   if r.cy <= e.y2 and (r.cy < e.y1 or (r.cx > e.cx if r.rtl else r.cx < e.cx))), None)
-        placed.insert(len(placed) if at is None else at + (r.cy < placed[at].y1), r)
-    return [(r.page, r.block_id, r.band, i) for i, r in enumerate(placed, 1)]
+        placed.insert(r, -r.cx if r.rtl else r.cx)
+    return [(m[3].page, m[3].block_id, m[3].band, i) for i, m in enumerate((m for block in placed.blocks for m in block), 1)]
 
 
 def sort_regions(blocks: DataFrame, rtl: bool | None = None) -> DataFrame:

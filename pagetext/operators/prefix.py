@@ -89,3 +89,15 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], va
 def per_key(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     """Whole-key aggregates joined back to the rows: partial aggregation first, then a join AQE can split."""
     return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
+
+
+def expand_ranges(df: DataFrame, first: Column, last: Column, name: str, piece: int = 1 << 14) -> DataFrame:
+    """One row per whole number from ``first`` to ``last`` of each row (none if ``first`` is larger), as column ``name``.
+
+    A wide range is cut into pieces of at most ``piece`` numbers, which are dealt over the tasks before they are expanded, so that no task
+    expands a whole range; the only array over a range holds one number per piece.
+    """
+    d = df.withColumns({"__a": first.cast("long"), "__b": last.cast("long")}).filter("__a <= __b")
+    d = d.withColumn("__a", F.explode(F.sequence("__a", "__b", F.lit(piece).cast("long"))))
+    d = d.withColumn("__b", F.least("__b", F.col("__a") + (piece - 1))).repartition("__a")
+    return d.withColumn(name, F.explode(F.sequence("__a", "__b"))).select(*df.columns, name)

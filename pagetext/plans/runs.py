@@ -80,23 +80,32 @@ def stage_at_events(events: DataFrame) -> DataFrame:
     stream tracker.
     """
     c = F.col
-    job = c("job_id") if "job_id" in events.columns else F.lit(0)
-    d = prefix_scan(events.withColumn("__job", job), ["__job"], [c("ts"), c("event_id")], sums={"epoch": (c("event") == "folder_started").cast("int")})
+    d = prefix_scan(events.withColumn("__job", _job(events)), ["__job"], [c("ts"), c("event_id")], sums={"epoch": (c("event") == "folder_started").cast("int")})
     mark = F.when(c("event").isin("stage_started", "stage_finished"), F.struct("ts", "event_id", F.when(c("event") == "stage_started", c("stage")).alias("s")))
     d = prefix_scan(d, ["__job", "epoch", "batch", "worker"], [c("ts"), c("event_id")], maxes_before={"__last": mark})
     return d.withColumn("open_stage", c("__last.s")).drop("__last", "__job")
 
 
+def _job(events: DataFrame) -> Column:
+    """The job of an event; events without ``job_id`` belong to one job, 0."""
+    return F.col("job_id") if "job_id" in events.columns else F.lit(0)
+
+
 def failed_stages(events: DataFrame) -> DataFrame:
-    """Stages that ended with a non-zero code and were not cleared since: (epoch, batch, worker, stage)."""
+    """Stages that ended with a non-zero code and were not started, finished well or cleared since: (job_id, epoch, batch, worker, stage).
+
+    ``chunk_ready`` clears a batch of its own job and epoch only; jobs may share batches and workers. Without ``job_id`` all events are of job 0;
+    rows whose job, batch or worker is null take no part.
+    """
     c = F.col
-    d = stage_at_events(events)
-    cleared = d.filter("event = 'chunk_ready'").groupBy("epoch", "batch").agg(F.max(F.struct("ts", "event_id")).alias("cleared"))
-    last = d.filter("event in ('stage_started', 'stage_finished')").groupBy("epoch", "batch", "worker").agg(
+    d = stage_at_events(events).withColumn("job_id", _job(events))
+    cleared = d.filter("event = 'chunk_ready'").groupBy("job_id", "epoch", "batch").agg(F.max(F.struct("ts", "event_id")).alias("cleared"))
+    last = d.filter("event in ('stage_started', 'stage_finished')").groupBy("job_id", "epoch", "batch", "worker").agg(
         F.max_by(F.struct("event", "stage", "returncode", F.struct("ts", "event_id").alias("at")), F.struct("ts", "event_id")).alias("l"))
-    d = last.join(cleared, ["epoch", "batch"], "left")
+    on = [last[k].eqNullSafe(cleared[k]) for k in ("job_id", "epoch", "batch")]
+    d = last.join(cleared, on, "left").select(*[last[k] for k in ("job_id", "epoch", "batch", "worker", "l")], "cleared")
     bad = (c("l.event") == "stage_finished") & (c("l.returncode") != 0) & (c("cleared").isNull() | (c("l.at") > c("cleared")))
-    return d.filter(bad).select("epoch", "batch", "worker", c("l.stage").alias("stage"))
+    return d.filter(bad).select("job_id", "epoch", "batch", "worker", c("l.stage").alias("stage"))
 
 
 def diagnose(manifest: DataFrame, failures: DataFrame, chunks: DataFrame, verification: DataFrame, events: DataFrame, job_completed: bool = False) -> DataFrame:

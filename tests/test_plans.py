@@ -32,3 +32,14 @@ def test_diagnose_job(spark):
     events = spark.createDataFrame(ev, "job_id int, ts timestamp, event_id int, batch int, worker string, event string, stage string, returncode int")
     got = {r.job_id: (r.batch, r.stage, r.evidence) for r in P.diagnose_job(job, events).collect()}
     assert got == {1: (4, "prepare", "stage:failed"), 3: (7, "render", "token:render.log"), 4: (None, "unknown", "none")}
+
+
+def test_failed_stages_of_jobs_that_share_batch_and_worker(spark):
+    t = datetime(2026, 1, 1)
+    ev = [("a", 1, "stage_started", "render", 0), ("a", 2, "stage_finished", "render", 1), ("b", 3, "stage_started", "ocr", 0), ("b", 4, "stage_finished", "ocr", 0), ("b", 5, "chunk_ready", None, 0),
+          ("c", 6, "stage_finished", "ocr", 2), ("c", 7, "folder_started", None, 0)]
+    events = spark.createDataFrame([(j, t, i, 4, "cpu", e, s, r) for j, i, e, s, r in ev], "job_id string, ts timestamp, event_id int, batch int, worker string, event string, stage string, returncode int")
+    got = sorted(map(tuple, P.failed_stages(events).collect()), key=str)
+    assert got == sorted([("a", 0, 4, "cpu", "render"), ("c", 0, 4, "cpu", "ocr")], key=str)
+    alone = P.failed_stages(events.filter("job_id = 'a'").drop("job_id"))
+    assert [tuple(r) for r in alone.collect()] == [(0, 0, 4, "cpu", "render")]
