@@ -5,28 +5,33 @@ The surveyed event log has no event time. Event time, watermarks and windows are
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagetext.operators.prefix import previous_row
 from pagetext.sources.sinks import plan_publish, scratch_dir, write_published
+from pagetext.streaming.keyed import fold_stream, keyed_state_store
 
 GIB = 1 << 30
+DAY_MS = 24 * 3600 * 1000
+
+
+def _by_time(r) -> tuple:
+    """Place of an event in its key's order."""
+    return r["__at"], r["event_id"]
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is available now and read its output back (exactly-once file sink, shared folder)."""
     spark = df.sparkSession
     out = scratch_dir(spark, name)
-    (df.writeStream.format("parquet").outputMode(mode).option("path", out + "/data").option("checkpointLocation", out + "/state")
-     .trigger(availableNow=True).start().awaitTermination())
+    with keyed_state_store(spark):
+        started = (df.writeStream.format("parquet").outputMode(mode).option("path", out + "/data").option("checkpointLocation", out + "/state")
+                   .trigger(availableNow=True).start())
+    started.awaitTermination()
     return spark.read.schema(df.schema).parquet(out + "/data")
 
 
@@ -67,30 +72,25 @@ def resource_monitor(samples: DataFrame, window: str = "1 hour", slide: str = "3
 CHAIN_OUT = "label string, event_id long, chain int, attempt int, level int, outcome string"
 
 
-def attempt_chains(attempts: DataFrame, most: int = 3) -> DataFrame:
+def attempt_chains(attempts: DataFrame, most: int = 3, delay: str = "1 hour", idle_ms: int = DAY_MS) -> DataFrame:
     """Every attempt with its place in a chain of retries: (label, event_id, chain, attempt, level, outcome).
 
     attempts: label, ts, event_id, failure_kind (null = success). A success ends its chain (``done``), so does the third failure
     (``failed``); other failures are followed by a ``retry``. ``level`` is the recovery level of the attempt: a repetition loop
-    raises that of the next attempt, to at most 2; a new chain starts at 0.
+    raises that of the next attempt, to at most 2; a new chain starts at 0. Attempts before the last one handled, or more than ``delay``
+    behind the stream, are late and left out; a label is forgotten ``idle_ms`` after its last attempt.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chain, attempt, level = state.get if state.exists else (1, 0, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            attempt += 1
-            good = r.failure_kind is None or r.failure_kind != r.failure_kind
-            outcome = "done" if good else "failed" if attempt == most else "retry"
-            out.append((key[0], r.event_id, chain, attempt, level, outcome))
-            if outcome == "retry":
-                level = min(level + (r.failure_kind == "repetition_loop"), 2)
-            else:
-                chain, attempt, level = chain + 1, 0, 0
-        state.update((chain, attempt, level))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHAIN_OUT.split(", ")])
+    def step(saved, key: tuple, r) -> tuple:
+        chain, attempt, level = saved or (1, 0, 0)
+        attempt += 1
+        outcome = "done" if r.failure_kind is None else "failed" if attempt == most else "retry"
+        made = (key[0], r.event_id, chain, attempt, level, outcome)
+        if outcome == "retry":
+            return (chain, attempt, min(level + (r.failure_kind == "repetition_loop"), 2)), made
+        return (chain + 1, 0, 0), made
 
-    return attempts.groupBy("label").applyInPandasWithState(step, CHAIN_OUT, "chain int, attempt int, level int", "append", GroupStateTimeout.NoTimeout)
+    return fold_stream(attempts, ["label"], step, _by_time, CHAIN_OUT, "ts", delay, idle_ms)
 
 
 def attempt_sessions(attempts: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -121,53 +121,48 @@ def dedupe_issues(events: DataFrame, completed: DataFrame, delay: str | None = N
 STAGE_OUT = "run_id string, batch int, worker string, event_id long, event string, open_stage string, failed_stage string"
 
 
-def track_stages(events: DataFrame) -> DataFrame:
+def track_stages(events: DataFrame, delay: str = "1 hour", idle_ms: int = DAY_MS) -> DataFrame:
     """Open and failed stage of every (run, batch, worker) after each event. A restart is a new ``run_id``.
 
     events: run_id, batch, worker, ts, event_id, event, stage, returncode. ``chunk_ready`` clears the failures of all
-    workers of its batch.
+    workers of its batch. Events before the last one handled of their batch, or more than ``delay`` behind the stream, are late and left
+    out; a batch is forgotten ``idle_ms`` after its last event, so finished runs leave no state.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, failed = json.loads(state.get[0]) if state.exists else ({}, {})
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.event == "stage_started":
-                opened[r.worker] = r.stage
-                failed.pop(r.worker, None)
-            elif r.event == "stage_finished":
-                opened.pop(r.worker, None)
-                failed.pop(r.worker, None)
-                if r.returncode:
-                    failed[r.worker] = r.stage
-            elif r.event == "chunk_ready":
-                failed.clear()
-            out.append((*key, r.worker, r.event_id, r.event, opened.get(r.worker), failed.get(r.worker)))
-        state.update((json.dumps([opened, failed]),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STAGE_OUT.split(", ")])
-
-    return events.groupBy("run_id", "batch").applyInPandasWithState(step, STAGE_OUT, "workers string", "append", GroupStateTimeout.NoTimeout)
+    def step(saved, key: tuple, r) -> tuple:
+        opened, failed = saved or ({}, {})
+        if r.event == "stage_started":
+            opened[r.worker] = r.stage
+            failed.pop(r.worker, None)
+        elif r.event == "stage_finished":
+            opened.pop(r.worker, None)
+            failed.pop(r.worker, None)
+            if r.returncode:
+                failed[r.worker] = r.stage
+        elif r.event == "chunk_ready":
+            failed.clear()
+        return (opened, failed), (*key, r.worker, r.event_id, r.event, opened.get(r.worker), failed.get(r.worker))
+
+    return fold_stream(events, ["run_id", "batch"], step, _by_time, STAGE_OUT, "ts", delay, idle_ms)
 
 
 GUARD_OUT = "reply long, seq long, run int, looping boolean"
 
 
 def repeat_guard(chunks: DataFrame, repeats: int = 31) -> DataFrame:
-    """Running count of identical consecutive chunks of each reply: (reply, seq, run, looping). chunks: reply, seq, piece."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, run = state.get if state.exists else (None, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            token = (r.piece or "").strip()
-            if r.piece:
-                run, last = (run + 1 if token == last else 1), token
-            out.append((key[0], r.seq, run, run >= repeats))
-        state.update((last, run))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in GUARD_OUT.split(", ")])
-
-    return chunks.groupBy("reply").applyInPandasWithState(step, GUARD_OUT, "last string, run int", "append", GroupStateTimeout.NoTimeout)
+    """Running count of identical consecutive chunks of each reply: (reply, seq, run, looping). chunks: reply, seq, piece.
+
+    Chunks have no event time, so a reply's last chunk and count are kept; a chunk before the last one handled is late and left out.
+    """
+
+    def step(saved, key: tuple, r) -> tuple:
+        last, run = saved or (None, 0)
+        token = (r.piece or "").strip()
+        if r.piece:
+            run, last = (run + 1 if token == last else 1), token
+        return (last, run), (key[0], r.seq, run, run >= repeats)
+
+    return fold_stream(chunks, ["reply"], step, lambda r: (r.seq,), GUARD_OUT)
 
 
 def trailing_repeats(chunks: DataFrame, repeats: int = 31) -> DataFrame:

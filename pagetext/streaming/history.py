@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagetext.operators.context import history_suffix
 from pagetext.operators.folds import scan_groups
 from pagetext.operators.prefix import previous_row, prefix_scan
+from pagetext.streaming.keyed import fold_stream
 
 OUT = "project int, page long, action string, reason string, page_count int, token_count long, appended int, evicted int"
 
@@ -78,22 +76,18 @@ class Tracker:
 def stream_history(pages: DataFrame, budget: int, reserved: int = 0) -> DataFrame:
     """Rolling history of a page stream: project, page, tokens, complete, requested; output as in ``OUT``.
 
-    The state of a project is its window and the pages a rebuild would take, both bounded by the budget.
+    The state of a project is its window and the pages a rebuild would take, both bounded by the budget. A page before the last one
+    handled is late and left out.
     """
     low, high = limits(budget, reserved)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t = Tracker(low, high, reserved, state.get[0] if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values("page")
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.requested:
-                out.append((key[0], r.page, *t.request(int(r.page))))
-            t.seen(int(r.page), int(r.tokens), bool(r.complete))
-        state.update((t.dump(),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    return pages.groupBy("project").applyInPandasWithState(step, OUT, "saved string", "append", GroupStateTimeout.NoTimeout)
+    def step(saved, key: tuple, r) -> tuple:
+        t = Tracker(low, high, reserved, saved)
+        made = (key[0], r.page, *t.request(int(r.page))) if r.requested else None
+        t.seen(int(r.page), int(r.tokens), bool(r.complete))
+        return t.dump(), made
+
+    return fold_stream(pages, ["project"], step, lambda r: (r.page,), OUT)
 
 
 def rolling_history(pages: DataFrame, budget: int, reserved: int = 0) -> DataFrame:
