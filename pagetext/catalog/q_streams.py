@@ -143,15 +143,16 @@ select 'f'||page||'.png' as output_name, case when done and (there is null or th
 from t where done or there is not null""")
 def _(v):
     """Some outputs lie at the destination already: foreign ones, equal ones and ones the manifest knows."""
-    from pagetext.sources.sinks import scratch_dir, write_published
+    from pagetext.sources.sinks import scratch_dir
 
     base, page = scratch_dir(v.spark, "publish"), c("page")
+    target, manifest = E.page_log(v.spark, base), E.manifest_log(v.spark, base + "/manifest")
     names = v.events.select(c("user_id").alias("page")).distinct().select("page", F.concat(F.lit("f"), "page", F.lit(".png")).alias("output_name"))
     text = lambda word: F.concat(F.lit(word), page.cast("string"))
     there = names.withColumn("sha256", F.when(page % 5 == 0, text("x")).when(page % 3 == 0, text("h")).when(page % 7 == 0, text("old"))).filter("sha256 is not null")
-    write_published(there.withColumn("batch", F.lit(-1)).withColumn("publish_id", F.lit(-1)), base + "/pages", "publish_id")
-    pages = names.withColumn("output_sha256", F.when(page % 7 == 0, text("old")))
+    target.write(there.withColumn("batch", F.lit(-1)), -1)
+    manifest.write(names.withColumn("output_sha256", F.when(page % 7 == 0, text("old"))), -1)
     done = _event_stream(v).filter("event = 'stage_finished'").dropDuplicates(["page"]).select("page", "batch", text("h").alias("sha256"))
-    E.publish_stream(done, base + "/manifest", base, base + "/state", pages)
+    E.publish_stream(done, manifest, target, base + "/_conflicts", base + "/state")
     clash = v.spark.read.parquet(base + "/_conflicts").select("output_name", F.lit(True).alias("conflict")).distinct()
-    return E.published(v.spark, base).join(clash, "output_name", "left").select("output_name", "sha256", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    return target.read().join(clash, "output_name", "left").select("output_name", "sha256", F.coalesce("conflict", F.lit(False)).alias("conflict"))

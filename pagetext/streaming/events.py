@@ -5,14 +5,12 @@ The surveyed event log has no event time. Event time, watermarks and windows are
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetext.operators.prefix import previous_row
-from pagetext.sources.sinks import plan_publish, scratch_dir, write_published
+from pagetext.sources.sinks import plan_publish, scratch_dir
+from pagetext.streaming.delta_log import DeltaLog
 from pagetext.streaming.keyed import fold_stream, keyed_state_store
 
 GIB = 1 << 30
@@ -35,25 +33,20 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out + "/data")
 
 
-def run_upsert(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Run a stream in update mode over what is available and read its table back: the last row of every key, open windows included.
+def upsert_stream(df: DataFrame, log: DeltaLog, checkpoint: str) -> None:
+    """Run a stream in update mode over what is available into a keyed log; each micro-batch writes only the keys it changed.
 
-    Every micro-batch writes a full version of the table from the one before it, so a replayed batch writes the same again.
+    A micro-batch that is run again, also by a new driver after a crash, replaces its own version.
     """
-    spark, last = df.sparkSession, [-1]
-    out = scratch_dir(spark, name)
-    spark.createDataFrame([], df.schema).write.parquet(f"{out}/version=-1")
+    (df.writeStream.outputMode("update").foreachBatch(log.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        old = s.read.schema(df.schema).parquet(f"{out}/version={batch_id - 1}")
-        on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-        kept = old.alias("o").join(batch.select(*keys).alias("n"), reduce(lambda a, b: a & b, on), "left_anti")
-        kept.unionByName(batch).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
-        last[0] = max(last[0], batch_id)
 
-    (df.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", out + "/state").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(df.schema).parquet(f"{out}/version={last[0]}")
+def run_upsert(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a stream over what is available and read its table back: the last row of every key, open windows included."""
+    out = scratch_dir(df.sparkSession, name)
+    log = DeltaLog(df.sparkSession, out + "/table", keys, df.schema)
+    upsert_stream(df, log, out + "/state")
+    return log.read()
 
 
 def live_progress(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -175,33 +168,30 @@ def trailing_repeats(chunks: DataFrame, repeats: int = 31) -> DataFrame:
     return n.withColumn("looping", c("run") >= repeats)
 
 
-def published(spark: SparkSession, target: str, but: int | None = None) -> DataFrame:
-    """Latest content per output below ``target``: output_name, sha256; ``but`` leaves one publication out."""
-    try:
-        rows = spark.read.parquet(f"{target}/pages")
-    except AnalysisException:  # nothing has been published yet
-        return spark.createDataFrame([], "output_name string, sha256 string")
-    rows = rows if but is None else rows.filter(F.col("publish_id") != but)
-    return rows.groupBy("output_name").agg(F.max_by("sha256", "publish_id").alias("sha256"))
+def page_log(spark: SparkSession, target: str, more: str = "batch int") -> DeltaLog:
+    """What lies at a destination: the latest content of every output, with the page and ``more`` columns it came with."""
+    schema = spark.createDataFrame([], f"output_name string, sha256 string, page bigint, {more}").schema
+    return DeltaLog(spark, f"{target}/pages", ["output_name"], schema)
+
+
+def manifest_log(spark: SparkSession, path: str) -> DeltaLog:
+    return DeltaLog(spark, path, ["page"], spark.createDataFrame([], "page bigint, output_name string, output_sha256 string").schema)
 
 
-def publish_stream(finished: DataFrame, manifest_path: str, target: str, checkpoint: str, initial: DataFrame) -> None:
-    """Publish every micro-batch of verified pages (page, sha256, batch, ...), idempotent on replay.
+def publish_stream(finished: DataFrame, manifest: DeltaLog, target: DeltaLog, conflicts_path: str, checkpoint: str) -> None:
+    """Publish every micro-batch of verified pages (page, sha256 and the further columns of ``target``), idempotent on replay.
 
     What lies at the destination is read there: an output holding neither the new nor the recorded content is a conflict, stays as it is
-    and goes to ``<target>/_conflicts`` under the batch id. The manifest is written once per batch id as a full version; a
-    replayed batch starts from the version before it, does not look at its own files and writes the same again.
+    and goes to ``conflicts_path`` under the batch id. Manifest and destination are keyed logs whose earlier content has versions below 0: a micro-batch
+    reads the folders of its own pages, below its own version, and writes only what it changes.
     """
-    initial.write.mode("overwrite").parquet(f"{manifest_path}/version=-1")
 
     def publish(df: DataFrame, batch_id: int) -> None:
-        s = df.sparkSession
-        manifest = s.read.parquet(f"{manifest_path}/version={batch_id - 1}")
-        existing = published(s, target, but=batch_id).select("output_name", F.col("sha256").alias("existing_sha256"))
-        writes, conflicts, after = plan_publish(df.select("page", "sha256"), manifest, existing)
-        rows = df.join(writes.select("page", "output_name"), "page").withColumn("publish_id", F.lit(batch_id))
-        write_published(rows, f"{target}/pages", "publish_id")
-        conflicts.write.mode("overwrite").parquet(f"{target}/_conflicts/batch={batch_id}")
-        after.write.mode("overwrite").parquet(f"{manifest_path}/version={batch_id}")
+        known = manifest.read(before=batch_id, like=df.select("page")).join(df.select("page"), "page", "left_semi")
+        there = target.read(before=batch_id, like=known.select("output_name")).select("output_name", F.col("sha256").alias("existing_sha256"))
+        writes, conflicts, after = plan_publish(df.select("page", "sha256"), known, there)
+        target.write(df.join(writes.select("page", "output_name"), "page"), batch_id)
+        conflicts.write.mode("overwrite").parquet(f"{conflicts_path}/batch={batch_id}")
+        manifest.write(after, batch_id)
 
     (finished.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())

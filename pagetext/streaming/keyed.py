@@ -32,7 +32,7 @@ class OrderedFold(StatefulProcessor):
     """``step(saved, key, row) -> (saved, output or None)`` over the rows of a key by ``place(row)``, from one micro-batch to the next.
 
     A row at or before the last place handled came too late and is left out. The saved value is JSON. With ``at`` (the
-    event time of a row in milliseconds) a key whose last row lies ``idle_ms`` behind the watermark is forgotten.
+    event time of a row in milliseconds) so does a row behind the watermark, and a key whose last row lies ``idle_ms`` behind the watermark is forgotten.
     """
 
     def __init__(self, step: Callable, place: Callable, names: list[str], at: Callable | None = None, idle_ms: int = 0):
@@ -45,10 +45,10 @@ class OrderedFold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         saved, last, timer = json.loads(self.value.get()[0]) if self.value.exists() else (None, None, None)
         out = Row(*self.names)
-        seen = -1
+        seen, passed = -1, 0 if self.at is None else timerValues.getCurrentWatermarkInMs()
         for r in sorted(rows, key=self.place):
             place = list(self.place(r))
-            if last is not None and place <= last:
+            if (last is not None and place <= last) or (passed > 0 and self.at(r) < passed):
                 continue
             saved, made = self.step(saved, key, r)
             last = place

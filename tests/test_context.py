@@ -152,14 +152,3 @@ def test_batch_functions(spark):
     assert out[2, 1] == ("loop", "source") and out[2, 2] == ("boom", "source") and out[1, 1] == ("T1", "batch")
     routed, _ = R.route_non_empty(d.filter("page = 1"), lambda ts: [t[::-1] for t in ts])
     assert routed.count() == 40 and routed.filter("text = '' and result = ''").count() == 10
-
-
-def test_publish_stream_replay(spark, tmp_path):
-    m = spark.createDataFrame([(i, f"o{i}", None) for i in range(6)], "page int, output_name string, output_sha256 string")
-    for k in range(2):
-        spark.createDataFrame([(p, k, f"h{p}") for p in range(k * 3, k * 3 + 3)], "page int, batch int, sha256 string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = lambda: spark.readStream.schema("page int, batch int, sha256 string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    for ckpt in ("c1", "c2"):  # a lost checkpoint replays everything
-        E.publish_stream(src(), str(tmp_path / "m"), str(tmp_path / "t"), str(tmp_path / ckpt), m)
-        rows = spark.read.parquet(str(tmp_path / "t" / "pages"))
-        assert sorted(r.page for r in rows.collect()) == list(range(6))
