@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetext.operators.folds import fold_groups
+from pagetext.operators.prefix import per_key
 from pagetext.session import cut_lineage
 
+FOLD_EDGES = 100_000  # edges folded in one task
+
 
 def _fingerprint(edges: DataFrame, cols: Sequence[str]) -> tuple:
     h = F.xxhash64(*cols)
@@ -48,15 +52,62 @@ def label_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], ui
     return nodes.join(comp, [*keys, uid], "left").withColumn("component", F.coalesce("component", F.col(uid)))
 
 
-def greedy_dropped(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _settled(edges: DataFrame, keys: list[str], a: str, b: str, fold: Callable, out: str, rounds: Callable[[DataFrame], DataFrame], fold_edges: int) -> DataFrame:
+    """``fold`` over the edges of each key, in one task a key; of keys with more than ``fold_edges`` edges over each component, and
+    ``rounds`` for components that are larger still. ``a`` and ``b`` are the node columns, ``out`` the output columns with their types."""
+    e = cut_lineage(edges.distinct())
+    types = dict(e.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), out])
+    d = per_key(e, keys, F.count(F.lit(1)).alias("__n"))
+    done = fold_groups(d.filter(F.col("__n") <= fold_edges).drop("__n"), keys, [a, b], fold, schema)
+    large = d.filter(F.col("__n") > fold_edges).drop("__n")
+    if large.isEmpty():
+        return done
+    # the two node columns may number different things
+    nodes = large.select(*keys, (F.col(a).cast("long") * 2).alias("__a"), (F.col(b).cast("long") * 2 + F.lit(a != "win").cast("int")).alias("__b"))
+    comp = connected_components(nodes, keys, "__a", "__b").withColumnRenamed("node", "__a").withColumnRenamed("component", "rival_group")
+    large = large.withColumn("__a", F.col(a).cast("long") * 2).join(comp, [*keys, "__a"]).drop("__a")
+    large = cut_lineage(per_key(large, [*keys, "rival_group"], F.count(F.lit(1)).alias("__n")))
+    some = fold_groups(large.filter(F.col("__n") <= fold_edges).select(*keys, "rival_group", a, b), [*keys, "rival_group"], [a, b], fold, schema)
+    rest = large.filter(F.col("__n") > fold_edges).select(*keys, a, b)
+    done = done.unionByName(some)
+    return done if rest.isEmpty() else done.unionByName(rounds(rest))
+
+
+def greedy_dropped(edges: DataFrame, keys: Sequence[str], fold_edges: int = FOLD_EDGES) -> DataFrame:
     """Nodes removed by a first-to-last greedy pass; an edge says ``win`` comes earlier and would remove ``lose``.
 
-    Every round settles all nodes without an open earlier rival, so the result equals the sequential pass and
-    the number of rounds is the length of the longest chain of rivals, not the number of boxes.
+    A key's edges are folded in one task, in a time that grows with their number however long the chains of rivals are. Of a key with more than
+    ``fold_edges`` edges each component is folded by itself; only a component that is larger too is settled in rounds.
     """
     keys = list(keys)
-    e = cut_lineage(edges.select(*keys, "win", "lose").distinct())
+
+    def fold(rows: list) -> list[tuple]:
+        key = rows[0][:len(keys)]
+        beats: dict = {}
+        waiting: dict = {}
+        for r in rows:
+            beats.setdefault(r.win, []).append(r.lose)
+            waiting[r.lose] = waiting.get(r.lose, 0) + 1
+        ready, gone = [n for n in beats if n not in waiting], set()
+        while ready:  # a node is ready once all its earlier rivals are settled
+            n = ready.pop()
+            for m in beats.get(n, ()):
+                if n not in gone:
+                    gone.add(m)
+                waiting[m] -= 1
+                if not waiting[m]:
+                    ready.append(m)
+        return [(*key, n) for n in gone]
+
+    kind = dict(edges.dtypes)["lose"]
+    return _settled(edges.select(*keys, "win", "lose"), keys, "win", "lose", fold, f"n {kind}", lambda rest: _dropped_in_rounds(rest, keys), fold_edges)
+
+
+def _dropped_in_rounds(e: DataFrame, keys: list[str]) -> DataFrame:
+    """Every round settles all nodes without an open earlier rival; as many rounds as the longest chain of rivals."""
     dropped: DataFrame | None = None
+    e = cut_lineage(e)
     while not e.isEmpty():
         kept = e.select(*keys, F.col("win").alias("n")).distinct().join(
             e.select(*keys, F.col("lose").alias("n")).distinct(), [*keys, "n"], "left_anti")
@@ -65,19 +116,35 @@ def greedy_dropped(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         dropped = out if dropped is None else dropped.unionByName(out)
         e = cut_lineage(e.join(out.withColumnRenamed("n", "lose"), [*keys, "lose"], "left_anti")
                         .join(out.withColumnRenamed("n", "win"), [*keys, "win"], "left_anti"))
-    if dropped is None:
-        return e.select(*keys, F.col("lose").alias("n"))
     return dropped.distinct()
 
 
-def greedy_one_to_one(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+def greedy_one_to_one(pairs: DataFrame, keys: Sequence[str], a: str, b: str, fold_edges: int = FOLD_EDGES) -> DataFrame:
     """Pairs accepted by a greedy pass in (a, b) order where every a and b is used once.
 
-    A pair is settled as soon as it is the smallest open pair of both its ends; this gives the sequential result.
+    A key's pairs are folded in order in one task; of a key with more than ``fold_edges`` pairs each component is, and only a component
+    that is larger too is settled in rounds.
     """
     keys = list(keys)
-    open_pairs = cut_lineage(pairs.select(*keys, a, b).distinct())
+
+    def fold(rows: list) -> list[tuple]:
+        key, used_a, used_b, out = rows[0][:len(keys)], set(), set(), []
+        for r in rows:
+            x, y = r[-2:]
+            if x not in used_a and y not in used_b:
+                used_a.add(x)
+                used_b.add(y)
+                out.append((*key, x, y))
+        return out
+
+    kinds = dict(pairs.dtypes)
+    return _settled(pairs.select(*keys, a, b), keys, a, b, fold, f"{a} {kinds[a]}, {b} {kinds[b]}", lambda rest: _accepted_in_rounds(rest, keys, a, b), fold_edges)
+
+
+def _accepted_in_rounds(open_pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """A pair is settled as soon as it is the smallest open pair of both its ends; this gives the sequential result."""
     accepted: DataFrame | None = None
+    open_pairs = cut_lineage(open_pairs)
     while not open_pairs.isEmpty():
         first_b = open_pairs.groupBy(*keys, a).agg(F.min(b).alias(b))
         first_a = open_pairs.groupBy(*keys, b).agg(F.min(a).alias(a))
@@ -85,4 +152,4 @@ def greedy_one_to_one(pairs: DataFrame, keys: Sequence[str], a: str, b: str) ->
         accepted = win if accepted is None else accepted.unionByName(win)
         open_pairs = cut_lineage(open_pairs.join(win.select(*keys, a), [*keys, a], "left_anti")
                                  .join(win.select(*keys, b), [*keys, b], "left_anti"))
-    return open_pairs if accepted is None else accepted
+    return accepted

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,43 +132,62 @@ def remove_fully_contained(df: DataFrame, key: Sequence[str] = ("page",)) -> Dat
     return df.join(pairs.select(*key, "block_id").distinct(), [*key, "block_id"], "left_anti")
 
 
+NOTHING, INNER, LARGER, HULL = range(4)
+
+
+def _meetings(base: np.ndarray, others: np.ndarray, dist: float, contain: float, dup: float, overlap: float) -> np.ndarray:
+    """What each of ``others`` means to ``base``: nothing, it is inside and goes, the larger of both stays, or their hull does."""
+    low, high = np.maximum(base[:2], others[:, :2]), np.minimum(base[2:], others[:, 2:])
+    wide, tall = np.maximum(0, high - low).T
+    sides, own = others[:, 2:] - others[:, :2], base[2:] - base[:2]
+    area, mine, both = sides[:, 0] * sides[:, 1], own[0] * own[1], wide * tall
+    with np.errstate(divide="ignore", invalid="ignore"):
+        contained = (mine > 0) & (area > 0) & (both / np.minimum(mine, area) >= contain)
+        same = (mine + area - both > 0) & (both / (mine + area - both) >= dup)
+        narrow = np.minimum(own[0], sides[:, 0])
+        share = wide / np.where(narrow > 0, narrow, 1.0)
+        big = np.maximum(0, np.maximum(mine, area))
+        alike = (big > 0) & (np.maximum(0, np.minimum(mine, area)) / big > 0.3)
+    near = np.minimum(np.abs(base[1] - others[:, 3]), np.abs(base[3] - others[:, 1])) < dist
+    grown = np.prod(np.maximum(base[2:], others[:, 2:]) - np.minimum(base[:2], others[:, :2]), axis=1)
+    hull = near & (share > overlap) & alike & (grown <= 3 * big)
+    return np.select([contained & (mine >= area), contained | same, hull], [INNER, LARGER, HULL], NOTHING)
+
+
 def _stitcher(dist: float, contain: float, dup: float, overlap: float):
-    def inter(a, b):
-        return max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-
-    def outcome(a, b):
-        """What happens to the earlier box ``a`` and the later ``b``: (new box, restart) or None."""
-        sa, sb, both = (a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]), inter(a, b)
-        if sa > 0 and sb > 0 and both / min(sa, sb) >= contain:
-            return (a, False) if sa >= sb else (b, True)
-        if sa + sb - both > 0 and both / (sa + sb - both) >= dup:
-            return (b if sb > sa else a), True
-        near = min(abs(a[1] - b[3]), abs(a[3] - b[1])) < dist
-        narrow = min(a[2] - a[0], b[2] - b[0])
-        share = max(0, min(a[2], b[2]) - max(a[0], b[0])) / (narrow if narrow > 0 else 1.0)
-        big = max(sa, sb, 0)
-        if near and share > overlap and big > 0 and max(0, min(sa, sb)) / big > 0.3:
-            hull = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-            if (hull[2] - hull[0]) * (hull[3] - hull[1]) <= 3 * big:
-                return hull, True
-        return None
+    """Sweep over the boxes of an island by their top edge; each box meets those still standing that begin before its reach ends.
 
+    Those it meets are weighed together, some at first and then twice as many, up to the first that changes the box. The box then starts anew.
+    """
     def fold(rows: list) -> list[tuple]:
         page, island = rows[0].page, rows[0].island
-        todo = [(r.x1, r.y1, r.x2, r.y2) for r in rows]
-        at = 0
-        while at < len(todo):
-            other, restart = at + 1, False
-            while other < len(todo) and not restart and todo[other][1] <= todo[at][3] + 2 * dist:
-                got = outcome(todo[at], todo[other])
-                if got is None:
-                    other += 1
-                else:
-                    todo[at], restart = got
-                    del todo[other]
-            if not restart:
-                at += 1
-        return [(page, island, k, *map(float, b)) for k, b in enumerate(todo, 1)]
+        boxes = np.array([(r.x1, r.y1, r.x2, r.y2) for r in rows], float)
+        tops, standing, kept = np.ascontiguousarray(boxes[:, 1]), np.ones(len(boxes), bool), []
+        for first in range(len(boxes)):
+            if not standing[first]:
+                continue
+            base, at, width = boxes[first], first + 1, 16
+            while at < (end := int(np.searchsorted(tops, base[3] + 2 * dist, side="right"))):
+                upto = min(at + width, end)
+                met = at + np.flatnonzero(standing[at:upto])
+                at, width = upto, 2 * width
+                if not len(met):
+                    continue
+                means = _meetings(base, boxes[met], dist, contain, dup, overlap)
+                change = np.flatnonzero(means >= LARGER)
+                k = int(change[0]) if len(change) else len(met)
+                standing[met[:k][means[:k] == INNER]] = False
+                if k == len(met):
+                    continue
+                other = boxes[met[k]]
+                standing[met[k]] = False
+                if means[k] == HULL:
+                    base = np.concatenate([np.minimum(base[:2], other[:2]), np.maximum(base[2:], other[2:])])
+                elif np.prod(other[2:] - other[:2]) > np.prod(base[2:] - base[:2]):
+                    base = other
+                at, width = first + 1, 16
+            kept.append(base.tolist())
+        return [(page, island, k, *b) for k, b in enumerate(kept, 1)]
 
     return fold
 

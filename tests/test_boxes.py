@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import namedtuple
 
 import pytest
@@ -152,17 +153,70 @@ def test_greedy_detections(spark, df, pages):
     assert got == want
 
 
-def test_stitch_slices_islands_equal_whole_pages(df, pages):
-    """Folding islands one by one gives what folding each page at once gives."""
-    Row = namedtuple("Row", "page island x1 y1 x2 y2")
+def plain_stitch(boxes, dist, contain, dup, overlap):
+    """The first box of the list takes in the next ones that touch it until none does, then comes the turn of the rest."""
+    size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+
+    def joined(a, b):
+        w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        less, more = sorted((size(a), size(b)))
+        union = less + more - w * h
+        if (less > 0 and w * h / less >= contain) or (union > 0 and w * h / union >= dup):
+            return a if size(a) >= size(b) else b
+        narrow = min(a[2] - a[0], b[2] - b[0])
+        hull = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+        close = min(abs(a[1] - b[3]), abs(a[3] - b[1])) < dist and w / (narrow if narrow > 0 else 1) > overlap
+        return hull if close and more > 0 and max(less, 0) / more > 0.3 and size(hull) <= 3 * more else None
+
+    if not boxes:
+        return []
+    head, rest = boxes[0], boxes[1:]
+    k = 0
+    while k < len(rest) and rest[k][1] <= head[3] + 2 * dist:
+        new = joined(head, rest[k])
+        if new is None:
+            k += 1
+            continue
+        inside = size(head) > 0 and size(rest[k]) > 0 and new == head and size(head) >= size(rest[k])
+        w = max(0, min(head[2], rest[k][2]) - max(head[0], rest[k][0])) * max(0, min(head[3], rest[k][3]) - max(head[1], rest[k][1]))
+        inside = inside and w / min(size(head), size(rest[k])) >= contain
+        head = new
+        del rest[k]
+        k = k if inside else 0
+    return [head, *plain_stitch(rest, dist, contain, dup, overlap)]
+
+
+def test_stitch_slices(df, pages):
+    """Islands folded one by one give what the rule gives on each whole page."""
     got = {}
     for r in M.stitch_slices(df.withColumn("start_y", F.col("block_id") % 3 * 40), 1500, 0.01, 0.85, 0.5, 0.1).collect():
         got.setdefault(r.page, []).append((r.x1, r.y1, r.x2, r.y2))
-    fold = M._stitcher(15, 0.85, 0.5, 0.1)
     for p, rows in pages.items():
         moved = sorted(rows, key=lambda r: (r[3] + r[1] % 3 * 40, r[1]))
-        whole = fold([Row(p, 0, r[2], r[3] + r[1] % 3 * 40, r[4], r[5] + r[1] % 3 * 40) for r in moved])
-        assert sorted(got[p]) == sorted(t[3:] for t in whole)
+        want = plain_stitch([(r[2], r[3] + r[1] % 3 * 40, r[4], r[5] + r[1] % 3 * 40) for r in moved], 15, 0.85, 0.5, 0.1)
+        assert sorted(got[p]) == sorted(map(tuple, want))
+
+
+def test_stitch_fold_on_random_islands():
+    Row, rnd = namedtuple("Row", "page island x1 y1 x2 y2"), random.Random(3)
+    for n in range(1, 300):
+        boxes = []
+        for _ in range(n % 60 + 1):
+            x, y = rnd.randrange(60), rnd.randrange(rnd.choice([40, 400]))
+            boxes.append((x, y, x + rnd.randrange(40), y + rnd.randrange(40)))
+        boxes.sort(key=lambda b: b[1])
+        rule = (rnd.choice([2, 9]), rnd.choice([0.6, 0.85]), rnd.choice([0.3, 0.5]), rnd.choice([0.0, 0.1]))
+        got = M._stitcher(*rule)([Row(1, 1, *b) for b in boxes])
+        assert [t[3:] for t in got] == plain_stitch(boxes, *rule)
+
+
+def test_stitch_fold_on_a_large_island():
+    """A column of many boxes, each of which reaches the next few only."""
+    Row = namedtuple("Row", "page island x1 y1 x2 y2")
+    rows = [Row(1, 1, 50 * (i % 40), i // 4, 50 * (i % 40) + 20, i // 4 + 30) for i in range(20000)]
+    start = time.time()
+    assert M._stitcher(15, 0.85, 0.5, 0.1)(rows)
+    assert time.time() - start < 60
 
 
 @pytest.mark.parametrize("second,want", [
