@@ -162,14 +162,15 @@ def _stitcher(dist: float, contain: float, dup: float, overlap: float):
     def fold(rows: list) -> list[tuple]:
         page, island = rows[0].page, rows[0].island
         boxes = np.array([(r.x1, r.y1, r.x2, r.y2) for r in rows], float)
-        tops, standing, kept = np.ascontiguousarray(boxes[:, 1]), np.ones(len(boxes), bool), []
+        left, tops, right = (np.ascontiguousarray(boxes[:, k]) for k in range(3))
+        standing, kept = np.ones(len(boxes), bool), []
         for first in range(len(boxes)):
             if not standing[first]:
                 continue
             base, at, width = boxes[first], first + 1, 16
             while at < (end := int(np.searchsorted(tops, base[3] + 2 * dist, side="right"))):
                 upto = min(at + width, end)
-                met = at + np.flatnonzero(standing[at:upto])
+                met = at + np.flatnonzero(standing[at:upto] & (left[at:upto] < base[2]) & (right[at:upto] > base[0]))  # the others mean nothing
                 at, width = upto, 2 * width
                 if not len(met):
                     continue
