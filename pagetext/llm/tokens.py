@@ -12,7 +12,7 @@ import heapq
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 NONE = np.iinfo(np.int32).max
 LONG = 48  # bytes; a longer word is folded on its own with a heap, so its cost stays near linear
 STRETCH = 1 << 20  # characters of text whose distinct words are folded together
-KEPT = 100_000  # distinct words remembered by a task
+KEPT = 300_000  # distinct words remembered by a task
 PIECES = 1 << 16  # words of one text taken at a time
 
 
@@ -132,22 +132,28 @@ def _pieces(text: str, pattern) -> Iterator[list[str]]:
 
 
 class Encoder:
-    """Encodes texts of one task; remembers the distinct words it has folded, up to a bound."""
+    """Encodes texts of one task; remembers the distinct words it has folded, up to a bound.
+
+    ``known`` tells of a word how many ids it has, their decimal text, their bytes and the ids, in one look-up.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.merges, self.pattern = Merges(ranks), regex.compile(pattern)
-        self.ids: dict[str, list[int]] = {}
-
-    def learn(self, words) -> None:
-        new = list(words)
-        if len(self.ids) + len(new) > KEPT:
-            self.ids.clear()
-        self.ids.update(zip(new, self.merges.fold([w.encode() for w in new])))
-
-    def tokens(self, texts: list[str]) -> Iterator[list[list[list[int]]]]:
-        """For each text, its words' ids in blocks."""
+        self.known: dict[str, tuple[int, bytes, bytes, tuple[int, ...]]] = {}
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KEPT:
+            self.known.clear()
+            new = list(words)
+        token = self.merges.bytes
+        for w, ids in zip(new, self.merges.fold([w.encode() for w in new])):
+            self.known[w] = (len(ids), ",".join(map(str, ids)).encode(), b"".join([token[i] for i in ids]), tuple(ids))
+
+    def tokens(self, texts: list[str]) -> Iterator[Iterator[list[tuple]]]:
+        """For each text, what is known of its words, in blocks."""
         at = 0
         while at < len(texts):
             to, room = at, STRETCH
@@ -158,23 +164,15 @@ class Encoder:
                 yield self._blocks(texts[at])
             else:
                 found = [[w for part in _pieces(t, self.pattern) for w in part] for t in texts[at:to]]
-                fresh = dict.fromkeys(w for words in found for w in words)
-                missing = [w for w in fresh if w not in self.ids]
-                if len(self.ids) + len(missing) > KEPT:
-                    missing = list(fresh)
-                self.learn(missing)
+                self.learn(set().union(*found))
                 for words in found:
-                    yield [[self.ids[w] for w in words]]
+                    yield iter([list(map(self.known.__getitem__, words))])
             at = to
 
-    def _blocks(self, text: str):
+    def _blocks(self, text: str) -> Iterator[list[tuple]]:
         for words in _pieces(text, self.pattern):
-            fresh = dict.fromkeys(words)
-            missing = [w for w in fresh if w not in self.ids]
-            if len(self.ids) + len(missing) > KEPT:
-                missing = list(fresh)
-            self.learn(missing)
-            yield [self.ids[w] for w in words]
+            self.learn(set(words))
+            yield list(map(self.known.__getitem__, words))
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,7 +188,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                out = [np.fromiter((i for block in blocks for w in block for i in w), np.int32) for blocks in enc.tokens(part.column(1).to_pylist())]
+                out = [np.fromiter((i for block in blocks for w in block for i in w[3]), np.int32) for blocks in enc.tokens(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -227,32 +225,20 @@ def digest_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(shared.value, pattern)
-        token = enc.merges.bytes
-        said: dict[int, tuple] = {}  # by the word's list of ids: its decimal text and its decoded bytes
-
-        def words(block):
-            for w in block:
-                if (x := said.get(id(w))) is None or x[0] is not w:
-                    x = said[id(w)] = (w, ",".join(map(str, w)).encode(), b"".join([token[i] for i in w]))
-                yield x
-
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 rows = []
                 for blocks in enc.tokens(part.column(1).to_pylist()):
-                    n, ids, back, first, flat = 0, hashlib.sha256(), hashlib.sha256(), True, []
-                    for block in blocks:
-                        found = list(words(block))
-                        n += sum(map(len, block))
-                        ids.update((b"" if first or not found else b",") + b",".join([x[1] for x in found]))
-                        back.update(b"".join([x[2] for x in found]))
-                        first = first and not found
+                    n, ids, back, flat = 0, hashlib.sha256(), hashlib.sha256(), []
+                    for block in filter(None, blocks):
+                        count, said, raw, listed = zip(*block)
+                        ids.update((b"," if n else b"") + b",".join(said))
+                        back.update(b"".join(raw))
+                        n += sum(count)
                         if with_ids:
-                            flat.append(np.fromiter((i for w in block for i in w), np.int32))
+                            flat.append(np.fromiter(chain.from_iterable(listed), np.int32))
                     rows.append((n, ids.hexdigest(), back.hexdigest(), np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-                    if len(said) > KEPT:
-                        said.clear()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]),
                                                   *([pa.array([r[3] for r in rows], pa.list_(pa.int32()))] if with_ids else [])], names=schema.names)
 

@@ -23,7 +23,7 @@ def test_every_character_and_random_texts(vocabulary, monkeypatch):
     texts = ["", "a", " ", "  \n\n x", "x" * 5000, "ab" * 3000, "é" * 200, "=-" * 300, "\x1c\x1d a\x85b c", "it's we'll <|endoftext|>"]
     texts += ["".join(rng.choice("thein aß'\n9") for _ in range(rng.randrange(1, 300))) for _ in range(300)]
     texts += ["".join(f"a{chr(c)} {chr(c)}b" for c in range(s, s + 4096) if not 0xD800 <= c < 0xE000) for s in range(0, 0x20000, 4096)]
-    got = [[i for block in blocks for w in block for i in w] for blocks in T.Encoder(ranks, pattern).tokens(texts)]
+    got = [[i for block in blocks for w in block for i in w[3]] for blocks in T.Encoder(ranks, pattern).tokens(texts)]
     assert got == [ref.encode_ordinary(t) for t in texts]
 
 
@@ -33,7 +33,7 @@ def test_long_texts_go_in_blocks(vocabulary, monkeypatch):
     monkeypatch.setattr(T, "PIECES", 64)
     text = " ".join(str(i) + "wörter" for i in range(2000))
     blocks = list(next(T.Encoder(ranks, pattern).tokens([text])))
-    assert len(blocks) > 10 and [i for b in blocks for w in b for i in w] == ref.encode_ordinary(text)
+    assert len(blocks) > 10 and [i for b in blocks for w in b for i in w[3]] == ref.encode_ordinary(text)
 
 
 def test_documents(docs, doc_rows, no_docs, vocabulary):
