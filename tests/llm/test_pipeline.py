@@ -36,7 +36,7 @@ def test_stages(spark, docs, doc_rows, no_docs):
 
 
 def test_run_and_registration(spark):
-    assert {"pipeline"} | set(Q.QUERIES) <= set(entry.queries()) and len(Q.QUERIES) == 10
+    assert {"pipeline"} | set(Q.QUERIES) <= set(entry.queries()) and len(Q.QUERIES) == 13
     rows = C.run(spark, SF).collect()
     assert rows and len({r.source for r in rows}) > 1
 
