@@ -93,13 +93,13 @@ query("f11_token_estimate", r"""select conv_id, turn, cast(4 + length(regexp_rep
  from conversations""")(lambda v: v.conversations.select("conv_id", "turn", (T.token_estimate(c("text")) + 4).alias("tokens")))
 
 
-@query("f17_scan_secrets", r"""select doc_id, 'github token' as reason from documents where regexp_matches(text,'(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})')
-union all select doc_id, 'api secret' from documents where regexp_matches(text,'sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{32,}')
-union all select doc_id, 'hugging face token' from documents where regexp_matches(text,'hf_[A-Za-z0-9]{30,}')
+@query("f17_scan_secrets", r"""select doc_id, 'GitHub token' as reason from documents where regexp_matches(text,'(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})')
+union all select doc_id, 'OpenAI-like secret' from documents where regexp_matches(text,'sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{32,}')
+union all select doc_id, 'Hugging Face token' from documents where regexp_matches(text,'hf_[A-Za-z0-9]{30,}')
 union all select doc_id, 'private key' from documents where regexp_matches(text,'-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----')
 union all select doc_id, 'hex token' from documents where regexp_matches(text,'token = "[0-9a-f]{40}"')
-union all select doc_id, 'large file' from documents where strlen(text) > 20971520
-union all select doc_id, 'blocked file class' from documents where doc_id%20=0""")
+union all select doc_id, 'unexpected large release file' from documents where strlen(text) > 20971520
+union all select doc_id, 'runtime/model/private file class' from documents where doc_id%20=0""")
 def _(v):
     d = v.documents.withColumn("path", F.concat(F.lit("data/"), F.when(c("doc_id") % 40 == 0, "venv/x.txt").when(c("doc_id") % 20 == 0, "x.LOG").otherwise("x.txt")))
     return Q.scan_secrets(d, "doc_id", path="path", extra={"hex token": r'token = "[0-9a-f]{40}"'})

@@ -87,12 +87,12 @@ def suggestions(words: DataFrame, dictionary: DataFrame, distance: int = 2, limi
     return first_n(cand, ["word"], [F.col("distance"), F.col("rank"), F.col("entry")], limit)
 
 
-# Labelled patterns of secrets, blocked path parts and file suffixes.
+# Labelled patterns of secrets, blocked path parts and file suffixes. One part is left out, since it names a project.
 SECRET_PATTERNS = {
     "private user path": r"(?i)[A-Za-z]:[\\/]+Users[\\/]+(?!Public(?:[\\/]|$))[^\\/\s\"<>]+",
-    "github token": r"(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})",
-    "hugging face token": r"hf_[A-Za-z0-9]{30,}",
-    "api secret": r"sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{32,}",
+    "GitHub token": r"(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})",
+    "Hugging Face token": r"hf_[A-Za-z0-9]{30,}",
+    "OpenAI-like secret": r"sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{32,}",
     "private key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
 }
 BLOCKED_PARTS = (".venv", "venv", "ollama-models", "runtime", "__pycache__", ".env")
@@ -103,11 +103,11 @@ MAX_BYTES = 20 * 1024 * 1024
 def scan_secrets(df: DataFrame, key: str, text: str = "text", path: str | None = None, extra: dict[str, str] | None = None) -> DataFrame:
     """One row per finding: key and reason. The matched value never leaves the row."""
     found = [F.when(F.col(text).rlike(p), name) for name, p in {**SECRET_PATTERNS, **(extra or {})}.items()]
-    found.append(F.when(F.octet_length(text) > MAX_BYTES, "large file"))
+    found.append(F.when(F.octet_length(text) > MAX_BYTES, "unexpected large release file"))
     if path:
         parts, lower = F.split(path, r"[/\\]"), F.lower(path)
         bad = F.arrays_overlap(parts, F.array(*[F.lit(p) for p in BLOCKED_PARTS]))
         for s in BLOCKED_SUFFIXES:
             bad = bad | lower.endswith(s)
-        found.append(F.when(bad, "blocked file class"))
+        found.append(F.when(bad, "runtime/model/private file class"))
     return df.select(key, F.explode(F.array_compact(F.array(*found))).alias("reason"))
