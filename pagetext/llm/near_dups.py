@@ -16,6 +16,7 @@ from pagetext.session import cut_lineage
 BLOCK = 1 << 16  # shingles hashed at a time, so that a very long text needs no more memory than this
 BANDS, ROWS = 21, 6  # two texts of similarity s share a band with 1 - (1 - s^6)^21: 0.998 at 0.8, 0.9999 at 0.85
 SKETCH = 128  # seeded minima: those of the bands and two more, so that their bits fill two longs
+PIECE = 1 << 12  # ranks listed in one array
 FAR = 32  # differing bits of 128; at similarity 0.8 12.8 are expected, with a deviation of 3.4
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -167,59 +168,86 @@ def _sketches(rows: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     return d.mapInArrow(run, f"__row bigint, __id {kind}, __text bigint, digest binary, a bigint, b bigint, bands array<bigint>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets of shingles have a Jaccard similarity of ``least`` or more. texts: node, t."""
-    def shingles(text: str | None) -> np.ndarray:
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashed(_words(text), width)]))
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, set): the sorted distinct hashes of all shingles of each whole text ``t``, eight bytes each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = (np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashed(_words(t.as_py()), width)])).tobytes() for t in b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return texts.select("node", "t").mapInArrow(run, "node bigint, set binary")
+
 
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets of shingles (node, set) have a Jaccard similarity of ``least`` or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, None
         for b in batches:
             same = []
-            for u, tu, tv in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
-                if u != last:  # the join leaves pairs of one u beside each other
-                    last, x = u, shingles(tu.as_py())
-                y = shingles(tv.as_py())
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(same, pa.bool_()))
 
-    d = pairs.join(texts.select(F.col("node").alias("v"), F.col("t").alias("tv")), "v").join(texts.select(F.col("node").alias("u"), F.col("t").alias("tu")), "u")
-    return d.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
+    d = (pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
+         .join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u"))
+    return d.select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def similar_links(buckets: DataFrame, texts: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """Verified links (u < v) between nodes that share a bucket (``bucket``, ``node``, sketch bits ``a`` and ``b``).
+def _ranked(buckets: DataFrame) -> DataFrame:
+    """``buckets`` with the rank ``r`` (from 0) of each node in its bucket, in one hash order of nodes, and the bucket's number of nodes ``n``."""
+    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(buckets.withColumn("__by", F.xxhash64("node")), ["bucket"], ["__by", "node"], {"r": F.lit(1).cast("long")}, counts)
+    return placed.select("bucket", "node", "a", "b", (F.col("r") - 1).alias("r"), "n")
 
-    First each member of a bucket is compared with the smallest one and with its neighbour in an order of the bucket's own. A node
-    with a smaller similar one is settled. While a bucket has several open nodes, its smallest open ones (twice as many in each round) are compared with
-    the other open ones. So in the end no two open nodes that share a bucket are similar, while a large group of similar nodes costs
-    a few comparisons each, not one per pair. Pairs whose sketches alone rule the similarity out are not compared word by word.
+
+def _met(state: DataFrame, asking: DataFrame, first: int, last: int, both_ways: bool) -> DataFrame:
+    """Pairs (u < v) of ``asking`` nodes and members ``first`` to ``last`` ranks away around their bucket, of other components and close sketches.
+
+    The join is on bucket and rank, so a bucket of any size is spread over all tasks.
+    """
+    end = F.least(F.lit(last), F.floor(F.col("n") / 2))
+    near = asking.filter(end >= first).withColumn("p", F.explode(F.sequence(F.lit(first).cast("long"), end, F.lit(PIECE).cast("long"))))
+    near = near.withColumn("d", F.explode(F.sequence("p", F.least(end, F.col("p") + PIECE - 1))))  # in pieces, so that no array is as long as a bucket
+    away = F.explode(F.array(F.col("d"), -F.col("d")) if both_ways else F.array("d"))
+    near = near.withColumn("d", away).select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("a").alias("ax"), F.col("b").alias("bx"),
+                                             F.pmod(F.col("r") + F.col("d"), F.col("n")).alias("r"))
+    met = near.join(state.select("bucket", "r", "node", "component", "a", "b"), ["bucket", "r"])
+    met = met.filter((F.col("component") != F.col("cx")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("ax"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("bx"))) <= FAR))
+    return met.select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
+
+
+def similar_components(buckets: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame:
+    """(node, component) of the nodes that share a bucket (``bucket``, ``node``, sketch bits ``a`` and ``b``), linked by a Jaccard similarity of ``least`` or more.
+
+    All buckets are walked around in one hash order. In each round, members farther and farther apart (1, then 2 to 7, 8 to 31, ...)
+    are compared, both ways, and the links found are contracted. A pair of one component is never compared, so of the largest component of a
+    bucket only those members meet others that others ask for; a bucket of one component is done. Two nodes of different components are
+    never both in the largest one, so every pair is either compared or linked by others: no chain is lost, while a large group
+    of similar nodes costs a few comparisons each, not one per pair. Pairs whose sketches alone rule the similarity out are not compared shingle by shingle.
     """
-    def pairs_of(x: DataFrame) -> DataFrame:
-        return (x.filter("node <> m.node and bit_count(a ^ m.a) + bit_count(b ^ m.b) <= " + str(FAR))
-                .select(F.least("node", "m.node").alias("u"), F.greatest("node", "m.node").alias("v")).distinct())
-
-    one = F.struct("node", "a", "b")
-    by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node"), "node")
-    beside = buckets.withColumns({"m0": F.min(one).over(Window.partitionBy("bucket")), "m1": F.lag(one).over(by_hash)})
-    beside = beside.select("node", "a", "b", F.explode(F.array("m0", "m1")).alias("m"))
-    pairs, taken = stored(pairs_of(beside.filter("m is not null")), "pairs"), 1
-    found, tested = pairs.limit(0), pairs.limit(0)
+    ranked = stored(_ranked(buckets), "ranked")
+    labels = ranked.select("node").distinct().withColumn("component", F.col("node"))
+    state = asking = ranked.withColumn("component", F.col("node"))
+    tested, first, last = None, 1, 1
     while True:
-        found = found.unionByName(stored(_similar(pairs, texts, least, width), "links"))
-        tested = tested.unionByName(pairs)
-        ranked = buckets.join(found.select(F.col("v").alias("node")).distinct(), "node", "left_anti")
-        ranked = stored(ranked.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))), "open")
-        while True:
-            taken *= 2
-            lead = ranked.filter(F.col("r") <= taken).select("bucket", F.struct("node", "a", "b").alias("m"))
-            met = pairs_of(ranked.join(lead, "bucket").filter("node > m.node"))
-            pairs = stored(met.join(tested, ["u", "v"], "left_anti"), "pairs")
-            if not pairs.isEmpty():
-                break
-            if ranked.filter(F.col("r") > taken).isEmpty():
-                return found
+        pairs = _met(state, asking, first, last, first > 1)
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        found = stored(_similar(pairs, sets, least), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        of = labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+        ends = found.join(of, "v").join(of.select(F.col("v").alias("u"), F.col("cv").alias("cu")), "u").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        joined = components(ends).select(F.col("node").alias("component"), F.col("component").alias("__to"))
+        labels = stored(labels.join(joined, "component", "left").select("node", F.coalesce("__to", "component").alias("component")), "labels")
+        state = state.drop("component", "top").join(labels, "node")
+        sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+        tops = (sizes.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.first("n").alias("n"))
+                .filter((F.col("parts") > 1) & (F.floor(F.col("n") / 2) > last)).select("bucket", "top"))
+        state = stored(state.join(tops, "bucket").select("bucket", "node", "a", "b", "r", "n", "component", "top"), "open")
+        if state.isEmpty():
+            return labels
+        asking = state.filter("component <> top")
+        first, last = last + 1, 4 * last + 3
 
 
 def one_per_similar_group(docs: DataFrame, least: float = 0.8, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,10 +264,11 @@ def one_per_similar_group(docs: DataFrame, least: float = 0.8, width: int = 5, d
     first = running_totals(first, [], order, {"node": F.lit(1).cast("long")}).select("__row", "node")
     nodes = stored(marked.join(first, "__row").select("__row", "node", "a", "b", "bands"), "nodes")
     spread = nodes.select("node", "a", "b", F.explode("bands").alias("bucket"))
-    buckets = stored(spread.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("n > 1").drop("n"), "buckets")
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    buckets = stored(spread.join(shared, "bucket", "left_semi"), "buckets")
     close = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("__row", "node")
-    texts = stored(rows.select("__row", F.col(text).alias("t")).join(close, "__row").select("node", "t"), "texts")
-    links_found = similar_links(buckets, texts, least, width)
-    gone = components(links_found).filter("node <> component").select("node")
+    texts = rows.select("__row", F.col(text).alias("t")).join(close, "__row").select("node", "t")
+    sets = stored(_shingle_sets(texts, width), "sets")
+    gone = similar_components(buckets, sets, least).filter("node <> component").select("node")
     stay = nodes.select("__row", "node").join(gone, "node", "left_anti").select("__row")
     return rows.join(stay, "__row", "left_semi").drop("__row")

@@ -136,14 +136,38 @@ def test_pipeline_stage_takes_five_words_at_four_fifths(spark):
     assert {r.doc_id for r in C.drop_near_duplicates(spark, df, "").collect()} == {0, 2}
 
 
-def test_open_nodes_are_compared_in_turn(spark):
-    """Two groups and single texts share all buckets; the second leader and later ones still meet their members."""
+def test_every_chain_in_a_bucket_is_found(spark):
+    """Groups and single texts share all buckets: components are those of all pairs, whatever the order around the bucket."""
     rng = random.Random(8)
-    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(50)) for _ in range(9)]
-    texts = texts + [texts[3] + " end", texts[7] + " end", texts[7] + " of"]
-    one = spark.createDataFrame([(k, i, 0, 0) for i in range(len(texts)) for k in range(3)], "bucket bigint, node bigint, a bigint, b bigint")
-    links = N.similar_links(one, spark.createDataFrame(list(enumerate(texts)), "node bigint, t string"))
-    assert {r.v for r in links.collect()} == {9, 10, 11}
+    texts = [[rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(50)] for _ in range(40)]
+    for _ in range(60):  # chains: each is a copy of a random earlier text with one more word at its end
+        texts.append([*texts[rng.randrange(len(texts))], str(rng.random())])
+    rng.shuffle(texts)
+    sets = [{tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:
+        least = [min([least[i], *(least[j] for j in range(len(texts)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]) for i in range(len(texts))]
+    one = spark.createDataFrame([(k, i, 0, 0) for i in range(len(texts)) for k in range(2)], "bucket bigint, node bigint, a bigint, b bigint")
+    words = N._shingle_sets(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node bigint, t string"), 5)
+    got = {r.node: r.component for r in N.similar_components(one, words).collect()}
+    assert got == dict(enumerate(least)) and len(set(least)) == 40
+
+
+def test_a_large_group_costs_a_few_comparisons_each(spark, monkeypatch):
+    """1,500 near copies of one text in shared buckets: pairs compared stay a small multiple of the nodes, not their square."""
+    rng = random.Random(9)
+    base = [str(rng.random()) for _ in range(120)]
+    rows = []
+    for i in range(1500):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"n{i}"  # two such copies are at 0.83 or more
+        rows.append((i, " ".join(copy)))
+    compared = []
+    plain = N._similar
+    monkeypatch.setattr(N, "_similar", lambda pairs, *more: (compared.append(pairs.count()), plain(pairs, *more))[1])
+    kept = N.one_per_similar_group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert sum(compared) < 60 * 1500
 
 
 def test_rows_without_an_id_are_deduplicated(spark):
