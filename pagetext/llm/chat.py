@@ -19,7 +19,8 @@ def rotate_perspectives(turns: DataFrame, narrators: Sequence[str] = ("system",)
     In a view its participant is ``assistant``, every other speaker a ``user`` with a name, and a narrator (``system``) stays itself and is
     nobody's view. ``rendered`` is the message with its markers; joined by ``position`` (from 1) the messages are the whole
     view, in which this one takes characters ``start`` to ``end``. The characters from ``mask_start`` to ``mask_end`` are to be learned: text and end marker of
-    the assistant; other messages have null there. Markers inside a text are broken by a space.
+    the assistant; other messages have null there. Markers inside a text or a speaker's name are broken by
+    a space, and line ends in a rendered name are spaces, so that neither can begin a message of its own.
 
     Messages are ordered by turn, null turns last, equal ones by speaker and text. A null speaker is the participant ``unknown``; a null text is empty;
     rows without a conversation are left out, as are conversations without a participant. Repeated rows are messages each.
@@ -31,7 +32,8 @@ def rotate_perspectives(turns: DataFrame, narrators: Sequence[str] = ("system",)
     narrates = F.col("name").isin(list(narrators))
     views = t.filter(~narrates).select("conv_id", F.col("name").alias("perspective")).distinct()
     each = t.join(views, "conv_id").withColumn("chat_role", F.when(narrates, F.lit("system")).when(F.col("name") == F.col("perspective"), F.lit("assistant")).otherwise("user"))
-    named = F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), "name")).otherwise("")
+    shown = F.regexp_replace(F.regexp_replace("name", r"<\|", "< |"), r"[\r\n]", " ")
+    named = F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), shown)).otherwise("")
     head = F.concat(F.lit(OPEN), "chat_role", named, F.lit("\n"))
     each = each.withColumn("rendered", F.concat(head, "body", F.lit(CLOSE + "\n"))).withColumn("__head", F.length(head).cast("long"))
     each = each.withColumn("__last", F.col("turn").isNull()).withColumn("__n", F.length("rendered").cast("long"))
@@ -45,7 +47,7 @@ def rotate_perspectives(turns: DataFrame, narrators: Sequence[str] = ("system",)
 CHAT_SQL = r"""with t as (select conv_id, turn, coalesce(role, 'unknown') as name, replace(coalesce(text, ''), '<|', '< |') as body from conversations where conv_id is not null),
 v as (select distinct conv_id, name as perspective from t where name <> 'system'),
 e as (select t.*, v.perspective, case when name = 'system' then 'system' when name = perspective then 'assistant' else 'user' end as chat_role from t join v using (conv_id)),
-h as (select *, '<|im_start|>' || chat_role || case when chat_role = 'user' then ' name=' || name else '' end || chr(10) as head from e),
+h as (select *, '<|im_start|>' || chat_role || case when chat_role = 'user' then ' name=' || translate(replace(name, '<|', '< |'), chr(13) || chr(10), '  ') else '' end || chr(10) as head from e),
 r as (select *, head || body || '<|im_end|>' || chr(10) as rendered from h),
 p as (select *, row_number() over w as position, (sum(length(rendered)) over w)::bigint as "end" from r
  window w as (partition by conv_id, perspective order by turn nulls last, name, body rows unbounded preceding))
