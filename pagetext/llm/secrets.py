@@ -68,16 +68,16 @@ def fit_ratio(docs: DataFrame, sample_docs: int = 2000, smooth: float = 0.5, doc
 
     Labelled samples: values found by the fixed patterns are random strings; the other words, cut at other characters, of
     documents without such a value are ordinary identifiers. Each side takes the ``sample_docs`` documents with
-    the smallest hash-random keys (a documented bound). Without samples a model is uniform.
+    the smallest hash-random keys of id and text (a documented bound that rows without an id or with one id keep too). Without samples a model is uniform.
     """
-    d = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), id_key(F.col(doc_id), "secrets").alias("__key")).filter("__text is not null")
+    d = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.md5(F.concat(id_key(F.col(doc_id), "secrets"), F.lit(":"), F.xxhash64(text).cast("string")).cast("binary")).alias("__key")).filter("__text is not null")
     hit = reduce(lambda a, b: a | b, [F.col("__text").rlike(p) for p in MAYBE.values()])
     spans = d.filter(hit).select("__key", F.transform(base_spans(F.col("__text")), lambda s: F.substring("__text", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))).alias("v"))
     found = spans.filter(F.size("v") > 0).orderBy("__key").limit(sample_docs).select(F.explode("v").alias("v"))
     # Of an assignment only the value after the sign is random.
     values = found.select(F.regexp_replace("v", r"""^[^:=]*[:=]\x20*["']?""", "").alias("s")).filter(F.length("s") >= 6)
     keys = d.filter(~hit).select("__key").orderBy("__key").limit(sample_docs)
-    words = (d.filter(~hit).join(F.broadcast(keys.distinct()), "__key", "left_semi")
+    words = (d.filter(~hit).join(F.broadcast(keys.distinct()), "__key", "left_semi").dropDuplicates(["__key"])
              .select(F.explode(F.regexp_extract_all("__text", F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s")))
     logs = []
     for strings in (values, words):

@@ -87,3 +87,12 @@ def test_redaction(docs, doc_rows, no_docs, hard):
 def test_scan_is_native(docs):
     plan = S.scan_secrets(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_without_an_id_keep_the_bound_of_the_sample(spark, monkeypatch):
+    """Neither many rows without an id nor repeated ones add documents to the samples."""
+    seen, plain = [], S._pair_counts
+    monkeypatch.setattr(S, "_pair_counts", lambda strings: (seen.append(strings.count()), plain(strings))[1])
+    rows = [(None, f"identifier{i} alone") for i in range(500)] + [(None, "samewords twice")] * 500 + [(3, f"token=abc{i}def") for i in range(500)]
+    S.fit_ratio(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), sample_docs=10)
+    assert seen[0] == 10 and 1 <= seen[1] <= 20
