@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pagetext.llm.common import WORD, id_fold, id_key
+from pagetext.llm.common import WORD, id_fold, id_key, stored
 
 HASHED = 1 << 16  # rows of the weight table; one more row of zeros stands for "no feature"
 CELLS = 1 << 23  # words times languages of a sample: with more than 12 languages it takes fewer documents of each
@@ -186,16 +186,21 @@ def fit_language(docs: DataFrame, docs_per_lang: int = 400, segments_per_doc: in
 
     Every labelled language is learned. Of each the ``docs_per_lang`` documents with the smallest hash-random keys are
     taken, of each the ``segments_per_doc`` stretches of ``segment`` words with the smallest keys, anywhere in the text; with more than 12 languages fewer
-    (``sample_size``), so that memory stays bounded. None without labels.
+    (``sample_size``), so that memory stays bounded. Keys depend on id and text, and rows equal in both are one document, so the bound also
+    holds for rows without an id or with one id. None without labels.
     """
-    d = docs.select(id_key(F.col(doc_id), "language").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
-    docs_per_lang, segments_per_doc = sample_size(d.select("l").distinct().count(), docs_per_lang, segments_per_doc, segment)
-    chosen = (d.select("k", "l").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k"))).filter(F.col("r") <= docs_per_lang)
-              .select("k", "l").distinct())
+    key = F.md5(F.concat(id_key(F.col(doc_id), "language"), F.lit(":"), F.xxhash64(text).cast("string")).cast("binary"))
+    d = docs.select(key.alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
+    sizes = stored(d.groupBy("l").agg(F.approx_count_distinct("k").alias("n")), "languages")
+    docs_per_lang, segments_per_doc = sample_size(sizes.count(), docs_per_lang, segments_per_doc, segment)
+    # Keys are even, so of each language about eight times the documents wanted lie below this share of all keys; only they are ranked.
+    share = F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / (1 << 32) <= 8.0 * docs_per_lang / F.col("n")
+    few = d.select("k", "l").join(sizes, "l").filter(share).select("k", "l").distinct()
+    chosen = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k"))).filter(F.col("r") <= docs_per_lang).select("k", "l")
     words = F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0))
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / segment).cast("int") - 1),
                       lambda i: F.struct(F.md5(F.concat_ws(":", "k", i.cast("string")).cast("binary")).alias("h"), F.slice("w", i * segment + 1, segment).alias("s")))
-    rows = (d.join(F.broadcast(chosen), ["k", "l"]).withColumn("w", words).filter(F.size("w") > 0)
+    rows = (d.join(F.broadcast(chosen), ["k", "l"]).dropDuplicates(["k", "l"]).withColumn("w", words).filter(F.size("w") > 0)
             .select("l", F.explode(F.slice(F.array_sort(cut), 1, segments_per_doc)).alias("x")).select("l", "x.h", "x.s").collect())
     segments = [(r["l"], list(r["s"])) for r in sorted(rows, key=lambda r: (r["l"], r["h"], r["s"]))]
     return train(segments) if segments else None

@@ -95,3 +95,17 @@ def test_samples_shrink_with_the_number_of_languages():
     for n in (20, 64, 100, 235, 1000):
         docs, segments = G.sample_size(n, 400, 6, 24)
         assert docs >= G.LEAST and docs * segments * 24 * n * n <= max(1.5 * G.CELLS, G.LEAST * 24 * n * n)
+
+
+def test_rows_without_an_id_keep_the_bound_of_the_sample(spark, monkeypatch):
+    """Rows without an id, with one id, and repeated rows: of each language at most the documents asked for are collected, by their texts."""
+    rows = [(None, f"word{i} other words of text {i}", "aa") for i in range(3000)] + [(7, f"{i} der text von {i}", "bb") for i in range(300)]
+    rows += [(None, "the same text", "cc")] * 3000 + [(i, None, "dd") for i in range(5)] + [(9, "...", "aa")]
+    taken = []
+    monkeypatch.setattr(G, "train", lambda segments: taken.extend(segments) or "model")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert G.fit_language(df.repartition(5), docs_per_lang=20) == "model"
+    assert {c: sum(l == c for l, _ in taken) for c in ("aa", "bb", "cc", "dd")} == {"aa": 20, "bb": 20, "cc": 1, "dd": 0}
+    first, taken[:] = list(taken), []
+    G.fit_language(df.repartition(3), docs_per_lang=20)
+    assert taken == first
