@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetext.functions import geometry as g
 from pagetext.operators.tiles import box_pairs
-from pagetext.session import cut_lineage
 
 
 def with_box_metrics(df: DataFrame) -> DataFrame:
@@ -134,34 +134,42 @@ def bind_bubbles(texts: DataFrame, bubbles: DataFrame, key: Sequence[str] = ("pa
         F.when(F.col("b").isNotNull(), "text_bubble").otherwise("text_free").alias("text_class"))
 
 
-REACH = (0, 512, 4096)
+NEAR = (512, 4096, 32768, 262144)  # tile sizes of the pyramid; above them is the whole page
 
 
-def nearest_panel(blocks: DataFrame, panels: DataFrame, reach: Sequence[int] = REACH) -> DataFrame:
+def _nearest_bound(blocks: DataFrame, panels: DataFrame) -> DataFrame:
+    """(page, block_id, bound): the distance to some panel near each block, so the nearest is no farther.
+
+    Every tile of the pyramid keeps one panel that touches it once grown by half a tile (a panel wider than four tiles is left to coarser
+    levels); a block asks the tile of its centre on each level. The whole page keeps one panel too, so no block is without a bound.
+    """
+    half = lambda c, k, sign: F.floor((F.col(c) + sign * (k // 2)) / k)
+    tiles, asks = [], []
+    for k in NEAR:
+        fits = panels.filter(((F.col("x2") - F.col("x1")) <= 4 * k) & ((F.col("y2") - F.col("y1")) <= 4 * k) & (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")))
+        t = fits.withColumn("tx", F.explode(F.sequence(half("x1", k, -1), half("x2", k, 1))))
+        tiles.append(t.withColumn("ty", F.explode(F.sequence(half("y1", k, -1), half("y2", k, 1)))).withColumn("k", F.lit(k)))
+        asks.append(F.struct(F.lit(k).alias("k"), F.floor((F.col("x1").cast("long") + F.col("x2")) / (2 * k)).alias("tx"), F.floor((F.col("y1").cast("long") + F.col("y2")) / (2 * k)).alias("ty")))
+    none = F.lit(0).cast("long")
+    tiles.append(panels.withColumns({"tx": none, "ty": none, "k": F.lit(0)}))
+    asks.append(F.struct(F.lit(0).alias("k"), none.alias("tx"), none.alias("ty")))
+    one = F.min(F.struct("panel_id", *g.BOX)).alias("p")
+    kept = reduce(DataFrame.unionByName, tiles).groupBy("page", "k", "tx", "ty").agg(one)
+    kept = kept.select("page", "k", "tx", "ty", *[F.col("p." + c).alias("r_" + c) for c in g.BOX])
+    asked = blocks.select("page", "block_id", *g.BOX, F.explode(F.array(*asks)).alias("a")).select("page", "block_id", *g.BOX, "a.*")
+    return asked.join(kept, ["page", "k", "tx", "ty"]).groupBy("page", "block_id").agg(F.ceil(F.min(g.rect_distance())).alias("bound"))
+
+
+def nearest_panel(blocks: DataFrame, panels: DataFrame) -> DataFrame:
     """Nearest panel of every block (distance 0 inside, smallest id on ties); null on pages without panels.
 
-    Searched in growing reach: a hit within the reach is final, since nothing nearer can lie outside it. Blocks
-    without such a hit go to the next reach (eight times the last one beyond the given ones) until none is left, so
-    usually only a few need more than the first step and no distance is too far.
+    A pyramid of tiles first bounds each block's distance by some panel near it; one tile join with the block grown by its bound then
+    holds the nearest. No distance is too far, and nothing runs while the plan is built.
     """
     key = ["page", "block_id"]
-    left = blocks.select(*key, *g.BOX).join(panels.select("page").distinct(), "page", "left_semi")
-    left = cut_lineage(left)
-    found: list[DataFrame] = []
-    steps = list(reach)
-    while True:
-        r = steps[len(found)] if len(found) < len(steps) else max(found_reach * 8, 1)
-        found_reach = r
-        pairs = box_pairs(left, panels.select("page", "panel_id", *g.BOX), gap_x=r, gap_y=r, tile=(max(r, 1024), max(r, 256)))
-        best = (pairs.withColumn("d", g.rect_distance()).groupBy(*key)
-                .agg(F.min(F.struct("d", "r_panel_id")).alias("b"))
-                .select(*key, F.col("b.r_panel_id").alias("panel_id"), F.col("b.d").alias("distance")))
-        best = cut_lineage(best.filter(F.col("distance") <= r))
-        found.append(best)
-        left = cut_lineage(left.join(best, key, "left_anti"))
-        if left.isEmpty():
-            break
-    hits = found[0]
-    for f in found[1:]:
-        hits = hits.unionByName(f)
-    return blocks.join(hits, key, "left")
+    panels = panels.select("page", "panel_id", *g.BOX)
+    left = blocks.select(*key, *g.BOX).distinct().join(_nearest_bound(blocks, panels), key)
+    pairs = box_pairs(left, panels, gap_x=F.col("bound"), gap_y=F.col("bound"))
+    best = (pairs.withColumn("d", g.rect_distance()).groupBy(*key).agg(F.min(F.struct("d", "r_panel_id")).alias("b"))
+            .select(*key, F.col("b.r_panel_id").alias("panel_id"), F.col("b.d").alias("distance")))
+    return blocks.join(best, key, "left")

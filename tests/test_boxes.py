@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagetext.operators import boxes as B
 from pagetext.operators import merge as M
 from pagetext.operators import order as O
+from pagetext.operators import tiles as T
 from pagetext.operators.graph import connected_components
 from pagetext.operators.tiles import box_pairs
 
@@ -85,6 +86,27 @@ def test_far_panel_is_found(spark):
     assert B.nearest_panel(b, p).first().panel_id == 6
 
 
+def test_boxes_of_all_sizes_pair_once_and_take_few_rows(spark):
+    """Sides from 1 to two million, negative corners, gaps: every touching pair once; a huge box is a few rows."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(160):
+        w, h = (int(10 ** rng.uniform(0, 6.3)) for _ in range(2))
+        x, y = rng.randrange(-10 ** rng.randrange(1, 7), 10 ** 6), rng.randrange(-1000, 10 ** rng.randrange(1, 7))
+        rows.append((i % 2, i, x, y, x + w, y + h))
+    d = spark.createDataFrame(rows, "page long, block_id int, x1 int, y1 int, x2 int, y2 int").repartition(4)
+    left, right = d.filter("block_id % 3 < 2"), d.filter("block_id % 3 > 0")
+    got = [(r.block_id, r.r_block_id) for r in T.box_pairs(left, right, gap_x=F.col("block_id") * 10, gap_y=7).collect()]
+    want = [(a[1], b[1]) for a in rows for b in rows if a[1] % 3 < 2 and b[1] % 3 > 0 and a[0] == b[0] and b[2] <= a[4] + a[1] * 10 and a[2] - a[1] * 10 <= b[4]
+            and b[3] <= a[5] + 7 and a[3] - 7 <= b[5]]
+    assert len(want) > 300 and sorted(got) == sorted(want)
+    huge = spark.createDataFrame([(1, 1, 0, 0, 2_000_000, 2_000_000)], d.schema)
+    none = F.lit(0)
+    own = huge.withColumn("__own", T._level("", T.TILE_W, T.TILE_H, none, none))
+    levels = own.agg(F.array(F.first("__own"), F.lit(T.LEVELS - 1)).alias("__levels"))
+    assert T._tiles(own, levels, "", T.TILE_W, T.TILE_H, none, none).count() <= T.MOST + 4
+
+
 def _sorted_regions(rows, rtl):
     placed = []
     for r in sorted(rows, key=lambda r: ((r[3] + r[5]) / 2, r[1])):
