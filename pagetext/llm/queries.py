@@ -95,7 +95,7 @@ def _(spark, sf_dir):
 
 @query("op9_license_scan", licences.licence_sql())
 def _(spark, sf_dir):
-    return licences.scan_licences(table(spark, sf_dir, "documents"))
+    return licences.scan_licences(table(spark, sf_dir, "documents")).drop("start", "end")
 
 
 @query("op6_chat_perspectives", chat.CHAT_SQL)
