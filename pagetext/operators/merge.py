@@ -314,6 +314,7 @@ def merge_textlines(df: DataFrame) -> DataFrame:
     """Region of every line: components of the pair rule, split where the gaps deviate too much.
 
     The split runs per component, a set of lines each within one letter size of the next, never per page.
+    Lines are axis-aligned boxes, so angles are not compared.
     """
     d = label_components(df.filter(g.raw_area() > 0), textline_pairs(df), ["page"], "block_id")
     d = per_key(d.select("page", "block_id", "component", *g.BOX), ["page", "component"], F.count(F.lit(1)).alias("n"))
