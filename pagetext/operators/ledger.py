@@ -163,14 +163,15 @@ def config_contains(expected: DataFrame, actual: DataFrame, key: Sequence[str],
     """Expected settings that the actual ones lack or contradict; compatible where empty.
 
     Every expected value must be there and equal, every empty object must be an object. ``ignore`` names settings left out, with
-    all that is below them.
+    all that is below them. Both sides are shuffled: settings unfold to many more bytes than Spark expects of their JSON, so the smaller
+    one must not be broadcast on its estimate.
     """
     e = expected.filter(~F.col("is_object") | F.col("is_empty"))
     if ignore:
         e = e.filter(~F.arrays_overlap("path", F.array(*map(F.lit, ignore))))
     a = actual.select(*key, "path", F.col("value").alias("actual"), F.col("is_object").alias("actual_object"))
     same = F.when(F.col("is_object"), F.col("actual_object")).otherwise(~F.col("actual_object") & F.col("value").eqNullSafe(F.col("actual")))
-    return e.join(a, [*key, "path"], "left").filter(~F.coalesce(same, F.lit(False))).select(*key, "path", "value", "actual")
+    return e.join(a.hint("merge"), [*key, "path"], "left").filter(~F.coalesce(same, F.lit(False))).select(*key, "path", "value", "actual")
 
 
 def verify_rendered(ledger: DataFrame, rendered: DataFrame) -> DataFrame:

@@ -126,6 +126,14 @@ def test_settings_at_any_depth(spark):
     assert bad == {i for i, x in enumerate(cases) if not x[2]}
 
 
+def test_settings_are_never_broadcast(spark):
+    """Spark expects a few bytes where the settings of a small JSON column unfold to a hundred times as many."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["j12_config_contains"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_natural_key_of_long_numbers(spark):
     names = ["p" + "9" * 60, "p1" + "0" * 60, "p2", "p010", "p" + "1" * 41, "P3"]
     d = spark.createDataFrame([(n,) for n in names], "n string")
