@@ -1,13 +1,14 @@
-"""Two-level prefix scans: running numbers, sums and maxima that do not need a whole key in one task.
+"""Prefix scans: running numbers, sums and maxima that do not need a large key in one task.
 
-A plain window puts all rows of a key into one task. Here the rows are range-partitioned by key and order and cut into the checkpoint
-folder; each range is scanned on its own, and only one total per key and range is carried across. A key with a third of
-all rows is thus spread over a third of the ranges, whatever its values look like.
+A plain window puts all rows of a key into one task, which is right for the many short keys: their rows are often together already, and nothing
+else has to move. Keys with more than ``WHOLE`` rows, found by one count, go two levels instead: their rows are range-partitioned by key and order and
+cut into the checkpoint folder; each range is scanned on its own, and only one total per key and range is carried across. A key with a
+third of all rows is thus spread over a third of the ranges, whatever its values look like.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,22 @@ from pyspark.sql import functions as F
 from pagetext.session import cut_lineage
 
 CHUNK = "__chunk"
+WHOLE = 100_000  # rows of a key that one task scans
+
+
+def keys_over(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
+    """The keys with more than ``most`` rows; none of them: None. At most one row per ``most`` rows of ``df``."""
+    large = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(*keys))
+    return None if large.isEmpty() else large
+
+
+def by_size(df: DataFrame, keys: Sequence[str], whole: Callable[[DataFrame], DataFrame], spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``whole`` of the rows whose key has at most ``WHOLE`` rows, ``spread`` of those of larger keys."""
+    large = keys_over(df, keys, WHOLE)
+    if large is None:
+        return whole(df)
+    large = F.broadcast(large)
+    return whole(df.join(large, list(keys), "left_anti")).unionByName(spread(df.join(large, list(keys), "left_semi")))
 
 
 def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
@@ -46,6 +63,19 @@ def prefix_scan(
     rows (null on the first). ``keys`` must not be null.
     """
     sums, maxes_before, keys = sums or {}, maxes_before or {}, list(keys)
+    return by_size(df, keys, lambda d: _scan_whole(d, keys, order, number, sums, maxes_before), lambda d: _scan_spread(d, keys, order, number, sums, maxes_before))
+
+
+def _scan_whole(df: DataFrame, keys: list[str], order: Sequence[Column], number: str | None, sums: dict[str, Column], maxes_before: dict[str, Column]) -> DataFrame:
+    local = Window.partitionBy(*keys).orderBy(*order)
+    upto, before = local.rowsBetween(Window.unboundedPreceding, Window.currentRow), local.rowsBetween(Window.unboundedPreceding, -1)
+    new = {number: F.row_number().over(local).cast("int")} if number else {}
+    new |= {f"__s_{k}": F.sum(c).over(upto) for k, c in sums.items()} | {f"__m_{k}": F.max(c).over(before) for k, c in maxes_before.items()}
+    out = df.withColumns(new)
+    return out.select(*df.columns, *([number] if number else []), *(F.col(f"__s_{k}").alias(k) for k in sums), *(F.col(f"__m_{k}").alias(k) for k in maxes_before))
+
+
+def _scan_spread(df: DataFrame, keys: list[str], order: Sequence[Column], number: str | None, sums: dict[str, Column], maxes_before: dict[str, Column]) -> DataFrame:
     d = df
     aggs, exprs = [], {}
     if number:
@@ -74,8 +104,16 @@ def prefix_scan(
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
-    """``lag(value)`` per key in the same two-level way; the last row of each range is handed to the next one."""
+    """``lag(value)`` per key in the same way; of a large key the last row of each range is handed to the next one."""
     keys = list(keys)
+
+    def whole(d: DataFrame) -> DataFrame:
+        return d.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    return by_size(df, keys, whole, lambda d: _previous_spread(d, keys, order, value, out))
+
+
+def _previous_spread(df: DataFrame, keys: list[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
     d, last = _placed(df.withColumn("__v", value), keys, order, [F.max_by(F.struct("__v"), F.struct(*order)).alias("__last")])
     w = Window.partitionBy(*keys).orderBy(CHUNK)
     carried = last.select(*keys, CHUNK, F.lag("__last").over(w).alias("__carry"))

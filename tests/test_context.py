@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetext.operators import context as X
+from pagetext.operators import prefix as P
 from pagetext.operators import replies as R
 from pagetext.operators.prefix import prefix_scan, previous_row
 from pagetext.streaming import events as E
@@ -108,6 +109,17 @@ def test_rolling_history_stream_equals_rule(spark, tmp_path):
     assert got == sorted(rolling_twin(rows, 120, 10))
 
 
+@pytest.mark.parametrize("whole", [0, 100, 1000])
+def test_scans_of_short_and_large_keys(spark, monkeypatch, whole):
+    """Keys above the bound are scanned in ranges, the others by a window; nulls and previous rows included."""
+    monkeypatch.setattr(P, "WHOLE", whole)
+    test_prefix_scan_and_previous_row(spark)
+    d = spark.createDataFrame([(1, 1, None), (1, 2, 5), (1, 3, None), (2, 1, None)], "k int, i int, v int")
+    s = prefix_scan(d, ["k"], [F.col("i")], sums={"s": F.col("v")}, maxes_before={"m": F.col("v")})
+    got = {(r.k, r.i): (r.m, r.p) for r in previous_row(s, ["k"], [F.col("i")], F.col("v"), "p").collect()}
+    assert got == {(1, 1): (None, None), (1, 2): (None, None), (1, 3): (5, 5), (2, 1): (None, None)}
+
+
 def test_prefix_scan_and_previous_row(spark):
     """One key holds most of the rows."""
     rnd = random.Random(9)
