@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetext.operators.boxes import nearest_panel
 from pagetext.operators.folds import fold_groups
-from pagetext.operators.prefix import per_key, prefix_scan, previous_row
+from pagetext.operators.prefix import by_size, per_key, prefix_scan, previous_row
 from pagetext.session import cut_lineage
 
 def reading_order(matched: DataFrame) -> DataFrame:
     """Model order where every block of the page matched, native order for the whole page otherwise."""
-    d = per_key(cut_lineage(matched), ["page"], F.bool_and(F.col("match_id").isNotNull()).alias("full"))
+    found = F.bool_and(F.col("match_id").isNotNull())
+    d = by_size(matched, ["page"], lambda m: m.withColumn("full", found.over(Window.partitionBy("page"))), lambda m: per_key(cut_lineage(m), ["page"], found.alias("full")).select(*m.columns, "full"))
     lead = F.when(F.col("full"), F.col("match_id"))
     order = [lead, F.when(F.col("full"), -F.col("x2")), F.when(F.col("full"), F.col("y1")), F.col("block_id")]
     out = prefix_scan(d, ["page"], order, number="position")
@@ -92,6 +93,29 @@ def sort_regions(blocks: DataFrame, rtl: bool | None = None) -> DataFrame:
     A region whose centre lies below every earlier bottom edge starts a new band: nothing later can be inserted
     before it. Bands are therefore independent and only a band, not a page, is folded in order.
     """
+    return by_size(blocks, ["page"], lambda b: _sort_whole(b, rtl), lambda b: _sort_spread(b, rtl))
+
+
+def _sort_whole(blocks: DataFrame, rtl: bool | None) -> DataFrame:
+    page, band = Window.partitionBy("page"), Window.partitionBy("page", "band")
+    by_y = page.orderBy("cy", "block_id")
+    d = blocks.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
+    d = d.withColumn("rtl", F.bool_or(F.coalesce(F.col("vertical"), F.lit(False))).over(page) if rtl is None else F.lit(rtl))
+    d = d.withColumn("__bottom", F.max("y2").over(by_y.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.when(F.col("__bottom").isNull() | (F.col("cy") > F.col("__bottom")), 1).otherwise(0)
+    d = d.withColumn("band", F.sum(new).over(by_y.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    d = d.withColumns({"n": F.count(F.lit(1)).over(band), "upto": F.count(F.lit(1)).over(page.orderBy("band"))})  # rows of this and earlier bands
+    many = d.filter("n > 1").select("page", "block_id", "band", "cx", "cy", "y1", "y2", "rtl", "n", "upto")
+
+    def fold(rows: list) -> list[tuple]:
+        before = rows[0].upto - rows[0].n
+        return [(page, block, before + i) for page, block, _, i in _insert_sorted(rows)]
+
+    folded = fold_groups(many, ["page", "band"], ["cy", "block_id"], fold, "page long, block_id int, position int")
+    return folded.unionByName(d.filter("n = 1").select("page", "block_id", F.col("upto").cast("int").alias("position")))
+
+
+def _sort_spread(blocks: DataFrame, rtl: bool | None) -> DataFrame:
     d = blocks.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
     if rtl is None:
         d = per_key(d, ["page"], F.bool_or(F.coalesce(F.col("vertical"), F.lit(False))).alias("rtl"))

@@ -1,6 +1,7 @@
 """Spatial pair joins inside a page.
 
-Pairs come from a join on (page, tile), never from all pairs of a page: boxes are listed under each tile they
+Pages with few boxes are joined as they are: each box is held against at most ``FEW`` others, and no table has to move that lies by page already. On
+larger pages pairs come from a join on (page, tile), never from all pairs of a page: boxes are listed under each tile they
 touch, and a pair is reported only by the tile that holds the upper-left corner of the (grown) intersection, so
 no duplicate has to be removed. A page with very many boxes is spread over its tiles. Boxes too large for their
 tiles live on a coarser level, so a box of any size is a few rows; a pair meets on the coarser of its two levels.
@@ -13,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetext.operators.prefix import WHOLE, keys_over
+
+FEW = 64  # boxes of a key that each box of the other side is held against
 TILE_W, TILE_H = 1024, 256
 
 
@@ -53,9 +57,32 @@ def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("page",)
 
     Every pair appears exactly once. Gap columns may depend on the left row.
     """
-    tw, th = tile
+    keys = list(keys)
     gx = gap_x if isinstance(gap_x, Column) else F.lit(gap_x)
     gy = gap_y if isinstance(gap_y, Column) else F.lit(gap_y)
+    large = keys_over(right, keys, FEW)
+    crowded = None if left is right else keys_over(left, keys, WHOLE)
+    if crowded is not None:
+        large = crowded if large is None else large.unionByName(crowded).distinct()
+    if large is None:
+        return _pairs_of_few(left, right, keys, gx, gy)
+    large = F.broadcast(large)
+    few, many = ([d.join(large, keys, how) for d in (left, right)] for how in ("left_anti", "left_semi"))
+    return _pairs_of_few(*few, keys, gx, gy).unionByName(_pairs_by_tile(*many, keys, gx, gy, tile))
+
+
+def _touching() -> Column:
+    return ((F.col("r_x1") <= F.col("x2") + F.col("__gx")) & (F.col("x1") - F.col("__gx") <= F.col("r_x2"))
+            & (F.col("r_y1") <= F.col("y2") + F.col("__gy")) & (F.col("y1") - F.col("__gy") <= F.col("r_y2")))
+
+
+def _pairs_of_few(left: DataFrame, right: DataFrame, keys: list[str], gx: Column, gy: Column) -> DataFrame:
+    pairs = left.withColumn("__gx", gx).withColumn("__gy", gy).join(prefixed(right, "r_", keys).hint("merge"), keys)
+    return pairs.filter(_touching()).drop("__gx", "__gy")
+
+
+def _pairs_by_tile(left: DataFrame, right: DataFrame, keys: list[str], gx: Column, gy: Column, tile: tuple[int, int]) -> DataFrame:
+    tw, th = tile
     left = left.withColumn("__gx", gx).withColumn("__gy", gy)
     left = left.withColumn("__own", _level("", tw, th, F.col("__gx"), F.col("__gy")))
     right = prefixed(right, "r_", keys).withColumn("__own", _level("r_", tw, th, F.lit(0), F.lit(0)))
@@ -66,11 +93,9 @@ def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("page",)
     scale = F.pow(F.lit(STEP), F.col("__level"))
     ox = F.greatest(F.col("x1") - F.col("__gx"), F.col("r_x1"))
     oy = F.greatest(F.col("y1") - F.col("__gy"), F.col("r_y1"))
-    touching = ((F.col("r_x1") <= F.col("x2") + F.col("__gx")) & (F.col("x1") - F.col("__gx") <= F.col("r_x2"))
-                & (F.col("r_y1") <= F.col("y2") + F.col("__gy")) & (F.col("y1") - F.col("__gy") <= F.col("r_y2")))
     owner = (F.floor(ox / (tw * scale)) == F.col("__tx")) & (F.floor(oy / (th * scale)) == F.col("__ty"))
     return (lt.join(rt, [*keys, "__level", "__tx", "__ty"])
-            .filter((F.col("__level") == F.greatest("__own", "__r_own")) & touching & owner)
+            .filter((F.col("__level") == F.greatest("__own", "__r_own")) & _touching() & owner)
             .drop("__tx", "__ty", "__gx", "__gy", "__level", "__own", "__r_own"))
 
 
