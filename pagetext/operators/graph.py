@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetext.operators.folds import fold_groups
-from pagetext.operators.prefix import per_key
+from pagetext.operators.prefix import keys_over, per_key
 from pagetext.session import cut_lineage
 
 FOLD_EDGES = 100_000  # edges folded in one task
@@ -22,12 +22,40 @@ def _fingerprint(edges: DataFrame, cols: Sequence[str]) -> tuple:
 def connected_components(edges: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Label (smallest id) of every node that has an edge: columns ``keys``, ``node``, ``component``.
 
+    The edges of a key with at most ``FOLD_EDGES`` of them are folded in one task, those of larger keys are contracted in rounds.
+    """
+    keys = list(keys)
+    e = cut_lineage(edges.select(*keys, F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter("u <> v"))
+    types = dict(e.dtypes)
+
+    def fold(rows: list) -> list[tuple]:
+        key, root = rows[0][:len(keys)], {}
+
+        def find(n):
+            while root.setdefault(n, n) != n:
+                root[n] = n = root[root[n]]
+            return n
+
+        for r in rows:
+            x, y = find(r.v), find(r.u)
+            root[max(x, y)] = min(x, y)
+        return [(*key, n, find(n)) for n in root]
+
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"node {types['v']}", f"component {types['v']}"])
+    large = keys_over(e, keys, FOLD_EDGES)
+    if large is None:
+        return fold_groups(e, keys, ["v", "u"], fold, schema)
+    large = F.broadcast(large)
+    return fold_groups(e.join(large, keys, "left_anti"), keys, ["v", "u"], fold, schema).unionByName(_contracted(e.join(large, keys, "left_semi"), keys))
+
+
+def _contracted(e: DataFrame, keys: list[str]) -> DataFrame:
+    """Components of the edges (``v`` below ``u``) by star contraction.
+
     Alternates two star steps until the edges no longer change, a logarithmic number of rounds even on long
     chains. Each step is a partial minimum and a join on the node; no adjacency list is ever collected.
     """
-    keys = list(keys)
-    e = edges.select(*keys, F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter("u <> v").distinct()
-    e = cut_lineage(e)
+    e = cut_lineage(e.distinct())
     seen = _fingerprint(e, [*keys, "u", "v"])
     while seen[0]:
         both = e.unionByName(e.select(*keys, F.col("u").alias("v"), F.col("v").alias("u")))
