@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+STEP = "__step"
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The rows of each group together in one task and in order, numbered from 1 as ``STEP``.
+
+    The window states both as needs of the plan. A ``repartition`` by the keys does not: it is left out where a join by the keys already
+    deals the rows, and when that join turns into a broadcast while it runs, the rows of a group stay where they were read.
+    """
+    return df.withColumn(STEP, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
@@ -18,27 +29,28 @@ def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     one group are held together. ``fn`` gets named tuples and yields output tuples.
     """
     columns = df.columns
-    n_keys = [columns.index(k) for k in keys]
     out_cols = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row_type = namedtuple("Row", columns)
 
-        def rows() -> Iterator[tuple]:
-            for pdf in batches:
-                yield from zip(*[pdf[c].tolist() for c in columns])
-
         buffer: list[tuple] = []
-        for _, group in groupby(rows(), key=lambda r: tuple(r[i] for i in n_keys)):
-            buffer.extend(fn([row_type(*r) for r in group]))
-            if len(buffer) >= 20000:
-                yield pd.DataFrame(buffer, columns=out_cols)
-                buffer = []
+        group: list[tuple] = []
+        for pdf in batches:
+            for step, *values in zip(pdf[STEP].tolist(), *[pdf[c].tolist() for c in columns]):
+                if step == 1 and group:
+                    buffer.extend(fn(group))
+                    group = []
+                    if len(buffer) >= 20000:
+                        yield pd.DataFrame(buffer, columns=out_cols)
+                        buffer = []
+                group.append(row_type(*values))
+        if group:
+            buffer.extend(fn(group))
         if buffer:
             yield pd.DataFrame(buffer, columns=out_cols)
 
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return placed.mapInPandas(run, schema)
+    return in_order(df, keys, order).mapInPandas(run, schema)
 
 
 def scan_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], init: Callable, step: Callable, schema: str) -> DataFrame:
@@ -47,20 +59,19 @@ def scan_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     Rows stream through in Arrow batches; only the state is held, never a group.
     """
     columns = df.columns
-    at = [columns.index(k) for k in keys]
     out_cols = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row_type = namedtuple("Row", columns)
-        current, state = None, None
+        state = None
         for pdf in batches:
             out = []
-            for values in zip(*[pdf[c].tolist() for c in columns]):
-                row, key = row_type(*values), tuple(values[i] for i in at)
-                if key != current:
-                    current, state = key, init(row)
+            for number, *values in zip(pdf[STEP].tolist(), *[pdf[c].tolist() for c in columns]):
+                row = row_type(*values)
+                if number == 1:
+                    state = init(row)
                 state, made = step(state, row)
                 out.append(made)
             yield pd.DataFrame(out, columns=out_cols)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return in_order(df, keys, order).mapInPandas(run, schema)

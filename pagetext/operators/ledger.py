@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetext.operators.folds import in_order
 from pagetext.operators.prefix import expand_ranges, per_key, prefix_scan, previous_row
 from pagetext.session import cut_lineage
 
@@ -294,7 +295,7 @@ def digest_rows(df: DataFrame, key: Sequence[str], order: str, cols: Sequence[st
             yield _key_rows([(*current, _closed(state))], b.schema, n)
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
-    return rows.repartition(*key).sortWithinPartitions(*key, "__o").mapInArrow(run, f"{kinds}, digest string")
+    return in_order(rows, key, ["__o"]).mapInArrow(run, f"{kinds}, digest string")
 
 
 def _closed(state) -> str:
