@@ -8,6 +8,8 @@ told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ from pagetext.llm.common import id_fold, release, stored
 
 END, START = 0, 1  # codes of the end token and of what stands before the first word
 STEPS = 4  # of a factor two, to which ratios are rounded while the weights are learned
+SLICE = 1 << 17  # tokens whose estimates are held at a time
 EVAL, KEPT, HELD = 0, 1, 2  # roles of a document: not learned from, counted, held out for the weights
 _COUNTS = "block bigint, bucket bigint, kept array<bigint>, total array<bigint>"
 
@@ -115,19 +118,21 @@ def _answers(b: Block, counts: pa.Table, order: int, buckets: int, column: str)
     return [joined[x:y] for x, y in zip(ends[:-1], ends[1:])]
 
 
-def _estimates(b: Block, answers: list[np.ndarray], n: int, v: int, pick: np.ndarray):
-    """(estimates by order from uniform up, context bucket, count of the token) of the picked tokens."""
-    at = np.flatnonzero(pick)
+def _slices(at: np.ndarray) -> Iterator[np.ndarray]:
+    """``at`` in slices, so that the estimates of a block are never held for all its tokens."""
+    return (at[k:k + SLICE] for k in range(0, len(at), SLICE))
+
+
+def _estimates(b: Block, answers: list[np.ndarray], n: int, v: int, at: np.ndarray):
+    """(estimates by order from uniform up, context bucket, count of the token) of the tokens ``at``."""
     count = [a[np.searchsorted(d, k[at])].astype(np.int64) for a, d, k in zip(answers, b.distinct, b.keys)]
-    whole = [a[np.searchsorted(d, k)] for a, d, k in zip(answers[:-1], b.distinct[:-1], b.keys[:-1])]
     ends = int(answers[0][np.searchsorted(b.distinct[0], b.keys[0][b.first[0] + b.sizes[0] - 1])]) if len(b.sizes) else 0
     est = [np.full(len(at), 1.0 / (v + 1)), count[0] / n if n else np.zeros(len(at))]
     context = np.zeros(len(at), np.int64)
-    starts = np.zeros(len(b.role), bool)
-    starts[b.first] = True
+    starts = np.isin(at, b.first, assume_unique=True)
     for k in range(1, len(b.keys)):
         # Before the first word there is a start for every document, so its count is that of the end token.
-        context = np.where(starts[at], ends, whole[k - 1][at - 1]).astype(np.int64)
+        context = np.where(starts, ends, answers[k - 1][np.searchsorted(b.distinct[k - 1], b.keys[k - 1][at - 1])]).astype(np.int64)
         est.append(np.where(context > 0, count[k] / np.maximum(context, 1), 0.0))
     bucket = np.zeros(len(at), np.int64) if len(b.keys) == 1 else np.frexp(context)[1].astype(np.int64)  # 0, 1, 2-3, 4-7, ...
     return est, bucket, count[0]
@@ -140,11 +145,14 @@ def _cells(order: int, buckets: int, n: int, v: int):
         if not docs.num_rows:
             return pa.table([pa.array([], pa.int64())] * len(names), names=names)
         b = Block(docs["text"], docs["role"].to_numpy(), order)
-        est, bucket, _ = _estimates(b, _answers(b, counts, order, buckets, "kept"), n, v, b.role == HELD)
-        with np.errstate(divide="ignore"):
-            ratios = [np.where(e > 0, np.round(STEPS * np.log2(np.maximum(e, 1e-300) / est[0])), -9999).astype(np.int64) for e in est[1:]]
-        cells, times = np.unique(np.stack([bucket, *ratios], axis=1), axis=0, return_counts=True)
-        return pa.table([*[pa.array(c) for c in cells.T.reshape(order + 1, -1)], pa.array(times.astype(np.int64))], names=names)
+        answers, parts = _answers(b, counts, order, buckets, "kept"), [np.zeros((0, order + 2), np.int64)]
+        for at in _slices(np.flatnonzero(b.role == HELD)):
+            est, bucket, _ = _estimates(b, answers, n, v, at)
+            with np.errstate(divide="ignore"):
+                ratios = [np.where(e > 0, np.round(STEPS * np.log2(np.maximum(e, 1e-300) / est[0])), -9999).astype(np.int64) for e in est[1:]]
+            cells, times = np.unique(np.stack([bucket, *ratios], axis=1), axis=0, return_counts=True)
+            parts.append(np.column_stack([cells, times]))
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(parts).T], names=names)
     return run
 
 
@@ -182,13 +190,16 @@ def _scores(order: int, buckets: int, n: int, v: int, weights: dict[int, np.ndar
         if not docs.num_rows:
             return pa.table([docs["doc_id"], pa.array([], pa.bool_()), *[pa.array([], pa.int64())] * 3, *[pa.array([], pa.float64())] * 2], names=names)
         b = Block(docs["text"], docs["role"].to_numpy(), order)
-        est, bucket, c = _estimates(b, _answers(b, counts, order, buckets, "total"), n, v, np.ones(len(b.role), bool))
-        w = table[bucket]
-        p = sum(w[:, k] * e for k, e in enumerate(est))
+        answers, size = _answers(b, counts, order, buckets, "total"), len(b.role)
+        known, plain, mixed = np.empty(size, bool), np.empty(size), np.empty(size)
+        for at in _slices(np.arange(size)):
+            est, bucket, c = _estimates(b, answers, n, v, at)
+            w = table[bucket]
+            known[at], plain[at] = c > 0, np.log10((c + 1) / (n + v + 1))
+            mixed[at] = np.log10(sum(w[:, k] * e for k, e in enumerate(est)))
         add = lambda x: np.add.reduceat(x, b.first)
-        base = add(np.log10((c + 1) / (n + v + 1)))
         rows = len(b.sizes)
-        return pa.table([docs["doc_id"], pa.array(docs["role"].to_numpy() == EVAL), pa.array(b.sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(rows, n, np.int64)), pa.array(base), pa.array(np.minimum(add(np.log10(p)), 0.0))], names=names)
+        return pa.table([docs["doc_id"], pa.array(docs["role"].to_numpy() == EVAL), pa.array(b.sizes), pa.array(add(known.astype(np.int64))), pa.array(np.full(rows, n, np.int64)), pa.array(add(plain)), pa.array(np.minimum(add(mixed), 0.0))], names=names)
     return run
 
 

@@ -79,3 +79,24 @@ def test_empty_and_untrained(spark, no_docs):
     held = [i for i in range(100) if fold(i) == 2][:3]
     rows = L.score_texts(spark.createDataFrame([(i, "a b") for i in held], "doc_id bigint, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows] == [(3, 0, 0, 0.0)] * 3
+
+
+def test_estimates_are_held_for_a_slice_of_a_block():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.chunked_array([[" ".join(f"w{(k * k + j) % 4001}" for k in range(60_000)) for j in range(20)]])
+    b = L.Block(texts, np.zeros(20, np.int64), 2)
+    counts = pa.table({"bucket": [0, 1], "total": pa.array([np.full(len(d), 3) for d in b.distinct], pa.list_(pa.int64()))})
+    docs = pa.table({"doc_id": list(range(20)), "text": texts, "role": np.zeros(20, np.int64)})
+    weights = {-1: np.full(3, 1 / 3)}
+    tracemalloc.start()
+    L.Block(texts, np.zeros(20, np.int64), 2)
+    block = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    out = L._scores(2, 1, 100, 10, weights)(docs, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["n_tokens"].to_pylist() == [60_001] * 20 and out["n_known"].to_pylist() == [60_001] * 20
+    assert peak < 1.5 * block, (peak, block)
