@@ -81,3 +81,11 @@ def test_labels_of_the_held_out_fold_are_never_read(spark, docs):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert (C.fit_classifier(docs, labels).w1 == C.fit_classifier(docs, turned).w1).all()
+
+
+def test_score_of_a_text_does_not_depend_on_its_batch():
+    rng = np.random.default_rng(5)
+    net = C.train(rng.standard_normal((200, 64)), np.arange(200) % 2.0, None)
+    x = rng.standard_normal(64)
+    for n in range(1, 40):
+        assert len(set(net.score(np.tile(x, (n, 1))))) == 1 and net.score(np.tile(x, (n, 1)))[0] == net.score(x[None])[0]
