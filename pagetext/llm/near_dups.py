@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash by meet-in-the-middle ball hashing, and groups by Jaccard similarity from seeded sketches with an exact check."""
+"""Near-duplicates by meet-in-the-middle ball hashing: SimHash classes, and groups by Jaccard similarity from several seeded fingerprints with an exact check."""
 
 from __future__ import annotations
 
@@ -10,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetext.llm.common import running_totals, stored
+from pagetext.llm.common import release, running_totals, stored
 from pagetext.session import cut_lineage
 
 BLOCK = 1 << 16  # shingles hashed at a time, so that a very long text needs no more memory than this
-BANDS, ROWS = 21, 6  # two texts of similarity s share a band with 1 - (1 - s^6)^21: 0.998 at 0.8, 0.9999 at 0.85
-SKETCH = 128  # seeded minima: those of the bands and two more, so that their bits fill two longs
-PIECE = 1 << 12  # ranks listed in one array
-FAR = 32  # differing bits of 128; at similarity 0.8 12.8 are expected, with a deviation of 3.4
+PRINTS, BITS = 12, 32  # seeded fingerprints of a text and their bits; at similarity 0.8 one is within two bits with 0.367, any of them with 0.996
+SKETCH = PRINTS * BITS  # seeded minima, one bit of each; bits of two texts differ with (1 - similarity) / 2
+SKETCHES = ("a", "b", "c", "d", "e", "f")  # the bits as longs, two fingerprints each
+TOGETHER = 4  # fingerprints whose balls are shuffled at a time
+VARIANTS = 1 << 20  # rows of a partition of the balls
+PIECE = 1 << 12  # members of a bucket held against as many others in one task
+FAR = 56  # differing bits of 384; at similarity 0.8 38.4 are expected, with a deviation of 5.9
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -59,9 +62,9 @@ def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
     return d.mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def ball(radius: int) -> list[int]:
-    """Masks of all changes of up to ``radius`` bits, as signed longs."""
-    masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)]
+def ball(radius: int, width: int = 64) -> list[int]:
+    """Masks of all changes of up to ``radius`` of ``width`` bits, as signed longs, fewest bits first."""
+    masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
@@ -141,31 +144,60 @@ def one_per_group(docs: DataFrame, width: int = 3, distance: int = 2, doc_id: st
     return stay.unionByName(docs.filter(F.col(doc_id).isNull()))
 
 
-def _sketch(text: str | None, width: int) -> tuple[bytes, int, int, list[int]]:
-    """(digest of the words, two longs of bits, band keys) of a whole text."""
-    from xxhash import xxh64_intdigest, xxh128_digest
+def _sketch(text: str | None, width: int) -> tuple[bytes, list[int]]:
+    """(digest of the words, one bit of each seeded minimum as longs) of a whole text."""
+    from xxhash import xxh128_digest
 
     words = _words(text)
     low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for hashes in _hashed(words, width):
-        for at in range(0, len(hashes), 2048):
-            low = np.minimum(low, ((hashes[at:at + 2048, None] ^ _SEEDS[0]) * _SEEDS[1]).min(axis=0))
-    bits = np.packbits((low >> np.uint64(17)).astype(np.uint8) & 1).view("<i8")
-    keys = [xxh64_intdigest(low[b * ROWS:(b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return xxh128_digest(b" ".join(words)), int(bits[0]), int(bits[1]), [k - (1 << 64) if k >> 63 else k for k in keys]
+        for at in range(0, len(hashes), 512):
+            low = np.minimum(low, ((hashes[at:at + 512, None] ^ _SEEDS[0]) * _SEEDS[1]).min(axis=0))
+    return xxh128_digest(b" ".join(words)), np.packbits((low >> np.uint64(17)).astype(np.uint8) & 1).view("<i8").tolist()
 
 
 def _sketches(rows: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(__row, __id, __text, digest, a, b, bands) of every row of ``rows`` (with ``__row``); ``__text`` is a hash of the text as it stands."""
+    """(__row, __id, __text, digest, *SKETCHES) of every row of ``rows`` (with ``__row``); ``__text`` is a hash of the text as it stands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = list(zip(*(_sketch(t.as_py(), width) for t in b.column(3)))) or [()] * 4
-            more = [pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *more], names=["__row", "__id", "__text", "digest", "a", "b", "bands"])
+            made = [_sketch(t.as_py(), width) for t in b.column(3)]
+            bits = np.array([m[1] for m in made], np.int64).reshape(-1, len(SKETCHES))
+            more = [pa.array([m[0] for m in made], pa.binary()), *(pa.array(x) for x in bits.T)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *more], names=["__row", "__id", "__text", "digest", *SKETCHES])
 
     d = rows.select("__row", F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__text"), F.col(text).alias("t"))
     kind = d.schema["__id"].dataType.simpleString()
-    return d.mapInArrow(run, f"__row bigint, __id {kind}, __text bigint, digest binary, a bigint, b bigint, bands array<bigint>")
+    return d.mapInArrow(run, f"__row bigint, __id {kind}, __text bigint, digest binary, " + ", ".join(f"{c} bigint" for c in SKETCHES))
+
+
+def _balls(prints: DataFrame, nodes: int) -> DataFrame:
+    """(bucket, node): the nodes whose fingerprint (``node``, ``fp``) lies within one bit of ``bucket``, for every bucket that can join two of them.
+
+    Two fingerprints at two or fewer differing bits meet in the middle, in a variant one bit from both. Every distinct fingerprint emits its ball
+    once; a variant keeps one long that says which of its neighbours occur, so only those that several share, or that several nodes have
+    themselves, are looked up again.
+    """
+    values = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    masks = F.array(*[F.lit(m) for m in ball(1, BITS)])
+    emitted = values.select("fp", "n", F.posexplode(masks).alias("i", "m"))
+    emitted = emitted.select(F.col("fp").bitwiseXOR(F.col("m")).alias("bucket"), F.expr(f"shiftleft(1L, i) | if(i = 0 and n > 1, {1 << BITS + 1}L, 0L)").alias("who"))
+    parts = nodes * TOGETHER * (BITS + 1) // VARIANTS + 1
+    shared = emitted.repartition(parts, "bucket").groupBy("bucket").agg(F.bit_or("who").alias("who")).filter(F.bit_count("who") > 1)
+    met = shared.select("bucket", F.expr(f"explode(filter(sequence(0, {BITS}), i -> (shiftrightunsigned(who, i) & 1L) = 1L))").alias("i"))
+    met = met.select("bucket", F.col("bucket").bitwiseXOR(F.expr("if(i = 0, 0L, shiftleft(1L, i - 1))")).alias("fp"))
+    return met.join(prints, "fp").select("bucket", "node")
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, *SKETCHES): buckets of nodes with a fingerprint within one bit of the bucket. A bucket tells its fingerprint by its upper half."""
+    halves = [h for c in SKETCHES for h in (F.col(c).bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftrightunsigned(c, BITS))]
+    n, found = nodes.count(), None
+    for at in range(0, PRINTS, TOGETHER):
+        prints = nodes.select("node", F.explode(F.array(*[halves[k].bitwiseOR(F.lit(k << BITS)) for k in range(at, at + TOGETHER)])).alias("fp"))
+        some = stored(_balls(prints, n), "balls")
+        release(nodes.sparkSession)  # the balls are the largest shuffle of the stage
+        found = some if found is None else found.unionByName(some)
+    return found.join(nodes.select("node", *SKETCHES), "node")
 
 
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -194,67 +226,106 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return d.select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def _ranked(buckets: DataFrame) -> DataFrame:
-    """``buckets`` with the rank ``r`` (from 0) of each node in its bucket, in one hash order of nodes, and the bucket's number of nodes ``n``."""
-    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(buckets.withColumn("__by", F.xxhash64("node")), ["bucket"], ["__by", "node"], {"r": F.lit(1).cast("long")}, counts)
-    return placed.select("bucket", "node", "a", "b", (F.col("r") - 1).alias("r"), "n")
-
-
-def _met(state: DataFrame, asking: DataFrame, first: int, last: int, both_ways: bool) -> DataFrame:
-    """Pairs (u < v) of ``asking`` nodes and members ``first`` to ``last`` ranks away around their bucket, of other components and close sketches.
-
-    The join is on bucket and rank, so a bucket of any size is spread over all tasks.
+def _asked_centres(buckets: DataFrame) -> DataFrame:
+    """One pair (u < v) a node: the node and, of all that share a bucket with it, the one whose buckets are largest, which lies in the middle of a group."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    weight = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("n"))
+    heads = buckets.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("n", (-F.col("node")).alias("x"))).alias("head"))
+    asked = buckets.join(heads, "bucket").groupBy("node").agg(F.max("head").alias("head")).select("node", (-F.col("head.x")).alias("x"))
+    return asked.filter("node <> x").select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
+
+
+def _close_pairs(node: np.ndarray, component: np.ndarray, asks: np.ndarray, own: np.ndarray, bits: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(x, y, differing bits) of the asking nodes and the nodes of other components that are close; at most the ``most`` closest of each."""
+    lie = np.flatnonzero(asks)
+    for at in range(0, len(lie), 256):
+        x = lie[at:at + 256]
+        far = sum(np.bitwise_count(bits[x, None, k] ^ bits[None, :, k]).astype(np.int32) for k in range(bits.shape[1]))
+        ok = (far <= FAR) & (component[x, None] != component[None, :])
+        if own[0] != own[-1]:  # two pieces of a bucket; each meets itself elsewhere
+            ok &= own[x, None] != own[None, :]
+        if len(node) > most:
+            far = np.where(ok, far, FAR + 1)
+            ok &= far <= np.partition(far, most - 1, axis=1)[:, most - 1, None]
+        i, j = np.nonzero(ok)
+        yield node[x[i]], node[j], far[i, j]
+
+
+def _met(state: DataFrame, bits: list[str], most: int | None) -> DataFrame:
+    """Pairs (u < v) of different components that share a bucket and have close sketches, one of them outside of the bucket's largest component.
+
+    A bucket is dealt by hash into pieces of about ``PIECE`` members; each two pieces meet in one task, where all sketches are compared at once, so
+    only close pairs become rows. With ``most`` a node asks only that many, the closest of all its buckets.
     """
-    end = F.least(F.lit(last), F.floor(F.col("n") / 2))
-    near = asking.filter(end >= first).withColumn("p", F.explode(F.sequence(F.lit(first).cast("long"), end, F.lit(PIECE).cast("long"))))
-    near = near.withColumn("d", F.explode(F.sequence("p", F.least(end, F.col("p") + PIECE - 1))))  # in pieces, so that no array is as long as a bucket
-    away = F.explode(F.array(F.col("d"), -F.col("d")) if both_ways else F.array("d"))
-    near = near.withColumn("d", away).select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("a").alias("ax"), F.col("b").alias("bx"),
-                                             F.pmod(F.col("r") + F.col("d"), F.col("n")).alias("r"))
-    met = near.join(state.select("bucket", "r", "node", "component", "a", "b"), ["bucket", "r"])
-    met = met.filter((F.col("component") != F.col("cx")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("ax"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("bx"))) <= FAR))
-    return met.select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
+    parts = F.ceil(F.col("n") / PIECE)
+    d = state.withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    d = d.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "asks": F.col("component") != F.col("top")})
+    step = F.row_number().over(Window.partitionBy("bucket", "i", "j").orderBy("own", "node"))
+    d = d.select(step.alias("step"), "node", "component", "asks", "own", *bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(cols: list[np.ndarray], starts: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+            node, component, asks, own = cols[1:5]
+            sketch, out = np.stack(cols[5:], axis=1).view(np.uint64), []
+            for a, b in zip(starts, [*starts[1:], end]):
+                if asks[a:b].any():
+                    out += _close_pairs(node[a:b], component[a:b], asks[a:b], own[a:b], sketch[a:b], most or PIECE * 4)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["x", "y", "far"])
+
+        held = None
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
+            starts = np.flatnonzero(cols[0] == 1)
+            if len(starts):
+                yield from pairs([c[:starts[-1]] for c in cols], starts[:-1], starts[-1])
+                cols = [c[starts[-1]:] for c in cols]
+            held = cols
+        if held is not None and len(held[0]):
+            yield from pairs(held, np.zeros(1, np.int64), len(held[0]))
+
+    met = d.mapInArrow(run, "x bigint, y bigint, far int")
+    if most is not None:
+        met = met.distinct().withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("far", "y"))).filter(F.col("k") <= most)
+    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def similar_components(buckets: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame:
-    """(node, component) of the nodes that share a bucket (``bucket``, ``node``, sketch bits ``a`` and ``b``), linked by a Jaccard similarity of ``least`` or more.
+    """(node, component) of the nodes that share a bucket (``bucket``, ``node`` and longs of sketch bits), linked by a Jaccard similarity of ``least`` or more.
 
-    All buckets are walked around in one hash order. In each round, members farther and farther apart (1, then 2 to 7, 8 to 31, ...)
-    are compared, both ways, and the links found are contracted. A pair of one component is never compared, so of the largest component of a
-    bucket only those members meet others that others ask for; a bucket of one component is done. Two nodes of different components are
-    never both in the largest one, so every pair is either compared or linked by others: no chain is lost, while a large group
-    of similar nodes costs a few comparisons each, not one per pair. Pairs whose sketches alone rule the similarity out are not compared shingle by shingle.
+    First every node asks one node in the middle of its buckets, then those outside of the largest component of a bucket ask the eight closest, then all close ones;
+    the links found are contracted in between. A pair of one component is never compared and a bucket of one component is done. Two nodes of
+    different components are never both in the largest one, so in the end every close pair is either compared or linked by others: no chain is lost, while
+    a large group of similar nodes costs a few comparisons each, not one per pair. Close are sketches that do not rule the similarity out (``FAR``).
     """
-    ranked = stored(_ranked(buckets), "ranked")
-    labels = ranked.select("node").distinct().withColumn("component", F.col("node"))
-    state = asking = ranked.withColumn("component", F.col("node"))
-    tested, first, last = None, 1, 1
-    while True:
-        pairs = _met(state, asking, first, last, first > 1)
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+    bits = [c for c in buckets.columns if c not in ("bucket", "node")]
+    labels = buckets.select("node").distinct().withColumn("component", F.col("node"))
+    pairs = tested = stored(_asked_centres(buckets.select("bucket", "node")), "pairs")
+    state = buckets
+    for most in (8, None, 0):
         found = stored(_similar(pairs, sets, least), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
         of = labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
         ends = found.join(of, "v").join(of.select(F.col("v").alias("u"), F.col("cv").alias("cu")), "u").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
         joined = components(ends).select(F.col("node").alias("component"), F.col("component").alias("__to"))
         labels = stored(labels.join(joined, "component", "left").select("node", F.coalesce("__to", "component").alias("component")), "labels")
-        state = state.drop("component", "top").join(labels, "node")
-        sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
-        tops = (sizes.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.first("n").alias("n"))
-                .filter((F.col("parts") > 1) & (F.floor(F.col("n") / 2) > last)).select("bucket", "top"))
-        state = stored(state.join(tops, "bucket").select("bucket", "node", "a", "b", "r", "n", "component", "top"), "open")
-        if state.isEmpty():
-            return labels
-        asking = state.filter("component <> top")
-        first, last = last + 1, 4 * last + 3
+        if most == 0:
+            break
+        state = state.select("bucket", "node", *bits).join(labels, "node")
+        sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+        tops = (sizes.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("n"))
+                .filter("parts > 1").select("bucket", "top", "n"))
+        state = stored(state.join(tops, "bucket"), "open")
+        pairs = stored(_met(state, bits, most).join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+    return labels
 
 
 def one_per_similar_group(docs: DataFrame, least: float = 0.8, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of texts whose sets of ``width``-word shingles are linked by a Jaccard similarity of ``least`` or more.
 
     Every row counts on its own, whether its id is null, repeated or unique; that of the smallest id stays, of rows without one only if the group has no other,
-    of equal ids that of the smallest text hash. Candidates share one of ``BANDS`` keys of ``ROWS`` seeded minima of the shingle hashes and are verified on all their shingles. Texts with
+    of equal ids that of the smallest text hash. Candidates have one of ``PRINTS`` seeded fingerprints at two or fewer differing bits, found by ball hashing, and are verified on all their shingles. Texts with
     the same words are one node of the search; texts without words are one group. Words are those of ``near_duplicates``.
     """
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
@@ -262,10 +333,8 @@ def one_per_similar_group(docs: DataFrame, least: float = 0.8, width: int = 5, d
     order = ["__none", "__id", "__text", "__row"]
     first = marked.groupBy("digest").agg(F.min(F.struct(F.col("__id").isNull().alias("__none"), "__id", "__text", "__row")).alias("x")).select("x.*")
     first = running_totals(first, [], order, {"node": F.lit(1).cast("long")}).select("__row", "node")
-    nodes = stored(marked.join(first, "__row").select("__row", "node", "a", "b", "bands"), "nodes")
-    spread = nodes.select("node", "a", "b", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    buckets = stored(spread.join(shared, "bucket", "left_semi"), "buckets")
+    nodes = stored(marked.join(first, "__row").select("__row", "node", *SKETCHES), "nodes")
+    buckets = stored(_candidates(nodes), "buckets")
     close = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("__row", "node")
     texts = rows.select("__row", F.col(text).alias("t")).join(close, "__row").select("node", "t")
     sets = stored(_shingle_sets(texts, width), "sets")

@@ -176,3 +176,35 @@ def test_rows_without_an_id_are_deduplicated(spark):
     kept = N.one_per_similar_group(spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(3))
     got = [(r.doc_id, r.text) for r in kept.collect()]
     assert kept.columns == ["doc_id", "text", "n"] and sorted(got, key=str) == sorted([(5, texts[1]), (None, texts[2]), (None, texts[3]), (8, texts[3] + " more"), (8, texts[2] + " x")], key=str)
+
+
+def test_candidates_are_all_pairs_within_two_bits(spark):
+    """Buckets of the ball hashing join exactly the nodes with one of the seeded fingerprints at two or fewer differing bits."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(12):
+        base = [rng.getrandbits(64) for _ in N.SKETCHES]
+        for _ in range(12):  # further and further from the first, each of its words by a few bits
+            rows.append([x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for x in base])
+    signed = [(n, *(x - (1 << 64) if x >> 63 else x for x in r)) for n, r in enumerate([*rows, rows[0]])]
+    nodes = spark.createDataFrame(signed, "node bigint, " + ", ".join(f"{c} bigint" for c in N.SKETCHES))
+    prints = [[x >> at & 0xFFFFFFFF for x in r for at in (0, 32)] for r in [*rows, rows[0]]]
+    want = {(i, j) for i in range(len(prints)) for j in range(i) if any((x ^ y).bit_count() <= 2 for x, y in zip(prints[i], prints[j]))}
+    buckets = defaultdict(set)
+    for r in N._candidates(nodes).collect():
+        buckets[r.bucket].add(r.node)
+    assert {(i, j) for b in buckets.values() for i in b for j in b if i > j} == want and len(want) > 300
+
+
+def test_close_pairs_of_a_bucket_in_pieces(spark, monkeypatch):
+    """A bucket of several pieces gives the close pairs of different components of all its members, each node outside of the largest one asking."""
+    rng = random.Random(13)
+    base = [rng.getrandbits(62) for _ in range(6)]
+    rows = [(7, n, *(x ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(14))) for x in base), n % 5, 0, 120) for n in range(120)]
+    state = spark.createDataFrame(rows, "bucket bigint, node bigint, a bigint, b bigint, c bigint, d bigint, e bigint, f bigint, component bigint, top bigint, n bigint")
+    far = {(u[1], v[1]): sum((x ^ y).bit_count() for x, y in zip(u[2:8], v[2:8])) for u in rows for v in rows if u[1] < v[1] and u[8] != v[8]}
+    monkeypatch.setattr(N, "PIECE", 31)
+    got = sorted(map(tuple, N._met(state, list(N.SKETCHES), None).collect()))
+    assert got == sorted(k for k, d in far.items() if d <= N.FAR) and 100 < len(got) < len(far)
+    few = {tuple(r) for r in N._met(state, list(N.SKETCHES), 1).collect()}
+    assert few < set(got) and len(few) <= 96
