@@ -143,15 +143,34 @@ def split_blocks(lines: DataFrame) -> DataFrame:
     only if the jump exceeds the font size. That last rule looks at the previous outcome, so each row is either
     a fixed outcome or the opposite of the one before; the outcome is the last fixed one, flipped as often.
     """
-    key, order = ["page", "block_id"], [F.col("distance"), F.col("line_id")]
-    d = previous_row(lines, key, order, F.struct("x1", "y1", "x2", "y2", "distance"), "p")
+    return by_size(lines, ["page", "block_id"], _split_whole, _split_spread)
+
+
+def _outcome() -> Column:
+    """The fixed outcome of a line whose previous one is ``p``, null where it is the opposite of the one before."""
     apart = ((F.col("x1") > F.col("p.x2")) | (F.col("p.x1") > F.col("x2"))
              | (F.col("y1") > F.col("p.y2")) | (F.col("p.y1") > F.col("y2")))
     jump = F.abs(F.col("distance") - F.col("p.distance"))
     shifted = F.col("vertical") & (F.abs(F.col("y1") - F.col("p.y1")) > F.col("font_size"))
-    fixed = (F.when(F.col("p").isNull(), 1).when(~apart, 0).when(jump > 2 * F.col("font_size"), 1)
-             .when(shifted & (jump > F.col("font_size")), 1).when(~shifted, 0))
-    d = d.withColumn("__fixed", fixed).drop("p")
+    return (F.when(F.col("p").isNull(), 1).when(~apart, 0).when(jump > 2 * F.col("font_size"), 1)
+            .when(shifted & (jump > F.col("font_size")), 1).when(~shifted, 0))
+
+
+def _split_whole(lines: DataFrame) -> DataFrame:
+    """All columns in the one order of a block, so that its lines are sorted once; the first line is always fixed."""
+    rows = Window.partitionBy("page", "block_id").orderBy("distance", "line_id")
+    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = lines.withColumn("p", F.lag(F.struct("x1", "y1", "x2", "y2", "distance")).over(rows)).withColumn("__fixed", _outcome())
+    d = d.withColumn("__f", F.sum(F.col("__fixed").isNull().cast("int")).over(upto))
+    last = F.last(F.when(F.col("__fixed").isNotNull(), F.struct("__fixed", "__f")), ignorenulls=True).over(upto)
+    d = d.withColumn("__last", last).withColumn("__cut", (F.col("__last.__fixed") + F.col("__f") - F.col("__last.__f")) % 2)
+    return d.select(*lines.columns, F.sum("__cut").over(upto).cast("int").alias("part"))
+
+
+def _split_spread(lines: DataFrame) -> DataFrame:
+    key, order = ["page", "block_id"], [F.col("distance"), F.col("line_id")]
+    d = previous_row(lines, key, order, F.struct("x1", "y1", "x2", "y2", "distance"), "p")
+    d = d.withColumn("__fixed", _outcome()).drop("p")
     d = prefix_scan(d, key, order, sums={"__g": F.col("__fixed").isNotNull().cast("int"),
                                                 "__f": F.col("__fixed").isNull().cast("int")})
     d = per_key(d, [*key, "__g"], F.min("__f").alias("__f0"), F.max("__fixed").alias("__base"))
