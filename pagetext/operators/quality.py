@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetext.functions import text as tx
-from pagetext.operators.prefix import per_key
+from pagetext.operators.prefix import by_size, per_key
 
 
 def flag_small_text(df: DataFrame, threshold: float = 12) -> DataFrame:
@@ -15,9 +15,16 @@ def flag_small_text(df: DataFrame, threshold: float = 12) -> DataFrame:
 
 def validate_blocks(df: DataFrame, max_blocks: int = 32, max_text: int = 8192, bound: float = 1e6) -> tuple[DataFrame, DataFrame]:
     """(valid, rejects with ``reasons``). A page with more than ``max_blocks`` blocks is rejected whole."""
-    c = F.col
-    d = per_key(df, ["page"], F.count(F.lit(1)).alias("__page_blocks"))
-    d = per_key(d, ["page", "block_id"], F.count(F.lit(1)).alias("__same"))
+    c, one = F.col, F.count(F.lit(1))
+
+    def whole(d: DataFrame) -> DataFrame:
+        return d.withColumn("__same", one.over(Window.partitionBy("page", "block_id"))).withColumn("__page_blocks", one.over(Window.partitionBy("page")))
+
+    def spread(d: DataFrame) -> DataFrame:
+        d = per_key(d.withColumn("__id", F.struct("block_id")), ["page", "__id"], one.alias("__same"))  # in a struct, since a row without an id is joined as well
+        return per_key(d.drop("__id"), ["page"], one.alias("__page_blocks"))
+
+    d = by_size(df, ["page"], whole, spread)
     box = [c(x).cast("double") for x in ("x1", "y1", "x2", "y2")]
     finite = box[0].isNotNull()
     for b in box:
