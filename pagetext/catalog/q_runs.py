@@ -99,7 +99,7 @@ query("s11c_publish_manifest", f"with {PUB} select m.page, m.output_name, coales
 @query("f25_labelled_text", """select page, 0 as seq, '>>>>>>>>['||page||']<<<<<<<<' as line from (select distinct page from blocks) t
 union all select page, block_id, '----------------['||block_id||']----------------['||format('{:.6f}', x1/1050.0::double)||', '||format('{:.6f}', y1/1500.0::double)||', 1]'||chr(10)||label from blocks join pages_v using (page)""")
 def _(v):
-    return K.to_labelled_text(v.blocks.join(v.pages_v, "page").withColumn("text", c("label")))
+    return K.to_labelled_text(v.dealt_blocks.join(v.pages_v, "page").withColumn("text", c("label")))
 
 
 @query("c4_incremental_run", f"""with {CACHE}, td as (select distinct page from dialogue where page not in (select page from dialogue where page%4=0)), rr as (select rs.* from rs join td using (page))

@@ -76,6 +76,8 @@ select cast(doc_id as int) as ordinal,
 from documents""",
 }
 
+ROWS = 1 << 20  # rows numbered in one task
+
 _NEEDS = {"candidates": ["blocks"], "replies": ["dialogue"]}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -132,6 +134,15 @@ class Views:
     def _unknown(self, name: str) -> DataFrame:
         raise AttributeError(f"no table or view named {name}")
 
+    def _dealt_blocks_view(self) -> DataFrame:
+        """``blocks`` from tasks of about ``ROWS`` rows of whole pages, however large the table and few the shuffle partitions are."""
+        parts = self.lineitem.count() // ROWS + 1
+        if parts <= int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            return self.blocks
+        more = Views(self.spark, self.sf_dir)
+        more._made["lineitem"] = self.lineitem.repartition(parts, "l_orderkey")
+        return more.blocks
+
     def _panels_view(self) -> DataFrame:
         grid = [(1, 2, 0), (2, 1, 0), (3, 0, 0), (4, 2, 1), (5, 1, 1), (6, 0, 1), (7, 2, 2), (8, 1, 2)]
         cells = F.array(*[F.struct(F.lit(i).alias("panel_id"), F.lit(x).alias("px"), F.lit(y).alias("py"))

@@ -31,3 +31,15 @@ def test_blocks_without_an_id_are_rejected(spark, monkeypatch):
         monkeypatch.setattr(prefix, "WHOLE", most)
         valid, rejects = Q.validate_blocks(df)
         assert [r.text for r in valid.collect()] == ["d"] and {r.text: r.reasons for r in rejects.collect()} == want
+
+
+def test_dealt_blocks_are_the_blocks_in_more_tasks(spark, monkeypatch):
+    from pagetext.catalog import views
+
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = views.Views(spark, "/root/testdata/sf0.001")
+    assert v.dealt_blocks is v.blocks  # a small table is left to the shuffle partitions
+    monkeypatch.setattr(views, "ROWS", v.lineitem.count() // (few + 20))
+    d = views.Views(spark, "/root/testdata/sf0.001").dealt_blocks
+    assert d.rdd.getNumPartitions() >= few + 20
+    assert d.exceptAll(v.blocks).isEmpty() and v.blocks.exceptAll(d).isEmpty()
