@@ -5,10 +5,16 @@ The surveyed event log has no event time. Event time, watermarks and windows are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetext.operators.prefix import previous_row
+from pagetext.session import cut_lineage
 from pagetext.sources.sinks import plan_publish, scratch_dir
 from pagetext.streaming.delta_log import DeltaLog
 from pagetext.streaming.keyed import fold_stream, keyed_state_store
@@ -158,10 +164,41 @@ def repeat_guard(chunks: DataFrame, repeats: int = 31) -> DataFrame:
     return fold_stream(chunks, ["reply"], step, lambda r: (r.seq,), GUARD_OUT)
 
 
+def _ends(chunks: DataFrame) -> DataFrame:
+    """(reply, seq, token) without the rows that no trailing run can hold: of the rows of a reply in an Arrow batch, the last run and the row before it stay.
+
+    That row and the run differ, so one of them differs from the chunk that ends the reply, and the reply's run begins behind it, whatever other
+    batches hold. Rows of a reply that come together shrink to a few, in any order and however they are dealt the result is the same.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in filter(len, batches):
+            reply, token = (b.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in (0, 2))
+            place = pc.rank(b.column(1), "ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
+            order = np.lexsort((place, reply))
+            reply, token = reply[order], token[order]
+            first = np.append(True, reply[1:] != reply[:-1])
+            starts = np.flatnonzero(first | np.append(True, token[1:] != token[:-1]))
+            final = np.append(first[starts[1:]], True)  # runs that end their reply here
+            ends = np.append(starts[1:], len(order))[final]
+            begins = starts[final] - ~first[starts[final]]
+            inside = np.zeros(len(order) + 1, np.int64)
+            np.add.at(inside, begins, 1)
+            np.add.at(inside, ends, -1)
+            stay = np.empty(len(order), bool)
+            stay[order] = np.cumsum(inside[:-1]) > 0
+            yield b.filter(pc.or_(pa.array(stay), b.column(1).is_null()))
+
+    d = chunks.select("reply", "seq", F.trim("piece").alias("token"))
+    return d.mapInArrow(run, d.schema)
+
+
 def trailing_repeats(chunks: DataFrame, repeats: int = 31) -> DataFrame:
-    """Batch twin: length of the run of identical chunks that ends each reply, from the last change of chunk."""
+    """Batch twin: length of the run of identical chunks that ends each reply, from the last change of chunk.
+
+    Only the ends of replies are shuffled, see ``_ends``.
+    """
     c = F.col
-    d = chunks.filter(F.coalesce("piece", F.lit("")) != "").withColumn("token", F.trim("piece"))
+    d = cut_lineage(_ends(chunks.filter(F.coalesce("piece", F.lit("")) != "")))
     d = previous_row(d, ["reply"], [c("seq")], c("token"), "before").withColumn("changed", ~c("token").eqNullSafe(c("before")))
     last = d.filter("changed").groupBy("reply").agg(F.max("seq").alias("from_seq"))
     n = d.join(last, "reply").filter("seq >= from_seq").groupBy("reply").agg(F.count(F.lit(1)).alias("run"))

@@ -1,11 +1,13 @@
 """Streams over several micro-batches: order, late rows, expiry, replay, crashes, compaction."""
 
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagetext.operators.prefix import previous_row
 from pagetext.streaming import events as E
 from pagetext.streaming.delta_log import DeltaLog
 from pagetext.streaming.keyed import fold_stream, keyed_state_store
@@ -124,3 +126,21 @@ def test_publish_stream_replay(spark, tmp_path):
         assert sorted((r.page, r.sha256) for r in target.read().collect()) == [(p, "foreign" if p == 4 else f"h{p}") for p in range(6)]
         assert {r.page: r.output_sha256 for r in manifest.read().collect()} == {p: None if p == 4 else f"h{p}" for p in range(6)}
         assert [r.output_name for r in spark.read.parquet(f"{tmp_path}/conflicts").collect()] == ["o4"]
+
+def test_trailing_repeats_shuffle_only_the_ends(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, k, rng.choice(["a", "b", " b ", "", None, "  "]) if k < 300 + i * 7 else "z") for i in range(12) for k in range(300 + i * 9)]
+    rows += [(50, k, "x") for k in range(700)] + [(51, k, str(k)) for k in range(700)] + [(52, 0, None)]
+    want = {}
+    for reply, _, piece in rows:
+        if piece:
+            token, (last, n) = piece.strip(" "), want.get(reply, (None, 0))
+            want[reply] = (token, n + 1 if token == last else 1)
+    handed = []
+    monkeypatch.setattr(E, "previous_row", lambda d, *more: (handed.append(d.count()), previous_row(d, *more))[1])
+    for shuffled in (False, True):
+        listed = rng.sample(rows, len(rows)) if shuffled else rows
+        d = spark.createDataFrame(listed, "reply long, seq int, piece string").repartition(7) if shuffled else spark.createDataFrame(listed, "reply long, seq int, piece string")
+        got = {r.reply: (r.run, r.looping) for r in E.trailing_repeats(d, repeats=20).collect()}
+        assert got == {reply: (n, n >= 20) for reply, (_, n) in want.items()}
+    assert handed[0] < 2500 < 5000 < len(rows)  # the long final runs and a few more
