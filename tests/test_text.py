@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,16 @@ def test_suggestions_match_brute_force(spark):
     for w in words:
         want = sorted((distance(w, e), e) for e in entries if e != w and distance(w, e) <= 2)[:5]
         assert [e for _, e in sorted(got.get(w, []))] == [e for _, e in want]
+
+
+def test_texts_of_a_batch_are_worked_in_bounded_pieces(spark):
+    texts = pa.array(["", None, "x" * 900, *(["ab c"] * 1000), "y" * 5000, "z", None])
+    pieces = list(T._pieces(texts, 1000))
+    assert pa.concat_arrays(pieces).equals(texts) and list(map(len, T._pieces(texts[:0], 1000))) == [0]
+    assert len(pieces) >= 5 and all(sum(map(len, p[1:].drop_null().to_pylist())) <= 1000 for p in pieces)
+    rows = [(i, None if i % 7 == 0 else f"I am here {i} " * (40 if i % 5 else 4000)) for i in range(60)]
+    d = spark.createDataFrame(rows, "i int, t string").coalesce(1)
+    got = d.select("i", T.segment(F.col("t"), "English").alias("w"), T.find_repeats(F.col("t"), 30).alias("r")).collect()
+    for (i, t), r in zip(rows, got):
+        assert r.i == i and r.w == (None if t is None else T._join_short_words(t))
+        assert tuple(r.r) == T.repeats_of([t or ""], 30)[0] and r.r.repeated == (t is not None)
