@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetext.functions import text as tx
-from pagetext.operators.prefix import per_key
-from pagetext.operators.tiles import box_pairs
+from pagetext.operators.prefix import by_size, keys_over, per_key
+from pagetext.operators.tiles import FEW, box_pairs
+from pagetext.session import cut_lineage
 
 
 def resolution_scale(page_w: Column, page_h: Column, font: Column) -> Column:
@@ -132,26 +135,69 @@ def inherit_direction(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks: page, block_id, grp (null = none), box, font_size, vertical (original), known (own direction or null),
     letters, n_lines, geometry_ok. A single-letter block takes the unanimous direction of confident peers of its
     group that lie close enough; a mixed group goes to review. Inherited directions are never evidence. Unanimity
-    comes from per-group counts; only close peers are listed, by a tile join.
+    comes from per-group counts. On pages with at most ``FEW`` blocks the peers of a group are a list behind the page's own order, on larger
+    ones only close peers are listed, by a tile join.
     """
+    large = keys_over(blocks, ["page"], FEW)
+    if large is None:
+        return _directions_listed(blocks)
+    large = F.broadcast(large)
+    few, many = _directions_listed(blocks.join(large, ["page"], "left_anti")), _directions_joined(blocks.join(large, ["page"], "left_semi"))
+    return few[0].unionByName(many[0]), few[1].unionByName(many[1])
+
+
+def _asking(d: DataFrame) -> DataFrame:
+    """``single`` and ``vote`` of every block, from the counts ``v`` and ``h`` of its group's directions."""
+    c = F.col
+    single = c("geometry_ok") & c("known").isNull() & (c("letters") == 1) & (c("n_lines") == 1)
+    return d.withColumns({"single": single, "vote": F.when(single & (c("v") > 0) & (c("h") == 0), True).when(single & (c("h") > 0) & (c("v") == 0), False)})
+
+
+def _close(own: Column, peer: Callable[[str], Column]) -> Column:
+    """Whether a peer is near enough to be evidence; ``peer`` gives its columns by name."""
+    c = F.col
+    size = F.greatest(own, peer("font_size"))
+    mid_x = F.abs((c("x1") + c("x2") - peer("x1") - peer("x2")) / 2) <= size * 3
+    mid_y = F.abs((c("y1") + c("y2") - peer("y1") - peer("y2")) / 2) <= size * 3
+    return F.when(c("vote"), (F.abs(c("y1") - peer("y1")) <= size) & mid_x).otherwise((F.abs(c("x1") - peer("x1")) <= size) & mid_y)
+
+
+def _own() -> Column:
+    return F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("font_size"))
+
+
+def _directions_listed(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``inherit_direction`` on pages with few blocks, without a join."""
+    c, group = F.col, Window.partitionBy("page", "grp")
+    peer = c("known").isNotNull() & c("geometry_ok") & c("grp").isNotNull() & c("page").isNotNull()
+    listed = F.when(peer, F.struct("block_id", "x1", "y1", "x2", "y2", "font_size"))
+    d = blocks.withColumns({"v": F.count_if(peer & c("known")).over(group), "h": F.count_if(peer & ~c("known")).over(group),
+                            "__peers": F.collect_list(listed).over(group)})
+    near = F.filter("__peers", lambda p: _close(_own(), lambda name: p[name]))
+    d = _asking(d).withColumn("__near", F.when(c("vote").isNotNull(), F.transform(near, lambda p: p["block_id"]))).drop("__peers")
+    evidence = d.filter("vote is not null").select("page", "block_id", F.explode("__near").alias("evidence_id"))
+    return _decided(d.withColumn("n_evidence", F.coalesce(F.when(c("__near").isNotNull(), F.size("__near")), F.lit(0)).cast("long"))), evidence
+
+
+def _directions_joined(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``inherit_direction`` on larger pages."""
     c = F.col
     sides = blocks.filter("known is not null and geometry_ok and grp is not null").groupBy("page", "grp").agg(
         F.count_if("known").alias("v"), F.count_if(~c("known")).alias("h"), F.max("font_size").alias("top_font"))
-    d = blocks.join(sides, ["page", "grp"], "left").fillna(0, ["v", "h"])
-    single = c("geometry_ok") & c("known").isNull() & (c("letters") == 1) & (c("n_lines") == 1)
-    d = d.withColumns({"single": single, "vote": F.when(single & (c("v") > 0) & (c("h") == 0), True).when(single & (c("h") > 0) & (c("v") == 0), False)})
+    d = _asking(blocks.join(sides, ["page", "grp"], "left").fillna(0, ["v", "h"]))
     asks = d.filter("vote is not null").select("page", "grp", "block_id", "x1", "y1", "x2", "y2", "font_size", "vote", "top_font")
-    asks = asks.withColumn("own", F.greatest(c("x2") - c("x1"), c("y2") - c("y1"), c("font_size")))
+    asks = asks.withColumn("own", _own())
     peers = blocks.filter("known is not null and geometry_ok and grp is not null").select("page", "grp", "block_id", "x1", "y1", "x2", "y2", "font_size")
     reach = F.greatest("own", "top_font")
     near = box_pairs(asks, peers, ["page", "grp"], gap_x=reach * 3, gap_y=reach * 3, tile=(1024, 1024))
-    size = F.greatest("own", "r_font_size")
-    mid_x = F.abs((c("x1") + c("x2") - c("r_x1") - c("r_x2")) / 2) <= size * 3
-    mid_y = F.abs((c("y1") + c("y2") - c("r_y1") - c("r_y2")) / 2) <= size * 3
-    close = F.when(c("vote"), (F.abs(c("y1") - c("r_y1")) <= size) & mid_x).otherwise((F.abs(c("x1") - c("r_x1")) <= size) & mid_y)
-    evidence = near.filter(close).select("page", "block_id", c("r_block_id").alias("evidence_id"))
+    evidence = near.filter(_close(c("own"), lambda name: c("r_" + name))).select("page", "block_id", c("r_block_id").alias("evidence_id"))
     backed = evidence.groupBy("page", "block_id").agg(F.count(F.lit(1)).alias("n_evidence"))
-    d = d.join(backed, ["page", "block_id"], "left").fillna(0, ["n_evidence"])
+    return _decided(d.join(backed, ["page", "block_id"], "left").fillna(0, ["n_evidence"])), evidence
+
+
+def _decided(d: DataFrame) -> DataFrame:
+    """Reason and direction of every block from ``single``, ``vote``, ``v``, ``h`` and ``n_evidence``."""
+    c = F.col
     reason = (F.when(~c("geometry_ok"), "invalid_or_complex_source_geometry").when(c("known").isNotNull(), "own_multichar_line_geometry")
               .when(c("single") & (c("v") > 0) & (c("h") > 0), "mixed_group_requires_review")
               .when(c("n_evidence") > 0, "single_letter_inherits_supported_group_direction").otherwise("insufficient_direction_evidence"))
@@ -159,7 +205,7 @@ def inherit_direction(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     inherited = c("reason") == "single_letter_inherits_supported_group_direction"
     d = d.withColumn("direction", F.when(c("reason") == "own_multichar_line_geometry", c("known")).when(inherited, c("vote")))
     return d.select("page", "block_id", "grp", "vertical", "direction", "reason", "n_evidence",
-                    (inherited & ~c("direction").eqNullSafe(c("vertical"))).alias("change")), evidence
+                    (inherited & ~c("direction").eqNullSafe(c("vertical"))).alias("change"))
 
 
 def layout_groups(decisions: DataFrame, matched: DataFrame) -> DataFrame:
@@ -169,11 +215,15 @@ def layout_groups(decisions: DataFrame, matched: DataFrame) -> DataFrame:
     keep their own direction, all matches good. Whether all share one bubble is a pixel question left to the caller.
     """
     c = F.col
-    d = decisions.filter("grp is not null").join(matched.select("page", "block_id", "coverage", "iou"), ["page", "block_id"], "left")
+    group = Window.partitionBy("page", "grp")
+    d = by_size(decisions.filter("page is not null and grp is not null"), ["page"], lambda x: x.withColumn("any_change", F.bool_or("change").over(group)),
+                lambda x: per_key(x, ["page", "grp"], F.bool_or("change").alias("any_change")))
+    # Few groups have a change, so only their members are matched; they are kept, as they are asked for twice.
+    d = cut_lineage(d.filter("any_change").drop("any_change").join(matched.select("page", "block_id", "coverage", "iou"), ["page", "block_id"], "left"))
     good = F.coalesce(c("coverage").between(0.6, 1), F.lit(False)) | F.coalesce(c("iou").between(0.3, 1), F.lit(False))
     keeps = c("change") | F.coalesce(c("direction") == c("vertical"), F.lit(False))
-    d = per_key(d, ["page", "grp"], F.bool_or("change").alias("any_change"), F.count(F.lit(1)).alias("members"),
+    d = per_key(d, ["page", "grp"], F.count(F.lit(1)).alias("members"),
                 F.count("direction").alias("known"), F.min("direction").alias("lo"), F.max("direction").alias("hi"),
                 F.bool_and(keeps & good).alias("sound"))
     fine = c("members").between(2, 4) & (c("known") == c("members")) & (c("lo") == c("hi")) & c("sound")
-    return d.filter("any_change").select("page", "grp", "block_id", F.when(fine, "pending").otherwise("needs_review").alias("group_fit"))
+    return d.select("page", "grp", "block_id", F.when(fine, "pending").otherwise("needs_review").alias("group_fit"))
