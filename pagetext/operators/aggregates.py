@@ -56,10 +56,11 @@ def line_scale(lines: DataFrame, key: Sequence[str]) -> DataFrame:
 def block_hull(lines: DataFrame, key: Sequence[str], blocks: DataFrame | None = None,
                x_range: tuple[int, int] | None = None, y_range: tuple[int, int] | None = None) -> DataFrame:
     """Hull of the lines of each block, united with the old box if ``blocks`` is given, clipped to the ranges."""
-    src = lines.select(*key, *g.BOX)
-    if blocks is not None:
-        src = src.unionByName(blocks.join(lines.select(*key).distinct(), list(key), "left_semi").select(*key, *g.BOX))
-    d = src.groupBy(*key).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    src = lines.select(*key, *g.BOX, F.lit(True).alias("__line"))
+    if blocks is not None:  # an old box meets its lines where they are gathered, so that neither table is asked for twice
+        src = src.unionByName(blocks.dropna(subset=list(key)).select(*key, *g.BOX, F.lit(False).alias("__line")))
+    d = src.groupBy(*key).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max("__line").alias("__line"))
+    d = d.filter("__line").drop("__line")
     for rng, cols in ((x_range, ("x1", "x2")), (y_range, ("y1", "y2"))):
         if rng:
             d = d.withColumns({c: F.greatest(F.lit(rng[0]), F.least(F.lit(rng[1]), F.col(c))) for c in cols})
