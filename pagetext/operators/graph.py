@@ -12,6 +12,7 @@ from pagetext.operators.prefix import keys_over, per_key
 from pagetext.session import cut_lineage
 
 FOLD_EDGES = 100_000  # edges folded in one task
+FEW_NODES = 64  # labels of a key that each of its nodes looks through
 
 
 def _fingerprint(edges: DataFrame, cols: Sequence[str]) -> tuple:
@@ -75,9 +76,28 @@ def _contracted(e: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def label_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], uid: str) -> DataFrame:
-    """``nodes`` with ``component``; nodes without an edge are their own component. Edges: uid, r_uid."""
-    comp = connected_components(edges, keys, uid, "r_" + uid).withColumnRenamed("node", uid)
-    return nodes.join(comp, [*keys, uid], "left").withColumn("component", F.coalesce("component", F.col(uid)))
+    """``nodes`` with ``component``; nodes without an edge are their own component. Edges: uid, r_uid.
+
+    The labels of a key with at most ``FEW_NODES`` nodes that have an edge come as one map of the key, so that its nodes stay where they lie;
+    those of larger keys are joined by node.
+    """
+    keys = list(keys)
+    comp = cut_lineage(connected_components(edges, keys, uid, "r_" + uid))
+
+    def joined(d: DataFrame, c: DataFrame) -> DataFrame:
+        return d.join(c.withColumnRenamed("node", uid), [*keys, uid], "left").withColumn("component", F.coalesce("component", F.col(uid)))
+
+    def mapped(d: DataFrame, c: DataFrame) -> DataFrame:
+        labels = c.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("node", "component"))).alias("__labels"))
+        return (d.join(labels, keys, "left").withColumn("component", F.coalesce(F.try_element_at("__labels", F.col(uid)), F.col(uid)))
+                .drop("__labels"))
+
+    large = keys_over(comp, keys, FEW_NODES)
+    if large is None:
+        return mapped(nodes, comp)
+    large = F.broadcast(large)
+    few, many = ([d.join(large, keys, how) for d in (nodes, comp)] for how in ("left_anti", "left_semi"))
+    return mapped(*few).unionByName(joined(*many))
 
 
 def _settled(edges: DataFrame, keys: list[str], a: str, b: str, fold: Callable, out: str, rounds: Callable[[DataFrame], DataFrame], fold_edges: int) -> DataFrame:
